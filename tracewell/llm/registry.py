@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .chat import OP7_SQL, op7_perspectives
 from .media import op1_media_columns
+from .mixing import op3_source_mix
+from .packing import op8_best_two_fit
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op3_source_mix": op3_source_mix,
+    "op7_perspectives": op7_perspectives,
+    "op8_best_two_fit": op8_best_two_fit,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_perspectives": OP7_SQL}
