@@ -6,11 +6,15 @@ from .chat import OP7_SQL, op7_perspectives
 from .media import op1_media_columns
 from .mixing import op3_source_mix
 from .packing import op8_best_two_fit
+from .search import OP4_SQL, op4_exact_top_k
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_source_mix": op3_source_mix,
+    "op4_exact_top_k": op4_exact_top_k,
     "op7_perspectives": op7_perspectives,
     "op8_best_two_fit": op8_best_two_fit,
+    "op9_toxicity": op9_toxicity,
 }
-ORACLES = {"op7_perspectives": OP7_SQL}
+ORACLES = {"op4_exact_top_k": OP4_SQL, "op7_perspectives": OP7_SQL}

@@ -22,11 +22,11 @@ _BLOCK = 1 << 19
 
 def _powers(base: int) -> np.ndarray:
     out = np.ones(_BLOCK + 1, U)
-    done, step = 1, U(base)
+    done, step = 1, base
     while done < len(out):
         take = min(done, len(out) - done)
-        out[done : done + take] = out[:take] * step
-        done, step = done + take, step * step
+        out[done : done + take] = out[:take] * U(step)
+        done, step = done + take, step * step % 2**64
     return out
 
 
@@ -47,12 +47,13 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], U))[0])
 
 
-def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the index of the first word of each row (n + 1 values)."""
+def spans(data: np.ndarray, offs: np.ndarray, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes that parts doesn't mark), and the index of the first word of each row
+    (n + 1 values)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~SPACE[data]
+    word = ~parts[data]
     edge = np.empty(n + 1, bool)
     edge[0], edge[n] = True, True
     edge[1:n] = word[1:] != word[:-1]
