@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP7_SQL, op7_perspectives
+from .extract import op6_main_text
 from .media import op1_media_columns
 from .mixing import op3_source_mix
 from .packing import op8_best_two_fit
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_source_mix": op3_source_mix,
     "op4_exact_top_k": op4_exact_top_k,
+    "op6_main_text": op6_main_text,
     "op7_perspectives": op7_perspectives,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_toxicity": op9_toxicity,
