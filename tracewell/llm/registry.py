@@ -7,6 +7,8 @@ from .extract import op6_main_text
 from .media import op1_media_columns
 from .mixing import op3_source_mix
 from .packing import op8_best_two_fit
+from .phrases import op10_phrase_dedup
+from .rindex import op5_suffix_dedup
 from .search import OP4_SQL, op4_exact_top_k
 from .toxicity import op9_toxicity
 
@@ -14,9 +16,11 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_source_mix": op3_source_mix,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_main_text": op6_main_text,
     "op7_perspectives": op7_perspectives,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_toxicity": op9_toxicity,
+    "op10_phrase_dedup": op10_phrase_dedup,
 }
 ORACLES = {"op4_exact_top_k": OP4_SQL, "op7_perspectives": OP7_SQL}
