@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_perspectives
 from .extract import op6_main_text
+from .jaccard import op2_jaccard_join
 from .media import op1_media_columns
 from .mixing import op3_source_mix
 from .packing import op8_best_two_fit
@@ -14,6 +15,7 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_source_mix": op3_source_mix,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_suffix_dedup": op5_suffix_dedup,

@@ -77,14 +77,13 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool)
         j = max(i + 1, int(np.searchsorted(ends, at + _BLOCK, side="right")))
         to = ends[j - 1]
         if to - at > _BLOCK:  # one word longer than a block: in pieces
-            total, place = U(0), 1
+            total, place = np.zeros(1, U), 1
             for k in range(at, to, _BLOCK):
                 part = data[k : min(to, k + _BLOCK)]
                 piece = np.add.reduce(table[part] * _UP[: len(part)])
-                with np.errstate(over="ignore"):
-                    total = total + piece * U(place)
+                total += np.array([piece]) * U(place)
                 place = place * pow(_BASE, _BLOCK, 2**64) % 2**64
-            out[i] = total
+            out[i] = total[0]
         else:
             sums = np.empty(to - at + 1, U)
             sums[0] = 0
@@ -123,5 +122,5 @@ def grams(words: np.ndarray, first: np.ndarray, k: int, short: bool) -> tuple[np
     out[usual] = every[place[usual]]
     for r in brief:
         w = words[first[r] : first[r + 1]]
-        out[offs[r]] = np.add.reduce(w * factors[: len(w)]) + U(mix_int(len(w)))
+        out[offs[r]] = np.add.reduce(np.append(w * factors[: len(w)], U(mix_int(len(w)))))
     return mix(out), offs
