@@ -202,15 +202,16 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages without column, with text and n_chars (code points)."""
     keys = pages.drop(column, "text", "n_chars")
+    names = list(keys.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches, "_html"):
             texts = [main_text(x.as_py()) for x in batch.column("_html")]
-            kept = [batch.column(c) for c in keys.columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keys.columns, "text", "n_chars"])
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields)
-    return pages.select(*keys.columns, pages[column].alias("_html")).mapInArrow(run, f"{columns}, text string, n_chars long")
+    return pages.select(*names, pages[column].alias("_html")).mapInArrow(run, f"{columns}, text string, n_chars long")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
