@@ -142,16 +142,16 @@ def signatures(tokens: np.ndarray, offs: np.ndarray, edges: np.ndarray, plans: l
 
 
 def nodes(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """key, n_shingles, node and sketch of each row."""
+    """key, h (hash of the text), n_shingles, node and sketch of each row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches, text):
             tokens, offs = sets(batch.column(text))
             drawn = sketches(tokens, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(offs)), pa.array(node_of(tokens, offs)), common.binary([x.tobytes() for x in drawn])], ["key", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_h"), pa.array(np.diff(offs)), pa.array(node_of(tokens, offs)), common.binary([x.tobytes() for x in drawn])], ["key", "h", "n_shingles", "node", "sketch"])
 
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, n_shingles long, node long, sketch binary").withColumnRenamed("key", key)
+    return docs.select(key, F.xxhash64(text).alias("_h"), text).mapInArrow(run, f"key {kind}, h long, n_shingles long, node long, sketch binary").withColumnRenamed("key", key)
 
 
 def groups(docs: DataFrame, text: str, bands: list[int], n_buckets: int) -> DataFrame:
@@ -308,7 +308,8 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles and component_id (least key of the rows that links reach) of each row of docs.
+    """key, h (hash of the text), n_shingles, component and component_id (least key of the rows that links reach) of each
+    row of docs; component is null and component_id the key itself for rows without a set.
 
     A row's set is its distinct word shingles, or its whole word sequence if that is shorter than a shingle. Null, empty
     and wordless texts have no set, link with nothing and are their own component. Equal sets link, whatever the order and
@@ -344,10 +345,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     least = known.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"))
     placed = common.materialize(of_node.join(least, "node"), "placed")
     first = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = placed.select("node", "component").join(first, "component").select("node", "component_id")
-    return known.join(answer, "node", "left").select(key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    answer = placed.select("node", "component").join(first, "component").select("node", "component", "component_id")
+    return known.join(answer, "node", "left").select(key, "h", "n_shingles", "component", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row of each component, that of least key and hash; rows without a set all stay."""
+    found = near_duplicates(docs, text, key).where("component is not null")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("_none"), F.col(key).alias("_key"), F.col("h").alias("_h"))).alias("m")).select("m.*")
+    at = [F.col(key).isNull().alias("_none"), F.coalesce(F.col(key), F.lit(0)).alias("_key"), F.xxhash64(text).alias("_h")]
+    best = best.select("_none", F.coalesce("_key", F.lit(0)).alias("_key"), "_h")
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # one shuffle serves both: rows that are equal in key and text, and the join
+    kept = docs.where(worded).select(*docs.columns, *at).dropDuplicates(["_none", "_key", "_h"]).join(best, ["_none", "_key", "_h"], "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

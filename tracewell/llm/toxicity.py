@@ -140,6 +140,12 @@ def model_of(spark: SparkSession, sf_dir: str) -> Weights:
     return train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where(fold("doc_id") != 1))
 
 
+def clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without those that score THRESHOLD or more, by a model of the labels that are not held out."""
+    model = train(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels.where(fold("doc_id") != 1))
+    return score(docs, model, text).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity."""
     scored = score(common.table(spark, sf_dir, "documents").select("doc_id", "text"), model_of(spark, sf_dir))
