@@ -78,13 +78,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     turn = F.col("pass") * F.col("source_size") + F.col("ahead")
     copies = placed.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     copies = copies.withColumn("start", F.when(F.col("target") > 0, turn / F.col("target")).otherwise(2.0)).withColumn("finish", F.when(F.col("target") > 0, (turn + F.col("size")) / F.col("target")).otherwise(2.0))
-    copies = copies.where("start < 1 or pass = 0").withColumn("slot", F.least(F.floor(F.col("finish") * n), F.lit(2 * n)).cast("long")).withColumn("queue", F.lit(0))
-    copies = copies.withColumn("load", F.when(F.col("start") < 1, F.col("size")).otherwise(0))
-    queued = running(copies, ["queue"], "slot", ["finish", "h", "doc_id", "ahead", "pass"], "load", "before")
     row = ["doc_id", "source", "h", "size", "ahead", "source_size", "target"]
-    part = F.least(F.col("load"), F.greatest(F.lit(0), F.lit(words) - F.col("before")))
+    idle = copies.where("start >= 1 and pass = 0")
+    copies = copies.where("start < 1").withColumn("slot", F.least(F.floor(F.col("finish") * n), F.lit(2 * n)).cast("long")).withColumn("queue", F.lit(0))
+    queued = running(copies, ["queue"], "slot", ["finish", "h", "doc_id", "ahead", "pass"], "size", "before")
+    part = F.least(F.col("size"), F.greatest(F.lit(0), F.lit(words) - F.col("before")))
     taken = queued.groupBy(*row).agg(F.sum(part).cast("long").alias("taken"))
-    return taken.unionByName(placed.where("size = 0").select(*row, F.lit(0).cast("long").alias("taken"))).drop("ahead")
+    none = placed.where("size = 0").select(*row).unionByName(idle.select(*row))
+    return taken.unionByName(none.withColumn("taken", F.lit(0).cast("long"))).drop("ahead")
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
