@@ -228,11 +228,11 @@ def digest(*parts: bytes) -> int:
     return h.intdigest() - 2**63
 
 
-def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, int, int]]], list[np.ndarray]], text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, int]]], list[np.ndarray]], text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, h (hash of the text) and spans (array of start and end in units, neither sorted nor merged) of the units of
     docs that a repeated window covers; rows without any are left out.
 
-    index takes snippets (content, preceding byte or -1, copies) and returns the covered spans of each as rows of start
+    index takes snippets (content, copies) and returns the covered spans of each as rows of start
     and end. It gets all snippets that can share a window at once, and others with them."""
     kind = docs.schema[key].dataType.simpleString()
     found = common.materialize(occurrences(docs, units, text, key), "repeats")
@@ -251,32 +251,32 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
             raw, starts, ends = data.tobytes(), None, None
             if units.word:
                 starts, ends, first = words.spans(data, first)
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(7)]
             for row, items in enumerate(batch.column("wanted").to_pylist()):
                 for x in items:
                     for step, i, n in pieces(window, x):
                         a = int(first[row]) + x["lo"] + i
                         if units.word:
                             list_of = [raw[s:e] for s, e in zip(starts[a : a + n], ends[a : a + n], strict=True)]
-                            content, before = b" ".join(list_of), -1
+                            content = b" ".join(list_of)
                         else:
-                            content, before = raw[a : a + n], raw[a - 1] if i else -1
+                            content = raw[a : a + n]
                         group, piece = x["anchor"], x["snip"]
                         if x["wide"]:  # every window of a step holds its middle, so equal windows have equal middles
                             c = x["off"] - i - step * OFFSETS
                             m = c + window - OFFSETS + 1
                             core = b" ".join(list_of[c:m]) if units.word else content[c:m]
                             group = digest(b"%d %d" % (x["anchor"], step), core)
-                            piece = digest(b"%d %d" % (c, before), content)
-                        for o, v in zip(out, (group, piece, x["anchor"], x["snip"], i, x["copies"], before, content), strict=True):
+                            piece = digest(b"%d" % c, content)
+                        for o, v in zip(out, (group, piece, x["anchor"], x["snip"], i, x["copies"], content), strict=True):
                             o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
 
-    names = ["group", "piece", "anchor", "snip", "at", "copies", "before", "content"]
-    parts = common.materialize(held.mapInArrow(cut, "group long, piece long, anchor long, snip long, at long, copies long, before int, content binary"), "snippets")
+    names = ["group", "piece", "anchor", "snip", "at", "copies", "content"]
+    parts = common.materialize(held.mapInArrow(cut, "group long, piece long, anchor long, snip long, at long, copies long, content binary"), "snippets")
     # copies of a part count together, whichever forms they come from
-    ready = parts.groupBy("group", "piece").agg(F.sum("copies").alias("copies"), F.min("before").alias("before"), F.min("content").alias("content"))
+    ready = parts.groupBy("group", "piece").agg(F.sum("copies").alias("copies"), F.min("content").alias("content"))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -289,7 +289,7 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
         held_now: list[tuple] = []
         size = 0
         for batch in batches:
-            for x in zip(*(batch.column(c).to_pylist() for c in ("group", "piece", "content", "before", "copies")), strict=True):
+            for x in zip(*(batch.column(c).to_pylist() for c in ("group", "piece", "content", "copies")), strict=True):
                 if size > SHARD_BYTES and x[0] != held_now[-1][0]:
                     yield flush()
                     held_now, size = [], 0
@@ -308,10 +308,10 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with the array _spans, null where there are none."""
-    named = spans.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_sh"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_h", F.xxhash64(text))
-    return rows.join(named, F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_sh")), "left").drop("_doc", "_h", "_sh")
+    """docs with the array _tw_spans, null where there are none."""
+    named = spans.select(F.col("doc_id").alias("_tw_doc"), F.col("h").alias("_tw_sh"), F.col("spans").alias("_tw_spans"))
+    rows = docs.withColumn("_tw_h", F.xxhash64(text))
+    return rows.join(named, F.col(key).eqNullSafe(F.col("_tw_doc")) & (F.col("_tw_h") == F.col("_tw_sh")), "left").drop("_tw_doc", "_tw_h", "_tw_sh")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:

@@ -352,12 +352,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each component, that of least key and hash; rows without a set all stay."""
     found = near_duplicates(docs, text, key).where("component is not null")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("_none"), F.col(key).alias("_key"), F.col("h").alias("_h"))).alias("m")).select("m.*")
-    at = [F.col(key).isNull().alias("_none"), F.coalesce(F.col(key), F.lit(0)).alias("_key"), F.xxhash64(text).alias("_h")]
-    best = best.select("_none", F.coalesce("_key", F.lit(0)).alias("_key"), "_h")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("_tw_none"), F.col(key).alias("_tw_key"), F.col("h").alias("_tw_h"))).alias("m")).select("m.*")
+    at = [F.col(key).isNull().alias("_tw_none"), F.coalesce(F.col(key), F.lit(0)).alias("_tw_key"), F.xxhash64(text).alias("_tw_h")]
+    best = best.select("_tw_none", F.coalesce("_tw_key", F.lit(0)).alias("_tw_key"), "_tw_h")
     worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # one shuffle serves both: rows that are equal in key and text, and the join
-    kept = docs.where(worded).select(*docs.columns, *at).dropDuplicates(["_none", "_key", "_h"]).join(best, ["_none", "_key", "_h"], "left_semi")
+    kept = docs.where(worded).select(*docs.columns, *at).dropDuplicates(["_tw_none", "_tw_key", "_tw_h"]).join(best, ["_tw_none", "_tw_key", "_tw_h"], "left_semi")
     return kept.select(*docs.columns).unionByName(docs.where(~worded))
 
 

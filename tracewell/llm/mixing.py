@@ -92,15 +92,15 @@ def take(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row for each whole pass, and one with the first words of the text for the rest of
     what is taken. All columns of docs stay; rows that are not taken go."""
     seed, text = options.get("seed", 17), options.get("text", "text")
-    took = mix(docs, **options).where("taken > 0").groupBy("doc_id", "h", "size").agg(F.sum("taken").alias("_taken"))
-    took = took.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("size").alias("_size"), "_taken")
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", text)).dropDuplicates(["doc_id", "_key"])
-    rows = keyed.join(took, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_h")))
-    passes = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), passes)))
-    rest = (F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")).cast("int")
+    took = mix(docs, **options).where("taken > 0").groupBy("doc_id", "h", "size").agg(F.sum("taken").alias("_tw_taken"))
+    took = took.select(F.col("doc_id").alias("_tw_doc"), F.col("h").alias("_tw_h"), F.col("size").alias("_tw_size"), "_tw_taken")
+    keyed = docs.withColumn("_tw_key", F.xxhash64(F.lit(seed), "doc_id", text)).dropDuplicates(["doc_id", "_tw_key"])
+    rows = keyed.join(took, F.col("doc_id").eqNullSafe(F.col("_tw_doc")) & (F.col("_tw_key") == F.col("_tw_h")))
+    passes = F.ceil(F.col("_tw_taken") / F.col("_tw_size")).cast("int")
+    rows = rows.withColumn("_tw_pass", F.explode(F.sequence(F.lit(1), passes)))
+    rest = (F.col("_tw_taken") - (F.col("_tw_pass") - 1) * F.col("_tw_size")).cast("int")
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
-    return rows.withColumn(text, F.when(rest < F.col("_size"), first).otherwise(F.col(text))).select(*docs.columns)
+    return rows.withColumn(text, F.when(rest < F.col("_tw_size"), first).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,23 +171,23 @@ def pack(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group_
     groups = max(1, -(-parts.where(F.col("length") < capacity).count() // group_rows))
     columns = parts.columns
     # equal rows part by nothing in them: the file and place where they stand spread a group of copies
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = parts.withColumn("_tw_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def fill(group: pa.Table) -> pa.Table:
         order = pa.compute.sort_indices(group, sort_keys=[(key, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         group = group.take(order)
         lengths = group.column("length").to_numpy()
         sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-        base = (group.column("_group")[0].as_py() << 32) if len(lengths) else 0
+        base = (group.column("_tw_group")[0].as_py() << 32) if len(lengths) else 0
         for s, members in enumerate(best_two_fit(lengths, capacity)):
             at = 0
             for i in sorted(members):
                 sequence[i], offset[i] = base + s, at
                 at += lengths[i]
-        return group.drop_columns(["_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return group.drop_columns(["_tw_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
-    return dealt.groupBy("_group").applyInArrow(fill, schema).select(*columns, "sequence_id", "offset")
+    return dealt.groupBy("_tw_group").applyInArrow(fill, schema).select(*columns, "sequence_id", "offset")
 
 
 def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:

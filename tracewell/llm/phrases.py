@@ -43,11 +43,11 @@ def automaton(of: list[tuple[int, ...]]) -> ahocorasick.Automaton:
     return out
 
 
-def covered(snippets: list[tuple[bytes, int, int]], window: int = WINDOW) -> list[np.ndarray]:
-    """Spans of words of each snippet (content, unused, copies) that occurrences of recurring passages cover."""
+def covered(snippets: list[tuple[bytes, int]], window: int = WINDOW) -> list[np.ndarray]:
+    """Spans of words of each snippet (content, copies) that occurrences of recurring passages cover."""
     number: dict[bytes, int] = {}
     texts = [[number.setdefault(w, len(number)) for w in x[0].split(b" ")] for x in snippets]
-    found = passages(texts, [x[2] for x in snippets], window)
+    found = passages(texts, [x[1] for x in snippets], window)
     if not found:
         return [np.zeros((0, 2), np.int64)] * len(texts)
     match = automaton(found)
@@ -55,7 +55,7 @@ def covered(snippets: list[tuple[bytes, int, int]], window: int = WINDOW) -> lis
 
 
 def phrase_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with _spans: the words of each row that a window of 35 words covers whose words also occur elsewhere, in the
+    """docs with _tw_spans: the words of each row that a window of 35 words covers whose words also occur elsewhere, in the
     same row or another; equal rows are rows apart. Null texts have no words. Null where there are none."""
     return anchors.with_spans(docs, anchors.repeated(docs.select(key, text), UNITS, covered, text, key), text, key)
 
@@ -69,7 +69,7 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             data, offs = common.utf8(batch.column("text"))
             starts, ends, first = words.spans(data, offs)
             raw, out = data.tobytes(), [[] for _ in range(3)]
-            for a, b, x in zip(first[:-1], first[1:], batch.column("_spans").to_pylist(), strict=True):
+            for a, b, x in zip(first[:-1], first[1:], batch.column("_tw_spans").to_pylist(), strict=True):
                 stay = np.ones(b - a, bool)
                 for s, e in flat_spans(x).tolist():
                     stay[s:e] = False

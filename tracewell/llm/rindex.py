@@ -33,9 +33,9 @@ class RunIndex:
     rows: int
 
 
-def build(contents: list[bytes], before: list[int], copies: list[int], window: int = WINDOW) -> RunIndex:
-    """The index of snippets; before: the byte before each (-1: none, or unknown). Suffixes shorter than a window take no
-    part. Bytes count from 1, so that the end of a snippet is less than any."""
+def build(contents: list[bytes], copies: list[int], window: int = WINDOW) -> RunIndex:
+    """The index of snippets. Suffixes shorter than a window take no part. What stands before a snippet is another's, so its
+    first suffix always ends a run. Bytes count from 1, so that the end of a snippet is less than any."""
     n = np.array([len(c) for c in contents])
     longest = int(n.max(initial=0))
     starts_of = np.maximum(n - window + 1, 0)
@@ -78,12 +78,12 @@ def matching_statistics(index: RunIndex, n: np.ndarray) -> np.ndarray:
     return np.maximum(reach - np.arange(len(reach)), 0)
 
 
-def covered(snippets: list[tuple[bytes, int, int]], window: int = WINDOW) -> list[np.ndarray]:
-    """Spans of bytes of each snippet (content, preceding byte, copies) that a string of window bytes covers which also
+def covered(snippets: list[tuple[bytes, int]], window: int = WINDOW) -> list[np.ndarray]:
+    """Spans of bytes of each snippet (content, copies) that a string of window bytes covers which also
     occurs in another of them, at another place of it, or in a copy."""
     contents = [x[0] for x in snippets]
     n = np.array([len(c) for c in contents])
-    index = build(contents, [x[1] for x in snippets], [x[2] for x in snippets], window)
+    index = build(contents, [x[1] for x in snippets], window)
     ms = matching_statistics(index, n)
     offs = np.concatenate([[0], np.cumsum(n)])
     long = np.flatnonzero(ms >= window)
@@ -97,7 +97,7 @@ UNITS = anchors.Units(WINDOW, GRAM, word=False)
 
 
 def dedup_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with _spans: the bytes (of UTF-8) of each row that a 200-byte string covers which also starts elsewhere, in the
+    """docs with _tw_spans: the bytes (of UTF-8) of each row that a 200-byte string covers which also starts elsewhere, in the
     same row or another; equal rows are rows apart. Null texts are empty. Null where there are none."""
     return anchors.with_spans(docs, anchors.repeated(docs.select(key, text), UNITS, covered, text, key), text, key)
 
@@ -123,7 +123,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in common.chunks(batches):
             data, offs = common.utf8(batch.column("text"))
             raw, out = data.tobytes(), [[] for _ in range(4)]
-            for a, b, x in zip(offs[:-1], offs[1:], batch.column("_spans").to_pylist(), strict=True):
+            for a, b, x in zip(offs[:-1], offs[1:], batch.column("_tw_spans").to_pylist(), strict=True):
                 spans = flat_spans(x)
                 for o, v in zip(out, (b - a, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(keep(raw[a:b], spans)).hexdigest()), strict=True):
                     o.append(v)
@@ -153,14 +153,14 @@ def dedup_text(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches, text):
             texts = []
-            for t, x in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for t, x in zip(batch.column(text).to_pylist(), batch.column("_tw_spans").to_pylist(), strict=True):
                 if x:
                     raw = t.encode()
                     t = keep(raw, characters(raw, flat_spans(x))).decode()
                 texts.append(t)
-            by_name = {c: batch.column(c) for c in batch.schema.names if c != "_spans"} | {text: pa.array(texts, pa.string())}
+            by_name = {c: batch.column(c) for c in batch.schema.names if c != "_tw_spans"} | {text: pa.array(texts, pa.string())}
             if n_chars in by_name:
                 by_name[n_chars] = pa.array([None if t is None else len(t) for t in texts]).cast(by_name[n_chars].type)
             yield pa.RecordBatch.from_arrays(list(by_name.values()), list(by_name))
 
-    return dedup_spans(docs, text, key).select(*docs.columns, "_spans").mapInArrow(cut, columns)
+    return dedup_spans(docs, text, key).select(*docs.columns, "_tw_spans").mapInArrow(cut, columns)

@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def score(docs: DataFrame, model: Weights, text: str = "text") -> DataFrame:
-    """docs with _score (0 to 1). Null and empty texts have the bias alone."""
+    """docs with _tw_score (0 to 1). Null and empty texts have the bias alone."""
     held = docs.sparkSession.sparkContext.broadcast((model.bias, model.index, model.value))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
@@ -124,9 +124,9 @@ def score(docs: DataFrame, model: Weights, text: str = "text") -> DataFrame:
             keep = live[at]
             both = np.unique(row[keep] * DIMS + at[keep])
             total = np.bincount(both // DIMS, weights[both % DIMS], minlength=batch.num_rows) + held.value[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*batch.schema.names, "_tw_score"])
 
-    return docs.mapInArrow(run, f"{columns}, _score double")
+    return docs.mapInArrow(run, f"{columns}, _tw_score double")
 
 
 def fold(key) -> F.Column:
@@ -143,10 +143,10 @@ def model_of(spark: SparkSession, sf_dir: str) -> Weights:
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without those that score THRESHOLD or more, by a model of the labels that are not held out."""
     model = train(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels.where(fold("doc_id") != 1))
-    return score(docs, model, text).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    return score(docs, model, text).where(F.col("_tw_score") < THRESHOLD).select(*docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity."""
     scored = score(common.table(spark, sf_dir, "documents").select("doc_id", "text"), model_of(spark, sf_dir))
-    return scored.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), F.col("_tw_score").alias("score"), (F.col("_tw_score") >= THRESHOLD).cast("int").alias("predicted"))
