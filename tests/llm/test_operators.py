@@ -1,0 +1,357 @@
+"""Every operator against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tracewell.llm import anchors, chat, extract, jaccard, media, mixing, packing, phrases, rindex, search, toxicity, words
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, spans int, node string"
+
+
+def corpus():
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdeéß", k=rng.randint(1, 7))) for _ in range(400)]
+    draw = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    passage, texts = draw(70), [None, "", "   ", "one", "One", "a b c", "\t\n", "x" * 700, "0 " * 450]
+    for _ in range(40):
+        texts.append(draw(rng.randint(3, 160)))
+    base = draw(120)
+    texts += [base, base, base.upper(), base]
+    for _ in range(12):  # near copies
+        w = base.split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    texts += [f"{draw(20)} {passage} {draw(9)}" for _ in range(5)] + [f"{draw(4)}\n{passage[:250]}  {draw(3)}"] + [draw(9000)] + [f"{passage} {passage}"]
+    return texts
+
+
+TEXTS = corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", None if i % 9 == 0 else f"s{i % 4}", None if t is None else len(t), "x", 1, "y") for i, t in enumerate(TEXTS)]
+    rows += [(5, "a b c", "en", "s1", 5, "x", 1, "y"), (None, TEXTS[20], "en", "s2", 3, "x", 1, "y")]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def all_rows(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def counted(rows):
+    return Counter(map(tuple, rows))
+
+
+def test_media_round_trip(docs, empty):
+    got = media.digest(media.encode_column(docs))
+    want = []
+    for i, t in all_rows(docs):
+        raw = (t or "").encode()
+        full = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        want.append((i, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:])))
+    assert counted(got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32").collect()) == counted(want)
+    assert media.digest(media.encode_column(empty)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 192 * 64, 192 * 65 + 5, 300_000])
+def test_media_tables_are_exact(n):
+    payload = bytes(random.Random(n).randbytes(n))
+    stored = media.encode(payload)
+    assert media.payload_of(stored) == payload
+    found = media.features_of(stored)
+    assert found["codec"] == "raw " and found["samples"] == max(1, -(-n // 192))
+    for key in found["keyframes"]:
+        assert stored[key["offset"] : key["offset"] + key["size"]] in payload
+
+
+def test_media_features_of_what_is_no_media(spark):
+    df = spark.createDataFrame([(1, b"none"), (2, None), (3, media.encode(b"abc")), (4, media.encode(b"abc")[:60])], "id int, media binary").withColumn("features", F.lit(1))
+    got = {r.id: r.features for r in media.inspect_column(df).collect()}
+    assert got[1] is None and got[2] is None and got[4] is None and got[3].keyframes[0].size == 3
+
+
+def sets_of(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def components_of(rows):
+    s, at = [sets_of(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(s[i] & s[j])
+            if s[i] and s[j] and 100 * both >= 75 * (len(s[i]) + len(s[j]) - both):
+                at[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(least.get(root(i), d), d)
+    return [(d, len(s[i]), least.get(root(i)) if s[i] else d) for i, (d, _) in enumerate(rows)]
+
+
+def test_jaccard_components(docs, empty):
+    got = jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert counted(got) == counted(components_of(all_rows(docs)))
+    assert jaccard.near_duplicates(empty).count() == 0
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    n = len({c for d, k, c in components_of(all_rows(docs)) if k})
+    assert kept.where(F.col("text").rlike(r"\S")).count() == n
+
+
+@pytest.mark.parametrize("near", [True, False])
+def test_signatures_lose_no_link(near):
+    rng = np.random.default_rng(3)
+    edges = jaccard.edges_of_bands(1 << 20)
+    plans = [jaccard.plan(int(edges[k + 1]) - 1, 10**9 if near else 1) for k in range(len(edges) - 1)]
+    assert any(p[1] for p in plans)
+    for _ in range(400):
+        n = int(rng.integers(1, 90))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = a.copy()
+        for _ in range(int(rng.integers(0, n // 4 + 2))):
+            b = np.delete(b, rng.integers(len(b))) if rng.random() < 0.5 and len(b) > 1 else np.unique(np.append(b, rng.integers(0, 2**63, dtype=np.uint64)))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            row, sig = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), edges, plans)
+            assert np.intersect1d(sig[row == 0], sig[row == 1]).size
+
+
+def test_targets_fill_like_water(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 500), ("c", 0)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    # weights a 5, b 2, c 1, null 5: a stops at 30, the rest is 1480 over 2 and 5
+    assert got["a"] == 30 and got["c"] == 0
+    assert got["b"] == pytest.approx(1480 * 2 / 7) and got[None] == pytest.approx(1480 * 5 / 7)
+
+
+def test_mix(docs, empty):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == docs.count() and mixing.mix(empty).count() == 0
+    assert counted((r.doc_id, r.size) for r in rows) == counted((d, len(WORD.findall(t or ""))) for d, t in all_rows(docs))
+    assert sum(r.taken for r in rows) == sum(r.size for r in rows)
+    assert all(0 <= r.taken <= 3 * r.size for r in rows)
+    assert counted(mixing.mix(docs.repartition(5)).collect()) == counted(rows)
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * max(r.size for r in rows)
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns
+    assert sum(len(WORD.findall(r.text)) for r in taken.collect()) == sum(r.taken for r in rows)
+
+
+def test_search(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x) for x in rng.normal(size=24) * rng.integers(1, 4)]) for i in range(700)]
+    data[51] = (51, data[50][1])
+    data += [(50, data[3][1]), (900, None), (950, [None] * 24), (1000, [float("nan")] * 24), (1050, []), (1100, [1.0, 2.0]), (1150, [3.0, 1.0]), (None, data[0][1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    whole = [(i, np.floor(256 * np.array(v, float))) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all()]
+    want = []
+    for n, (i, q) in enumerate(whole):
+        if i % 50 == 0:
+            others = sorted((-int(q @ v), j) for m, (j, v) in enumerate(whole) if m != n and len(v) == len(q))[:5]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(others, 1)]
+    assert counted(search.top_k(df).collect()) == counted(want)
+    assert search.top_k(df.where("vec_id = 1")).count() == 0
+    assert search.top_k(df.where("vec_id < 0")).count() == 0
+
+
+def test_segment_bounds_hold():
+    rng = np.random.default_rng(1)
+    q, x = rng.normal(size=(20, 37)), rng.normal(size=(30, 37))
+    for level in search.LEVELS:
+        assert (search.statistics(q, level) @ search.statistics(x, level).T >= q @ x.T - 1e-9).all()
+
+
+def windows_of(rows, unit, w):
+    parts = [unit(t) for _, t in rows]
+    seen = Counter(tuple(p[k : k + w]) for p in parts for k in range(len(p) - w + 1))
+    out = []
+    for p in parts:
+        marked = [False] * len(p)
+        for k in range(len(p) - w + 1):
+            if seen[tuple(p[k : k + w])] > 1:
+                marked[k : k + w] = [True] * w
+        out.append(marked)
+    return parts, out
+
+
+@pytest.mark.parametrize("whole", [anchors.WHOLE, 0])
+def test_suffix_and_phrase_spans(docs, empty, whole, monkeypatch):
+    monkeypatch.setattr(anchors, "WHOLE", whole)
+    rows = all_rows(docs)
+    for find, unit, w in ((rindex.dedup_spans, lambda t: (t or "").encode(), 200), (phrases.phrase_spans, lambda t: WORD.findall(t or ""), 35)):
+        parts, marked = windows_of(rows, unit, w)
+        got = counted((r.doc_id, r.text, tuple(map(tuple, rindex.flat_spans(r["_tw_spans"]).tolist()))) for r in find(docs).collect())
+        want = counted((d, t, tuple(map(tuple, anchors.runs(np.array(m, bool), np.array([0, len(m)]))[0].tolist()))) for (d, t), m in zip(rows, marked, strict=True))
+        assert got == want and any(s for _, _, s in want)
+        assert find(empty).count() == 0
+        del parts
+
+
+def test_dedup_text_keeps_characters(spark, docs):
+    out = rindex.dedup_text(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    long = "é" * 150
+    df = spark.createDataFrame([(1, "x" + long + "é tail"), (2, "y" + long + "ê end"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in rindex.dedup_text(df).collect()}
+    assert got == {1: "x tail", 2: "yê end", 3: None}  # the first byte of ê repeats, the letter does not
+
+
+def test_run_index_samples_run_ends():
+    text = bytes(random.Random(1).randbytes(900))
+    index = rindex.build([text, *[bytes([k]) + text[100:700] for k in range(20)]], [1] * 21, 200)
+    assert index.runs < index.rows / 8
+    ms = rindex.matching_statistics(index, np.array([900] + [601] * 20))
+    assert ms[100] == 600 and ms[300] == 400 and ms[901] == 600 and ms[900] < 200 and ms[0] < 200
+
+
+PAGE = "<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies, as ever.</div>{0}<aside>See also.</aside><div id=comments><p>First, great!</p></div><footer>&copy; me</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (PAGE.format("<article><h1>A &amp; B</h1><p><b>One,\n two. <br><p>Three.<form><input></form></article>"), "A & B\nOne, two.\nThree."),
+        (PAGE.format("<div class=post><h2>T</h2><p>One, two. And more of it.</p><ul><li>x</li></ul></div>"), "T\nOne, two. And more of it.\nx"),
+        (PAGE.format("<p>Plain paragraph, long enough. Yes.</p><p>Be.</p>"), "Plain paragraph, long enough. Yes.\nBe."),
+        ("<script>var t='<p>no</p>'</script><!-- c --><p>Yes, it is.", "Yes, it is."), ("no tags", "no tags"), ("", ""), (None, ""), ("<p></p>", ""), ("<nav>Menu</nav>", ""),
+    ],
+)
+def test_main_text(page, text):
+    assert extract.main_text(page) == text
+
+
+def test_extract_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>Hi, you. All.</article>", "old"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    assert sorted(map(tuple, extract.extract(df).collect()), key=str) == sorted([(1, "u", "Hi, you. All.", 13), (None, None, "", 0)], key=str)
+    assert extract.extract(df.where("page_id > 5")).count() == 0
+
+
+def test_perspectives(spark):
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 2, "ann", "tie"), (1, 40, "ann", "late"), (2, 0, "system", "alone"), (3, None, None, "x"), (None, 1, "ann", "y"), (4, 1, "ann", "same"), (4, 1, "ann", "same")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(0))
+    got = chat.rotate(df).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (str(r.conv_id), r.perspective, r.start)):
+        text = by.setdefault((r.conv_id, r.perspective), "")
+        assert r.start == len(text) and r.length == len(r.piece)
+        by[r.conv_id, r.perspective] = text + r.piece
+    assert by[1, "bob"] == "<|system|>\nBe kind.<|end|>\n<|user name=ann|>\nHi<|end|>\n<|user name=ann|>\ntie<|end|>\n<|assistant|>\n<|end|>\n<|user name=ann|>\nlate<|end|>\n"
+    own = [r for r in got if r.conv_id == 1 and r.perspective == "ann" and r.mask_length]
+    assert {by[1, "ann"][r.mask_start : r.mask_start + r.mask_length] for r in own} == {"Hi<|end|>\n", "tie<|end|>\n", "late<|end|>\n"}
+    assert set(by) == {(1, "ann"), (1, "bob"), (3, "unknown"), (None, "ann"), (4, "ann")} and len([r for r in got if r.conv_id == 4]) == 2
+    assert chat.rotate(df.where("turn > 99")).count() == 0
+
+
+def tokenizer_path():
+    return pytest.importorskip("public_tokenizers").path(packing.TOKENIZER)
+
+
+def test_word_ids_equal_whole_texts():
+    path = tokenizer_path()
+    own = packing.WordIds(path)
+    texts = [t or "" for t in TEXTS] + ["I'll  \t b's İstanbul 3.14 中文 !!'s don'T", "á b ΣΑΣ x y <|endoftext|>z", "a\u0085b\x1cc"]
+    for t, ids in zip(texts, own.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def first_fit(lengths, capacity):
+    room = []
+    for n in sorted(lengths, reverse=True):
+        k = next((k for k, r in enumerate(room) if r >= n), None)
+        if k is None:
+            room.append(capacity - n)
+        else:
+            room[k] -= n
+    return len(room)
+
+
+def test_packing(docs, empty):
+    path = tokenizer_path()
+    rows = packing.best_fit_pack(docs, path, capacity=512).collect()
+    own = packing.WordIds(path)
+    want = []
+    for d, t in all_rows(docs):
+        ids = own.ids([t or ""])[0] + np.array([1], "<u4").tobytes()
+        want += [(d, k, s, len(ids[4 * s : 4 * s + 2048]) // 4, zlib.crc32(ids[4 * s : 4 * s + 2048])) for k, s in enumerate(range(0, len(ids) // 4, 512))]
+    assert counted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == counted(want)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(by) <= first_fit([r.length for r in rows], 512) + 1 and packing.best_fit_pack(empty, path).count() == 0
+
+
+def test_best_two_fit_is_whole():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 300):
+        lengths = rng.integers(1, 101, n)
+        bins = packing.best_two_fit(lengths, 100)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and all(lengths[b].sum() <= 100 for b in bins)
+    assert len(packing.best_two_fit(np.array([60, 50, 45, 40, 5]), 100)) == 2
+
+
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(1)
+    clean = [" ".join(rng.choices(["the", "of", "sea", "red", "fox", "ran", "home"], k=30)) for _ in range(300)]
+    rows = [(i, t if i % 5 else t.replace("sea", "vile scum", 2) + " vile scum", int(i % 5 == 0)) for i, t in enumerate(clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("source", F.lit("x"))
+    labels = df.select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"))
+    model = toxicity.train(df.select("doc_id", "text"), labels)
+    assert 0 < len(model.index) < 100
+    for r in toxicity.score(df, model).collect():
+        assert (r["_tw_score"] >= toxicity.THRESHOLD) == (r.toxic == 1)
+    assert toxicity.clean(df.drop("toxic"), labels).count() == 240
+    none = toxicity.train(docs.select("doc_id", "text"), labels.where("doc_id > 10000"))
+    assert none.bias == 0 and not len(none.index) and toxicity.score(docs, none).count() == docs.count()
+    assert toxicity.score(empty, model).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_place():
+    texts = ["alpha Beta gamma", "", "gamma  alpha\tBETA " + "z" * 700_000 + " beta"]
+    out = {}
+    for group in ([texts[0]], [texts[2]], texts, texts[::-1]):
+        raw = [t.encode() for t in group]
+        offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        starts, ends, first = words.spans(data, offs)
+        for s, e, h in zip(starts, ends, words.hashes(data, starts, ends, lower=True), strict=True):
+            key = bytes(data[s:e]).decode().lower()
+            assert out.setdefault(key, h) == h
+        assert first[-1] == len(starts)
+    assert len(set(out.values())) == len(out) == 4
+
+
+def test_chunks_split_batches():
+    from tracewell.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 100, "c"])], ["text"])
+    assert [c.num_rows for c in common.chunks(iter([batch]), "text", 20)] == [2, 1, 1]
