@@ -258,6 +258,20 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def likely(pairs: DataFrame) -> DataFrame:
+    """a and b of pairs (a, b, n, m, x, y) whose sizes n and m and sketches x and y leave a link possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(-1, SKETCH // 64) for c in ("x", "y"))
+            most = differ(n, m)
+            fine = (np.abs(n - m) <= most) & (np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
+            yield batch.select(["a", "b"]).filter(pa.array(fine))
+
+    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def across(members: DataFrame) -> DataFrame:
     """a and b: pairs of members (group, node, component, n_shingles, sketch) of one group and of different components that
     may link by their sizes and sketches. Large groups are compared tile by tile, in as many tasks as there are tiles."""
@@ -331,11 +345,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     labels = spark.createDataFrame([], "node long, component long")
     links = None
     for star in range(STARS):
-        mixed = labelled(members.select("group", "node", "n_shingles"), labels)
-        middle = mixed.groupBy("group").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "component", "n_shingles")).alias("m"))
-        pairs = mixed.join(middle, "group").where("component <> m.component").select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"), "n_shingles", F.col("m.n_shingles").alias("n"))
-        pairs = pairs.where(f"least(n, n_shingles) * {DEN} >= greatest(n, n_shingles) * {NUM}").select("a", "b").distinct()
-        more = common.materialize(verify(pairs, texts), "links")
+        mixed = labelled(members, labels)
+        middle = mixed.groupBy("group").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "component", "n_shingles", "sketch")).alias("o"))
+        pairs = mixed.join(middle, "group").where("component <> o.component").select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), F.col("n_shingles").alias("n"), F.col("o.n_shingles").alias("m"), F.col("sketch").alias("x"), F.col("o.sketch").alias("y"))
+        more = common.materialize(verify(likely(pairs), texts), "links")
         links = more if links is None else links.union(more)
         labels = components(links)
     pairs = common.materialize(across(labelled(members, labels)), "pairs")
