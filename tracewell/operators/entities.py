@@ -56,7 +56,7 @@ def unambiguous(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and component (least node) by hooking to the least neighbour and contracting, one checkpoint a round."""
+    """node and component (least node) by hooking to the least neighbour, doubling pointers to their roots and contracting."""
     from .iterate import materialize
 
     edges = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
@@ -65,9 +65,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("to")))
-        for _ in range(2):
-            hook = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-        hook = materialize(hook)
+        moved = True
+        while moved:  # to the roots, by doubling
+            hook = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
+            hook = materialize(hook.select("node", F.coalesce("next", "to").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            moved = not hook.where("moved").isEmpty()
+            hook = hook.select("node", "to")
         labels = materialize(labels.join(hook.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         at, bt = hook.select(F.col("node").alias("a"), F.col("to").alias("x")), hook.select(F.col("node").alias("b"), F.col("to").alias("y"))
         edges = materialize(edges.join(at, "a").join(bt, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
@@ -87,19 +90,19 @@ def resolve(pointers: DataFrame, node: str = "entity_id", parent: str = "merged_
     """node and root of every pointer, by pointer doubling; of a cycle the least node is the root, null ends a chain."""
     from .iterate import materialize
 
-    now = materialize(pointers.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("root"), F.col(node).alias("least")))
-    for _ in range(64):  # 2**64 steps
+    now = materialize(pointers.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("root"), F.least(node, parent).alias("least")))
+    total, steps = now.count(), 1
+    while steps <= 2 * total:  # beyond the longest chain, only cycles still move
         up = now.select(F.col("node").alias("_n"), F.col("root").alias("_r"), F.col("least").alias("_l"))
-        step = now.join(up, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("next"), "root", F.least("least", F.coalesce("_l", "root")).alias("least"))
-        step = materialize(step)
-        moved = step.where("next <> root")
-        now = step.select("node", F.col("next").alias("root"), "least")
-        if moved.isEmpty():
-            return now.select("node", "root")
-        if _ >= 40:  # only cycles still move
-            on_cycle = step.where("next <> root").select("node", F.col("least").alias("root"))
-            return now.join(on_cycle.select("node"), "node", "left_anti").select("node", "root").unionByName(on_cycle)
-    return now.select("node", "root")
+        step = now.join(up, F.col("root") == F.col("_n"), "left")
+        step = materialize(step.select("node", F.coalesce("_r", "root").alias("root"), F.least("least", "_l").alias("least"), (F.coalesce("_r", "root") != F.col("root")).alias("moved")))
+        now, steps = step.select("node", "root", "least"), 2 * steps
+        if step.where("moved").isEmpty():
+            break
+    # a root that points on is on a cycle: all that lead there have seen its least node
+    onward = pointers.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(node).alias("root"), F.lit(True).alias("_cycle"))
+    round_least = now.join(onward, "root", "left_semi").groupBy("root").agg(F.min_by("least", F.col("node") != F.col("root")).alias("_least"))
+    return now.join(round_least, "root", "left").select("node", F.coalesce("_least", "root").alias("root"))
 
 
 def rolled_up(entity: DataFrame, roots: DataFrame) -> DataFrame:
