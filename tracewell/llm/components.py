@@ -11,8 +11,8 @@ from . import common
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of all nodes of edges (a, b).
 
-    Each round every node hooks to its least neighbour, pointers are followed twice, and the edges are contracted; what is
-    known of all nodes goes on with them. Sums and minima are partial before they move, and joins keep one row a node on
+    Each round every node hooks to its least neighbour, pointers are doubled to their roots, and the edges are contracted:
+    a round at least halves what is left, and a chain of any length is one. Sums and minima are partial before they move, and joins keep one row a node on
     one side, so that a star of any size is no hot spot."""
     edges = common.materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels = common.materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "labels")
@@ -20,10 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
         hook = common.materialize(hook, "hooks")
-        for _ in range(2):
+        moved = True
+        while moved:  # to the roots, by doubling
             further = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            hook = hook.join(further, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-        hook = common.materialize(hook, "hooks")
+            hook = hook.join(further, "to", "left").select("node", F.coalesce("next", "to").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+            hook = common.materialize(hook, "hooks")
+            moved = not hook.where("moved").isEmpty()
+            hook = hook.select("node", "to")
         labels = common.materialize(labels.join(hook.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         at = hook.select(F.col("node").alias("a"), F.col("to").alias("a_to"))
         bt = hook.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
