@@ -303,8 +303,11 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
     of_form = of_form.groupBy("anchor", "snip").agg(F.flatten(F.collect_list(F.transform("marks", lambda x: x + F.col("at")))).alias("marks"))
     # written first, so that the join's inputs are plain shuffles and a form of very many occurrences is split
     of_form = common.materialize(of_form, "marks")
+    common.drop(parts)
     placed = found.select("doc_id", "h", "lo", "anchor", "snip").join(of_form, ["anchor", "snip"]).select("doc_id", "h", F.transform("marks", lambda x: x + F.col("lo")).alias("marks"))
-    return placed.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("marks")).alias("spans"))
+    spans = common.materialize(placed.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("marks")).alias("spans")), "spans")
+    common.drop(found, of_form)
+    return spans
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

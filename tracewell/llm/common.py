@@ -36,7 +36,16 @@ def materialize(df: DataFrame, what: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/tracewell/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracewell_path = path
+    return out
+
+
+def drop(*steps: DataFrame) -> None:
+    """Remove the files of materialised steps that nothing reads any more."""
+    for df in steps:
+        if path := getattr(df, "_tracewell_path", None):
+            discard(df.sparkSession, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -31,5 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         at = hook.select(F.col("node").alias("a"), F.col("to").alias("a_to"))
         bt = hook.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
         moved = edges.join(at, "a").join(bt, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
-        edges = common.materialize(moved.where("a <> b").distinct(), "links")
+        old, edges = edges, common.materialize(moved.where("a <> b").distinct(), "links")
+        common.drop(old)
     return labels

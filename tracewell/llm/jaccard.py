@@ -354,9 +354,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     pairs = common.materialize(across(labelled(members, labels)), "pairs")
     links = links.union(verify(pairs, texts))
     labels = components(links)
+    common.drop(found, texts, pairs)
     of_node = own.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     least = known.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"))
     placed = common.materialize(of_node.join(least, "node"), "placed")
+    common.drop(members)
     first = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = placed.select("node", "component").join(first, "component").select("node", "component", "component_id")
     return known.join(answer, "node", "left").select(key, "h", "n_shingles", "component", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
