@@ -236,6 +236,7 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
     and end. It gets all snippets that can share a window at once, and others with them."""
     kind = docs.schema[key].dataType.simpleString()
     found = common.materialize(occurrences(docs, units, text, key), "repeats")
+    common.free(docs.sparkSession)
     distinct = found.groupBy("anchor", "snip").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "h", "lo", "len", "off")).alias("at"))
     forms = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") > WHOLE)
     distinct = distinct.join(forms, "anchor", "left").select("at.doc_id", "at.h", F.struct("anchor", "snip", "copies", "at.lo", "at.len", "at.off", F.col("forms").isNotNull().alias("wide")).alias("item"))
@@ -275,6 +276,7 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
 
     names = ["group", "piece", "anchor", "snip", "at", "copies", "content"]
     parts = common.materialize(held.mapInArrow(cut, "group long, piece long, anchor long, snip long, at long, copies long, content binary"), "snippets")
+    common.free(docs.sparkSession)
     # copies of a part count together, whichever forms they come from
     ready = parts.groupBy("group", "piece").agg(F.sum("copies").alias("copies"), F.min("content").alias("content"))
 
@@ -307,6 +309,7 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
     placed = found.select("doc_id", "h", "lo", "anchor", "snip").join(of_form, ["anchor", "snip"]).select("doc_id", "h", F.transform("marks", lambda x: x + F.col("lo")).alias("marks"))
     spans = common.materialize(placed.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("marks")).alias("spans")), "spans")
     common.drop(found, of_form)
+    common.free(docs.sparkSession)
     return spans
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,12 @@ def materialize(df: DataFrame, what: str = "step") -> DataFrame:
     return out
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that have ended; else they stay until the driver happens to collect."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(*steps: DataFrame) -> None:
     """Remove the files of materialised steps that nothing reads any more."""
     for df in steps:

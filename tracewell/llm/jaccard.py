@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, words
@@ -29,8 +29,8 @@ U = np.uint64
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Bytes of text for a bucket of signatures.
 BUCKET_BYTES = 8 << 20
-#: Bits of a parity sketch; sets of a group that are compared at a time.
-SKETCH, TILE = 512, 256
+#: Least and most bits of a parity sketch, as powers of two; sets of a group that are compared at a time.
+LEAST_BITS, MOST_BITS, TILE = 8, 16, 256
 #: What a false candidate costs, in signatures.
 FALSE_COST = 30.0
 #: Comparisons with one set of each group before all pairs of different components.
@@ -54,13 +54,33 @@ def node_of(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return words.mix(sums[offs[1:]] - sums[offs[:-1]] + n.astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def sketches(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Parity of the set's shingles in each of SKETCH classes, as bytes: two sets differ in at least as many shingles as
-    their sketches in bits."""
-    rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    place = (words.mix(tokens ^ U(0x1234567)) % U(SKETCH)).astype(np.int64)
-    count = np.bincount(rows * SKETCH + place, minlength=(len(offs) - 1) * SKETCH).reshape(-1, SKETCH)
-    return np.packbits((count & 1).astype(np.uint8), axis=1)
+def sketches(tokens: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """Parity of each set's shingles in some classes, twice as many as it has shingles at least: two sets differ in at
+    least as many shingles as their sketches in bits. Classes are powers of two, so a larger sketch folds to a smaller."""
+    h = words.mix(tokens ^ U(0x1234567))
+    out = []
+    for a, b in zip(offs[:-1], offs[1:], strict=True):
+        bits = 1 << min(max(LEAST_BITS, int(2 * (b - a) - 1).bit_length()), MOST_BITS)
+        count = np.bincount((h[a:b] & U(bits - 1)).astype(np.int64), minlength=bits)
+        out.append(np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def gaps(x: list[bytes], y: list[bytes], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Bits in which sketches x[p] and y[q] differ, folded to the smaller."""
+    sizes = [np.array([len(v) for v in side]) for side in (x, y)]
+    least, out = np.minimum(sizes[0][p], sizes[1][q]), np.zeros(len(p), np.int64)
+    for size in np.unique(least).tolist():
+        at = np.flatnonzero(least == size)
+        sides = []
+        for side, n, index in ((x, sizes[0], p[at]), (y, sizes[1], q[at])):
+            rows, back = np.unique(index, return_inverse=True)
+            folded = [np.bitwise_xor.reduce(np.frombuffer(side[r], U).reshape(-1, size // 8), axis=0) for r in rows.tolist()]
+            sides.append((np.stack(folded), back))
+        for s in range(0, len(at), 4096):
+            part = slice(s, s + 4096)
+            out[at[part]] = np.bitwise_count(sides[0][0][sides[0][1][part]] ^ sides[1][0][sides[1][1][part]]).sum(1, dtype=np.int64)
+    return out
 
 
 def edges_of_bands(most: int) -> np.ndarray:
@@ -71,9 +91,10 @@ def edges_of_bands(most: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def differ(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
-    """Most shingles in which two linked sets of these sizes differ."""
-    return (n + m) * (DEN - NUM) // (DEN + NUM)
+def differ(n, m):
+    """Most shingles in which two linked sets of these sizes (numbers, arrays or columns) differ."""
+    most = (n + m) * (DEN - NUM)
+    return F.floor(most / (DEN + NUM)) if isinstance(most, Column) else most // (DEN + NUM)
 
 
 def plan(largest: int, n_docs: int) -> tuple[int, bool]:
@@ -149,7 +170,7 @@ def nodes(docs: DataFrame, text: str, key: str) -> DataFrame:
         for batch in common.chunks(batches, text):
             tokens, offs = sets(batch.column(text))
             drawn = sketches(tokens, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_h"), pa.array(np.diff(offs)), pa.array(node_of(tokens, offs)), common.binary([x.tobytes() for x in drawn])], ["key", "h", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_h"), pa.array(np.diff(offs)), pa.array(node_of(tokens, offs)), common.binary(drawn)], ["key", "h", "n_shingles", "node", "sketch"])
 
     return docs.select(key, F.xxhash64(text).alias("_h"), text).mapInArrow(run, f"key {kind}, h long, n_shingles long, node long, sketch binary").withColumnRenamed("key", key)
 
@@ -258,18 +279,18 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def likely(pairs: DataFrame) -> DataFrame:
-    """a and b of pairs (a, b, n, m, x, y) whose sizes n and m and sketches x and y leave a link possible."""
+def likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that may link by the sizes and sketches of their nodes, which own has."""
+    one = lambda k, n, x: own.select(F.col("node").alias(k), F.col("n_shingles").alias(n), F.col("sketch").alias(x))
+    both = pairs.join(one("a", "n", "x"), "a").join(one("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(-1, SKETCH // 64) for c in ("x", "y"))
-            most = differ(n, m)
-            fine = (np.abs(n - m) <= most) & (np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
+            at = np.arange(batch.num_rows)
+            fine = gaps(batch.column("x").to_pylist(), batch.column("y").to_pylist(), at, at) <= differ(batch.column("n").to_numpy(), batch.column("m").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(fine))
 
-    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
 def across(members: DataFrame) -> DataFrame:
@@ -294,21 +315,17 @@ def across(members: DataFrame) -> DataFrame:
 
     def pairs_of(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         own, node, component, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        bits = np.frombuffer(b"".join(r[4] for r in rows), U).reshape(len(rows), -1)
-        left, right = (np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2]))
-        apart = component[left][:, None] != component[right][None, :]
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        fine = component[left][:, None] != component[right][None, :]
         if key[1] == key[2]:
-            apart &= node[left][:, None] < node[right][None, :]
-        if not apart.any():
-            return
-        most = differ(n[left][:, None], n[right][None, :])
-        gap = np.zeros(apart.shape, np.int64)
-        for w in range(bits.shape[1]):
-            gap += np.bitwise_count(bits[left, w][:, None] ^ bits[right, w][None, :])
-        fine = apart & (gap <= most) & (np.abs(n[left][:, None] - n[right][None, :]) <= most)
+            fine &= node[left][:, None] < node[right][None, :]
+        fine &= np.abs(n[left][:, None] - n[right][None, :]) <= differ(n[left][:, None], n[right][None, :])
         p, q = np.nonzero(fine)
+        p, q = left[p], right[q]
         if len(p):
-            a, b = node[left][p], node[right][q]
+            drawn = [r[4] for r in rows]
+            near = gaps(drawn, drawn, p, q) <= differ(n[p], n[q])
+            a, b = node[p[near]], node[q[near]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -340,22 +357,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     n_buckets = max(common.shuffle_partitions(spark), -(-common.text_bytes(docs, text) // BUCKET_BYTES))
     found = common.materialize(groups(docs, text, bands, n_buckets).distinct(), "groups")
     own = known.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
-    members = common.materialize(found.join(own, "node"), "members")
+    own = common.materialize(own.join(found.select("node").distinct(), "node", "left_semi"), "sketches")
+    members = common.materialize(found.join(own.select("node", "n_shingles"), "node"), "members")
+    common.free(spark)
     texts = common.materialize(texts_of(docs, found.select("node").distinct(), text), "candidate-texts")
+    common.free(spark)
     labels = spark.createDataFrame([], "node long, component long")
-    links = None
+    links = tried = None
     for star in range(STARS):
         mixed = labelled(members, labels)
-        middle = mixed.groupBy("group").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "component", "n_shingles", "sketch")).alias("o"))
-        pairs = mixed.join(middle, "group").where("component <> o.component").select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), F.col("n_shingles").alias("n"), F.col("o.n_shingles").alias("m"), F.col("sketch").alias("x"), F.col("o.sketch").alias("y"))
-        more = common.materialize(verify(likely(pairs), texts), "links")
+        middle = mixed.groupBy("group").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "component", "n_shingles")).alias("o"))
+        near = F.abs(F.col("n_shingles") - F.col("o.n_shingles")) <= differ(F.col("n_shingles"), F.col("o.n_shingles"))
+        pairs = mixed.join(middle, "group").where((F.col("component") != F.col("o.component")) & near).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+        if tried is not None:  # what was compared in vain needs no second look
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = common.materialize(likely(pairs, own), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        more = common.materialize(verify(pairs, texts), "links")
         links = more if links is None else links.union(more)
         labels = components(links)
-    pairs = common.materialize(across(labelled(members, labels)), "pairs")
-    links = links.union(verify(pairs, texts))
+    mixed = labelled(members, labels).join(own.select("node", "sketch"), "node")
+    pairs = across(mixed).join(tried, ["a", "b"], "left_anti")
+    links = links.union(common.materialize(verify(pairs, texts), "links"))
     labels = components(links)
-    common.drop(found, texts, pairs)
-    of_node = own.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    common.drop(found, texts, tried)
+    of_node = known.where("n_shingles > 0").select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     least = known.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"))
     placed = common.materialize(of_node.join(least, "node"), "placed")
     common.drop(members)
