@@ -55,12 +55,12 @@ def node_of(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def sketches(tokens: np.ndarray, offs: np.ndarray) -> list[bytes]:
-    """Parity of each set's shingles in some classes, twice as many as it has shingles at least: two sets differ in at
-    least as many shingles as their sketches in bits. Classes are powers of two, so a larger sketch folds to a smaller."""
+    """Parity of each set's shingles in some classes, as many as it has shingles at least: two sets differ in at least as
+    many shingles as their sketches in bits. Classes are powers of two, so a larger sketch folds to a smaller."""
     h = words.mix(tokens ^ U(0x1234567))
     out = []
     for a, b in zip(offs[:-1], offs[1:], strict=True):
-        bits = 1 << min(max(LEAST_BITS, int(2 * (b - a) - 1).bit_length()), MOST_BITS)
+        bits = 1 << min(max(LEAST_BITS, int(b - a - 1).bit_length()), MOST_BITS)
         count = np.bincount((h[a:b] & U(bits - 1)).astype(np.int64), minlength=bits)
         out.append(np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes())
     return out
