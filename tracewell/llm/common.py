@@ -93,8 +93,20 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+#: What kernels of a worker remember from task to task, by their names.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What the owner remembers; a worker that turns to another kernel forgets the rest."""
+    for other in [k for k in _KEPT if k != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
     """The batches, split so that each holds about limit bytes of the column; a longer text stands alone."""
+    kept(owner)
     for batch in batches:
         _, offs = utf8(batch.column(column))
         at, n = 0, batch.num_rows

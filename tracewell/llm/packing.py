@@ -130,14 +130,12 @@ class WordIds:
                 del self.runs[r]
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """The worker's own, kept from task to task."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    """The worker's own, kept from task to task of this kernel."""
+    found = common.kept("packing")
+    if path not in found:
+        found[path] = WordIds(path)
+    return found[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -148,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in common.chunks(batches, text):
+        for batch in common.chunks(batches, text, owner="packing"):
             at, rows = [], [[] for _ in range(4)]
             for i, ids in enumerate(words.ids([x or "" for x in batch.column(text).to_pylist()])):
                 ids += end

@@ -78,11 +78,10 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, dims: int = DIMS, alpha: fl
             g = (1 / (1 + np.exp(-np.clip((w * x).sum(), -35, 35))) - y) * x
             z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
             n[at] = ni + g * g
-    shrink = np.full(dims + 1, l1)
-    shrink[dims] = 0
-    w = np.where(np.abs(z) <= shrink, 0.0, -(z - np.sign(z) * shrink) / ((beta + np.sqrt(n)) / alpha + l2))
-    index = np.flatnonzero(w[:dims])
-    return Weights(float(w[dims]), index, w[index] * VALUES[index & 3])
+    index = np.flatnonzero(np.abs(z[:dims]) > l1)  # few; nothing else of this size is made
+    zi, ni = z[index], n[index]
+    value = -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2)
+    return Weights(float(-z[dims] / ((beta + np.sqrt(n[dims])) / alpha + l2)), index, value * VALUES[index & 3])
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", most: int = MOST_LABELLED) -> Weights:
