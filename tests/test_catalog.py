@@ -1,6 +1,7 @@
 """Catalog queries against their SQL on the smallest driver tables."""
 
 import os
+import random
 
 import pytest
 
@@ -43,3 +44,23 @@ def test_entry_needs_no_training_data_operators():
 
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(catalog.ORACLES) <= set(__spark_entry__.oracle_sql())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_components_of_all_links(spark, tmp_path):
+    rng = random.Random(3)
+    links = [(rng.randrange(1, 61), rng.randrange(1, 101)) for _ in range(75)]
+    spark.createDataFrame(links, "l_suppkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for supplier, order in links:
+        a, b = root(supplier), root(-order - 1)
+        up[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in list(up)}
+    assert len(set(want.values())) > 3
+    got = catalog.QUERIES["components_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want

@@ -201,6 +201,13 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
     return entities.components(li.select(F.col("l_suppkey").alias("a"), (-(F.col("l_orderkey") % 97) - 1).alias("b")))
 
 
+@query()
+def components_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of all suppliers and orders (as -key - 1); without SQL, whose recursion holds every pair of connected nodes."""
+    li = load(spark, sf, "lineitem")
+    return entities.components(li.select(F.col("l_suppkey").alias("a"), (-F.col("l_orderkey") - 1).alias("b")))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN turn - max(CASE WHEN role = 'system' THEN turn END) OVER w <= 1 THEN conv_id || ':' || max(CASE WHEN role = 'system' THEN turn END) OVER w END AS carried
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def routing_carry(spark: SparkSession, sf: str) -> DataFrame:
