@@ -64,3 +64,9 @@ def test_components_of_all_links(spark, tmp_path):
     assert len(set(want.values())) > 3
     got = catalog.QUERIES["components_all"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_every_order_is_expanded(spark, oracle):
+    test_query_equals_sql(spark, oracle, "date_series_expand_all")
+    got = catalog.QUERIES["date_series_expand_all"](spark, SF).groupBy("o_orderkey").count()
+    assert got.count() == oracle.sql("SELECT DISTINCT o_orderkey FROM orders").count("*").fetchall()[0][0]

@@ -256,7 +256,16 @@ def assertion_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, CAST(d AS VARCHAR) AS event_date FROM (SELECT o_orderkey, unnest([CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 40]) AS d FROM orders WHERE o_orderkey % 10 = 0)""")
 def date_series_expand(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    return _series(load(spark, sf, "orders").where("o_orderkey % 10 = 0"))
+
+
+@query("""SELECT o_orderkey, CAST(d AS VARCHAR) AS event_date FROM (SELECT o_orderkey, unnest([CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 40]) AS d FROM orders)""")
+def date_series_expand_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _series(load(spark, sf, "orders"))
+
+
+def _series(orders: DataFrame) -> DataFrame:
+    o = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
     say = lambda d: F.date_format(d, "d MMMM yyyy")
     rows = o.select("o_orderkey", F.concat(F.lit("Goods came on "), say(F.col("d")), F.lit(" and again on "), say(F.date_add("d", 40))).alias("quote"), F.lit(None).cast("string").alias("event_date"), F.lit(None).cast("string").alias("event_date_basis"))
     return assertions.expand_series(rows).select("o_orderkey", "event_date")
