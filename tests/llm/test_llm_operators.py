@@ -244,6 +244,26 @@ def test_main_text(page, text):
     assert extract.main_text(page) == text
 
 
+LEAD, SMALL = "A lead of some words, in two parts. It is short.", "A section of its own, small as it is. But it counts, too."
+PARAGRAPH = "Long text, with marks. And more of it, and so on. " * 6
+
+
+@pytest.mark.parametrize("n", [1, 10, 1000])
+@pytest.mark.parametrize("outer", ["{0}", "<html><body>{0}</body></html>", "<html><body><div><div>{0}</div></div></body></html>"])
+def test_leads_stay_however_long_the_body(n, outer):
+    page = f"<div><h1>Title</h1><p>{LEAD}</p><div>{f'<p>{PARAGRAPH}</p>' * n}</div><section><h2>More</h2><p>{SMALL}</p></section><ul><li><a href=/>Home, and away.</a></ul></div>"
+    want = ["Title", LEAD, *[PARAGRAPH.strip()] * n, "More", SMALL]
+    got = extract.main_text(outer.format(page)).split("\n")
+    assert got == want
+    nested = f"<h1>Title</h1><div><div>{f'<p>{PARAGRAPH}</p>' * n}</div></div>"
+    assert extract.main_text(outer.format(nested)).split("\n") == ["Title", *[PARAGRAPH.strip()] * n]
+
+
+def test_a_lead_stays_beside_one_vast_paragraph():
+    vast = (PARAGRAPH * 100).strip()
+    assert extract.main_text(f"<body><div><h1>Title</h1><p>{LEAD}</p><div><p>{vast}</p></div></div><p>&copy; me</p></body>").split("\n") == ["Title", LEAD, vast]
+
+
 def test_extract_keeps_columns(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Hi, you. All.</article>", "old"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, extract.extract(df).collect()), key=str) == sorted([(1, "u", "Hi, you. All.", 13), (None, None, "", 0)], key=str)

@@ -3,8 +3,8 @@
 A page's text falls into blocks, each with the path of block elements from the root to it. Text length, link text and
 punctuation are summed by path; a path's two ratios (text by block, punctuation by block) are smoothed with those of the
 paths beside it, fused, and held against the page's best path. What stands in the same container as the best paths is
-content too, so short paragraphs and headings of an article stay. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments are never candidates."""
+content too, so short paragraphs and headings of an article stay, as do headings and leads in the parents of that container.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are never candidates."""
 
 from __future__ import annotations
 
@@ -22,6 +22,8 @@ from . import common
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Elements that head a section.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements without content of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; all but the last two are never text of a page.
@@ -178,19 +180,26 @@ def select(found: list[tuple[str, tuple[str, ...], int]]) -> list[str]:
             marks += BESIDE * sum(x[1] for x in others) / len(others)
         return math.log1p(text) * math.log1p(marks)
 
-    # a path's share of the page counts, so that one long notice doesn't outdo an article of short paragraphs
-    score = {p: fused(p) * math.sqrt(stats[p][0] - stats[p][2]) for p in stats}
-    best = max(score, key=lambda p: (score[p], stats[p][0]))
-    if score[best] <= 0:
-        return [t for t, p, _ in found if stats[p][2] <= LINKS * stats[p][0]]
+    # the best path is chosen with its share of the page, so that one long notice doesn't outdo an article of short paragraphs;
+    # others are held against its ratios alone, since a lead or a small section is content however long the body is
+    score = {p: fused(p) for p in stats}
+    total = {p: score[p] * math.sqrt(stats[p][0] - stats[p][2]) for p in stats}
+    best = max(total, key=lambda p: (total[p], stats[p][0]))
+    unlinked = {p for p in stats if stats[p][2] <= LINKS * stats[p][0]}
+    if total[best] <= 0:
+        return [t for t, p, _ in found if p in unlinked]
     # an article around the best path is its container, else what holds it
     container = next((best[: i + 1] for i in range(len(best)) if best[i] in ("article", "main")), best[:-1])
     within = lambda p: p[: len(container)] == container and len(container) > 0 and container[-1] not in ("html", "body")
-    keep = {p for p in stats if within(p) or score[p] >= KEEP * score[best] and stats[p][2] <= LINKS * stats[p][0]}
+    content = {p for p in unlinked if score[p] >= KEEP * score[best]}
+    keep = {p for p in stats if within(p)} | content
     if any(within(p) for p in stats) and "article" in container:
         keep = {p for p in keep if "article" in p}
-    elif not container or container[-1] in ("html", "body"):
-        keep |= {p for p in stats if p[:-1] == container and stats[p][2] <= LINKS * stats[p][0]}
+    else:
+        # what stands beside content paths is content, and so are headings over the container and what else its parents hold
+        holders = {p[:-1] for p in content} | {container}
+        over = {p for p in unlinked if p and len(p) <= len(container) and p[:-1] == container[: len(p) - 1]}
+        keep |= {p for p in unlinked if p[:-1] in holders} | {p for p in over if p[-1] in HEADINGS or score[p] > 0 and p[-2:-1] not in ((), ("html",), ("body",))}
     return [t for t, p, _ in found if p in keep]
 
 
