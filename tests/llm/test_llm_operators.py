@@ -264,6 +264,23 @@ def test_a_lead_stays_beside_one_vast_paragraph():
     assert extract.main_text(f"<body><div><h1>Title</h1><p>{LEAD}</p><div><p>{vast}</p></div></div><p>&copy; me</p></body>").split("\n") == ["Title", LEAD, vast]
 
 
+@pytest.mark.parametrize("wrap", ["<div class='overflow-hidden'>{0}</div>", "<div id=reader>{0}</div>", "<div title='a hidden gem' data-x=\"class='nav'\">{0}</div>", "<div class='layout has-sidebar md:hidden'>{0}</div>", "<svg/>{0}", "<svg width='1' /><math/>{0}", "<svg width=1>{0}"])
+@pytest.mark.parametrize("article", ["<article>{0}</article>", "<article class='has-sidebar sidebar'>{0}</article>", "<main id=main-header>{0}</main>", "<div class=post><div class='page-header'><h1>T</h1></div><p>One, two. And more of it.</p></div>"])
+def test_layout_loses_no_article(wrap, article):
+    page = f"<html><body><nav>Menu</nav>{wrap}</body></html>".format(article.format("<h1>T</h1><p>One, two. And more of it.</p>"))
+    assert extract.main_text(page) == "T\nOne, two. And more of it."
+
+
+@pytest.mark.parametrize("attributes", ["class=ad", "class='x ad-slot-2'", "class='ad-300x250'", "class=siteFooter", "id='comments'", "class='cookie-banner wrapper'", "class=related-posts", "hidden", "title='x'hidden=''", "style='color:red; display: none'", "aria-hidden=true", "role=navigation", "class=site-header"])
+def test_what_is_marked_goes(attributes):
+    page = f"<body><div class=post><p>One, two. And more of it.</p><p>Three, four.</p></div><div {attributes}><p>Not this, of course. No.</p></div></body>"
+    assert extract.main_text(page) == "One, two. And more of it.\nThree, four."
+
+
+def test_a_self_closed_drawing_is_empty():
+    assert extract.main_text("<article><p>One, two.</p><svg/><p>Three, four.</p><svg a=b><text>no</text></svg></article>") == "One, two.\nThree, four."
+
+
 def test_extract_keeps_columns(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Hi, you. All.</article>", "old"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, extract.extract(df).collect()), key=str) == sorted([(1, "u", "Hi, you. All.", 13), (None, None, "", 0)], key=str)

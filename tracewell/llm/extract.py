@@ -32,16 +32,27 @@ RAW = frozenset("script style noscript template iframe object svg math canvas au
 NEVER = frozenset("head nav footer aside form button select option menu dialog fieldset search label datalist".split())
 #: Words of class, id and role that mark what is not content.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial alert alerts banner banners breadcrumb breadcrumbs bio byline comment comments commenting complementary consent contentinfo cookie cookies copyright disqus disclaimer footer gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion reader recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising advertorial alert alerts banner banners breadcrumb breadcrumbs bio byline comment comments commenting complementary consent contentinfo cookie cookies copyright disqus disclaimer footer gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+#: Words beside those in a class or id of several; one with any other word (has-sidebar, overflow-hidden) is about layout or unknown.
+AROUND = frozenset(
+    "area articles author back bar block bottom box bottombar btn button buttons container fixed for form global google group icon icons inner item items link links list main mobile outer overlay page post posts primary row secondary section site slot sticky stories the to top unit wrap wrapper zone".split()
+)
+#: Marks that head a page only alone or with these words, and within article or main never.
+HEADS, OF_SITE = frozenset({"banner", "header"}), frozenset("bar bottom container fixed global inner mobile outer primary site sticky top wrap wrapper".split())
+#: Marks that count on article and main too; the rest there is layout.
+OTHERS = frozenset("ad ads adv advert adverts advertisement advertising advertorial comment comments promo promoted recommended related replies reply sponsor sponsored teaser".split())
+WITHIN = MARKS - HEADS
 #: A start tag that closes the open ones named here, up to the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-WORD = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]+)))?")
+SELF_CLOSED = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/$")
+NUMBER = re.compile(r"\d+(?:x\d+)?")
+WORD = re.compile(r"[^\W\d_]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
@@ -49,17 +60,25 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 KEEP, LINKS, BESIDE = 0.25, 0.6, 0.5
 
 
-def marked(attributes: str) -> bool:
+def names_other(token: str, counted: frozenset[str] = MARKS) -> bool:
+    """Whether a token of class, id or role as a whole names what is not content: known words, perhaps with words around."""
+    parts = set(WORD.findall(CAMEL.sub(" ", NUMBER.sub(" ", token)).lower()))
+    marks = parts & MARKS
+    return bool(marks & counted) and parts <= MARKS | AROUND and not (marks <= HEADS and not parts - marks <= OF_SITE)
+
+
+def marked(attributes: str, counted: frozenset[str] = MARKS) -> bool:
     """Whether the attributes name something that is not content, or hide the element."""
+    seen = set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
+        if name in seen:  # of repeated attributes the first counts
+            continue
+        seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
             return True
-        if name in ("class", "id", "role"):
-            for token in value.split():
-                parts = WORD.findall(CAMEL.sub(" ", token).lower())
-                if parts and (parts[0] in MARKS or parts[-1] in MARKS or name == "role" and parts == ["navigation"]):
-                    return True
+        if name in ("class", "id", "role") and any(names_other(t, counted) for t in value.split()):
+            return True
     return False
 
 
@@ -115,8 +134,12 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                 if name not in BLOCKS and stack[i] in BLOCKS:
                     break
             continue
+        if name in ("svg", "math") and m[3] and SELF_CLOSED.search(m[3]):
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(page, at)
+            if not end and name in ("svg", "math"):  # what follows is the page's again
+                continue
             at = n if not end else end.end() if page[end.end() - 1 : end.end()] == ">" or end.end() >= n else page.find(">", end.end()) + 1 or n
             continue
         if name in VOID:
@@ -146,7 +169,9 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         elif name == "a":
             in_link = 1
         stack.append(name)
-        if not off and (name in NEVER or name == "header" and "article" not in stack and "main" not in stack or name not in ("html", "body") and m[3] and marked(m[3])):
+        inside = "article" in stack or "main" in stack
+        counted = OTHERS if name in ("article", "main") else WITHIN if inside else MARKS
+        if not off and (name in NEVER or name == "header" and not inside or name not in ("html", "body") and m[3] and marked(m[3], counted)):
             off = len(stack)
             if name not in BLOCKS:
                 off = len(stack)
