@@ -111,6 +111,23 @@ def test_entities(spark):
     assert {r.node: r.component for r in entities.components(c).collect()} == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
 
 
+def test_rivals_are_those_of_all_pairs(spark):
+    rng = random.Random(11)
+    parts = "catherine katherine jon john jonathan stephen steven mohammed muhammad li smith smyth o connor oconnor petersen pedersen macdonald mcdonald".split()
+    names = {"js", "john smith", "catherine", "katherine", "macdonald", "mcdonald", "x"}
+    for _ in range(120):
+        text = list(" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randrange(2)] = rng.choice(["", "a", "e", "n", " "])
+            text = text or ["x"]
+        names.add(" ".join("".join(text).split()) or "x")
+    entity = [(f"{kind}:{n}", kind) for kind in ("PERSON", "ORG", "EVENT") for n in sorted(names)]
+    got = {(r.a, r.b): r.score for r in entities.rival_pairs(spark.createDataFrame(entity, "entity_id string, entity_type string")).collect()}
+    want = {(f"{k}:{a}", f"{k}:{b}"): K.name_score(a, b) for k in ("PERSON", "ORG") for a in names for b in names if a < b and K.name_score(a, b) >= 88}
+    assert got == want and ("PERSON:catherine", "PERSON:katherine") in want and len(want) > 40
+
+
 def test_links(spark):
     seen = spark.createDataFrame([("a", "d1", None), ("b", "d1", "x"), ("c", "d2", "x"), ("e", "d3", None)], "entity_id string, doc_id string, day string")
     pairs = links.connected(seen)

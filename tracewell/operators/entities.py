@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.kernels import RANKS, SUFFIXES, name_score_udf, normalize_udf
+from ..functions.kernels import RANKS, SUFFIXES, name_score_udf, normalize_udf, rival_keys_udf
 
 STOP = RANKS + SUFFIXES
 #: Predicates that state an alias.
@@ -34,18 +34,17 @@ def stated_aliases(triples: DataFrame) -> DataFrame:
 
 
 def rival_pairs(entity: DataFrame, least: float = 88.0) -> DataFrame:
-    """a, b and score of like names of one type.
+    """a, b and score of like names of one type: all pairs whose score is least or more.
 
-    Names are compared where they share a token or one is the other's initials, never all with all. Frequent tokens would
-    make hot groups, so a pair meets in its rarest shared token only."""
+    Names are never compared all with all. They meet in keys that no pair of that score lacks (kernels.rival_keys): segments
+    of the shorter name at the places that so few edits allow, a last name alone, initials."""
     rows = entity.where(F.col("entity_type").isin("PERSON", "ORG", "LOCATION")).select("entity_id", "entity_type", F.substring_index("entity_id", ":", -1).alias("norm"))
-    rows = rows.withColumn("tokens", F.array_distinct(F.split("norm", " ")))
-    initials = F.array_join(F.transform(F.split("norm", " "), lambda t: F.substring(t, 1, 1)), "")
-    keys = rows.select("entity_id", "entity_type", "norm", F.explode(F.array_union("tokens", F.array(initials))).alias("token"))
-    a = keys.select("entity_type", "token", F.col("entity_id").alias("a"), F.col("norm").alias("x"))
-    b = keys.select("entity_type", "token", F.col("entity_id").alias("b"), F.col("norm").alias("y"))
-    met = a.join(b, ["entity_type", "token"]).where("a < b").select("a", "b", "x", "y").distinct()
-    return met.select("a", "b", name_score_udf("x", "y").alias("score")).where(F.col("score") >= least)
+    rows = rows.withColumn("keys", rival_keys_udf(least)("norm"))
+    a = rows.select("entity_type", F.explode("keys.held").alias("key"), F.col("entity_id").alias("a"), F.col("norm").alias("x"))
+    b = rows.select("entity_type", F.explode("keys.sought").alias("key"), F.col("entity_id").alias("b"), F.col("norm").alias("y"))
+    met = a.join(b, ["entity_type", "key"]).where("a <> b")
+    pair = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "x", "y")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("y").alias("x"), F.col("x").alias("y")))
+    return met.select(F.inline(F.array(pair))).distinct().select("a", "b", name_score_udf("x", "y").alias("score")).where(F.col("score") >= least)
 
 
 def unambiguous(pairs: DataFrame) -> DataFrame:
