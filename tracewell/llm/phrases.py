@@ -1,7 +1,8 @@
 """Substring dedup by repeated-phrase automata.
 
-Passages that recur are confirmed in shards (see anchors), compiled into an Aho-Corasick automaton for each shard, and the
-shard's share of all documents is streamed through it: every occurrence of a passage is found and its words go."""
+Passages that recur are confirmed in shards of distinct snippets (see anchors) by hashes of their windows and compiled into an
+Aho-Corasick automaton for each shard. The automaton marks the passages in those same snippets; documents aren't streamed
+through it. Where the snippets occur in documents is known from a join on (anchor, snippet), and their words go there."""
 
 from __future__ import annotations
 
