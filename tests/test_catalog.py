@@ -70,3 +70,19 @@ def test_every_order_is_expanded(spark, oracle):
     test_query_equals_sql(spark, oracle, "date_series_expand_all")
     got = catalog.QUERIES["date_series_expand_all"](spark, SF).groupBy("o_orderkey").count()
     assert got.count() == oracle.sql("SELECT DISTINCT o_orderkey FROM orders").count("*").fetchall()[0][0]
+
+
+def test_documents_are_classified_by_their_texts(spark, tmp_path):
+    long = "x " * 598
+    docs = [(1, "src1", "Sworn STATEMENT of a witness."), (2, "src1", "An interview with the complainant"), (3, "memo", None), (4, "src2", long + "log"), (5, "src2", long + "  log"), (6, "custodian", "Notes on a report"), (7, None, "reports, formal"), (8, "invoice", ""), (9, "x", "the subject's supervisor")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["kind_classifier_all"](spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(map(tuple, c.sql(catalog.ORACLES["kind_classifier_all"]).fetchall()))
+    assert [r[1] for r in got] == ["statement", "interview", "notes", "record", "unknown", "notes", "unknown", "record", "unknown"]
+    assert [r[2] for r in got] == ["witness", "complainant", "", "", "", "custodian", "", "", "subject"]
+
+
+def test_all_documents_are_classified(spark, oracle):
+    test_query_equals_sql(spark, oracle, "kind_classifier_all")

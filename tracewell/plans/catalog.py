@@ -25,6 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _case(column: str, patterns: list[tuple[str, str]], otherwise: str) -> str:
+    """SQL of the first pattern that matches."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{label}'" for label, p in patterns) + f" ELSE {otherwise} END"
+
+
 WITH = f"WITH {TRIPLES_SQL} "
 
 
@@ -90,6 +95,13 @@ def kind_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").select("page_id", C.first_match(F.lower(F.substring("url", 1, 1200)), kinds, "unknown").alias("kind"))
 
 
+@query(f"""WITH s AS (SELECT doc_id, source, concat_ws(' ', source, substr(text, 1, 1200)) AS head, substr(text, 1, 1200) AS t FROM documents)
+SELECT doc_id, {_case("head", corpus.KINDS, "'unknown'")} AS doc_kind, {_case("t", corpus.ROLES, _case("source", corpus.ROLES, "''"))} AS doc_role FROM s""")
+def kind_classifier_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Kind and role of every document by its source and the first 1200 characters of its text."""
+    return corpus.classify(load(spark, sf, "documents"), "source", "text").select("doc_id", "doc_kind", "doc_role")
+
+
 @query("""SELECT d.doc_id, coalesce(p.n, 0) AS pages_with_text, coalesce(l.n, 0) AS assertions FROM documents d
 LEFT JOIN (SELECT page_id AS doc_id, count(*) AS n FROM pages WHERE html <> '' GROUP BY 1) p USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l USING (doc_id)""")
 def corpus_state(spark: SparkSession, sf: str) -> DataFrame:
