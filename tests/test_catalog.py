@@ -86,3 +86,14 @@ def test_documents_are_classified_by_their_texts(spark, tmp_path):
 
 def test_all_documents_are_classified(spark, oracle):
     test_query_equals_sql(spark, oracle, "kind_classifier_all")
+
+
+def test_every_supplier_is_answered(spark, tmp_path):
+    suppliers = [(k, f"Supplier {k}") for k in (0, 1, 49, 50, 51, 400)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["link_answers_all"](spark, str(tmp_path)).collect()))
+    assert got == [(k + 1, f"same {k % 3}", "A", 0.75, name) for k, name in suppliers]
+
+
+def test_all_answers_equal_sql(spark, oracle):
+    test_query_equals_sql(spark, oracle, "link_answers_all")

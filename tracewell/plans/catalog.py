@@ -185,6 +185,15 @@ def link_answers(spark: SparkSession, sf: str) -> DataFrame:
     return links.parse_answers(reply).select("number", "relation", "side", "confidence", "basis")
 
 
+@query("""SELECT CAST(s_suppkey + 1 AS INT) AS number, 'same ' || (s_suppkey % 3) AS relation, 'A' AS side, CAST(0.75 AS DOUBLE) AS confidence, s_name AS basis FROM supplier""")
+def link_answers_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The answer on every supplier, numbered from 1: each reply is asked up to its supplier's number and has a line beyond it."""
+    key, n = F.col("s_suppkey"), F.col("s_suppkey") + 1
+    lines = [F.format_string("%d. Same %d | A | 0.75 | %s", n, key % 3, "s_name"), F.format_string("%d. repeated | B | 0.5 | late", n), F.format_string("%d. beyond | B | 0.5 | not asked", n + 1), F.lit("nonsense")]
+    reply = load(spark, sf, "supplier").select(n.alias("asked"), F.concat_ws("\n", *lines).alias("reply"))
+    return links.parse_answers(reply).select("number", "relation", "side", "confidence", "basis")
+
+
 @query("""SELECT p_name AS label, count(*) AS mentions, 'DOCUMENT:' || lower(p_name) AS entity_id FROM part GROUP BY 1""")
 def mention_counts(spark: SparkSession, sf: str) -> DataFrame:
     m = load(spark, sf, "part").select(F.lit("DOCUMENT").alias("entity_type"), F.col("p_name").alias("name"))
