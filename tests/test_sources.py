@@ -34,7 +34,7 @@ def test_docx():
 
 def test_uploads_and_ingest(spark, tmp_path):
     content = word(BODY)
-    for name in ("a statement.docx", "copy.docx"):
+    for name in ("a sworn statement.docx", "copy.docx"):
         (tmp_path / name).write_bytes(content)
     (tmp_path / "bad.docx").write_bytes(b"no zip")
     (tmp_path / "skip.exe").write_bytes(b"x")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Month names to numbers.
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+from . import rules
+
 
 
 def squash(text: Column) -> Column:
@@ -29,10 +29,9 @@ def triple_id(*parts: Column) -> Column:
 
 
 def rel_type(predicate: Column) -> Column:
-    """A relationship name of A-Z, 0-9 and _, at most 60 long, R_ before a digit; RELATED_TO for an empty one."""
+    """A relationship name of A-Z, 0-9 and _, R_ before a digit, 60 long at most; RELATED_TO for an empty one."""
     name = F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(predicate, F.lit(""))), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
-    name = F.substring(name, 1, 60)
-    return F.when(name == "", "RELATED_TO").when(name.rlike("^[0-9]"), F.concat(F.lit("R_"), name)).otherwise(name)
+    return F.substring(F.when(name == "", "RELATED_TO").when(name.rlike("^[0-9]"), F.concat(F.lit("R_"), name)).otherwise(name), 1, 60)
 
 
 def first_match(text: Column, patterns: list[tuple[str, str]], otherwise: str) -> Column:
@@ -61,16 +60,34 @@ def normalize_name(name: Column, stop: tuple[str, ...]) -> Column:
     return F.when(out == "", flat(name)).otherwise(out)
 
 
+def month_number(name: Column) -> Column:
+    """01 to 12 of a month's name, by its first three letters."""
+    return F.lpad(F.array_position(F.array(*[F.lit(m) for m in rules.MONTHS]), F.lower(F.substring(name, 1, 3))).cast("string"), 2, "0")
+
+
 def normalize_when(raw: Column) -> Column:
-    """A date of variable precision as YYYY-MM, YYYY-MM-DD or YYYY-MM-DDTHH:MM; empty where none is read."""
-    text = squash(raw)
-    iso = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}):?(\d{2}))?", 0)
-    day, hh, mm = (F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}):?(\d{2}))?", k) for k in (1, 2, 3))
-    month = F.regexp_extract(text, r"^(\d{4}-\d{2})$", 1)
-    named = F.lower(F.regexp_extract(text, rf"(?i)\b({'|'.join(MONTHS)})\s+(\d{{4}})\b", 1))
-    year = F.regexp_extract(text, rf"(?i)\b({'|'.join(MONTHS)})\s+(\d{{4}})\b", 2)
-    number = F.lpad(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), named).cast("string"), 2, "0")
-    return F.when(iso != "", F.when(hh != "", F.concat(day, F.lit("T"), hh, F.lit(":"), mm)).otherwise(day)).when(month != "", month).when(year != "", F.concat_ws("-", year, number)).otherwise("")
+    """A date of variable precision as YYYY-MM, YYYY-MM-DD or YYYY-MM-DDTHH:MM[:SS]; empty where none is read.
+
+    Whole dates and times come first (hours and minutes that no clock shows leave the day), then a day, a month or a named month
+    with a year within longer text."""
+    text = F.trim(F.replace(F.coalesce(raw, F.lit("")), F.lit("Z"), F.lit("")))
+    loose = r"^(\d{4}-\d{2}-\d{2})[T ]?(\d{2}):?(\d{2})(?::?(\d{2}))?$"
+    day, hh, mm = (F.regexp_extract(text, loose, k) for k in (1, 2, 3))
+    named = rf"(?i)\b({rules.MONTH})\b\.?,?\s+(\d{{4}})\b"
+    within = lambda pattern: F.regexp_substr(text, F.lit(pattern))
+    found = F.coalesce(
+        within(r"\d{4}-\d{2}-\d{2}"),
+        within(r"\d{4}-(?:0[1-9]|1[0-2])(?!-?\d)"),
+        F.when(text.rlike(named), F.concat_ws("-", F.regexp_extract(text, named, 2), month_number(F.regexp_extract(text, named, 1)))),
+        F.lit(""),
+    )
+    return (
+        F.when(F.lower(text).isin(*rules.NO_DATE), "")
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?$"), F.translate(text, " ", "T"))
+        .when(text.rlike(r"^\d{4}-(?:0[1-9]|1[0-2])$"), text)
+        .when(text.rlike(loose), F.when((hh <= "23") & (mm <= "59"), F.concat(day, F.lit("T"), hh, F.lit(":"), mm)).otherwise(day))
+        .otherwise(found)
+    )
 
 
 def day_key(date: Column) -> Column:

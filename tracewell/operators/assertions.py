@@ -6,16 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import rules
 from ..functions.kernels import narrow_quote_udf, partial_ratio_udf, salvage_udf
 
 REQUIRED = ("subject_type", "subject_name", "predicate", "object_type", "object_name", "quote")
 FIELDS = ("subject_type", "subject_name", "predicate", "object_type", "object_name", "event_date", "quote")
-#: Predicates that bound a period rather than date an event.
-BOUNDARY = r"(?i)\b(until|since|before|after|by|from)$"
-HEDGE = r"(?i)\b(about|around|approximately|circa|roughly|or so|early|late|mid)\b"
-MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
-#: Words before a date that mark it as no date of the event.
-EXCLUDED = r"(?i)\b(born|birth|dated|signed|effective|expires?)\b"
 PRONOUN = r"(?i)^(he|she|they|him|her|them|it|i|we|you|me|us|his|hers|their|someone|somebody)$"
 
 
@@ -53,46 +48,66 @@ def validate(rows: DataFrame, page: str = "page_text") -> DataFrame:
         rows = rows.withColumn(f"{side}_type", F.when(fault | ~known, "CLAIM").otherwise(kind)).withColumn(f"{side}_name", F.substring(C.squash(name), 1, 200))
     when = C.normalize_when(F.col("event_date"))
     rows = rows.withColumn("predicate", F.substring(C.flat(F.col("predicate")), 1, 100))
-    rows = rows.withColumn("event_date", F.when(F.col("predicate").rlike(BOUNDARY) | (when == ""), None).otherwise(when))
+    rows = rows.withColumn("event_date", F.when(F.col("predicate").rlike(rules.BOUNDARY) | (when == ""), None).otherwise(when))
     return with_basis(rows).drop("_missing", "_support")
 
 
+def days_in(quote):
+    """Numbers of the days that a quote names: beside a month, as an ordinal in digits or words, or as D/M/Y (both parts)."""
+    ints = lambda found: F.transform(found, lambda x: x.try_cast("int"))
+    every = lambda pattern, k=1: F.regexp_extract_all(quote, F.lit(pattern), F.lit(k))
+    slashed = r"\b(\d{1,2})[/-](\d{1,2})[/-]\d{2,4}\b"
+    digits = [ints(every(x, k)) for x, k in ((rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:{rules.MONTH})\b", 1), (rf"(?i)\b(?:{rules.MONTH})\b\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\b", 1), (r"(?i)\bthe\s+(\d{1,2})(?:st|nd|rd|th)\b", 1), (slashed, 1), (slashed, 2))]
+    words = {w: k for k, w in enumerate(rules.ORDINALS, 1)} | {"thirtieth": 30} | {f"{t} {w}": n + k for t, n in (("twenty", 20), ("thirty", 30)) for k, w in enumerate(rules.ORDINALS[:9], 1)}
+    number = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    spelled = F.transform(every(rf"(?i)\bthe\s+((?:twenty|thirty)[\s-](?:{'|'.join(rules.ORDINALS[:9])})|(?:{'|'.join(rules.ORDINALS)}|thirtieth))\b"), lambda x: F.try_element_at(number, F.regexp_replace(F.lower(x), r"[\s-]", " ")))
+    return F.array_distinct(F.flatten(F.array(*digits, spelled)))
+
+
 def with_basis(rows: DataFrame) -> DataFrame:
-    """rows with event_date cut to what the quote supports, and event_date_basis: stated, month, approx or inferred."""
-    date, quote = F.col("event_date"), F.col("quote")
-    date = F.when(date.contains("T") & ~quote.rlike(r"\d{1,2}:\d{2}|\b\d{4} ?h"), F.substring(date, 1, 10)).otherwise(date)
-    day = F.regexp_replace(F.substring(date, 9, 2), "^0", "")
-    month = F.element_at(F.split(F.lit(MONTH), r"\|"), F.greatest(F.coalesce(F.substring(date, 6, 2).try_cast("int"), F.lit(1)), F.lit(1)))
-    days = F.transform(F.regexp_extract_all(quote, F.lit(rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)? (?:of )?(?:{MONTH})|\b(?:{MONTH}) (\d{{1,2}})\b"), F.lit(0)), lambda x: F.regexp_extract(x, r"(\d{1,2})", 1))
-    hedged = quote.rlike(HEDGE)
-    named = F.contains(F.lower(quote), F.lower(month))
-    only_month = named & (F.size(days) == 0)
+    """rows with event_date cut to what the quote supports, and event_date_basis: stated, month, approx or inferred (null without
+    a date). A time that the quote has no clock for goes; a day stays where the quote names it, or other days only; a quote that
+    names a month and no day leaves the month. A basis that rows already have counts for dates with a time."""
+    quote = F.coalesce("quote", F.lit(""))
+    date = F.coalesce("event_date", F.lit(""))
+    date = F.when(date.contains("T") & ~F.regexp_replace(quote, r"\b(?:19|20)\d{2}\b", " ").rlike(rules.CLOCK), F.substring(date, 1, 10)).otherwise(date)
+    given = F.col("event_date_basis") if "event_date_basis" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumns({"_d": date, "_days": days_in(quote), "_given": given})
+    date, hedged = F.col("_d"), quote.rlike(rules.HEDGE)
+    names_day = F.coalesce(F.array_contains("_days", F.substring(date, 9, 2).try_cast("int")), F.lit(False))
+    only_month = quote.rlike(rf"(?i)\b(?:{rules.MONTH})\b|\b\d{{4}}-\d{{2}}\b") & (F.size("_days") == 0)
     basis = (
-        F.when(date.isNull(), None)
+        F.when(date == "", None)
         .when(F.length(date) == 7, F.when(hedged, "approx").otherwise("month"))
-        .when(date.contains("T") | F.contains(quote, F.substring(date, 1, 10)), "stated")
-        .when(F.array_contains(days, day), F.when(hedged, "approx").otherwise("stated"))
+        .when(date.contains("T"), F.when(F.col("_given").isin("stated", "inferred"), F.col("_given")).otherwise("stated"))
+        .when(F.contains(quote, F.substring(date, 1, 10)), "stated")
+        .when(names_day, F.when(hedged, "approx").otherwise("stated"))
         .when(only_month, F.when(hedged, "approx").otherwise("month"))
         .otherwise("inferred")
     )
-    cut = F.when((F.length(date) == 10) & only_month & ~F.contains(quote, date), F.substring(date, 1, 7)).otherwise(date)
-    return rows.withColumn("_d", cut).withColumn("event_date_basis", basis).withColumn("event_date", F.col("_d")).drop("_d")
+    whole = date.contains("T") | F.contains(quote, F.substring(date, 1, 10)) | names_day | ~only_month
+    return rows.withColumns({"event_date_basis": basis, "event_date": F.nullif(F.when(whole, date).otherwise(F.substring(date, 1, 7)), F.lit(""))}).drop("_d", "_days", "_given")
+
 
+def expand_series(rows: DataFrame, page_text: str | None = None) -> DataFrame:
+    """A row for each date of an undated assertion whose quote lists two or more days and takes none out; others as they are.
 
-def expand_series(rows: DataFrame, page_year: str | None = None) -> DataFrame:
-    """A row for each date of an undated assertion whose quote lists two or more days; others as they are."""
-    found = F.regexp_extract_all("quote", F.lit(rf"(?i)\b\d{{1,2}} (?:{MONTH})(?: \d{{4}})?\b"), F.lit(0))
-    numbers = F.array(*[F.lit(m.lower()) for m in MONTH.split("|")])
-    year = F.col(page_year) if page_year else F.lit("")
+    Days without a year have that of the page (column page_text) if it names just one. The basis is stated if the first day has
+    its year, else inferred."""
+    series = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({rules.MONTH})\w*\.?(?:,?\s+(\d{{4}}))?\b"
+    found = F.regexp_extract_all("quote", F.lit(series), F.lit(0))
+    if page_text:
+        years = F.array_distinct(F.regexp_extract_all(page_text, F.lit(r"\b(20\d{2})\b"), F.lit(1)))
+        year = F.when(F.size(years) == 1, F.element_at(years, 1))
+    else:
+        year = F.lit(None).cast("string")
 
     def iso(x):
-        y = F.regexp_extract(x, r"(\d{4})$", 1)
-        y = F.when(y == "", F.coalesce(year, F.lit(""))).otherwise(y)
-        m = F.array_position(numbers, F.lower(F.regexp_extract(x, r"\d{1,2} (\w+)", 1))).cast("string")
-        return F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(F.regexp_extract(x, r"^(\d{1,2})", 1), 2, "0")))
+        y = F.coalesce(F.nullif(F.regexp_extract(x, series, 3), F.lit("")), year)
+        return F.when(y.isNotNull(), F.concat_ws("-", y, C.month_number(F.regexp_extract(x, series, 2)), F.lpad(F.regexp_extract(x, series, 1), 2, "0")))
 
     dates = F.array_sort(F.array_distinct(F.filter(F.transform(found, iso), lambda d: d.isNotNull())))
-    apply = F.col("event_date").isNull() & ~F.col("quote").rlike(EXCLUDED) & (F.size(dates) >= 2)
+    apply = (F.coalesce("event_date", F.lit("")) == "") & ~F.col("quote").rlike(rules.EXCLUSION) & (F.size(dates) >= 2)
     basis = F.when(F.element_at(found, 1).rlike(r"\d{4}$"), "stated").otherwise("inferred")
     marked = rows.withColumn("_dates", F.when(apply, dates)).withColumn("event_date_basis", F.when(apply, basis).otherwise(F.col("event_date_basis")))
     return marked.withColumn("_one", F.explode_outer("_dates")).withColumn("event_date", F.coalesce("_one", "event_date")).drop("_dates", "_one")

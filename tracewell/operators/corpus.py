@@ -6,23 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import rules
 from ..schemas import TERMINAL
 
-#: Kinds of documents by what their name or first text says; the first that matches counts.
-KINDS = [("statement", r"(?i)\b(statement|affidavit|deposition)\b"), ("interview", r"(?i)\b(interview|transcript)\b"), ("appointment", r"(?i)\b(appointment|convening)\b"), ("notes", r"(?i)\b(notes?|memo)\b"), ("record", r"(?i)\b(record|log|report|invoice|form)\b")]
-ROLES = [("subject", r"(?i)\b(subject|respondent|accused)\b"), ("custodian", r"(?i)\bcustodian\b"), ("complainant", r"(?i)\b(complainant|victim)\b"), ("supervisor", r"(?i)\b(supervisor|manager)\b"), ("witness", r"(?i)\bwitness\b")]
-
-
 def dedup_content(files: DataFrame, content: str, order: str, *keep: str) -> DataFrame:
     """One row of each content: sha256, copies, and of the first by order the columns of keep. One shuffle, partial before."""
     return files.groupBy(F.sha2(F.col(content), 256).alias("sha256")).agg(F.count(F.lit(1)).alias("copies"), *[F.min_by(c, order).alias(c) for c in keep])
 
 
 def classify(docs: DataFrame, name: str, text: str) -> DataFrame:
-    """docs with doc_kind (name and first 1200 characters) and doc_role (text first, then name)."""
-    head = F.concat_ws(" ", F.col(name), F.substring(text, 1, 1200))
-    role = C.first_match(F.substring(text, 1, 1200), ROLES, "")
-    return docs.withColumn("doc_kind", C.first_match(head, KINDS, "unknown")).withColumn("doc_role", F.when(role != "", role).otherwise(C.first_match(F.col(name), ROLES, "")))
+    """docs with doc_kind (name and first 1200 characters) and doc_role (first 2500 characters, then the name)."""
+    head = F.concat_ws("\n", F.col(name), F.substring(text, 1, 1200))
+    role = C.first_match(F.coalesce(F.substring(text, 1, 2500), F.lit("")), rules.ROLES, "")
+    by_name = C.first_match(F.lower(F.coalesce(name, F.lit(""))), rules.ROLE_NAMES, rules.NO_ROLE)
+    return docs.withColumn("doc_kind", C.first_match(head, rules.KINDS, "unknown")).withColumn("doc_role", F.when(role != "", role).otherwise(by_name))
 
 
 def counters(**tables: DataFrame) -> DataFrame:

@@ -86,22 +86,26 @@ def merge(entity: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def resolve(pointers: DataFrame, node: str = "entity_id", parent: str = "merged_into") -> DataFrame:
-    """node and root of every pointer, by pointer doubling; of a cycle the least node is the root, null ends a chain."""
+    """node and root of every pointer, by pointer doubling; null ends a chain. What leads into a cycle ends at the node where it
+    enters it, and a node on a cycle is its own root."""
     from .iterate import materialize
 
-    now = materialize(pointers.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("root"), F.least(node, parent).alias("least")))
-    total, steps = now.count(), 1
+    pointers = materialize(pointers.select(F.col(node).alias("node"), F.nullif(parent, node).alias("up")))
+    total, steps = pointers.count(), 1
+    now = pointers.select("node", F.coalesce("up", "node").alias("root"))
     while steps <= 2 * total:  # beyond the longest chain, only cycles still move
-        up = now.select(F.col("node").alias("_n"), F.col("root").alias("_r"), F.col("least").alias("_l"))
+        up = now.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         step = now.join(up, F.col("root") == F.col("_n"), "left")
-        step = materialize(step.select("node", F.coalesce("_r", "root").alias("root"), F.least("least", "_l").alias("least"), (F.coalesce("_r", "root") != F.col("root")).alias("moved")))
-        now, steps = step.select("node", "root", "least"), 2 * steps
+        step = materialize(step.select("node", F.coalesce("_r", "root").alias("root"), (F.coalesce("_r", "root") != F.col("root")).alias("moved")))
+        now, steps = step.select("node", "root"), 2 * steps
         if step.where("moved").isEmpty():
             break
-    # a root that points on is on a cycle: all that lead there have seen its least node
-    onward = pointers.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(node).alias("root"), F.lit(True).alias("_cycle"))
-    round_least = now.join(onward, "root", "left_semi").groupBy("root").agg(F.min_by("least", F.col("node") != F.col("root")).alias("_least"))
-    return now.join(round_least, "root", "left").select("node", F.coalesce("_least", "root").alias("root"))
+    # what still points on after so many steps is on a cycle, and all of a cycle is reached
+    cycle = materialize(now.select(F.col("root").alias("node")).distinct().join(pointers.where("up is not null"), "node", "left_semi"))
+    if cycle.isEmpty():
+        return now
+    held = cycle.withColumn("_cycle", F.lit(True))
+    return resolve(pointers.join(held, "node", "left").select("node", F.when(F.col("_cycle").isNull(), F.col("up")).alias("up")), "node", "up")
 
 
 def rolled_up(entity: DataFrame, roots: DataFrame) -> DataFrame:

@@ -21,7 +21,9 @@ def entity_id(kind, name):
 def edges(triples: DataFrame) -> DataFrame:
     """src, dst, rel and the triple's evidence, one for each triple id."""
     rows = triples.select("triple_id", entity_id(F.col("subject_type"), F.col("subject_name")).alias("src"), entity_id(F.col("object_type"), F.col("object_name")).alias("dst"), C.rel_type(F.col("predicate")).alias("rel"), "predicate", "event_date", "doc_id", "page_num")
-    return rows.dropDuplicates(["triple_id"])
+    # keys of 16 bytes, whatever ids are: what is compared and sorted is short
+    keyed = rows.withColumns({"_h": F.xxhash64("triple_id"), "_g": F.xxhash64(F.lit(1), "triple_id")})
+    return keyed.dropDuplicates(["_h", "_g"]).drop("_h", "_g")
 
 
 def degrees(edge: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def entity_detail(edge: DataFrame, entity: str) -> DataFrame:
 
 def timeline(triples: DataFrame) -> DataFrame:
     """Dated triples by date; text dates of any precision sort as they stand."""
-    return triples.where("coalesce(event_date, '') <> ''").select("event_date", "subject_name", "predicate", "object_name", "doc_id", "page_num")
+    return triples.where("coalesce(event_date, '') <> ''").select("event_date", "subject_name", "predicate", "object_name", "doc_id", "page_num").orderBy("event_date")
 
 
 def merged_timeline(triples: DataFrame) -> DataFrame:

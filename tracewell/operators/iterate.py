@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where none is set, a temporary one in local mode and
+    an error elsewhere."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tracewell-"))
+    return _LOCAL[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
-    return df.checkpoint()
+    """df written as Parquet into the shared folder and read back; the files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tracewell/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(discard, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans up
+        return

@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MARKER = r"(?i)^\W*allegation\s*(?:no\.?|number|#)?\s*(\d+|[ivx]+)\b"
+from ..functions import rules
+
 #: Pages that a marker is carried over.
 MAX_CARRY = 1
-ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
+#: Targets that a row meets at a time.
+BLOCK = 256
 
 
 def marker_number(line):
     """The number of an allegation heading, arabic or roman."""
-    raw = F.lower(F.regexp_extract(line, MARKER, 1))
-    roman = F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv])
+    raw = F.lower(F.regexp_extract(line, rules.MARKER, 1))
+    roman = F.create_map(*[F.lit(x) for kv in rules.ROMAN.items() for x in kv])
     return F.coalesce(raw.try_cast("int"), F.try_element_at(roman, raw))
 
 
+def runs_on(line):
+    """Whether a line of prose runs on into the next: it isn't blank, a rule or a table's row, and no stop ends it."""
+    bare = F.regexp_replace(F.trim(line), r"[\s|*_~`]+$", "")
+    return (bare != "") & ~F.trim(line).rlike(r"^\||\|$") & ~bare.rlike(r"^[\s|:=.*_~`–—+-]*$") & ~bare.rlike(r"[.!?:;–—]$")
+
+
 def marker_spans(pages: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, page_num, ref, start and end (lines, half open) from each heading to the next or the page's end."""
+    """doc_id, page_num, ref, start and end (lines, half open) from each heading to the next or the page's end. A marker behind a
+    line that runs on is part of a wrapped sentence and heads nothing."""
     lines = pages.select("doc_id", "page_num", F.size(F.split(text, r"\n")).alias("_n"), F.posexplode(F.split(text, r"\n")).alias("start", "line"))
-    heads = lines.withColumn("ref", marker_number(F.col("line"))).where("ref is not null")
-    after = F.lead("start").over(Window.partitionBy("doc_id", "page_num").orderBy("start"))
+    here = Window.partitionBy("doc_id", "page_num").orderBy("start")
+    wrapped = F.coalesce(runs_on(F.lag("line").over(here)), F.lit(False))
+    heads = lines.withColumn("_wrapped", wrapped).withColumn("ref", marker_number(F.col("line"))).where("ref is not null and not _wrapped")
+    after = F.lead("start").over(here)
     return heads.select("doc_id", "page_num", "ref", "start", F.coalesce(after, "_n").alias("end"))
 
 
@@ -48,12 +59,25 @@ def available(refs, unrestricted, target):
     return (F.size(refs) == 0) | unrestricted | F.array_contains(refs, target)
 
 
+def with_each(rows: DataFrame, targets: DataFrame, target: str = "target") -> DataFrame:
+    """A row of rows for each target, by blocks of targets: the pairs are the result itself, and no task holds all targets."""
+    n = max(1, -(-targets.count() // BLOCK))
+    lists = targets.select(target).distinct().groupBy(F.pmod(F.xxhash64(target), F.lit(n)).cast("int").alias("_block")).agg(F.collect_list(target).alias("_targets"))
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(lists, "_block").withColumn(target, F.explode("_targets")).drop("_block", "_targets")
+
+
 def route(rows: DataFrame, targets: DataFrame, refs: str = "refs", unrestricted: str = "unrestricted") -> DataFrame:
-    """target and row for each target (few) and the rows available to it; a target that would lose all keeps all."""
-    each = rows.join(F.broadcast(targets.limit(1000)), F.lit(True))  # allegations are a handful
-    fine = available(F.col(refs), F.col(unrestricted), F.col("target"))
-    kept = each.groupBy("target").agg(F.count_if(fine).alias("_kept"))
-    return each.withColumn("_fine", fine).join(F.broadcast(kept), "target").where("_fine or _kept = 0").withColumn("guarded", F.col("_kept") == 0).drop("_fine", "_kept")
+    """target, the rows available to it and guarded: a target that would lose all rows keeps all of them.
+
+    Rows with references meet their targets by equality; only rows that are open to all targets are paired with each."""
+    columns = [*rows.columns, "target"]
+    open_to_all = (F.size(refs) == 0) | F.col(unrestricted)
+    own = rows.where(~open_to_all).withColumn("target", F.explode(F.array_distinct(refs))).join(targets.select("target").distinct(), "target", "left_semi")
+    free = rows.where(open_to_all)
+    if not free.isEmpty():
+        return own.select(columns).unionByName(with_each(free, targets).select(columns)).withColumn("guarded", F.lit(False))
+    left = targets.select("target").distinct().join(own.select("target"), "target", "left_anti")
+    return own.select(columns).withColumn("guarded", F.lit(False)).unionByName(with_each(rows, left).select(columns).withColumn("guarded", F.lit(True)))
 
 
 def numbering(counts: DataFrame, n: int) -> DataFrame:

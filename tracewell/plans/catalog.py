@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import rules
 from ..functions.kernels import sentences_udf
 from ..operators import assertions, consensus, corpus, entities, evaluate, graph, links, passages, report, routing
 from ..streaming import sessions
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
 
 def _case(column: str, patterns: list[tuple[str, str]], otherwise: str) -> str:
     """SQL of the first pattern that matches."""
-    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{label}'" for label, p in patterns) + f" ELSE {otherwise} END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{label}'" for label, p in patterns) + f" ELSE {otherwise} END"
 
 
 WITH = f"WITH {TRIPLES_SQL} "
@@ -88,17 +89,10 @@ def upload_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.dedup_content(docs, "content", "doc_id", "doc_id")
 
 
-@query("""SELECT page_id, CASE WHEN t SIMILAR TO '.*(statement|affidavit|deposition).*' THEN 'statement' WHEN url LIKE '%blog%' THEN 'notes' WHEN url LIKE '%html%' THEN 'record' ELSE 'unknown' END AS kind
-FROM (SELECT page_id, url, lower(substr(url, 1, 1200)) AS t FROM pages)""")
+@query(f"""WITH s AS (SELECT doc_id, source, concat_ws(chr(10), source, substr(text, 1, 1200)) AS head, coalesce(substr(text, 1, 2500), '') AS t FROM documents)
+SELECT doc_id, {_case("head", rules.KINDS, "'unknown'")} AS doc_kind, {_case("t", rules.ROLES, _case("lower(coalesce(source, ''))", rules.ROLE_NAMES, "'witness'"))} AS doc_role FROM s""")
 def kind_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = [("statement", "statement|affidavit|deposition"), ("notes", "blog"), ("record", "html")]
-    return load(spark, sf, "pages").select("page_id", C.first_match(F.lower(F.substring("url", 1, 1200)), kinds, "unknown").alias("kind"))
-
-
-@query(f"""WITH s AS (SELECT doc_id, source, concat_ws(' ', source, substr(text, 1, 1200)) AS head, substr(text, 1, 1200) AS t FROM documents)
-SELECT doc_id, {_case("head", corpus.KINDS, "'unknown'")} AS doc_kind, {_case("t", corpus.ROLES, _case("source", corpus.ROLES, "''"))} AS doc_role FROM s""")
-def kind_classifier_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Kind and role of every document by its source and the first 1200 characters of its text."""
+    """Kind and role of every document by its source and the head of its text."""
     return corpus.classify(load(spark, sf, "documents"), "source", "text").select("doc_id", "doc_kind", "doc_role")
 
 
@@ -177,16 +171,8 @@ def link_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return links.estimate(sizes.withColumn("judged", F.col("n")))
 
 
-@query("""SELECT CAST(s_suppkey AS INT) AS number, 'same ' || (s_suppkey % 3) AS relation, 'A' AS side, CAST(0.75 AS DOUBLE) AS confidence, s_name AS basis FROM supplier WHERE s_suppkey BETWEEN 1 AND 50""")
-def link_answers(spark: SparkSession, sf: str) -> DataFrame:
-    s = load(spark, sf, "supplier")
-    line = F.format_string("%d. Same %d | A | 0.75 | %s", "s_suppkey", F.col("s_suppkey") % 3, "s_name")
-    reply = s.select(F.lit(50).alias("asked"), F.concat(line, F.lit("\n"), F.format_string("%d. repeated | B | 0.5 | late", "s_suppkey"), F.lit("\nnonsense")).alias("reply"), F.col("s_suppkey").alias("_s"))
-    return links.parse_answers(reply).select("number", "relation", "side", "confidence", "basis")
-
-
 @query("""SELECT CAST(s_suppkey + 1 AS INT) AS number, 'same ' || (s_suppkey % 3) AS relation, 'A' AS side, CAST(0.75 AS DOUBLE) AS confidence, s_name AS basis FROM supplier""")
-def link_answers_all(spark: SparkSession, sf: str) -> DataFrame:
+def link_answers(spark: SparkSession, sf: str) -> DataFrame:
     """The answer on every supplier, numbered from 1: each reply is asked up to its supplier's number and has a line beyond it."""
     key, n = F.col("s_suppkey"), F.col("s_suppkey") + 1
     lines = [F.format_string("%d. Same %d | A | 0.75 | %s", n, key % 3, "s_name"), F.format_string("%d. repeated | B | 0.5 | late", n), F.format_string("%d. beyond | B | 0.5 | not asked", n + 1), F.lit("nonsense")]
@@ -214,17 +200,12 @@ def merge_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return entities.resolve(c.select("c_custkey", F.when((F.col("c_custkey") % 16 == 0) | (F.col("c_custkey") == low), None).otherwise(F.col("c_custkey") - 1).alias("up")), "c_custkey", "up")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, -(l_orderkey % 97) - 1 AS b FROM lineitem WHERE l_suppkey % 97 = l_orderkey % 97),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS pos FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.pos = u.a)
-SELECT node, min(pos) AS component FROM r GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, -l_orderkey - 1 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM u
+  UNION (SELECT u.a, min(n.component) FROM r n JOIN u ON u.b = n.node JOIN recurring.r c ON c.node = u.a WHERE n.component < c.component GROUP BY u.a))
+SELECT node, component FROM r""")
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    li = load(spark, sf, "lineitem").where(F.col("l_suppkey") % 97 == F.col("l_orderkey") % 97)
-    return entities.components(li.select(F.col("l_suppkey").alias("a"), (-(F.col("l_orderkey") % 97) - 1).alias("b")))
-
-
-@query()
-def components_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Components of all suppliers and orders (as -key - 1); without SQL, whose recursion holds every pair of connected nodes."""
+    """Components of all suppliers and orders (as -key - 1)."""
     li = load(spark, sf, "lineitem")
     return entities.components(li.select(F.col("l_suppkey").alias("a"), (-F.col("l_orderkey") - 1).alias("b")))
 
@@ -275,13 +256,8 @@ def assertion_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return assertions.dedupe(rows, "item_id").select("item_id")
 
 
-@query("""SELECT o_orderkey, CAST(d AS VARCHAR) AS event_date FROM (SELECT o_orderkey, unnest([CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 40]) AS d FROM orders WHERE o_orderkey % 10 = 0)""")
-def date_series_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return _series(load(spark, sf, "orders").where("o_orderkey % 10 = 0"))
-
-
 @query("""SELECT o_orderkey, CAST(d AS VARCHAR) AS event_date FROM (SELECT o_orderkey, unnest([CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 40]) AS d FROM orders)""")
-def date_series_expand_all(spark: SparkSession, sf: str) -> DataFrame:
+def date_series_expand(spark: SparkSession, sf: str) -> DataFrame:
     return _series(load(spark, sf, "orders"))
 
 
@@ -297,7 +273,7 @@ CASE o_orderkey % 4 WHEN 0 THEN 'day' WHEN 2 THEN 'minute' ELSE 'month' END AS e
 def date_precision(spark: SparkSession, sf: str) -> DataFrame:
     d = lambda f: F.date_format("o_orderdate", f)
     k = F.col("o_orderkey") % 4
-    raw = F.when(k == 0, F.concat(F.lit("on "), d("yyyy-MM-dd"))).when(k == 1, d("yyyy-MM")).when(k == 2, F.concat(d("yyyy-MM-dd"), F.lit(" 0930"))).otherwise(F.concat(F.lit("in "), d("MMMM yyyy")))
+    raw = F.when(k == 0, F.concat(F.lit("on "), d("yyyy-MM-dd"), F.lit(", early"))).when(k == 1, d("yyyy-MM")).when(k == 2, F.concat(d("yyyy-MM-dd"), F.lit(" 0930"))).otherwise(F.concat(F.lit("in "), d("MMMM yyyy")))
     return load(spark, sf, "orders").select("o_orderkey", C.normalize_when(raw).alias("event_date")).withColumn("event_precision", C.date_precision(F.col("event_date")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ def extract(pages: DataFrame, model: TextModel) -> DataFrame:
     asked = pages.where("text is not null").select("doc_id", "page_num", F.col("text").alias("page_text"))
     said = apply_model(asked, "page_text", model.generate, "reply", "string").drop("reply_error")
     admitted = assertions.validate(assertions.parse(said)).where("drop_reason is null")
-    return assertions.dedupe(assertions.with_ids(assertions.expand_series(admitted)))
+    return assertions.dedupe(assertions.with_ids(assertions.expand_series(admitted, "page_text" if "page_text" in admitted.columns else None)))
 
 
 def index(chunks: DataFrame, held: DataFrame, model: Embedder, name: str) -> DataFrame:
@@ -58,12 +59,16 @@ def search(chunks: DataFrame, question: str, limit: int, vectors: DataFrame | No
 def relationships_for(question: str, triples: DataFrame, limit: int = 45, most: int = 10) -> DataFrame:
     """Edges at the entities that the question names as whole words, without repeats.
 
-    A question is short: its runs of words are the keys, so names meet it by equality, not by search in every name."""
-    words = question.lower().replace("?", " ").replace(",", " ").split()
-    runs = {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + 6) + 1)}
-    named = graph.mentions(triples).where(C.flat(F.col("name")).isin(*[r for r in runs if len(r) >= 3] or [""]))
-    top = named.groupBy(C.flat(F.col("name")).alias("flat")).count().orderBy(F.desc("count"), "flat").limit(most).select("flat")
-    both = triples.select("*", C.flat(F.col("subject_name")).alias("_s"), C.flat(F.col("object_name")).alias("_o"))
+    The question's runs of words, as long as the longest name, are keys: names meet them by equality, not by search in every
+    name."""
+    spark, flat = triples.sparkSession, lambda c: C.squash(F.regexp_replace(F.lower(c), r"[^\w\s]", " "))
+    named = graph.mentions(triples).select(flat(F.col("name")).alias("flat")).where(F.length("flat") >= 3)
+    words = re.sub(r"[^\w\s]", " ", question.lower()).split()
+    longest = named.agg(F.max(F.size(F.split("flat", " ")))).first()[0] or 0
+    runs = {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + longest) + 1)}
+    keys = spark.createDataFrame([(r,) for r in sorted(runs)], "flat string")
+    top = named.join(keys, "flat", "left_semi").groupBy("flat").count().orderBy(F.desc("count"), "flat").limit(most).select("flat")
+    both = triples.select("*", flat(F.col("subject_name")).alias("_s"), flat(F.col("object_name")).alias("_o"))
     hit = both.join(F.broadcast(top), (F.col("_s") == F.col("flat"))).unionByName(both.join(F.broadcast(top), F.col("_o") == F.col("flat")))
     one = hit.dropDuplicates(["flat", "predicate", "_s", "_o", "doc_id", "page_num"])
     return one.orderBy(F.asc_nulls_last("event_date"), "triple_id").limit(limit).select("subject_name", "predicate", "object_name", "event_date", "doc_id", "page_num")
