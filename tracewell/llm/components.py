@@ -20,17 +20,20 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
         hook = common.materialize(hook, "hooks")
-        moved = True
+        steps, moved = [hook], True
         while moved:  # to the roots, by doubling
             further = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
             hook = hook.join(further, "to", "left").select("node", F.coalesce("next", "to").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
-            hook = common.materialize(hook, "hooks")
+            old, hook = steps[-1], common.materialize(hook, "hooks")
+            common.drop(old)
+            steps[-1] = hook
             moved = not hook.where("moved").isEmpty()
             hook = hook.select("node", "to")
-        labels = common.materialize(labels.join(hook.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        earlier, labels = labels, common.materialize(labels.join(hook.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         at = hook.select(F.col("node").alias("a"), F.col("to").alias("a_to"))
         bt = hook.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
         moved = edges.join(at, "a").join(bt, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
         old, edges = edges, common.materialize(moved.where("a <> b").distinct(), "links")
-        common.drop(old)
+        common.drop(old, earlier, *steps)
+    common.drop(edges)
     return labels

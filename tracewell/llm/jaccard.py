@@ -6,8 +6,10 @@ one of two allocations, whichever costs less by the counts of the corpus: whole
 leaving out those with the fewest shingles, which would meet the most; or half as many wider segments, indexed with their
 one-deletion neighbourhoods. What meets is verified exactly. Equal sets are one node throughout.
 
-Links are wanted for their components, so what is one component already needs no more links: first the sets of a group are
-compared with one of them, then only sets of different components are, after a bound by sketches of their parity."""
+Links are wanted for their components, so what is one component already needs no more links. First the sets of a group are
+compared with the one of them that meets the most sets. Then small groups give the pairs of different components that a bound
+by sketches of their parity leaves. Large groups around one component are one family: its sets that aren't in the largest
+component meet all its sets in blocks, with the texts at hand, and a block gives the edges of a forest, fewer than its sets."""
 
 from __future__ import annotations
 
@@ -29,12 +31,12 @@ U = np.uint64
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Bytes of text for a bucket of signatures.
 BUCKET_BYTES = 8 << 20
-#: Least and most bits of a parity sketch, as powers of two; sets of a group that are compared at a time.
-LEAST_BITS, MOST_BITS, TILE = 8, 16, 256
+#: Least and most bits of a parity sketch, as powers of two.
+LEAST_BITS, MOST_BITS = 8, 16
+#: Sets of a group that gives its pairs; those and the shingles of a block of a family (on average, either limit).
+SMALL, BLOCK_SETS, BLOCK_SHINGLES = 32, 1024, 1 << 19
 #: What a false candidate costs, in signatures.
 FALSE_COST = 30.0
-#: Comparisons with one set of each group before all pairs of different components.
-STARS = 2
 
 
 def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -293,42 +295,104 @@ def likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """a and b: pairs of members (group, node, component, n_shingles, sketch) of one group and of different components that
-    may link by their sizes and sketches. Large groups are compared tile by tile, in as many tasks as there are tiles."""
-    tiles = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    dealt = members.join(tiles, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    dealt = dealt.select("group", "i", "j", "own", "node", "component", "n_shingles", "sketch").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "own")
+def small_pairs(members: DataFrame) -> DataFrame:
+    """a and b: pairs of members (group, node, component, n_shingles) of one group, of different components and of sizes that may
+    link. A group has SMALL members at most."""
+    held = members.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("node", "component", "n_shingles"))).alias("m"))
+
+    def partners(x: Column, i: Column) -> Column:
+        fine = lambda y: (y["component"] != x["component"]) & (F.abs(y["n_shingles"] - x["n_shingles"]) <= differ(y["n_shingles"], x["n_shingles"]))
+        rest = F.filter(F.slice("m", i + 2, F.greatest(F.size("m") - i - 1, F.lit(0))), fine)
+        return F.transform(rest, lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+
+    return held.select(F.inline(F.flatten(F.transform("m", partners)))).distinct()
+
+
+def families(members: DataFrame) -> DataFrame:
+    """family, node, component and n_shingles: the members of groups (group, node, component, n_shingles) once for all groups
+    whose most frequent component is the same one; it names the family."""
+    most = members.groupBy("group", "component").count().groupBy("group").agg(F.max(F.struct("count", "component"))["component"].alias("family"))
+    return members.join(most, "group").select("family", "node", "component", "n_shingles").distinct()
+
+
+def forest(family: list[tuple], others: list[tuple], main: int) -> list[tuple[int, int]]:
+    """Linked pairs of the rows (node, component, packed text) of a block of a family and of a block of those that aren't in
+    its main component, just so many that all components which links between the two join are one."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    rows = family + others
+    tokens, offs = sets(pa.array([unpack(r[2]) for r in rows], pa.binary()))
+    n, node, component = np.diff(offs), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    bits = 1 << min(max(LEAST_BITS, int(4 * np.median(n) - 1).bit_length()), MOST_BITS - 2)
+    drawn = np.zeros((len(rows), bits), bool)
+    owner = np.repeat(np.arange(len(rows)), n)
+    cell, count = np.unique(owner * bits + (words.mix(tokens ^ U(0x1234567)) & U(bits - 1)).astype(np.int64), return_counts=True)
+    drawn.ravel()[cell[count % 2 == 1]] = True
+    drawn = np.packbits(drawn, axis=1).view(U)
+    k, found = len(family), []
+    step = max(1, (1 << 21) // (max(1, len(others)) * drawn.shape[1]))
+    for s in range(0, k, step):
+        x, y = slice(s, min(k, s + step)), slice(k, len(rows))
+        fine = component[x, None] != component[None, y]
+        fine &= (component[x, None] == main) | (node[x, None] < node[None, y])  # two of the others meet once
+        p, q = np.nonzero(fine & (np.abs(n[x, None] - n[None, y]) <= differ(n[x, None], n[None, y])))
+        p, q = p + s, q + k
+        gap = np.concatenate([np.bitwise_count(drawn[p[i : i + 8192]] ^ drawn[q[i : i + 8192]]).sum(1, dtype=np.int64) for i in range(0, len(p), 8192)] or [np.zeros(0, np.int64)])
+        near = gap <= differ(n[p], n[q])
+        found.append(np.stack([gap[near], p[near], q[near]]))
+    found = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    root = {c: c for c in set(component.tolist())}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out, of = [], component.tolist()
+    for p, q in found[1:, np.argsort(found[0], kind="stable")].T.tolist():
+        a, b = find(of[p]), find(of[q])
+        if a != b:
+            x, y = tokens[offs[p] : offs[p + 1]], tokens[offs[q] : offs[q + 1]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if DEN * both >= NUM * (len(x) + len(y) - both):
+                root[a] = b
+                out.append((min(rows[p][0], rows[q][0]), max(rows[p][0], rows[q][0])))
+    return out
+
+
+def family_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """a and b: links that make one of all components that links within a family (family, node, component, n_shingles) join.
+    Those of a family's largest component are compared with the rest only. Both sides are dealt in blocks of bounded size, so a
+    block of the one and a block of the other meet in a task whatever a family's size."""
+    parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
+    of = parts.groupBy("family").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "component", "s")).alias("top"))
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK_SETS), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    of = of.select("family", F.col("top.component").alias("main"), blocks(F.col("c"), F.col("s")).alias("blocks"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("rests"))
+    rows = members.join(of, "family").join(texts, "node")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
+    own = rows.withColumns({"role": F.lit(0), "i": place("blocks"), "j": F.explode(every("rests"))})
+    rest = rows.where("component <> main").withColumns({"role": F.lit(1), "j": place("rests"), "i": F.explode(every("blocks"))})
+    names = ["family", "i", "j", "role", "main", "node", "component", "packed"]
+    dealt = own.select(names).union(rest.select(names)).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        common.release()
+        key, main, sides = None, 0, ([], [])
+
+        def links() -> pa.RecordBatch:
+            found = forest(*sides, main) if all(sides) else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            for x in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+            for x in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if x[:3] != key:
-                    if rows:
-                        yield from pairs_of(key, rows)
-                    key, rows = x[:3], []
-                rows.append(x[3:])
-        if rows:
-            yield from pairs_of(key, rows)
-
-    def pairs_of(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        own, node, component, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-        fine = component[left][:, None] != component[right][None, :]
-        if key[1] == key[2]:
-            fine &= node[left][:, None] < node[right][None, :]
-        fine &= np.abs(n[left][:, None] - n[right][None, :]) <= differ(n[left][:, None], n[right][None, :])
-        p, q = np.nonzero(fine)
-        p, q = left[p], right[q]
-        if len(p):
-            drawn = [r[4] for r in rows]
-            near = gaps(drawn, drawn, p, q) <= differ(n[p], n[q])
-            a, b = node[p[near]], node[q[near]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+                    yield links()
+                    key, main, sides = x[:3], x[4], ([], [])
+                sides[x[3]].append(x[5:])
+        yield links()
+        common.release()
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -358,33 +422,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     found = common.materialize(groups(docs, text, bands, n_buckets).distinct(), "groups")
     own = known.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
     own = common.materialize(own.join(found.select("node").distinct(), "node", "left_semi"), "sketches")
-    members = common.materialize(found.join(own.select("node", "n_shingles"), "node"), "members")
-    common.free(spark)
-    texts = common.materialize(texts_of(docs, found.select("node").distinct(), text), "candidate-texts")
-    common.free(spark)
-    labels = spark.createDataFrame([], "node long, component long")
-    links = tried = None
-    for star in range(STARS):
-        mixed = labelled(members, labels)
-        middle = mixed.groupBy("group").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "component", "n_shingles")).alias("o"))
-        near = F.abs(F.col("n_shingles") - F.col("o.n_shingles")) <= differ(F.col("n_shingles"), F.col("o.n_shingles"))
-        pairs = mixed.join(middle, "group").where((F.col("component") != F.col("o.component")) & near).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
-        if tried is not None:  # what was compared in vain needs no second look
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = common.materialize(likely(pairs, own), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        more = common.materialize(verify(pairs, texts), "links")
-        links = more if links is None else links.union(more)
-        labels = components(links)
-    mixed = labelled(members, labels).join(own.select("node", "sketch"), "node")
-    pairs = across(mixed).join(tried, ["a", "b"], "left_anti")
-    links = links.union(common.materialize(verify(pairs, texts), "links"))
+    size = found.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    members = common.materialize(found.join(own.select("node", "n_shingles"), "node").join(size, "group"), "members")
+    common.drop(found)
+    texts = common.materialize(texts_of(docs, own.select("node"), text), "candidate-texts")
+    # a star in each group, around the set that meets the most sets: of near copies, mostly what they are copies of
+    popular = members.groupBy("node").agg(F.sum("size").alias("meets"))
+    middle = members.join(popular, "node").groupBy("group").agg(F.max(F.struct("meets", F.xxhash64("node").alias("h"), "node", "n_shingles")).alias("o"))
+    near = F.abs(F.col("n_shingles") - F.col("o.n_shingles")) <= differ(F.col("n_shingles"), F.col("o.n_shingles"))
+    pairs = members.join(middle, "group").where((F.col("node") != F.col("o.node")) & near).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+    tried = common.materialize(likely(pairs, own), "pairs")
+    stars = common.materialize(verify(tried, texts), "links")
+    labels = components(stars)
+    mixed = common.materialize(labelled(members, labels), "mixed")
+    common.drop(members, labels)
+    pairs = small_pairs(mixed.where(F.col("size") <= SMALL)).join(tried, ["a", "b"], "left_anti")
+    few = common.materialize(verify(common.materialize(likely(pairs, own), "pairs"), texts), "links")
+    many = common.materialize(family_links(families(mixed.where(F.col("size") > SMALL)), texts), "links")
+    common.drop(mixed, tried, own, texts)
+    links = stars.union(few).union(many)
     labels = components(links)
-    common.drop(found, texts, tried)
+    common.drop(stars, few, many)
     of_node = known.where("n_shingles > 0").select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     least = known.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"))
     placed = common.materialize(of_node.join(least, "node"), "placed")
-    common.drop(members)
+    common.drop(labels)
     first = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = placed.select("node", "component").join(first, "component").select("node", "component", "component_id")
     return known.join(answer, "node", "left").select(key, "h", "n_shingles", "component", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
