@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,20 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at a time; longer texts are taken whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of a batch that goes to a worker, where the session doesn't set them: the JVM and the worker each hold one of them.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES for workers, unless the session has a smaller size; rows of any length then need no more."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # as it comes
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; where none is set, a temporary one in local mode and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tracewell-"))
         found = _OWN_DIR[0]
@@ -36,22 +48,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, what: str = "step") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, so a lost executor costs no more
-    than the tasks that read the files. The files go when the driver ends."""
+    than the tasks that read the files. The shuffle files of the step go when it has ended, its own when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewell/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    small_batches(spark)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        discard(spark, path)
+        raise
+    finally:
+        spark.conf.set(cleanup, before)
     atexit.register(discard, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewell_path = path
     return out
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps that have ended; else they stay until the driver happens to collect."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop(*steps: DataFrame) -> None:
     """Remove the files of materialised steps that nothing reads any more."""
     for df in steps:
@@ -104,16 +120,44 @@ def kept(owner: str) -> dict:
     return _KEPT.setdefault(owner, {})
 
 
+def release() -> None:
+    """Give memory that nothing holds back to the system: workers outlive their tasks, and an executor has many."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def split(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts that hold about limit bytes of the column each; a longer text stands alone."""
+    _, offs = utf8(batch.column(column))
+    at, n = 0, batch.num_rows
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
-    """The batches, split so that each holds about limit bytes of the column; a longer text stands alone."""
+    """The batches, split so that each holds about limit bytes of the column; what a worker no longer needs is released."""
     kept(owner)
+    release()
     for batch in batches:
-        _, offs = utf8(batch.column(column))
-        at, n = 0, batch.num_rows
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
+        yield from split(batch, column, limit)
+    release()
+
+
+def take_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All indices of the ranges, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def byte_strings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary value for each range of data."""
+    offs = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(data[take_ranges(starts, lengths)])])
 
 
 def binary(parts: list[bytes]) -> pa.Array:
