@@ -1,6 +1,6 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed word n-grams and skip-grams.
 
-A document's features are the distinct hashes of its words, pairs, triples and pairs with a gap, case folded. FTRL keeps a
+A document's features are the distinct hashes of its words, pairs, triples and pairs with a gap, with A-Z as a-z. FTRL keeps a
 learning rate for each coordinate and an L1 penalty that leaves few weights above zero, so the model is a short list of
 (feature, weight): at most DIMS entries, which bounds what is broadcast."""
 
@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-#: Coordinates of the model; most labelled rows that it is fitted on (those of least hash; all rows are scored).
-DIMS, MOST_LABELLED = 1 << 22, 16384
+#: Coordinates of the model; most labelled rows, and bytes of their texts, that it is fitted on (those of least hash; all rows
+#: are scored).
+DIMS, MOST_LABELLED, MOST_BYTES = 1 << 22, 16384, 64 << 20
+#: Bytes of text whose features are made at a time.
+CHUNK = 512 << 10
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 6.0, 0.0, 4
 #: Values of a feature by its kind, which the low two bits of its coordinate tell: word, pair, triple, pair with a gap.
 VALUES = np.array([1.0, 0.25, 0.25, 0.25])
@@ -57,10 +60,12 @@ class Weights:
     index: np.ndarray
     value: np.ndarray
 
-    def dense(self, dims: int = DIMS) -> np.ndarray:
-        out = np.zeros(dims)
-        out[self.index] = self.value
-        return out
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """Weights of coordinates. The index is sorted, and short beside DIMS."""
+        if not len(self.index):
+            return np.zeros(len(at))
+        place = np.minimum(np.searchsorted(self.index, at), len(self.index) - 1)
+        return np.where(self.index[place] == at, self.value[place], 0.0)
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, dims: int = DIMS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS) -> Weights:
@@ -84,27 +89,37 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, dims: int = DIMS, alpha: fl
     return Weights(float(-z[dims] / ((beta + np.sqrt(n[dims])) / alpha + l2)), index, value * VALUES[index & 3])
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", most: int = MOST_LABELLED) -> Weights:
-    """A model of label (0 or 1; a row with another value or null is left out; of repeated keys the highest label counts)
-    from at most `most` labelled rows, those whose key has the least hash. Without any, the model is one bias of 0."""
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> Weights:
+    """A model of label (0 or 1; a row with another value or null is left out; of repeated keys the highest label and the text
+    of least hash count) from at most `most` labelled keys, those of least hash, and `most_bytes` of their texts (longer ones are
+    passed over, and the first to exceed it ends the sample). Null texts have no words. Without any row, the model is one bias
+    of 0."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     known = known.withColumn("_order", F.xxhash64("_key")).orderBy("_order", "_key").limit(most)
-    sample = docs.select(F.col(key).alias("_doc"), F.col(text).alias("text")).join(F.broadcast(known), F.col("_doc") == F.col("_key")).select("_order", "_doc", "_label", "text")
+    sample = docs.select(F.col(key).alias("_doc"), F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
+    sample = sample.join(F.broadcast(known), F.col("_doc") == F.col("_key")).groupBy("_order", "_doc", "_label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, ys = [], []
-        for batch in common.chunks(batches, "text"):
+        rows, ys, left = [], [], most_bytes
+        for batch in common.chunks(batches, "text", CHUNK):
+            size = np.cumsum(np.diff(common.utf8(batch.column("text"))[1]))
+            batch = batch.slice(0, int(np.searchsorted(size, left, side="right")))
+            left = -1 if batch.num_rows < len(size) else left - (size[-1] if len(size) else 0)
+            if left < 0 and not batch.num_rows:
+                break
             row, at = features(batch.column("text"))
             both = np.unique(row * DIMS + at)
             cuts = np.searchsorted(both, np.arange(batch.num_rows + 1) * DIMS)
             at = (both % DIMS).astype(np.int32)
             rows += [at[a:b].copy() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             ys += batch.column("_label").to_pylist()
+            if left < 0:
+                break
         found = ftrl(rows, np.array(ys, float))
         yield pa.RecordBatch.from_arrays([pa.array([found.bias]), common.binary([found.index.astype("<i4").tobytes()]), common.binary([found.value.astype("<f8").tobytes()])], ["bias", "at", "value"])
 
     # one task sees the sample, in one order; its rows are bounded by `most`
-    got = sample.repartition(1).sortWithinPartitions("_order", "_doc", "_label", "text").mapInArrow(fit, "bias double, at binary, value binary").collect()
+    got = sample.repartition(1).sortWithinPartitions("_order", "_doc").mapInArrow(fit, "bias double, at binary, value binary").collect()
     if not got:
         return Weights(0.0, np.zeros(0, np.int64), np.zeros(0))
     return Weights(got[0]["bias"], np.frombuffer(got[0]["at"], "<i4").astype(np.int64), np.frombuffer(got[0]["value"], "<f8"))
@@ -116,13 +131,12 @@ def score(docs: DataFrame, model: Weights, text: str = "text") -> DataFrame:
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(*held.value).dense()
-        live = weights != 0
-        for batch in common.chunks(batches, text):
+        weights = Weights(*held.value)
+        for batch in common.chunks(batches, text, CHUNK):
             row, at = features(batch.column(text))
-            keep = live[at]
+            keep = weights.of(at) != 0
             both = np.unique(row[keep] * DIMS + at[keep])
-            total = np.bincount(both // DIMS, weights[both % DIMS], minlength=batch.num_rows) + held.value[0]
+            total = np.bincount(both // DIMS, weights.of(both % DIMS), minlength=batch.num_rows) + weights.bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*batch.schema.names, "_tw_score"])
 
     return docs.mapInArrow(run, f"{columns}, _tw_score double")
