@@ -20,13 +20,18 @@ from . import common, words
 
 U = np.uint64
 #: Units of a document whose anchors are sought at a time; bits of a gram's hash that are compared.
-SEGMENT, PLACE_BITS = 1 << 22, 23
+SEGMENT, PLACE_BITS = 1 << 17, 23
+#: Bytes of text whose anchors are sought at a time.
+SEARCH_BYTES = 128 << 10
 #: Bytes of text for each bucket of anchors; distinct snippets of an anchor that one shard takes whole.
 BUCKET_BYTES, WHOLE = 8 << 20, 1024
+#: Bytes of text that are cut into snippets at a time.
+CUT_BYTES = 256 << 10
 #: Offsets from the anchor that share a shard when an anchor has more snippets than that.
 OFFSETS = 8
-#: Bytes of snippets that are indexed at a time, at least (their suffixes take some hundred times as much).
-SHARD_BYTES = 256 << 10
+#: Bytes of snippets that are indexed at a time, at least; the last anchor's may follow, WHOLE snippets at most. An index takes
+#: some hundred bytes for each of them while it is built.
+SHARD_BYTES = 128 << 10
 
 
 @dataclass(frozen=True)
@@ -133,18 +138,22 @@ def occurrences(docs: DataFrame, units: Units, text: str, key: str) -> DataFrame
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     n_buckets = max(common.shuffle_partitions(spark), -(-common.text_bytes(docs, text) // BUCKET_BYTES))
+    search_bytes = SEARCH_BYTES
     fields = np.dtype([("row", "<i4"), ("lo", "<i8"), ("len", "<i4"), ("off", "<i4"), ("anchor", "<u8"), ("snip", "<u8"), ("known", "u1")])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches, text):
-            data, offs = common.utf8(batch.column(text))
-            unit, first, _ = units.hashes(data, offs)
-            row, lo, length, off, anchor, snip = snippets(unit, first, units.window, units.gram)
-            found = np.empty(len(row), fields)
-            for name, v in zip(fields.names, (row, lo, length, off, anchor, snip, 0), strict=True):
-                found[name] = v
-            order = np.argsort(anchor, kind="stable")
-            found = found[order]
+            found, base = [], 0
+            for part in common.split(batch, text, search_bytes):
+                data, offs = common.utf8(part.column(text))
+                unit, first, _ = units.hashes(data, offs)
+                row, lo, length, off, anchor, snip = snippets(unit, first, units.window, units.gram)
+                found.append(np.empty(len(row), fields))
+                for name, v in zip(fields.names, (row + base, lo, length, off, anchor, snip, 0), strict=True):
+                    found[-1][name] = v
+                base += part.num_rows
+            found = np.concatenate(found)
+            found = found[np.argsort(found["anchor"], kind="stable")]
             a = found["anchor"]
             new = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
             sizes = np.diff(np.concatenate([np.flatnonzero(new), [len(a)]]))
@@ -204,18 +213,19 @@ def occurrences(docs: DataFrame, units: Units, text: str, key: str) -> DataFrame
     return blobs.groupBy("bucket").applyInArrow(lambda t: meet(t.select(["ids", "hs", "found"])), FIELDS.format(key=kind))
 
 
-def pieces(window: int, item: dict) -> list[tuple[int, int, int]]:
-    """Step, first unit and length of the parts of a snippet that are indexed apart. Of an anchor with many forms, windows
-    are parted by their distance from the anchor: equal windows have equal distances, so they fall into one step. Within a
-    step they are dealt by what all windows of the step hold, so that no anchor's forms must meet in one place."""
-    if not item["wide"]:
-        return [(-1, 0, item["len"])]
-    out, last = [], item["len"] - window
-    for step in range((item["off"] - last) // OFFSETS, item["off"] // OFFSETS + 1):
-        i, j = max(0, item["off"] - step * OFFSETS - OFFSETS + 1), min(last, item["off"] - step * OFFSETS)
-        if i <= j:
-            out.append((step, i, j - i + window))
-    return out
+def pieces(window: int, lo: np.ndarray, length: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which of the snippets, step, first unit and length of the parts by which snippets of an anchor with many forms are
+    indexed. Windows are parted by their distance from the anchor: equal windows have equal distances, so they fall into one
+    step. Within a step they are dealt by what all windows of the step hold, so that no anchor's forms must meet in one
+    place."""
+    last = length - window
+    low, high = (off - last) // OFFSETS, off // OFFSETS
+    which = np.repeat(np.arange(len(lo)), high - low + 1)
+    step = common.take_ranges(low, high - low + 1)
+    i = np.maximum(0, off[which] - step * OFFSETS - OFFSETS + 1)
+    j = np.minimum(last[which], off[which] - step * OFFSETS)
+    fine = i <= j
+    return which[fine], step[fine], i[fine], (j - i + window)[fine]
 
 
 def digest(*parts: bytes) -> int:
@@ -228,15 +238,15 @@ def digest(*parts: bytes) -> int:
     return h.intdigest() - 2**63
 
 
-def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, int]]], list[np.ndarray]], text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, int]]], list[np.ndarray]], text: str = "text", key: str = "doc_id", passages: bool = False) -> DataFrame:
     """doc_id, h (hash of the text) and spans (array of start and end in units, neither sorted nor merged) of the units of
-    docs that a repeated window covers; rows without any are left out.
+    docs that a repeated window covers; rows without any are left out. passages: instead of spans, an array of what the covered
+    stretches of the row's snippets hold (words with one space between them).
 
     index takes snippets (content, copies) and returns the covered spans of each as rows of start
     and end. It gets all snippets that can share a window at once, and others with them."""
     kind = docs.schema[key].dataType.simpleString()
     found = common.materialize(occurrences(docs, units, text, key), "repeats")
-    common.free(docs.sparkSession)
     distinct = found.groupBy("anchor", "snip").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "h", "lo", "len", "off")).alias("at"))
     forms = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") > WHOLE)
     distinct = distinct.join(forms, "anchor", "left").select("at.doc_id", "at.h", F.struct("anchor", "snip", "copies", "at.lo", "at.len", "at.off", F.col("forms").isNotNull().alias("wide")).alias("item"))
@@ -247,51 +257,67 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
     window = units.window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.chunks(batches, "_text"):
+        for batch in common.chunks(batches, "_text", CUT_BYTES):
             data, first = common.utf8(batch.column("_text"))
-            raw, starts, ends = data.tobytes(), None, None
-            if units.word:
+            if units.word:  # words, each with one space behind it
                 starts, ends, first = words.spans(data, first)
-            out: list[list] = [[] for _ in range(7)]
-            for row, items in enumerate(batch.column("wanted").to_pylist()):
-                for x in items:
-                    for step, i, n in pieces(window, x):
-                        a = int(first[row]) + x["lo"] + i
-                        if units.word:
-                            list_of = [raw[s:e] for s, e in zip(starts[a : a + n], ends[a : a + n], strict=True)]
-                            content = b" ".join(list_of)
-                        else:
-                            content = raw[a : a + n]
-                        group, piece = x["anchor"], x["snip"]
-                        if x["wide"]:  # every window of a step holds its middle, so equal windows have equal middles
-                            c = x["off"] - i - step * OFFSETS
-                            m = c + window - OFFSETS + 1
-                            core = b" ".join(list_of[c:m]) if units.word else content[c:m]
-                            group = digest(b"%d %d" % (x["anchor"], step), core)
-                            piece = digest(b"%d" % c, content)
-                        for o, v in zip(out, (group, piece, x["anchor"], x["snip"], i, x["copies"], content), strict=True):
-                            o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
+                sizes = ends - starts
+                place = np.concatenate([[0], np.cumsum(sizes + 1)])
+                spaced = np.full(place[-1], 0x20, np.uint8)
+                spaced[common.take_ranges(place[:-1], sizes)] = data[common.take_ranges(starts, sizes)]
+                data = spaced
+            wanted = batch.column("wanted")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+            items = wanted.flatten()
+            anchor, snip, copies, lo, length, off, wide = (items.field(f).to_numpy(zero_copy_only=False) for f in ("anchor", "snip", "copies", "lo", "len", "off", "wide"))
+            length, off = length.astype(np.int64), off.astype(np.int64)
+
+            def content(at: np.ndarray, n: np.ndarray) -> pa.Array:
+                if units.word:
+                    return common.byte_strings(data, place[at], place[at + n] - place[at] - 1)  # noqa: B023
+                return common.byte_strings(data, at, n)  # noqa: B023
+
+            whole = np.flatnonzero(~wide)
+            at = first[owner[whole]] + lo[whole]
+            out = [anchor[whole], snip[whole], anchor[whole], snip[whole], np.zeros(len(whole), np.int64), copies[whole]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), content(at, length[whole])], names)
+            if not wide.any():
+                continue
+            many = np.flatnonzero(wide)
+            which, step, i, n = pieces(window, lo[many], length[many], off[many])
+            which = many[which]
+            at = first[owner[which]] + lo[which] + i
+            # every window of a step holds its middle, so equal windows have equal middles
+            before = off[which] - i - step * OFFSETS
+            core = content(at + before, np.full(len(at), window - OFFSETS + 1))
+            held_by = content(at, n)
+            group = [digest(b"%d %d" % (x, s), c.as_py()) for x, s, c in zip(anchor[which].tolist(), step.tolist(), core, strict=True)]
+            piece = [digest(b"%d" % x, c.as_py()) for x, c in zip(before.tolist(), held_by, strict=True)]
+            out = [group, piece, anchor[which], snip[which], i, copies[which]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(o, pa.int64()) for o in out], held_by], names)
 
     names = ["group", "piece", "anchor", "snip", "at", "copies", "content"]
     parts = common.materialize(held.mapInArrow(cut, "group long, piece long, anchor long, snip long, at long, copies long, content binary"), "snippets")
-    common.free(docs.sparkSession)
-    # copies of a part count together, whichever forms they come from
-    ready = parts.groupBy("group", "piece").agg(F.sum("copies").alias("copies"), F.min("content").alias("content"))
-
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             spans = index([x[2:] for x in held_now])
             out = [(x[0], x[1], s) for x, s in zip(held_now, spans, strict=True) if len(s)]
-            offs = pa.array(np.concatenate([[0], np.cumsum([2 * len(s) for _, _, s in out])]).astype(np.int32))
-            flat = pa.array(np.concatenate([s.ravel() for _, _, s in out]).astype(np.int64) if out else np.zeros(0, np.int64))
+            width = 1 if passages else 2
+            offs = pa.array(np.concatenate([[0], np.cumsum([width * len(s) for _, _, s in out])]).astype(np.int32))
+            if passages:
+                flat = common.binary([p for x, s in zip(held_now, spans, strict=True) if len(s) for p in stretches(x[2], s)])
+            else:
+                flat = pa.array(np.concatenate([s.ravel() for _, _, s in out]).astype(np.int64) if out else np.zeros(0, np.int64))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.ListArray.from_arrays(offs, flat)], ["group", "piece", "marks"])
 
         held_now: list[tuple] = []
         size = 0
+        common.release()
         for batch in batches:
             for x in zip(*(batch.column(c).to_pylist() for c in ("group", "piece", "content", "copies")), strict=True):
+                if held_now and held_now[-1][:2] == x[:2]:  # copies of a part count together, whichever forms they come from
+                    held_now[-1] = (*x[:3], held_now[-1][3] + x[3])
+                    continue
                 if size > SHARD_BYTES and x[0] != held_now[-1][0]:
                     yield flush()
                     held_now, size = [], 0
@@ -299,23 +325,32 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
                 size += len(x[2])
         if held_now:
             yield flush()
+        common.release()
 
-    marks = ready.repartition("group").sortWithinPartitions("group", "piece").mapInArrow(shard, "group long, piece long, marks array<long>")
+    kind_of = "array<binary>" if passages else "array<long>"
+    marks = parts.select("group", "piece", "copies", "content").repartition("group").sortWithinPartitions("group", "piece").mapInArrow(shard, f"group long, piece long, marks {kind_of}")
     of_form = parts.select("group", "piece", "anchor", "snip", "at").join(marks, ["group", "piece"])
-    of_form = of_form.groupBy("anchor", "snip").agg(F.flatten(F.collect_list(F.transform("marks", lambda x: x + F.col("at")))).alias("marks"))
+    shifted = lambda by: F.col("marks") if passages else F.transform("marks", lambda x: x + F.col(by))
+    of_form = of_form.groupBy("anchor", "snip").agg(F.flatten(F.collect_list(shifted("at"))).alias("marks"))
     # written first, so that the join's inputs are plain shuffles and a form of very many occurrences is split
     of_form = common.materialize(of_form, "marks")
     common.drop(parts)
-    placed = found.select("doc_id", "h", "lo", "anchor", "snip").join(of_form, ["anchor", "snip"]).select("doc_id", "h", F.transform("marks", lambda x: x + F.col("lo")).alias("marks"))
-    spans = common.materialize(placed.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("marks")).alias("spans")), "spans")
+    placed = found.select("doc_id", "h", "lo", "anchor", "snip").join(of_form, ["anchor", "snip"]).select("doc_id", "h", shifted("lo").alias("marks"))
+    held = F.flatten(F.collect_list("marks"))
+    spans = common.materialize(placed.groupBy("doc_id", "h").agg((F.array_distinct(held) if passages else held).alias("passages" if passages else "spans")), "spans")
     common.drop(found, of_form)
-    common.free(docs.sparkSession)
     return spans
 
 
+def stretches(content: bytes, spans: np.ndarray) -> list[bytes]:
+    """The words of the spans of a content (words with one space between them)."""
+    parts = content.split(b" ")
+    return [b" ".join(parts[s:e]) for s, e in spans.tolist()]
+
+
 def with_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with the array _tw_spans, null where there are none."""
-    named = spans.select(F.col("doc_id").alias("_tw_doc"), F.col("h").alias("_tw_sh"), F.col("spans").alias("_tw_spans"))
+    """docs with the array _tw_spans (or _tw_passages), null where there are none."""
+    named = spans.select(F.col("doc_id").alias("_tw_doc"), F.col("h").alias("_tw_sh"), F.col(spans.columns[-1]).alias(f"_tw_{spans.columns[-1]}"))
     rows = docs.withColumn("_tw_h", F.xxhash64(text))
     return rows.join(named, F.col(key).eqNullSafe(F.col("_tw_doc")) & (F.col("_tw_h") == F.col("_tw_sh")), "left").drop("_tw_doc", "_tw_h", "_tw_sh")
 

@@ -22,59 +22,80 @@ from . import anchors, common
 WINDOW, GRAM = 200, 32
 
 
+#: Symbols (bytes from 1, nine bits each) that the first order of suffixes compares.
+PACK = 7
+
+
 @dataclass
 class RunIndex:
-    """Sampled suffixes of a shard: snippet, place and longest match elsewhere, at the ends of the transform's runs."""
-
-    snippet: np.ndarray
-    place: np.ndarray
-    match: np.ndarray
-    runs: int
-    rows: int
+    """The transform's runs (preceding byte, or -1 where a snippet begins; number of suffixes), and for each run the place in the
+    shard and longest match elsewhere of its first and its last suffix. repeats: places and lengths of snippets with copies."""
+
+    byte: np.ndarray
+    length: np.ndarray
+    first: np.ndarray
+    first_match: np.ndarray
+    last: np.ndarray
+    last_match: np.ndarray
+    repeats: tuple[np.ndarray, np.ndarray]
+
+
+def ranked(keys: np.ndarray) -> np.ndarray:
+    return np.unique(keys, return_inverse=True)[1].astype(np.int32)
+
+
+def suffix_array(text: np.ndarray, left: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at starts in order, and the common prefix of each with the one before it, by prefix doubling. A suffix ends
+    with its snippet (left: bytes until then), and that end is less than any byte. Equal suffixes keep the order of starts."""
+    n, longest = len(text), int(left.max(initial=1))
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(PACK, np.int64)])
+    packed = np.zeros(n, np.int64)
+    for j in range(PACK):
+        packed = packed << 9 | np.where(left > j, padded[j : j + n], 0)
+    levels, size = [(PACK, ranked(packed))], PACK
+    while size < longest:
+        rank = levels[-1][1]
+        after = np.zeros(n, np.int64)
+        after[: n - size] = rank[size:]
+        levels.append((2 * size, ranked(rank.astype(np.int64) * (n + 1) + np.where(left > size, after + 1, 0))))
+        size *= 2
+    order = starts[np.argsort(levels[-1][1][starts], kind="stable")]
+    i, j = order[:-1], order[1:]
+    same = np.zeros(len(i), np.int64)
+    for size, rank in reversed(levels):
+        same += np.where(rank[np.minimum(i + same, n - 1)] == rank[np.minimum(j + same, n - 1)], size, 0)
+    gap = packed[np.minimum(i + same, n - 1)] ^ packed[np.minimum(j + same, n - 1)]
+    for k in range(PACK):
+        same += (gap >> (9 * (PACK - 1 - k))) == 0
+    return order, np.concatenate([[0], np.minimum(same, np.minimum(left[i], left[j]))]) if len(order) else np.zeros(0, np.int64)
 
 
 def build(contents: list[bytes], copies: list[int], window: int = WINDOW) -> RunIndex:
     """The index of snippets. Suffixes shorter than a window take no part. What stands before a snippet is another's, so its
-    first suffix always ends a run. Bytes count from 1, so that the end of a snippet is less than any."""
-    n = np.array([len(c) for c in contents])
-    longest = int(n.max(initial=0))
-    starts_of = np.maximum(n - window + 1, 0)
-    first = np.concatenate([[0], np.cumsum(n + longest)])
-    text = np.zeros(first[-1] + longest, np.uint8)
-    for c, at in zip(contents, first[:-1], strict=True):
-        text[at : at + len(c)] = np.frombuffer(c, np.uint8)
-        text[at : at + len(c)] += 1
-    snippet = np.repeat(np.arange(len(n)), starts_of)
-    place = np.arange(len(snippet)) - np.repeat(np.cumsum(starts_of) - starts_of, starts_of)
-    at = first[snippet] + place
-    left = n[snippet] - place
-    rows = np.lib.stride_tricks.sliding_window_view(text, longest)[at] if len(at) else np.zeros((0, max(longest, 1)), np.uint8)
-    order = np.argsort(rows.view(f"S{longest}").ravel(), kind="stable") if len(at) else np.zeros(0, np.int64)
-    snippet, place, left, rows, at = snippet[order], place[order], left[order], rows[order], at[order]
-    # the transform: the byte before each suffix; the first of a snippet has one that equals no other
-    prior = np.where(place > 0, text[at - 1].astype(np.int64), -2 - np.arange(len(at)))
-    differ = rows[1:] != rows[:-1]
-    common_prefix = np.where(differ.any(1), differ.argmax(1), longest) if len(at) > 1 else np.zeros(0, np.int64)
-    common_prefix = np.minimum(common_prefix, np.minimum(left[1:], left[:-1]))
-    new = np.ones(len(at) + 1, bool)
-    new[1:-1] = prior[1:] != prior[:-1]
-    head, tail = new[:-1], new[1:]
-    up = np.concatenate([[0], common_prefix]) if len(at) else np.zeros(0, np.int64)
-    down = np.concatenate([common_prefix, [0]]) if len(at) else np.zeros(0, np.int64)
-    match = np.maximum(np.where(head, up, 0), np.where(tail, down, 0))
-    kept = head | tail
-    snippet, place, match = snippet[kept], place[kept], match[kept]
-    many = np.flatnonzero((np.array(copies) > 1) & (n >= window))  # the run of an equal snippet's copies matches to its end
-    return RunIndex(np.concatenate([snippet, many]), np.concatenate([place, np.zeros(len(many), np.int64)]), np.concatenate([match, n[many]]), int(head.sum()), len(at))
+    first suffix is a run of its own."""
+    n = np.array([len(c) for c in contents], np.int64)
+    first = np.cumsum(n) - n
+    text = np.frombuffer(b"".join(contents), np.uint8)
+    left = np.repeat(first + n, n) - np.arange(len(text))
+    order, prefix = suffix_array(text, left, np.flatnonzero(left >= window))
+    prior = np.where(left[order - 1] == 1, -1, text[order - 1].astype(np.int64)) if len(order) else np.zeros(0, np.int64)
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = (prior[1:] != prior[:-1]) | (prior[1:] < 0)
+    head = np.flatnonzero(new[:-1])
+    length = np.diff(np.append(head, len(order)))
+    tail = head + length - 1
+    many = np.flatnonzero((np.array(copies) > 1) & (n >= window))  # copies of a snippet match it to its end
+    return RunIndex(prior[head], length, order[head], prefix[head], order[tail], np.append(prefix, 0)[tail + 1], (first[many], n[many]))
 
 
 def matching_statistics(index: RunIndex, n: np.ndarray) -> np.ndarray:
-    """Length of the longest match elsewhere of every suffix, snippet after snippet, streamed from the samples."""
-    first = np.concatenate([[0], np.cumsum(n)])
-    reach = np.zeros(first[-1], np.int64)
-    np.maximum.at(reach, first[index.snippet] + index.place, first[index.snippet] + index.place + index.match)
-    base = np.repeat(first[:-1], n)
-    reach = np.maximum.accumulate(np.maximum(reach, base))  # ends before the snippet say nothing in it
+    """Length of the longest match elsewhere of every suffix, snippet after snippet (of n bytes), streamed from the ends of
+    runs."""
+    first = np.cumsum(n) - n
+    reach = np.repeat(first, n)  # ends before the snippet say nothing in it
+    for at, match in ((index.first, index.first_match), (index.last, index.last_match), index.repeats):
+        np.maximum.at(reach, at, at + match)
+    reach = np.maximum.accumulate(reach)
     return np.maximum(reach - np.arange(len(reach)), 0)
 
 
