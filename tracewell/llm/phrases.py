@@ -1,8 +1,8 @@
 """Substring dedup by repeated-phrase automata.
 
-Passages that recur are confirmed in shards of distinct snippets (see anchors) by hashes of their windows and compiled into an
-Aho-Corasick automaton for each shard. The automaton marks the passages in those same snippets; documents aren't streamed
-through it. Where the snippets occur in documents is known from a join on (anchor, snippet), and their words go there."""
+Passages that recur are confirmed in shards of distinct snippets (see anchors) by hashes of their windows. A document gets the
+passages that its snippets hold. The passages of a shard of documents are compiled into an Aho-Corasick automaton, and every
+document of the shard is streamed through it: where it finds a passage, and nowhere else, words are covered."""
 
 from __future__ import annotations
 
@@ -15,50 +15,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import anchors, common, words
-from .rindex import flat_spans
 
 #: Words of a window, and of an anchor in it.
 WINDOW, GRAM = 35, 8
+#: Bytes of text of a shard of documents.
+SHARD_BYTES = 256 << 10
 UNITS = anchors.Units(WINDOW, GRAM, word=True)
 
 
-def passages(texts: list[list[int]], copies: list[int], window: int = WINDOW) -> list[tuple[int, ...]]:
-    """Distinct passages of words that recur: runs of windows that occur at least twice among all texts and their copies."""
-    n = np.array([len(t) for t in texts])
-    flat = words.mix(np.fromiter((i for t in texts for i in t), np.uint64, int(n.sum())) + np.uint64(1))
-    first = np.concatenate([[0], np.cumsum(n)])
-    h, offs = words.grams(flat, first, window, short=False)
-    weight = np.repeat(np.array(copies), np.diff(offs))
+def recurring(snippets: list[tuple[bytes, int]], window: int = WINDOW) -> list[np.ndarray]:
+    """Spans of words of each snippet (content, copies): runs of windows that occur at least twice among all snippets and their
+    copies. A snippet of fewer words than a window has none."""
+    data, offs = common.utf8(common.binary([x[0] for x in snippets]))
+    starts, ends, first = words.spans(data, offs)
+    h, at = words.grams(words.hashes(data, starts, ends, lower=False), first, window, short=False)
+    weight = np.repeat(np.array([x[1] for x in snippets]), np.diff(at))
     _, which = np.unique(h, return_inverse=True)
     often = np.bincount(which, weight, minlength=1)[which] > 1 if len(h) else np.zeros(0, bool)
-    found = dict.fromkeys(tuple(texts[k][s : e + window - 1]) for k, spans in enumerate(anchors.runs(often, offs)) for s, e in spans.tolist())
-    return list(found)
+    return [s + [0, window - 1] for s in anchors.runs(often, at)]
 
 
-def automaton(of: list[tuple[int, ...]]) -> ahocorasick.Automaton:
+def automaton(passages: list[tuple[int, ...]]) -> ahocorasick.Automaton:
     """Finds all passages (sequences of word numbers); a match's value is its length."""
     out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p in of:
+    for p in passages:
         out.add_word(p, len(p))
     out.make_automaton()
     return out
 
 
-def covered(snippets: list[tuple[bytes, int]], window: int = WINDOW) -> list[np.ndarray]:
-    """Spans of words of each snippet (content, copies) that occurrences of recurring passages cover."""
-    number: dict[bytes, int] = {}
-    texts = [[number.setdefault(w, len(number)) for w in x[0].split(b" ")] for x in snippets]
-    found = passages(texts, [x[1] for x in snippets], window)
-    if not found:
-        return [np.zeros((0, 2), np.int64)] * len(texts)
-    match = automaton(found)
-    return [anchors.merged(np.array([(end + 1 - size, end + 1) for end, size in match.iter(tuple(t))], np.int64).reshape(-1, 2)) for t in texts]
+def occurrences(texts: pa.Array, passages: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, list[np.ndarray]]:
+    """Starts and ends of all words of the texts, the rows' first words, their bytes, and the spans of each row's words that
+    occurrences of the shard's passages (lists, one a row, null: none) cover. A row without passages isn't streamed."""
+    data, offs = common.utf8(texts)
+    starts, ends, first = words.spans(data, offs)
+    none = np.zeros((0, 2), np.int64)
+    spans = [none] * len(texts)
+    rows = np.flatnonzero(passages.is_valid().to_numpy(zero_copy_only=False))
+    if len(rows):
+        distinct = passages.flatten().unique()
+        p_data, p_offs = common.utf8(distinct)
+        p_starts, p_ends, p_first = words.spans(p_data, p_offs)
+        at = common.take_ranges(first[rows], first[rows + 1] - first[rows])
+        hashes = np.concatenate([words.hashes(p_data, p_starts, p_ends, lower=False), words.hashes(data, starts[at], ends[at], lower=False)])
+        number = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
+        split = lambda flat, cuts: [tuple(flat[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        find = automaton([p for p in split(number, p_first) if p])
+        cuts = np.concatenate([[0], np.cumsum(first[rows + 1] - first[rows])])
+        for row, text in zip(rows.tolist(), split(number[len(p_starts) :], cuts), strict=True):
+            hits = np.array([(end + 1 - size, end + 1) for end, size in find.iter(text)], np.int64) if text and len(find) else none
+            spans[row] = anchors.merged(hits.reshape(-1, 2))
+    return starts, ends, first, data.tobytes(), spans
+
+
+def with_passages(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """docs with _tw_passages: the recurring passages that each row's snippets hold, null where there are none."""
+    return anchors.with_spans(docs, anchors.repeated(docs.select(key, text), UNITS, recurring, text, key, passages=True), text, key)
 
 
 def phrase_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with _tw_spans: the words of each row that a window of 35 words covers whose words also occur elsewhere, in the
     same row or another; equal rows are rows apart. Null texts have no words. Null where there are none."""
-    return anchors.with_spans(docs, anchors.repeated(docs.select(key, text), UNITS, covered, text, key), text, key)
+    names = docs.columns
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, text, SHARD_BYTES):
+            *_, spans = occurrences(batch.column(text), batch.column("_tw_passages"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array([s.ravel().tolist() if len(s) else None for s in spans], pa.list_(pa.int64()))], [*names, "_tw_spans"])
+
+    return with_passages(docs, text, key).select(*names, "_tw_passages").mapInArrow(run, f"{columns}, _tw_spans array<long>")
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,17 +92,16 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.chunks(batches):
-            data, offs = common.utf8(batch.column("text"))
-            starts, ends, first = words.spans(data, offs)
-            raw, out = data.tobytes(), [[] for _ in range(3)]
-            for a, b, x in zip(first[:-1], first[1:], batch.column("_tw_spans").to_pylist(), strict=True):
+        for batch in common.chunks(batches, "text", SHARD_BYTES):
+            starts, ends, first, raw, spans = occurrences(batch.column("text"), batch.column("_tw_passages"))
+            out = [[] for _ in range(3)]
+            for a, b, found in zip(first[:-1], first[1:], spans, strict=True):
                 stay = np.ones(b - a, bool)
-                for s, e in flat_spans(x).tolist():
+                for s, e in found.tolist():
                     stay[s:e] = False
                 kept = b" ".join([raw[s:e] for s, e in zip(starts[a:b][stay].tolist(), ends[a:b][stay].tolist(), strict=True)])
                 for o, v in zip(out, (b - a, b - a - int(stay.sum()), hashlib.sha256(kept).hexdigest()), strict=True):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True)]], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return phrase_spans(docs).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_passages(docs, "text", "doc_id").select("doc_id", "text", "_tw_passages").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
