@@ -6,7 +6,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +120,12 @@ def kept(owner: str) -> dict:
     return _KEPT.setdefault(owner, {})
 
 
+def apart(docs: DataFrame, *own: str | None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all but its own columns under names that no helper column has, and what gives them their names back."""
+    other = {c: f"other {i}" for i, c in enumerate(docs.columns) if c not in own}
+    return docs.withColumnsRenamed(other), lambda df: df.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def release() -> None:
     """Give memory that nothing holds back to the system: workers outlive their tasks, and an executor has many."""
     pa.default_memory_pool().release_unused()

@@ -59,13 +59,14 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value
     return rows.join(sums, match).select(*df.columns, (F.col("_within") + F.col("_ahead")).alias(out))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17, text: str = "text", budget: int | None = None) -> DataFrame:
-    """doc_id, source, h (hash of row), size, source_size, target and taken for each row of docs (doc_id, source, text).
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17, text: str = "text", budget: int | None = None, identity: Column | None = None) -> DataFrame:
+    """doc_id, source, h (hash of row: of identity, a 64-bit column, where given, else of doc_id and text), size, source_size, target and taken for each row of docs (doc_id, source, text).
 
     budget: words to take in all (None: as many as the documents have). Null and empty texts have size 0 and are never
     taken. Null sources are one source, the last. Equal rows stay rows of their own. No document is taken more than
     `most` times; one that the budget's end cuts is taken in part. An empty table gives no rows."""
-    rows = docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("h"))
+    h = F.xxhash64(F.lit(seed), "doc_id", text) if identity is None else identity
+    rows = docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), h.alias("h"))
     rows = common.materialize(rows, "mix-sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, budget)
     count, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -90,17 +91,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row for each whole pass, and one with the first words of the text for the rest of
-    what is taken. All columns of docs stay; rows that are not taken go."""
+    what is taken. All columns of docs stay; rows that are not taken go.
+
+    A row is told by a hash of all its columns (maps as JSON), so rows that differ in any of them, the source too, are taken as
+    they are; rows equal in all are alike, and each of them may stand for the others."""
     seed, text = options.get("seed", 17), options.get("text", "text")
-    took = mix(docs, **options).where("taken > 0").groupBy("doc_id", "h", "size").agg(F.sum("taken").alias("_tw_taken"))
-    took = took.select(F.col("doc_id").alias("_tw_doc"), F.col("h").alias("_tw_h"), F.col("size").alias("_tw_size"), "_tw_taken")
-    keyed = docs.withColumn("_tw_key", F.xxhash64(F.lit(seed), "doc_id", text)).dropDuplicates(["doc_id", "_tw_key"])
-    rows = keyed.join(took, F.col("doc_id").eqNullSafe(F.col("_tw_doc")) & (F.col("_tw_key") == F.col("_tw_h")))
+    docs, back = common.apart(docs, "doc_id", "source", text)
+    name = lambda f: f"`{f.name}`"
+    plain = [F.to_json(name(f)) if "map<" in f.dataType.simpleString() else F.col(name(f)).cast("string") if f.dataType.simpleString() in ("variant", "void") else F.col(name(f)) for f in docs.schema.fields]
+    # a null is told from a zero or an empty value beside it
+    own = F.xxhash64(F.lit(seed), F.concat_ws("", *[F.col(name(f)).isNull().cast("int").cast("string") for f in docs.schema.fields]), *plain)
+    took = mix(docs, identity=own, **options).where("taken > 0").groupBy("h", "size").agg(F.sum("taken").alias("_tw_taken"))
+    took = took.select(F.col("h").alias("_tw_h"), F.col("size").alias("_tw_size"), "_tw_taken")
+    rows = docs.withColumn("_tw_key", own).dropDuplicates(["_tw_key"]).join(took, F.col("_tw_key") == F.col("_tw_h"))
     passes = F.ceil(F.col("_tw_taken") / F.col("_tw_size")).cast("int")
     rows = rows.withColumn("_tw_pass", F.explode(F.sequence(F.lit(1), passes)))
     rest = (F.col("_tw_taken") - (F.col("_tw_pass") - 1) * F.col("_tw_size")).cast("int")
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
-    return rows.withColumn(text, F.when(rest < F.col("_tw_size"), first).otherwise(F.col(text))).select(*docs.columns)
+    return back(rows.withColumn(text, F.when(rest < F.col("_tw_size"), first).otherwise(F.col(text))))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,7 @@ def characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
 def dedup_text(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with their repeated strings gone from the text, in whole characters; n_chars follows if it is a column. Null
     texts stay null."""
+    docs, back = common.apart(docs, text, key, n_chars)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,4 +185,4 @@ def dedup_text(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars
                 by_name[n_chars] = pa.array([None if t is None else len(t) for t in texts]).cast(by_name[n_chars].type)
             yield pa.RecordBatch.from_arrays(list(by_name.values()), list(by_name))
 
-    return dedup_spans(docs, text, key).select(*docs.columns, "_tw_spans").mapInArrow(cut, columns)
+    return back(dedup_spans(docs, text, key).select(*[f"`{c}`" for c in docs.columns], "_tw_spans").mapInArrow(cut, columns))
