@@ -1,6 +1,7 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed word n-grams and skip-grams.
 
-A document's features are the distinct hashes of its words, pairs, triples and pairs with a gap, with A-Z as a-z. FTRL keeps a
+A document's features are the distinct hashes of its words, pairs, triples and pairs with a gap, with A-Z as a-z, and of the
+first bytes of its words, so that what is learnt of a stem holds for its other endings. FTRL keeps a
 learning rate for each coordinate and an L1 penalty that leaves few weights above zero, so the model is a short list of
 (feature, weight): at most DIMS entries, which bounds what is broadcast."""
 
@@ -21,9 +22,14 @@ from . import common, words
 DIMS, MOST_LABELLED, MOST_BYTES = 1 << 22, 16384, 64 << 20
 #: Bytes of text whose features are made at a time.
 CHUNK = 512 << 10
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 6.0, 0.0, 4
-#: Values of a feature by its kind, which the low two bits of its coordinate tell: word, pair, triple, pair with a gap.
-VALUES = np.array([1.0, 0.25, 0.25, 0.25])
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 3.0, 0.0, 4
+#: What an error on a toxic row counts, beside one on another.
+TOXIC_WEIGHT = 2.0
+#: Lengths in bytes of the beginnings of words.
+STEMS = (4, 5, 6, 7)
+#: Values of a feature by its kind, which the low three bits of its coordinate tell: word, pair, triple, pair with a gap, stem.
+VALUES = np.array([1.0, 0.25, 0.25, 0.25, 0.5, 0.0, 0.0, 0.0])
+KIND = len(VALUES) - 1
 #: Scores from here on are toxic.
 THRESHOLD = 0.7
 #: White space and ASCII punctuation part words here.
@@ -37,7 +43,8 @@ def features(column: pa.Array, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray
     starts, ends, first = words.spans(data, offs, PARTS)
     one = words.hashes(data, starts, ends, lower=True)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    rows, out = [row], [one & ~np.uint64(3)]
+    low = np.uint64(KIND)
+    rows, out = [row], [one & ~low]
     factors = words.odd(8)
     for kind, gaps in enumerate(((0, 1), (0, 1, 2), (0, 2)), 1):
         n = len(one) - gaps[-1]
@@ -48,7 +55,14 @@ def features(column: pa.Array, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray
             h = h * factors[5] + one[j : j + n]
         same = row[:n] == row[gaps[-1] :]
         rows.append(row[:n][same])
-        out.append(words.mix(h[same]) & ~np.uint64(3) | np.uint64(kind))
+        out.append(words.mix(h[same]) & ~low | np.uint64(kind))
+    stem, length = np.zeros(len(starts), np.uint64), ends - starts
+    for k in range(max(STEMS)):
+        stem = stem * factors[6] + words._LOWER[data[np.minimum(starts + k, len(data) - 1)]] if len(starts) else stem
+        if k + 1 in STEMS:
+            long = length > k
+            rows.append(row[long])
+            out.append(words.mix(stem[long] + np.uint64(k + 1)) & ~low | np.uint64(4))
     return np.concatenate(rows), (np.concatenate(out) % np.uint64(dims)).astype(np.int64)
 
 
@@ -68,25 +82,25 @@ class Weights:
         return np.where(self.index[place] == at, self.value[place], 0.0)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, dims: int = DIMS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS) -> Weights:
-    """Weights for rows of distinct coordinates, seen in the order given."""
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, dims: int = DIMS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS, toxic: float = TOXIC_WEIGHT) -> Weights:
+    """Weights for rows of distinct coordinates, seen in the order given. The last coordinate is the bias, without a penalty."""
     z, n = np.zeros(dims + 1), np.zeros(dims + 1)
     bias = np.array([dims])
     for _ in range(epochs):
         for at, y in zip(rows, labels, strict=True):
             at = np.concatenate([at, bias])
-            x = VALUES[at & 3]
+            x = VALUES[at & KIND]
             x[-1] = 1.0
             zi, ni = z[at], n[at]
             shrink = np.where(at == dims, 0.0, l1)
             w = np.where(np.abs(zi) <= shrink, 0.0, -(zi - np.sign(zi) * shrink) / ((beta + np.sqrt(ni)) / alpha + l2))
-            g = (1 / (1 + np.exp(-np.clip((w * x).sum(), -35, 35))) - y) * x
+            g = (1 / (1 + np.exp(-np.clip((w * x).sum(), -35, 35))) - y) * x * (toxic if y else 1.0)
             z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
             n[at] = ni + g * g
     index = np.flatnonzero(np.abs(z[:dims]) > l1)  # few; nothing else of this size is made
     zi, ni = z[index], n[index]
     value = -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2)
-    return Weights(float(-z[dims] / ((beta + np.sqrt(n[dims])) / alpha + l2)), index, value * VALUES[index & 3])
+    return Weights(float(-z[dims] / ((beta + np.sqrt(n[dims])) / alpha + l2)), index, value * VALUES[index & KIND])
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> Weights:
@@ -156,7 +170,8 @@ def model_of(spark: SparkSession, sf_dir: str) -> Weights:
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without those that score THRESHOLD or more, by a model of the labels that are not held out."""
     model = train(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels.where(fold("doc_id") != 1))
-    return score(docs, model, text).where(F.col("_tw_score") < THRESHOLD).select(*docs.columns)
+    docs, back = common.apart(docs, text, key)
+    return back(score(docs, model, text).where(F.col("_tw_score") < THRESHOLD))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
