@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -161,26 +162,101 @@ def test_mix(docs, empty):
     assert sum(len(WORD.findall(r.text)) for r in taken.collect()) == sum(r.taken for r in rows)
 
 
+def queue(rows, weights=(5, 2, 1), most=3):
+    """Taken words of each row (doc_id, source, h, size), by the queue as it is told: every pass of every document, by virtual
+    finish time, until the words are used up."""
+    total = sum(r.size for r in rows)
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r.size for r in rows if r.source == s) for s in sources}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    target, open_ = {}, set(sources)
+    while True:  # fill, fix those above their limit, fill the rest again
+        left = total - sum(target.values())
+        level = left / sum(weight[s] for s in open_) if open_ else 0
+        full = {s for s in open_ if weight[s] * level > most * size[s]}
+        if not full:
+            break
+        target |= {s: most * size[s] for s in full}
+        open_ -= full
+    target |= {s: weight[s] * level for s in open_}
+    line, ahead = [], Counter()
+    for r in sorted(rows, key=lambda r: ((r.h >> 20) % 64, r.h)):  # shuffled by a hash
+        for k in range(most):
+            turn = k * size[r.source] + ahead[r.source]
+            if r.size and target[r.source] and turn / target[r.source] < 1:
+                line.append(((turn + r.size) / target[r.source], r.h, turn, r))
+        ahead[r.source] += r.size
+    taken, used = Counter(), 0
+    for _, h, _, r in sorted(line, key=lambda x: x[:3]):
+        part = min(r.size, max(0, total - used))
+        used += r.size
+        taken[(r.doc_id, r.source, h)] += part
+    return taken, target
+
+
+def test_mix_equals_a_plain_queue(docs):
+    rows = mixing.mix(docs).collect()
+    taken, target = queue(rows)
+    for r in rows:
+        assert r.target == pytest.approx(target[r.source])
+    got = Counter()
+    for r in rows:
+        got[(r.doc_id, r.source, r.h)] += r.taken
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in taken.items() if v}
+
+
+def test_take_keeps_rows_apart(spark):
+    rows = [(1, "a b c d", "s1", 1), (1, "a b c d", "s2", 1), (1, "a b c d", "s2", 2), (1, "a b c d", "s2", 2), (2, None, None, 3), (None, "e f", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _tw_x int")
+    own = {r.source: r.target for r in mixing.mix(df).collect()}
+    got = mixing.take(df).collect()
+    words = Counter()
+    for r in got:
+        words[r.source] += len(r.text.split())
+        assert (r.doc_id, r.source, r["_tw_x"]) in {(d, s, x) for d, _, s, x in rows}
+    assert sum(words.values()) == 18 and all(abs(words[s] - own[s]) <= 4 for s in own)
+    assert counted(mixing.take(df.repartition(4)).collect()) == counted(got)
+
+
 def test_search(spark):
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in rng.normal(size=24) * rng.integers(1, 4)]) for i in range(700)]
     data[51] = (51, data[50][1])
     data += [(50, data[3][1]), (900, None), (950, [None] * 24), (1000, [float("nan")] * 24), (1050, []), (1100, [1.0, 2.0]), (1150, [3.0, 1.0]), (None, data[0][1])]
+    data += [(1200 + 50 * i, [float(x) for x in rng.normal(size=3) * 2.0**20]) for i in range(4)] + [(1501, [2.0**40] * 3), (1550, [1e30] * 3)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    whole = [(i, np.floor(256 * np.array(v, float))) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all()]
+    small = lambda v: all(abs(x) < 2.0**22 for x in v)  # noqa: E731  larger ones take no part
+    whole = [(i, np.floor(256 * np.array(v, float))) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all() and small(v)]
     want = []
     for n, (i, q) in enumerate(whole):
         if i % 50 == 0:
-            others = sorted((-int(q @ v), j) for m, (j, v) in enumerate(whole) if m != n and len(v) == len(q))[:5]
+            others = sorted((-sum(int(a) * int(b) for a, b in zip(q, v, strict=True)), j) for m, (j, v) in enumerate(whole) if m != n and len(v) == len(q))[:5]  # noqa: E501
             want += [(i, r, j, -s) for r, (s, j) in enumerate(others, 1)]
     assert counted(search.top_k(df).collect()) == counted(want)
     assert search.top_k(df.where("vec_id = 1")).count() == 0
     assert search.top_k(df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("size", [4096, 16])
+def test_search_in_small_blocks(spark, size, monkeypatch):
+    for name, value in (("BLOCK", size), ("QUERY_BLOCK", 4), ("PAGE", 8)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(8, 16))
+    data = [(i, [float(x) for x in centres[i % 8] + 0.05 * rng.normal(size=16)]) for i in range(600)]
+    v = np.floor(256 * np.array([x for _, x in data]))
+    want = []
+    for i in range(0, 600, 20):
+        others = sorted((-int(v[i] @ v[j]), j) for j in range(600) if j != i)[:3]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(others, 1)]
+    got = search.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3), 3, 20)
+    assert counted(got.collect()) == counted(want)
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(1)
     q, x = rng.normal(size=(20, 37)), rng.normal(size=(30, 37))
+    assert (search.reach(q, search.outline(x)[None])[:, 0] >= (q @ x.T).max(1)).all()
     for level in search.LEVELS:
         assert (search.statistics(q, level) @ search.statistics(x, level).T >= q @ x.T - 1e-9).all()
 
@@ -198,9 +274,10 @@ def windows_of(rows, unit, w):
     return parts, out
 
 
-@pytest.mark.parametrize("whole", [anchors.WHOLE, 0])
-def test_suffix_and_phrase_spans(docs, empty, whole, monkeypatch):
+@pytest.mark.parametrize("whole, search", [(anchors.WHOLE, anchors.SEARCH_BYTES), (0, 2000)])
+def test_suffix_and_phrase_spans(docs, empty, whole, search, monkeypatch):
     monkeypatch.setattr(anchors, "WHOLE", whole)
+    monkeypatch.setattr(anchors, "SEARCH_BYTES", search)
     rows = all_rows(docs)
     for find, unit, w in ((rindex.dedup_spans, lambda t: (t or "").encode(), 200), (phrases.phrase_spans, lambda t: WORD.findall(t or ""), 35)):
         parts, marked = windows_of(rows, unit, w)
@@ -211,6 +288,34 @@ def test_suffix_and_phrase_spans(docs, empty, whole, monkeypatch):
         del parts
 
 
+def test_phrases_are_found_by_the_automaton():
+    words = [f"w{k}" for k in range(50)]
+    passage = " ".join(words[:40])
+    texts = pa.array([f"a {passage} b", None, "", f"{passage} {passage}", "x y"])
+    held = pa.array([[passage.encode()], None, None, [passage.encode()], [passage.encode()]], pa.list_(pa.binary()))
+    *_, spans = phrases.occurrences(texts, held)
+    assert [s.tolist() for s in spans] == [[[1, 41]], [], [], [[0, 80]], []]
+    assert [len(s) for s in phrases.recurring([(passage.encode(), 2), (b"a b", 9), (b"", 3), (" ".join(words[10:50]).encode(), 1)])] == [1, 0, 0, 0]
+
+
+def test_a_broken_automaton_removes_nothing(spark, docs, monkeypatch):
+    rows = docs.where("text is not null").limit(60)
+    assert phrases.phrase_spans(rows.union(rows)).where("_tw_spans is not null").count() > 0
+    batch = pa.array(["a b c"]), pa.array([[b"a b"]], pa.list_(pa.binary()))
+    assert phrases.occurrences(*batch)[-1][0].tolist() == [[0, 2]]
+    monkeypatch.setattr(phrases, "automaton", lambda found: found_nothing())
+    assert not len(phrases.occurrences(*batch)[-1][0])
+
+
+def found_nothing():
+    import ahocorasick
+
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    out.add_word((10**6,), 1)
+    out.make_automaton()
+    return out
+
+
 def test_dedup_text_keeps_characters(spark, docs):
     out = rindex.dedup_text(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -223,11 +328,36 @@ def test_dedup_text_keeps_characters(spark, docs):
 def test_run_index_samples_run_ends():
     text = bytes(random.Random(1).randbytes(900))
     index = rindex.build([text, *[bytes([k]) + text[100:700] for k in range(20)]], [1] * 21, 200)
-    assert index.runs < index.rows / 8
+    assert len(index.byte) < index.length.sum() / 8
     ms = rindex.matching_statistics(index, np.array([900] + [601] * 20))
     assert ms[100] == 600 and ms[300] == 400 and ms[901] == 600 and ms[900] < 200 and ms[0] < 200
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_run_index_is_the_transform(seed):
+    rng = random.Random(seed)
+    base = rng.choices(b"ab" if seed % 2 else b"acgt", k=300)
+    contents = [bytes(base[rng.randint(0, 40) : rng.randint(60, 300)]) + bytes(rng.choices(b"ab", k=rng.randint(0, 40))) for _ in range(8)]
+    copies, window = [rng.choice((1, 1, 2)) for _ in contents], 8
+    n = np.array([len(c) for c in contents])
+    suffixes = [(c[i:], k, i) for k, c in enumerate(contents) for i in range(len(c) - window + 1)]
+    suffixes.sort(key=lambda x: x[0])
+    want = [-1 if i == 0 else contents[k][i - 1] for _, k, i in suffixes]
+    index = rindex.build(contents, copies, window)
+    assert np.repeat(index.byte, index.length).tolist() == want
+    # each suffix's longest match elsewhere, by comparison with all others
+    prefix = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    ms, first = rindex.matching_statistics(index, n), np.cumsum(n) - n
+    for s, k, i in suffixes:
+        longest = max([prefix(s, t) for t, q, j in suffixes if (q, j) != (k, i)] + [len(s)] * (copies[k] > 1))
+        if longest >= window:
+            assert ms[first[k] + i] == longest
+    # the answer hangs on the runs' ends alone
+    index.first_match[:], index.last_match[:] = 0, 0
+    index = rindex.RunIndex(index.byte, index.length, index.first, index.first_match, index.last, index.last_match, (index.repeats[0][:0], index.repeats[1][:0]))
+    assert not rindex.matching_statistics(index, n).any()
+
+
 PAGE = "<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies, as ever.</div>{0}<aside>See also.</aside><div id=comments><p>First, great!</p></div><footer>&copy; me</footer></body></html>"
 
 
@@ -277,6 +407,26 @@ def test_what_is_marked_goes(attributes):
     assert extract.main_text(page) == "One, two. And more of it.\nThree, four."
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p class=it's>Hello, there. Text.</p><p>More, text.</p>", "Hello, there. Text.\nMore, text."), ("<p title='a > b'>One, two.</p>", "One, two."), ('<p title="a > b" x=">">One, two.</p>', "One, two."), ("<a b='c", ""),
+        ("<article class='post tag-social share'><p>Hello, there. Text.</p></article>", "Hello, there. Text."), ("<div class='social-life'><p>Hello, there. Text.</p></div>", "Hello, there. Text."),
+        ("<div class='comments'><p>All there is, here. Yes.</p></div>", "All there is, here. Yes."), ("<p>The text</p><div class=ad>Buy, now. Buy, here. Buy, there.</div>", "The text"),
+        ("<p>The <span class=ad>Buy, now.</span> text, whole. Yes.</p>", "The\ntext, whole. Yes."), ("<div hidden><p>One, two.</p></div>", ""),
+    ],
+)
+def test_marks_and_quotes(page, text):
+    assert extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60000 + "x", "<div>" * 30000 + "</section>" * 30000, "<ul>" + "<div>" * 20000 + "<li>a" * 20000, "<p>a<b>" * 40000, "<script>" * 40000, "<div><b>" * 30000 + "</i>" * 30000])
+def test_nesting_costs_in_proportion(page):
+    began = time.process_time()
+    extract.main_text(page)
+    assert time.process_time() - began < 3
+
+
 def test_a_self_closed_drawing_is_empty():
     assert extract.main_text("<article><p>One, two.</p><svg/><p>Three, four.</p><svg a=b><text>no</text></svg></article>") == "One, two.\nThree, four."
 
@@ -372,6 +522,57 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def plain_ftrl(rows, labels, dims, alpha, beta, l1, epochs, toxic):
+    """FTRL-proximal of one coordinate at a time, as published."""
+    z, n, w = {}, {}, {}
+    for _ in range(epochs):
+        for at, y in zip(rows, labels, strict=True):
+            x = {int(i): toxicity.VALUES[i & toxicity.KIND] for i in at} | {dims: 1.0}
+            for i in x:
+                shrink = 0.0 if i == dims else l1
+                zi = z.get(i, 0.0)
+                w[i] = 0.0 if abs(zi) <= shrink else -(zi - (1 if zi > 0 else -1) * shrink) / ((beta + n.get(i, 0.0) ** 0.5) / alpha)
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v * (toxic if y else 1.0)
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    weight = lambda i, s: -(z[i] - np.sign(z[i]) * s) / ((beta + n[i] ** 0.5) / alpha)
+    return weight(dims, 0.0), {i: weight(i, l1) * toxicity.VALUES[i & toxicity.KIND] for i in sorted(z) if i != dims and abs(z[i]) > l1}
+
+
+def test_ftrl_equals_a_plain_one():
+    rng = np.random.default_rng(3)
+    dims = 64
+    rows = [np.unique(rng.integers(0, dims, rng.integers(0, 12))) for _ in range(200)]
+    labels = np.array([float(5 in r or 9 in r) for r in rows])
+    got = toxicity.ftrl(rows, labels, dims, 2.0, 1.0, 0.5, 0.0, 3, 2.0)
+    bias, want = plain_ftrl(rows, labels, dims, 2.0, 1.0, 0.5, 3, 2.0)
+    assert got.bias == pytest.approx(bias) and got.index.tolist() == list(want)
+    assert got.value == pytest.approx(np.array(list(want.values())))
+
+
+def test_toxicity_features():
+    row, at = toxicity.features(pa.array(["Abcdefgh abcd", None, "", "ab"]))
+    kinds = Counter((int(r), int(a & toxicity.KIND)) for r, a in zip(row, at, strict=True))
+    assert kinds == {(0, 0): 2, (0, 1): 1, (0, 4): 5, (3, 0): 1}  # two words, one pair, stems of 4 to 7 bytes and of 4
+    stems = [set(at[(row == r) & (at & toxicity.KIND == 4)]) for r in (0,)][0]
+    assert len(stems) == 4  # both words begin alike
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i % 40, f"word{i % 7} " * 50, int(i % 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumns({"_label": F.lit(1), "_order": F.lit(2), "_key": F.lit("x")})
+    labels = df.select("doc_id", "toxic")
+    for options in ({"most": 5}, {"most_bytes": 2000}, {"most_bytes": 10}, {}):
+        model = toxicity.train(df, labels, **options)
+        assert toxicity.score(df, model).count() == 400
+    assert toxicity.train(df.limit(0), labels).bias == 0
+    nulls = spark.createDataFrame([(1, None), (2, None), (None, "x")], "doc_id long, text string")
+    assert toxicity.score(nulls, toxicity.train(nulls, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))).count() == 3
+    assert toxicity.clean(df, labels).columns == df.columns
+
+
 def test_word_hashes_do_not_depend_on_place():
     texts = ["alpha Beta gamma", "", "gamma  alpha\tBETA " + "z" * 700_000 + " beta"]
     out = {}
