@@ -68,7 +68,7 @@ def test_ocr(spark):
     words = [("d", 1, "world", 60, 10, 50, 10, 90.0), ("d", 1, "Hello", 0, 11, 50, 10, 90.0), ("d", 1, "Next", 0, 40, 40, 10, 60.0)]
     df = spark.createDataFrame(words, "doc_id string, page_num int, text string, left int, top int, width int, height int, conf double")
     page = ocr.read_pages(df)
-    assert page.first().text == "Hello world\nNext" and ocr.route(page).first().route == "vlm"
+    assert page.first().text == "Hello  world\nNext" and ocr.route(page).first().route == "vlm"
     todo = spark.createDataFrame([("d", 1, "vlm", None, b"x"), ("d", 2, "vlm", None, b""), ("d", 3, "ocr", None, b"x")], "doc_id string, page_num int, route string, text string, image binary")
     got = {r.page_num: (r.text, r.error) for r in ocr.transcribe(todo, lambda b: {b"x": "read"}[b]).collect()}
     assert got[1] == ("read", None) and got[2][0] is None and 3 not in got

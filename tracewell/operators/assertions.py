@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
+from ..functions.names import SLOTS, admit_udf
 from ..functions.kernels import narrow_quote_udf, partial_ratio_udf, salvage_udf
 
 REQUIRED = ("subject_type", "subject_name", "predicate", "object_type", "object_name", "quote")
 FIELDS = ("subject_type", "subject_name", "predicate", "object_type", "object_name", "event_date", "quote")
-PRONOUN = r"(?i)^(he|she|they|him|her|them|it|i|we|you|me|us|his|hers|their|someone|somebody)$"
 
 
 def parse(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -32,20 +32,22 @@ def supported(rows: DataFrame, page: str = "page_text", least: float = 90.0) ->
     return rows.withColumn("_support", F.coalesce("_cheap", F.when(ratio >= least, "near"))).drop("_cheap")
 
 
-def validate(rows: DataFrame, page: str = "page_text") -> DataFrame:
-    """rows with drop_reason (null: admitted), narrowed quotes, repaired types and dates of known precision."""
+def validate(rows: DataFrame, page: str = "page_text", header: str | None = None, speaker: str | None = None) -> DataFrame:
+    """rows with drop_reason (null: admitted), narrowed quotes, repaired types and names and dates of known precision.
+
+    Only a missing field or a quote that the page doesn't hold drops a row. Names of people and bodies must stand in the page or the
+    document's header (a column, if given) and be names; else they are claims. First and second person get the name they mean:
+    that of the speaker whom the quote reports, of the subject, or of the document's speaker (a column)."""
     missing = F.lit(False)
     for f in REQUIRED:
         missing = missing | (F.coalesce(F.trim(f), F.lit("")) == "")
     rows = supported(rows.withColumn("_missing", missing), page)
     rows = rows.withColumn("drop_reason", F.when(F.col("_missing"), "missing field").when(F.col("_support").isNull(), "quote not on page"))
     rows = rows.withColumn("quote", narrow_quote_udf(F.substring("quote", 1, 400), "object_name"))
-    for side in ("subject", "object"):
-        kind, name = F.col(f"{side}_type"), F.col(f"{side}_name")
-        sentence = (F.size(F.split(C.squash(name), " ")) >= 6) | name.rlike(r"[.!?]$")
-        fault = kind.isin("PERSON", "ORG") & (sentence | name.rlike(PRONOUN))
-        known = kind.isin("PERSON", "ORG", "LOCATION", "EVENT", "DOCUMENT", "CLAIM")
-        rows = rows.withColumn(f"{side}_type", F.when(fault | ~known, "CLAIM").otherwise(kind)).withColumn(f"{side}_name", F.substring(C.squash(name), 1, 200))
+    given = [F.col(c) if c else F.lit("") for c in (header, speaker)]
+    slots = admit_udf("subject_type", C.squash(F.col("subject_name")), "object_type", C.squash(F.col("object_name")), "quote", page, *given)
+    rows = rows.withColumn("_slots", F.when(F.col("drop_reason").isNull(), slots))
+    rows = rows.withColumns({f.name: F.coalesce(f"_slots.{f.name}", f.name) for f in SLOTS}).drop("_slots")
     when = C.normalize_when(F.col("event_date"))
     rows = rows.withColumn("predicate", F.substring(C.flat(F.col("predicate")), 1, 100))
     rows = rows.withColumn("event_date", F.when(F.col("predicate").rlike(rules.BOUNDARY) | (when == ""), None).otherwise(when))

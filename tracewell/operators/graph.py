@@ -68,6 +68,17 @@ def visible(vertices: DataFrame, edge: DataFrame, kinds: list[str], term: str) -
     return edge.join(fine.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(fine.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
 
 
+def tally(vertices: DataFrame) -> DataFrame:
+    """kind and n of the types of entities, the most frequent first."""
+    return vertices.groupBy(F.col("entity_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind")
+
+
+def focus(edge: DataFrame, entity: str) -> DataFrame:
+    """entity_id of an entity and of all that an edge joins to it."""
+    here = edge.where((F.col("src") == entity) | (F.col("dst") == entity))
+    return here.select(F.inline(F.array(F.struct(F.col("src").alias("entity_id")), F.struct(F.col("dst").alias("entity_id"))))).distinct()
+
+
 def inferred_top(links: DataFrame, limit: int = 2000) -> DataFrame:
     """Links of highest confidence."""
     return links.where("relation <> ''").orderBy(F.desc("confidence"), "a_id", "b_id").limit(limit)

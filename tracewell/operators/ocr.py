@@ -16,7 +16,8 @@ MOST_SPACES = 8
 def lines_of(words: pd.DataFrame) -> str:
     """Text of a page's words (text, left, top, width, height): rows by their middles, gaps as spaces."""
     words = words.assign(mid=words["top"] + words["height"] / 2).sort_values(["mid", "left"])
-    near = max(6.0, 0.6 * float(words["height"].median())) if len(words) else 6.0
+    height = float(sorted(words["height"])[len(words) // 2]) if len(words) else 0.0
+    near, wide = max(6.0, 0.6 * height), max(4.0, 0.5 * height)
     rows: list[list] = []
     for w in words.itertuples():
         if rows and abs(w.mid - sum(x.mid for x in rows[-1]) / len(rows[-1])) <= near:
@@ -26,11 +27,10 @@ def lines_of(words: pd.DataFrame) -> str:
     out = []
     for row in rows:
         row.sort(key=lambda w: w.left)
-        wide = sum(w.width for w in row) / max(1, sum(len(w.text) for w in row))
         text, end = "", None
         for w in row:
             if end is not None:
-                text += " " * max(1, min(MOST_SPACES, round((w.left - end) / max(wide, 1))))
+                text += " " * max(1, min(MOST_SPACES, int((w.left - end) / wide)))
             text, end = text + w.text, w.left + w.width
         out.append(text)
     return "\n".join(out)

@@ -51,9 +51,41 @@ def index_stats(chunks: DataFrame, index: DataFrame, model: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("chunks"), F.count_if("has").alias("indexed"), F.count_if(F.col("has") & (F.col("model") != model)).alias("stale"))
 
 
+def with_documents(chunks: DataFrame, documents: DataFrame, *columns: str) -> DataFrame:
+    """chunks with columns of their documents; chunks without one go."""
+    return chunks.join(documents.select("doc_id", *columns), "doc_id")
+
+
+#: Vectors of a block that is compared at a time.
+NEAR_BLOCK = 512
+
+
 def near_pairs(vectors: DataFrame, block: str, threshold: float, key: str, column: str) -> DataFrame:
-    """Pairs of one block whose product reaches the threshold; an equality join on the block, never a product of all."""
-    a = vectors.select(F.col(block).alias("block"), F.col(key).alias("a"), F.col(column).alias("x"))
-    b = vectors.select(F.col(block).alias("block"), F.col(key).alias("b"), F.col(column).alias("y"))
-    score = F.round(C.dot(F.col("x"), F.col("y")), 4)
-    return a.join(b, "block").where("a < b").select("block", "a", "b", score.alias("score")).where(F.col("score") >= threshold)
+    """Pairs of one block whose product reaches the threshold. A block of any size is dealt in parts; two of them meet in a task, as
+    matrices, and only pairs that reach the threshold come out."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    sizes = vectors.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / NEAR_BLOCK).cast("int").alias("_n"))
+    dealt = vectors.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(column).cast("array<double>").alias("x")).join(sizes.withColumnRenamed(block, "block"), "block").withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    lists = dealt.groupBy("block", "_n", "_i").agg(F.collect_list("id").alias("ids"), F.collect_list("x").alias("xs"))
+    both = lists.withColumn("_j", F.explode(F.sequence(F.col("_i"), F.col("_n") - 1))).join(lists.select("block", F.col("_i").alias("_j"), F.col("ids").alias("ids2"), F.col("xs").alias("ys")), ["block", "_j"])
+
+    def meet(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                widths = {len(v) for v in [*row.xs, *row.ys]}
+                for d in widths:
+                    p, q = [k for k, v in enumerate(row.xs) if len(v) == d], [k for k, v in enumerate(row.ys) if len(v) == d]
+                    if not p or not q or not d:
+                        continue
+                    score = np.round(np.stack([row.xs[k] for k in p]) @ np.stack([row.ys[k] for k in q]).T, 4)
+                    for i, j in zip(*np.nonzero(score >= threshold), strict=True):
+                        a, b = row.ids[p[i]], row.ids2[q[j]]
+                        if a < b if row.own else a != b:
+                            out.append((row.block, min(a, b), max(a, b), float(score[i, j])))
+            yield pd.DataFrame(out, columns=["block", "a", "b", "score"])
+
+    return both.select("block", (F.col("_i") == F.col("_j")).alias("own"), "ids", "xs", "ids2", "ys").mapInPandas(meet, f"block {kinds[block]}, a {kinds[key]}, b {kinds[key]}, score double")

@@ -11,20 +11,7 @@ from ..functions.kernels import sentences_udf
 from ..operators import assertions, consensus, corpus, entities, evaluate, graph, links, passages, report, routing
 from ..streaming import sessions
 from .evidence import TRIPLES_SQL, load, triples
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _case(column: str, patterns: list[tuple[str, str]], otherwise: str) -> str:
     """SQL of the first pattern that matches."""
@@ -377,3 +364,6 @@ def settings_latest(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events")
     kv = e.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("value"), F.col("ts").alias("updated_at"))
     return corpus.latest(kv).select("key", "value", F.col("updated_at").cast("string").alias("updated_at"))
+
+
+from . import catalog_rules  # noqa: E402, F401  registers the rest

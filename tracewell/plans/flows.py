@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.kernels import extraction_chunks_udf
 from ..operators import assertions, consensus, corpus, entities, graph, links, passages, report
 from ..sources.docx import docx_pages
+from ..sources.pages import image_pages, pdf_pages
 from ..sources.models import Embedder, TextModel, apply_model, embed_chunks
 
 
@@ -24,22 +26,28 @@ class Store:
     chunks: DataFrame
 
 
-def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """documents and pages of uploaded Word files."""
+def ingest(files: DataFrame, read_pdf=None, render_pdf=None, normalise_image=None) -> tuple[DataFrame, DataFrame]:
+    """documents and pages of uploads: Word files, PDF files where read_pdf is given, and images. Files of a kind that nothing reads
+    stay queued."""
     pages = docx_pages(files.where("media_type = 'word'"))
+    more = [image_pages(files.where("media_type = 'image'"), normalise_image)]
+    if read_pdf is not None:
+        more.append(pdf_pages(files.where("media_type = 'pdf'"), read_pdf, render_pdf))
+    for part in more:
+        pages = pages.unionByName(part, allowMissingColumns=True)
     first = pages.where("page_num = 1").select("doc_id", F.coalesce("text", F.lit("")).alias("_first"))
-    counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count"), F.max("error").alias("error"))
+    counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count"), F.max("error").alias("error"), F.count_if(F.col("route").isNotNull()).alias("_unread"))
     docs = files.drop("content").join(counts, "doc_id", "left").join(first, "doc_id", "left")
-    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("page_count").isNull(), "queued").otherwise("done")
-    return corpus.classify(docs.withColumn("_first", F.coalesce("_first", F.lit(""))), "filename", "_first").withColumn("status", status).drop("_first"), pages
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("page_count").isNull(), "queued").when(F.col("_unread") > 0, "processing").otherwise("done")
+    return corpus.classify(docs.withColumn("_first", F.coalesce("_first", F.lit(""))), "filename", "_first").withColumn("status", status).drop("_first", "_unread"), pages
 
 
 def extract(pages: DataFrame, model: TextModel) -> DataFrame:
-    """Admitted triples from a model's replies to pages."""
-    asked = pages.where("text is not null").select("doc_id", "page_num", F.col("text").alias("page_text"))
-    said = apply_model(asked, "page_text", model.generate, "reply", "string").drop("reply_error")
+    """Admitted triples from a model's replies to pages, chunk by chunk."""
+    parts = pages.where("text is not null").select("doc_id", "page_num", F.col("text").alias("page_text"), F.posexplode(extraction_chunks_udf("text")).alias("chunk", "asked"))
+    said = apply_model(parts, "asked", model.generate, "reply", "string").drop("reply_error", "asked", "chunk")
     admitted = assertions.validate(assertions.parse(said)).where("drop_reason is null")
-    return assertions.dedupe(assertions.with_ids(assertions.expand_series(admitted, "page_text" if "page_text" in admitted.columns else None)))
+    return assertions.dedupe(assertions.with_ids(assertions.expand_series(admitted, "page_text")))
 
 
 def index(chunks: DataFrame, held: DataFrame, model: Embedder, name: str) -> DataFrame:
@@ -90,14 +98,34 @@ def resolve_entities(triples: DataFrame) -> DataFrame:
     return entities.merge(found, alike.unionByName(entities.stated_aliases(triples)).distinct())
 
 
-def link_pass(seen: DataFrame, judged: DataFrame, model: TextModel, prompt) -> DataFrame:
-    """entity_links of connected pairs that were never asked about; prompt(a, b) is a column."""
-    pairs = links.unjudged(links.connected(seen), judged)
+def link_pass(seen: DataFrame, judged: DataFrame, model: TextModel, prompt, mode: str = "connected", near: DataFrame | None = None, kinds: tuple[str, str] | None = None) -> DataFrame:
+    """entity_links of pairs that were never asked about; prompt(a, b) is a column. mode: connected (a document, a day or near),
+    exhaustive (all pairs of the two kinds; seen has entity_type) or grouped (the same, but asked window by window, see
+    grouped_pass)."""
+    if mode == "exhaustive":
+        found = links.pairs_for(seen.select("entity_id", "entity_type").distinct(), *kinds)
+    else:
+        found = links.connected(seen, near)
+    pairs = links.unjudged(found, judged)
     asked = pairs.select("a", "b", F.lit(1).alias("asked"), prompt(F.col("a"), F.col("b")).alias("prompt"))
     said = apply_model(asked, "prompt", model.generate, "reply", "string").drop("prompt", "reply_error")
     return links.record(links.parse_answers(said))
 
 
+def grouped_pass(entity: DataFrame, model: TextModel, prompt, relations: list[str]) -> tuple[DataFrame, DataFrame]:
+    """entity_links of entities (entity_id), asked in windows of two blocks; prompt(left_ids, right_ids) is a column. Also the windows
+    whose pairs are still to be judged one by one."""
+    blocked = links.blocks(entity, "entity_id").groupBy("block").agg(F.array_sort(F.collect_list("entity_id")).alias("ids"))
+    left, right = blocked.select(F.col("block").alias("x"), F.col("ids").alias("left_ids")), blocked.select(F.col("block").alias("y"), F.col("ids").alias("right_ids"))
+    windows = left.join(right, F.col("x") <= F.col("y")).select(F.concat_ws("-", F.col("x").cast("string"), F.col("y").cast("string")).alias("window"), "left_ids", "right_ids", (F.col("x") == F.col("y")).alias("same"))
+
+    def ask(rows: DataFrame) -> DataFrame:
+        return apply_model(rows.withColumn("prompt", prompt(F.col("left_ids"), F.col("right_ids"))), "prompt", model.generate, "reply", "string").drop("prompt", "reply_error")
+
+    found, left_over = links.resolve_windows(windows, ask, relations)
+    return links.record(found), left_over
+
+
 def check_report(body: DataFrame, documents: DataFrame, planned: DataFrame) -> dict[str, DataFrame]:
     """Citations with whether they are grounded, and dispositions that the element table requires, of reports (report_id, body)."""
     elements = report.element_rows(body, "report_id", "body").where("met is not null")

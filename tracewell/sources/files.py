@@ -11,16 +11,24 @@ from ..functions import columns as C
 SUPPORTED = {"pdf": "pdf", "docx": "word", "png": "image", "jpg": "image", "jpeg": "image", "tif": "image", "tiff": "image"}
 
 
+#: Files whose paths are broadcast; more are joined by shuffling.
+MOST_BROADCAST = 1_000_000
+
+
 def read_uploads(spark: SparkSession, path: str, max_bytes: int = 200 << 20) -> DataFrame:
     """doc_id, filename, sha256, size_bytes, media_type, uploaded_at and content of each distinct file under path.
 
-    Files of other kinds and larger ones are left out before their bytes are read; of equal files the first stays."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    Files of other kinds are left out by their names and larger ones by their lengths, before their bytes are read. Of equal files
+    the first stays: files are hashed where they are read, only hashes and paths are compared, and then the chosen files are read."""
+    either = ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in SUPPORTED)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either}}}").load(path).where(F.col("length") <= max_bytes)
     kinds = F.create_map(*[F.lit(x) for kv in SUPPORTED.items() for x in kv])
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = files.where(F.col("length") <= max_bytes).select(C.safe_filename(name).alias("filename"), F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).alias("ext"), "length", "modificationTime", "content")
-    rows = rows.where(F.col("ext").isin(*SUPPORTED)).withColumn("sha256", F.sha2("content", 256))
-    one = rows.groupBy("sha256").agg(F.min_by(F.struct("filename", "ext", "length", "modificationTime", "content"), F.struct("modificationTime", "filename")).alias("f")).select("sha256", "f.*")
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    filename = C.safe_filename(F.element_at(F.split("path", "/"), -1))
+    hashed = files.select("path", filename.alias("filename"), "modificationTime", F.sha2("content", 256).alias("sha256"))
+    first = hashed.groupBy("sha256").agg(F.min(F.struct("modificationTime", "filename", "path")).alias("f")).select("sha256", "f.path")
+    small = first.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    one = files.join(F.broadcast(first) if small else first, "path").withColumns({"filename": filename, "ext": ext})
     stem = F.substring(F.regexp_replace("filename", r"\.[A-Za-z]+$", ""), 1, 60)
     return one.select(
         F.concat(stem, F.lit("__"), F.substring("sha256", 1, 8)).alias("doc_id"), "filename", "sha256", F.col("length").alias("size_bytes"),
