@@ -421,7 +421,7 @@ def ocr_routes(spark: SparkSession, sf: str) -> DataFrame:
     return ocr.route(load(spark, sf, "events").select(k.alias("page_num"), pick(k, F.lit(25), F.lit(24), nothing("int")).alias("ocr_words"), pick(k, F.lit(82.0), F.lit(99.0), nothing("double")).alias("ocr_conf"))).select("page_num", "route")
 
 
-@query("""SELECT 's' || s_suppkey AS doc_id, s_name || ' is here' || chr(10) || 'below' AS text FROM supplier""")
+@query("""SELECT 's' || s_suppkey AS doc_id, s_name || '  is here' || chr(10) || 'below' AS text FROM supplier""")
 def ocr_lines(spark: SparkSession, sf: str) -> DataFrame:
     word = lambda text, left, top: F.struct(text.alias("text"), F.lit(left).alias("left"), F.lit(top).alias("top"))
     words = F.explode(F.array(word(F.lit("is"), 118.0, 13.0), word(F.col("s_name"), 10.0, 10.0), word(F.lit("below"), 10.0, 30.0), word(F.lit("here"), 133.0, 11.0)))
