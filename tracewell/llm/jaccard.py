@@ -469,3 +469,18 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS sh FROM t),
+d AS (SELECT rid, doc_id, len(sh) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_string(sh, chr(10))) END AS node, sh FROM s),
+one AS (SELECT node, any_value(n) AS n, any_value(sh) AS sh, min(doc_id) AS least FROM d WHERE node IS NOT NULL GROUP BY node),
+u AS (SELECT node, n, unnest(sh) AS x FROM one),
+links AS (SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.x = b.x AND a.node < b.node AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+r(node, root) USING KEY (node) AS (SELECT node, node FROM one
+  UNION (SELECT e.a, min(r.root) FROM r JOIN e ON e.b = r.node JOIN recurring.r k ON k.node = e.a WHERE r.root < k.root GROUP BY e.a)),
+g AS (SELECT r.root, min(one.least) AS component_id FROM r JOIN one USING (node) GROUP BY 1)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, CASE WHEN d.node IS NULL THEN d.doc_id ELSE g.component_id END AS component_id FROM d LEFT JOIN r ON r.node = d.node LEFT JOIN g ON g.root = r.root
+"""

@@ -65,8 +65,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     budget: words to take in all (None: as many as the documents have). Null and empty texts have size 0 and are never
     taken. Null sources are one source, the last. Equal rows stay rows of their own. No document is taken more than
     `most` times; one that the budget's end cuts is taken in part. An empty table gives no rows."""
-    h = F.xxhash64(F.lit(seed), "doc_id", text) if identity is None else identity
-    rows = docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), h.alias("h"))
+    if identity is None:  # 60 bits that SQL engines agree on
+        told = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+        identity = F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long")
+    rows = docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), identity.alias("h"))
     rows = common.materialize(rows, "mix-sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, budget)
     count, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -114,3 +116,20 @@ def take(docs: DataFrame, **options) -> DataFrame:
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1 of their sources."""
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+  CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+m AS (SELECT greatest(64, count(*) // 2048) AS n, CAST(sum(size) AS BIGINT) AS total FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 3 * CAST(source_size AS DOUBLE) AS lim FROM s),
+l AS (SELECT *, lim / weight AS ratio, ((SELECT total FROM m) - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT source, source_size, least(lim, coalesce(weight * (SELECT max(level) FROM l WHERE ratio >= level), lim)) AS target FROM l),
+p AS (SELECT row_number() OVER () AS rid, d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY (h >> 20) % (SELECT n FROM m), h, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+c AS (SELECT *, (turn + size) / target AS finish FROM (SELECT *, CAST(pass * source_size + ahead AS DOUBLE) AS turn FROM (SELECT *, unnest([0, 1, 2]) AS pass FROM p WHERE size > 0 AND target > 0)) WHERE turn / target < 1),
+q AS (SELECT rid, least(size, greatest(0, (SELECT total FROM m) - coalesce(sum(size) OVER (ORDER BY finish, h, doc_id NULLS FIRST, ahead, pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS part FROM c)
+SELECT doc_id, size, source_size, target, CAST(coalesce(sum(part), 0) AS BIGINT) AS taken FROM p LEFT JOIN q USING (rid) GROUP BY rid, doc_id, size, source_size, target
+"""

@@ -105,3 +105,14 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True)]], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return with_passages(docs, "text", "doc_id").select("doc_id", "text", "_tw_passages").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+OP10_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, unnest(range(1, len(w) - 33)) AS i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM t WHERE len(w) >= 35),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t),
+marked AS (SELECT words.rid, words.i, word, max(CASE WHEN rep.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY words.rid ORDER BY words.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM words LEFT JOIN rep ON rep.rid = words.rid AND rep.i = words.i),
+kept AS (SELECT rid, count(*) AS n, sum(gone) AS r, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS k FROM marked GROUP BY rid)
+SELECT doc_id, coalesce(n, 0) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (rid)
+"""

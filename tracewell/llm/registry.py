@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_perspectives
 from .extract import op6_main_text
-from .jaccard import op2_jaccard_join
+from .jaccard import OP2_SQL, op2_jaccard_join
 from .media import op1_media_columns
-from .mixing import op3_source_mix
+from .mixing import OP3_SQL, op3_source_mix
 from .packing import op8_best_two_fit
-from .phrases import op10_phrase_dedup
-from .rindex import op5_suffix_dedup
+from .phrases import OP10_SQL, op10_phrase_dedup
+from .rindex import OP5_SQL, op5_suffix_dedup
 from .search import OP4_SQL, op4_exact_top_k
 from .toxicity import op9_toxicity
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_phrase_dedup": op10_phrase_dedup,
 }
-ORACLES = {"op4_exact_top_k": OP4_SQL, "op7_perspectives": OP7_SQL}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op3_source_mix": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_perspectives": OP7_SQL, "op10_phrase_dedup": OP10_SQL}

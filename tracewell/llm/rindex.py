@@ -186,3 +186,16 @@ def dedup_text(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars
             yield pa.RecordBatch.from_arrays(list(by_name.values()), list(by_name))
 
     return back(dedup_spans(docs, text, key).select(*[f"`{c}`" for c in docs.columns], "_tw_spans").mapInArrow(cut, columns))
+
+
+OP5_SQL = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT rid, unnest(range(1, octet_length(b) - 198)) AS i, md5(b[i:i + 199]) AS h FROM t WHERE octet_length(b) >= 200),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+runs AS (SELECT rid, i, i - lag(i) OVER (PARTITION BY rid ORDER BY i) AS gap FROM rep),
+grp AS (SELECT rid, i, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS k FROM runs),
+spans AS (SELECT rid, k, min(i) AS s, max(i) + 200 AS e FROM grp GROUP BY 1, 2),
+cuts AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 1) AS before, lead(s) OVER (PARTITION BY rid ORDER BY s) AS after FROM spans),
+kept AS (SELECT cuts.rid, count(*) AS n, sum(e - s) AS r, string_agg(hex(b[before:s - 1]) || CASE WHEN after IS NULL THEN hex(b[e:octet_length(b)]) ELSE '' END, '' ORDER BY s) AS k FROM cuts JOIN t USING (rid) GROUP BY 1)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(CASE WHEN kept.rid IS NULL THEN b ELSE unhex(k) END) AS kept_sha256 FROM t LEFT JOIN kept USING (rid)
+"""
