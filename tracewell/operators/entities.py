@@ -55,24 +55,34 @@ def unambiguous(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and component (least node) by hooking to the least neighbour, doubling pointers to their roots and contracting."""
-    from .iterate import materialize
+    """node and component (its least node) of all nodes of edges.
+
+    Each round every node hooks to its least neighbour, pointers are doubled to their roots, and the edges are contracted: a round at
+    least halves what is left, and a chain of any length is one. Minima are partial before they move, and joins keep one row a node
+    on one side, so a star of any size is no hot spot. Files of a round go with the next."""
+    from .iterate import drop, materialize
 
-    edges = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    labels = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")))
-    edges = edges.where("a <> b")
+    edges = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "links")
+    labels = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "labels")
+    held, edges = edges, edges.where("a <> b")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("to")))
-        moved = True
+        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("to"))
+        step, moved = materialize(hook, "hooks"), True
         while moved:  # to the roots, by doubling
-            hook = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
-            hook = materialize(hook.select("node", F.coalesce("next", "to").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
-            moved = not hook.where("moved").isEmpty()
-            hook = hook.select("node", "to")
-        labels = materialize(labels.join(hook.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            hook = step.select("node", "to")
+            next_one = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
+            old, step = step, materialize(next_one.select("node", F.coalesce("next", "to").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "hooks")
+            drop(old)
+            moved = not step.where("moved").isEmpty()
+        hook = step.select("node", "to")
+        old, labels = labels, materialize(labels.join(hook.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        drop(old)
         at, bt = hook.select(F.col("node").alias("a"), F.col("to").alias("x")), hook.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = materialize(edges.join(at, "a").join(bt, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        old, held = held, materialize(edges.join(at, "a").join(bt, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "links")
+        drop(old, step)
+        edges = held
+    drop(held)
     return labels
 
 

@@ -1,4 +1,4 @@
-"""Lineage cuts for iterative operators."""
+"""Lineage cuts: steps as Parquet files in the shared folder, which go when nothing reads them any more."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,13 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the shared folder and read back; the files go when the driver ends."""
+def materialize(df: DataFrame, what: str = "step") -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends here, so a lost executor costs no more
+    than the tasks that read the files. The shuffle files of the step go when it has ended, its own with drop() or when the
+    driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/tracewell/{what}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        discard(spark, path)
+        raise
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracewell_path = path
+    return out
+
+
+def drop(*steps: DataFrame) -> None:
+    """Remove the files of materialised steps that nothing reads any more."""
+    for df in steps:
+        if path := getattr(df, "_tracewell_path", None):
+            discard(df.sparkSession, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
