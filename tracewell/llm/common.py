@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import iterate
+from ..operators.iterate import drop  # noqa: F401
+
 #: Bytes of text that a kernel takes at a time; longer texts are taken whole.
 CHUNK_BYTES = 1 << 20
 #: Bytes of a batch that goes to a worker, where the session doesn't set them: the JVM and the worker each hold one of them.
@@ -31,57 +31,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set, a temporary one in local mode and an error elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _OWN_DIR:
-            _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tracewell-"))
-        found = _OWN_DIR[0]
-    return found
-
-
 def materialize(df: DataFrame, what: str = "step") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here, so a lost executor costs no more
-    than the tasks that read the files. The shuffle files of the step go when it has ended, its own when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell/{what}-{uuid.uuid4().hex}"
-    small_batches(spark)
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup)
-    spark.conf.set(cleanup, "true")
-    try:
-        df.write.parquet(path)
-    except BaseException:
-        discard(spark, path)
-        raise
-    finally:
-        spark.conf.set(cleanup, before)
-    atexit.register(discard, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tracewell_path = path
-    return out
-
-
-def drop(*steps: DataFrame) -> None:
-    """Remove the files of materialised steps that nothing reads any more."""
-    for df in steps:
-        if path := getattr(df, "_tracewell_path", None):
-            discard(df.sparkSession, path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans up
-        return
+    """df as a step in the shared folder (see operators.iterate); its workers get small batches."""
+    small_batches(df.sparkSession)
+    return iterate.materialize(df, what)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -23,8 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.entities import components
 from . import common, words
-from .components import components
 
 U = np.uint64
 #: Words of a shingle; sets link from NUM / DEN similarity on.

@@ -6,6 +6,7 @@ packed on its own, which costs at most one sequence that is not full for each gr
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -74,7 +75,9 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int
 #: What one run of the tokenizer's own splitting pattern is; white space parts runs and is dropped.
 RUN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of these characters are normalised by lower-casing alone, and split by RUN in any Unicode version.
-PLAIN = r"[!-~\u00a1-\u024f]*"
+PLAIN = r"[!-~\u00a1-\u024f\n]*"
+#: Marks that are a run of their own behind a word of letters.
+MARKS = frozenset(".,;:!?")
 
 
 class WordIds:
@@ -108,23 +111,35 @@ class WordIds:
         return out
 
     def learn(self, new: set[str]) -> None:
-        plain = {w: self.runs_of(w.lower()) for w in new if self.plain(w) and "<|" not in w}
-        if other := [w for w in new if w not in plain]:
+        words = list(new)
+        joined = "\n".join(words)
+        other: list[str] = []
+        if "<|" in joined or not self.plain(joined):
+            other = [w for w in words if "<|" in w or not self.plain(w)]
+            words = list(new.difference(other))
+            joined = "\n".join(words)
+        if other:
             for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, "<u4").tobytes()
-        fresh = list(set().union(*plain.values()) - self.runs.keys())
+        single, several = [], []  # words of one run, which most are, and words with their runs
+        for w, low in zip(words, joined.lower().split("\n") if words else [], strict=True):
+            if low.isalpha():
+                single.append((w, low))
+            elif low[-1] in MARKS and low[:-1].isalpha():
+                several.append((w, [low[:-1], low[-1]]))
+            else:
+                several.append((w, self.runs_of(low)))
+        fresh = list({low for _, low in single}.union(*[runs for _, runs in several]) - self.runs.keys())
         if fresh:
-            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(fresh):
                 raise ValueError("the tokenizer's runs don't end words")
-            raw, at = ids.tobytes(), 0
-            for r, to in zip(fresh, cuts.tolist(), strict=True):
-                self.runs[r] = raw[at:to]
-                at = to
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            self.runs.update(zip(fresh, [raw[s:e] for s, e in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         known = self.runs.__getitem__
-        for w, runs in plain.items():
-            self.words[w] = known(runs[0]) if len(runs) == 1 else b"".join(map(known, runs))
+        self.words.update([(w, known(low)) for w, low in single])
+        self.words.update([(w, b"".join(map(known, runs))) for w, runs in several])
         if len(self.runs) > KNOWN_WORDS:
             for r in fresh:
                 del self.runs[r]
@@ -144,6 +159,13 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here has cycles, and the words that are held are many to go through
+        try:
+            yield from tokenised(batches)
+        finally:
+            gc.enable()
+
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in common.chunks(batches, text, owner="packing"):
