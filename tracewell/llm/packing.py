@@ -7,6 +7,7 @@ packed on its own, which costs at most one sequence that is not full for each gr
 from __future__ import annotations
 
 import gc
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -90,6 +91,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.of_runs = self.lean(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -97,6 +99,18 @@ class WordIds:
         self.words: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {}
 
+    def lean(self, path: str):
+        """A tokenizer for runs in lower case with a space between them: without normalising and splitting what already is."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        steps = (parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        if steps[0].get("type") != "Split":
+            return self.tokenizer
+        parts["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, *steps[1:]]
+        return Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "post_processor": None, "added_tokens": []}))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -131,7 +145,7 @@ class WordIds:
                 several.append((w, self.runs_of(low)))
         fresh = list({low for _, low in single}.union(*[runs for _, runs in several]) - self.runs.keys())
         if fresh:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.of_runs.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(fresh):
                 raise ValueError("the tokenizer's runs don't end words")
