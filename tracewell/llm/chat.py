@@ -27,7 +27,11 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
     not the perspective's own; the mask takes the text and the end mark, not the header. Null texts are empty, null
     speakers are the speaker "unknown" and rows without a conversation form one. A conversation with system turns only
     has no participant and no rows. Turns with equal numbers keep the order of speaker and text; equal rows are turns of
-    their own. Null turns come first."""
+    their own. Null turns come first.
+
+    There are as many rows as turns times participants, which the method asks for: a conversation of very many speakers has the
+    square of them. Turns of one number (or none) are placed in one task, however many they are. Texts stay as they are: one that
+    holds the marks may look like a turn, but start and length tell the real ones."""
     name = F.coalesce(F.col(speaker).cast("string"), F.lit("unknown"))
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), name.alias("speaker"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     people = rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()

@@ -103,50 +103,115 @@ def walk(data: memoryview, start: int, end: int, path: str = "") -> Iterator[tup
 
 def tracks(media: bytes) -> list[dict]:
     """Sample tables of each track: codec, timescale, duration, and for each sample offset, size and whether it is a key
-    frame. The payload's bytes are not read."""
+    frame, those of fragments (moof) included. The payload's bytes are not read."""
     data, out, now = memoryview(media), [], {}
+    of: dict[int, dict] = {}
+    defaults: dict[int, tuple[int, int, int]] = {}
+    u32 = lambda at: struct.unpack_from(">I", data, at)[0]
+    moof, run = 0, {}
     for path, at, end in walk(data, 0, len(data)):
         kind = path.rpartition("/")[2]
         if path == "/moov/trak":
-            out.append(now := {"codec": "", "timescale": 0, "duration": 0, "stts": [], "stss": None, "stsc": [], "sizes": [], "chunks": []})
+            out.append(now := {"codec": "", "timescale": 0, "duration": 0, "stts": [], "stss": None, "stsc": [], "sizes": [], "chunks": [], "fragments": []})
+        elif path == "/moov/mvex/trex":
+            defaults[u32(at + 4)] = (u32(at + 12), u32(at + 16), u32(at + 20))
+        elif path == "/moof":
+            moof = at - (8 if bytes(data[at - 4 : at]) == b"moof" else 16)
+        elif path == "/moof/traf/tfhd":
+            run = fragment_head(data, at, moof, defaults)
+        elif path == "/moof/traf/trun":
+            if run.get("track") in of:
+                fragment_run(data, at, run, of[run["track"]])
         elif not path.startswith("/moov/trak/"):
             continue
+        elif kind == "tkhd":
+            of[u32(at + (20 if data[at] == 1 else 12))] = now
         elif kind == "mdhd":
             wide = data[at] == 1
             now["timescale"], now["duration"] = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
         elif kind == "hdlr":
             now["handler"] = bytes(data[at + 8 : at + 12]).decode("latin-1")
-        elif kind == "stsd" and struct.unpack_from(">I", data, at + 4)[0]:
+        elif kind == "stsd" and u32(at + 4):
             now["codec"] = bytes(data[at + 12 : at + 16]).decode("latin-1")
         elif kind == "stts":
-            n = struct.unpack_from(">I", data, at + 4)[0]
-            now["stts"] = list(struct.iter_unpack(">II", data[at + 8 : at + 8 + 8 * n]))
+            now["stts"] = list(struct.iter_unpack(">II", data[at + 8 : at + 8 + 8 * u32(at + 4)]))
         elif kind == "stss":
-            n = struct.unpack_from(">I", data, at + 4)[0]
-            now["stss"] = set(struct.unpack_from(f">{n}I", data, at + 8))
+            now["stss"] = set(struct.unpack_from(f">{u32(at + 4)}I", data, at + 8))
         elif kind == "stsc":
-            n = struct.unpack_from(">I", data, at + 4)[0]
-            now["stsc"] = [x[:2] for x in struct.iter_unpack(">III", data[at + 8 : at + 8 + 12 * n])]
+            now["stsc"] = [x[:2] for x in struct.iter_unpack(">III", data[at + 8 : at + 8 + 12 * u32(at + 4)])]
         elif kind == "stsz":
             size, n = struct.unpack_from(">II", data, at + 4)
             now["sizes"] = [size] * n if size else list(struct.unpack_from(f">{n}I", data, at + 12))
+        elif kind == "stz2":
+            now["sizes"] = compact_sizes(data, at)
         elif kind in ("stco", "co64"):
-            n = struct.unpack_from(">I", data, at + 4)[0]
-            now["chunks"] = list(struct.unpack_from(f">{n}{'I' if kind == 'stco' else 'Q'}", data, at + 8))
+            now["chunks"] = list(struct.unpack_from(f">{u32(at + 4)}{'I' if kind == 'stco' else 'Q'}", data, at + 8))
     for t in out:
-        places, i, per, run = [], 0, 0, 0
+        places, i, per, entry = [], 0, 0, 0
         for c, offset in enumerate(t["chunks"], 1):
-            while run < len(t["stsc"]) and t["stsc"][run][0] <= c:
-                per, run = t["stsc"][run][1], run + 1
+            while entry < len(t["stsc"]) and t["stsc"][entry][0] <= c:
+                per, entry = t["stsc"][entry][1], entry + 1
             for size in t["sizes"][i : i + per]:
                 places.append((offset, size))
                 offset += size
             i += per
-        t["samples"] = places
         t["keys"] = [p for k, p in enumerate(places, 1) if t["stss"] is None or k in t["stss"]]
+        t["samples"] = places + [(o, n) for o, n, _, _ in t["fragments"]]
+        t["keys"] += [(o, n) for o, n, _, key in t["fragments"] if key]
+        t["duration"] += sum(d for _, _, d, _ in t["fragments"])
     return out
 
 
+def compact_sizes(data: memoryview, at: int) -> list[int]:
+    """Sample sizes of 4, 8 or 16 bits."""
+    bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+    raw = data[at + 12 :]
+    if bits == 4:
+        return [raw[k // 2] >> 4 if k % 2 == 0 else raw[k // 2] & 15 for k in range(n)]
+    return list(struct.unpack_from(f">{n}{'B' if bits == 8 else 'H'}", raw, 0))
+
+
+def fragment_head(data: memoryview, at: int, moof: int, defaults: dict[int, tuple[int, int, int]]) -> dict:
+    """Track, base offset and default duration, size and flags of the samples of a track fragment."""
+    flags, track = struct.unpack_from(">II", data, at)
+    flags, place = flags & 0xFFFFFF, at + 8
+    out = {"track": track, "base": moof, "at": None}
+    if flags & 0x1:
+        out["base"] = struct.unpack_from(">Q", data, place)[0]
+        place += 8
+    place += 4 * bool(flags & 0x2)
+    for bit, name, default in zip((0x8, 0x10, 0x20), ("duration", "size", "flags"), defaults.get(track, (0, 0, 0)), strict=True):
+        out[name] = default
+        if flags & bit:
+            out[name] = struct.unpack_from(">I", data, place)[0]
+            place += 4
+    return out
+
+
+def fragment_run(data: memoryview, at: int, head: dict, track: dict) -> None:
+    """Add offset, size, duration and whether it is a key frame of each sample of a run to its track. A run without an offset of
+    its own follows the one before."""
+    flags, n = struct.unpack_from(">II", data, at)
+    flags, place = flags & 0xFFFFFF, at + 8
+    offset, first = head["at"] if head["at"] is not None else head["base"], None
+    if flags & 0x1:
+        offset = head["base"] + struct.unpack_from(">i", data, place)[0]
+        place += 4
+    if flags & 0x4:
+        first = struct.unpack_from(">I", data, place)[0]
+        place += 4
+    for k in range(n):
+        sample = {name: head[name] for name in ("duration", "size", "flags")}
+        for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")):
+            if flags & bit:
+                sample[name] = struct.unpack_from(">I", data, place)[0]
+                place += 4
+        told = first if k == 0 and first is not None else sample["flags"]
+        track["fragments"].append((offset, sample["size"], sample["duration"], not told & 0x10000))
+        offset += sample["size"]
+    head["at"] = offset
+
+
 def payload_of(media: bytes) -> bytes:
     """The samples of the first track, in order."""
     found = tracks(media)
@@ -191,7 +256,7 @@ def inspect_column(df: DataFrame, media: str = "media") -> DataFrame:
     kind = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.chunks(batches, media):
             found = [features_of(x.as_py()) for x in batch.column(media)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "features"])
 
