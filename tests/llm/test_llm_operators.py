@@ -80,6 +80,26 @@ def test_media_tables_are_exact(n):
         assert stored[key["offset"] : key["offset"] + key["size"]] in payload
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return (len(body) + 8).to_bytes(4, "big") + kind + body
+
+
+def test_fragments_and_compact_sizes():
+    be = lambda *xs: b"".join(x.to_bytes(4, "big") for x in xs)
+    head = lambda *tables: box(b"trak", box(b"tkhd", be(0, 0, 0, 7)), box(b"mdia", box(b"mdhd", be(0, 0, 0, 1000, 0)), box(b"minf", box(b"stbl", *tables))))
+    moov = box(b"moov", head(box(b"stsd", be(0, 1, 16), b"abcd", b"    ")), box(b"mvex", box(b"trex", be(0, 7, 1, 40, 5, 0x10000))))
+    # a run with sizes, flags and an offset; one that follows it with the defaults of the track
+    run = box(b"trun", be(0x000001 | 0x000004 | 0x000200, 2), (100).to_bytes(4, "big"), be(0), be(3, 4))
+    moof = box(b"moof", box(b"traf", box(b"tfhd", be(0x020000, 7)), run, box(b"trun", be(0, 2))))
+    t = media.tracks(moov + moof + box(b"mdat", bytes(200)))[0]
+    base = len(moov)
+    assert t["samples"] == [(base + 100, 3), (base + 103, 4), (base + 107, 5), (base + 112, 5)] and t["keys"] == [(base + 100, 3)]
+    assert t["duration"] == 160 and t["timescale"] == 1000
+    for bits, raw, want in ((4, bytes([0x12, 0x30]), [1, 2, 3]), (8, bytes([1, 2, 3]), [1, 2, 3]), (16, bytes([0, 1, 1, 0, 0, 3]), [1, 256, 3])):
+        assert media.compact_sizes(memoryview(be(0) + bytes([0, 0, 0, bits]) + be(3) + raw), 0) == want
+
+
 def test_media_features_of_what_is_no_media(spark):
     df = spark.createDataFrame([(1, b"none"), (2, None), (3, media.encode(b"abc")), (4, media.encode(b"abc")[:60])], "id int, media binary").withColumn("features", F.lit(1))
     got = {r.id: r.features for r in media.inspect_column(df).collect()}
@@ -121,6 +141,25 @@ def test_jaccard_components(docs, empty):
     assert kept.where(F.col("text").rlike(r"\S")).count() == n
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies that don't all link, in groups far above a block's size, against all pairs."""
+    for name, size in (("BLOCK_SETS", 64), ("SMALL", 4)):
+        monkeypatch.setattr(jaccard, name, size)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    base = rng.choices(words, k=60)
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.choice((0, 1, 2, 3, 4))):
+            w[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+    assert got == {d: (n, c) for d, n, c in components_of(rows)}
+    assert 3 < len({c for _, c in got.values()}) < 650
+
+
 @pytest.mark.parametrize("near", [True, False])
 def test_signatures_lose_no_link(near):
     rng = np.random.default_rng(3)
