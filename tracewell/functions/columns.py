@@ -109,3 +109,8 @@ def dot(a: Column, b: Column) -> Column:
 def cited_pages(text: Column) -> Column:
     """Bracketed citations with a page: [name p.3] or [name p.3-5]."""
     return F.regexp_extract_all(text, F.lit(r"\[([^\[\]]+? pp?\.? ?\d+(?:-\d+)?)\]"), F.lit(1))
+
+
+def page_title(html: Column) -> Column:
+    """The text of a page's title element; empty without one."""
+    return F.regexp_extract(html, r"<title>([^<]*)</title>", 1)

@@ -118,6 +118,21 @@ def resolve(pointers: DataFrame, node: str = "entity_id", parent: str = "merged_
     return resolve(pointers.join(held, "node", "left").select("node", F.when(F.col("_cycle").isNull(), F.col("up")).alias("up")), "node", "up")
 
 
+def compact(entity: DataFrame) -> DataFrame:
+    """entity (entity_id, label, mentions, merged_into) with every pointer at its root. Of a cycle the entity of most words, then the
+    longest, then of most mentions, then of least id is the root."""
+    roots = resolve(entity.select("entity_id", "merged_into"))
+    own = entity.select(F.col("entity_id").alias("node"), "merged_into", "label", "mentions")
+    # a root that points on is on a cycle; the pointers of cycles alone are links of one component each
+    on = roots.where("node = root").join(own, "node").where("merged_into is not null and merged_into <> node")
+    ring = components(on.select(F.col("node").alias("a"), F.col("merged_into").alias("b")))
+    order = F.struct(-F.size(F.split("label", " ")), -F.length("label"), -F.col("mentions"), "node")
+    best = ring.join(own, "node").groupBy("component").agg(F.min_by("node", order).alias("best"))
+    end = ring.join(best, "component").select(F.col("node").alias("root"), "best")
+    into = roots.join(end, "root", "left").select(F.col("node").alias("entity_id"), F.coalesce("best", "root").alias("_root"))
+    return entity.join(into, "entity_id", "left").withColumn("merged_into", F.when(F.col("_root") != F.col("entity_id"), F.col("_root"))).drop("_root")
+
+
 def rolled_up(entity: DataFrame, roots: DataFrame) -> DataFrame:
     """Mentions of canonical entities, those merged into them included."""
     rows = entity.join(roots, entity["entity_id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "entity_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.kernels import chunk_text_udf
+from ..functions.kernels import chunk_text_udf, places_udf
 
 
 def chunk(pages: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "text") -> DataFrame:
@@ -15,6 +15,16 @@ def chunk(pages: DataFrame, doc: str = "doc_id", page: str = "page_num", text: s
     return parts.withColumn("chunk_id", C.digest_id(32, F.col("doc_id"), F.col("page_num"), F.col("ord"), F.col("text"))).select("chunk_id", "doc_id", "page_num", "ord", "text")
 
 
+def placed(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """chunk_id, doc_id, page_num, start and end of the stretches of its page (text) that a chunk occupies, read in the chunks' order
+    (ord): one where the order holds, all where it doesn't, none for a chunk that isn't found. A page's chunks are one list."""
+    lists = chunks.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id", "text"))).alias("_c"))
+    found = lists.join(pages.select("doc_id", "page_num", F.col("text").alias("_page")), ["doc_id", "page_num"])
+    spots = found.withColumn("_s", places_udf("_page", F.transform("_c", lambda c: c["text"])))
+    each = spots.select("doc_id", "page_num", F.explode(F.arrays_zip(F.transform("_c", lambda c: c["chunk_id"]).alias("id"), F.col("_s").alias("spots"))).alias("x"))
+    return each.select(F.col("x.id").alias("chunk_id"), "doc_id", "page_num", F.inline("x.spots"))
+
+
 def keyword_search(chunks: DataFrame, question: str, limit: int, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Chunks with most of the question's first 12 words of 3 or more letters; every chunk is scored, then a top-k."""
     import re

@@ -73,6 +73,11 @@ def foreign_findings(findings: DataFrame, facts: DataFrame, share: float = 0.6)
     return hits.where((F.col("n") >= 5) & (F.col("hits") >= share * F.col("n"))).select("finding_id", "ref", "hits", "n")
 
 
+def entities_block(mentions: DataFrame, limit: int = 40) -> DataFrame:
+    """entity_type, name, files and mentions of the entities that are mentioned most, ties by name."""
+    return mentions.groupBy("entity_type", "name").agg(F.count_distinct("doc_id").alias("files"), F.count(F.lit(1)).alias("mentions")).orderBy(F.desc("mentions"), "name").limit(limit)
+
+
 def context_block(rows: DataFrame, group: str, line, order: list[str]) -> DataFrame:
     """group and block: formatted lines in order."""
     return rows.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))), lambda x: x["_line"]), "\n").alias("block"))

@@ -206,9 +206,9 @@ def routing_carry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(WITH + """, t AS (SELECT unnest(['1', '2', '9']) AS target)
-SELECT target, count(*) AS rows, target = '9' AND count(*) FILTER (allegation_ref IS NULL) = 0 AS guarded FROM triples, t WHERE predicate = 'placed' AND (allegation_ref IS NULL OR allegation_ref = target) GROUP BY target""")
+SELECT target, count(*) AS rows, target = '9' AND count(*) FILTER (allegation_ref IS NULL) = 0 AS guarded FROM triples, t WHERE (allegation_ref IS NULL OR allegation_ref = target) GROUP BY target""")
 def routing_filter(spark: SparkSession, sf: str) -> DataFrame:
-    rows = triples(spark, sf).where("predicate = 'placed'").select(F.when(F.col("allegation_ref").isNull(), F.array().cast("array<string>")).otherwise(F.array("allegation_ref")).alias("refs"), F.col("allegation_ref").isNull().alias("unrestricted"))
+    rows = triples(spark, sf).select(F.when(F.col("allegation_ref").isNull(), F.array().cast("array<string>")).otherwise(F.array("allegation_ref")).alias("refs"), F.col("allegation_ref").isNull().alias("unrestricted"))
     targets = spark.createDataFrame([("1",), ("2",), ("9",)], "target string")
     return routing.route(rows, targets).groupBy("target").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("guarded").alias("guarded"))
 
@@ -233,13 +233,14 @@ def rel_type(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", C.rel_type(F.concat_ws(" ", "p_type", "p_brand")).alias("rel"))
 
 
-@query("""WITH q AS (SELECT item_id, text AS flat, 'x' AS k FROM benchmark UNION ALL SELECT item_id + 100000, substr(text, 5, length(text) - 8), 'x' FROM benchmark),
-f AS (SELECT item_id, lower(trim(regexp_replace(flat, '\\s+', ' ', 'g'))) AS flat FROM q)
-SELECT item_id FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE contains(b.flat, a.flat) AND (length(b.flat) > length(a.flat) OR length(b.flat) = length(a.flat) AND b.item_id < a.item_id))""")
+@query("""WITH q AS (SELECT doc_id * 2 AS item_id, doc_id % 50 AS k, coalesce(text, '') AS t FROM documents UNION ALL SELECT doc_id * 2 + 1, doc_id % 50, substr(coalesce(text, ''), 5, 200) FROM documents),
+f AS (SELECT item_id, k, lower(trim(regexp_replace(t, '[ \\t\\n\\f\\r\\v]+', ' ', 'g'))) AS flat FROM q)
+SELECT item_id FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.k = b.k AND contains(b.flat, a.flat) AND (length(b.flat) > length(a.flat) OR length(b.flat) = length(a.flat) AND b.item_id < a.item_id))""")
 def assertion_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    b = load(spark, sf, "benchmark")
-    more = b.select((F.col("item_id") + 100000).alias("item_id"), F.col("text").substr(F.lit(5), F.length("text") - 8).alias("text"))
-    rows = b.select("item_id", "text").union(more).select("item_id", F.col("text").alias("quote"), *[F.lit("x").alias(c) for c in ("subject_type", "subject_name", "predicate", "object_type", "object_name")], F.lit(None).cast("string").alias("event_date"))
+    """Every document and a cut of it as quotes of fifty assertions."""
+    d = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    rows = d.select((F.col("doc_id") * 2).alias("item_id"), "doc_id", "t").union(d.select(F.col("doc_id") * 2 + 1, "doc_id", F.substring("t", 5, 200)))
+    rows = rows.select("item_id", F.col("t").alias("quote"), F.concat(F.lit("k"), (F.col("doc_id") % 50).cast("string")).alias("subject_name"), *[F.lit("x").alias(c) for c in ("subject_type", "predicate", "object_type", "object_name")], F.lit(None).cast("string").alias("event_date"))
     return assertions.dedupe(rows, "item_id").select("item_id")
 
 
@@ -325,7 +326,7 @@ def mechanics_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
 def title_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return load(spark, sf, "pages").select("page_id", C.page_title(F.col("html")).alias("title"))
 
 
 @query("""WITH t AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
@@ -349,8 +350,7 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
 @query(WITH + """, m AS (SELECT subject_type AS entity_type, subject_name AS name, doc_id FROM triples UNION ALL SELECT object_type, object_name, doc_id FROM triples)
 SELECT entity_type, name, count(DISTINCT doc_id) AS files, count(*) AS mentions FROM m GROUP BY 1, 2 ORDER BY mentions DESC, name LIMIT 40""")
 def entities_block(spark: SparkSession, sf: str) -> DataFrame:
-    m = graph.mentions(triples(spark, sf))
-    return m.groupBy("entity_type", "name").agg(F.count_distinct("doc_id").alias("files"), F.count(F.lit(1)).alias("mentions")).orderBy(F.desc("mentions"), "name").limit(40)
+    return report.entities_block(graph.mentions(triples(spark, sf)))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 12))) AS word FROM documents) SELECT word, 1 / count(DISTINCT doc_id) AS weight FROM w GROUP BY 1""")

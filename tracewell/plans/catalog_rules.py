@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.kernels import extraction_chunks_udf, narrow_quote_udf, normalize_udf, quote_offset_udf
 from ..functions.names import fault_udf, without_title_udf
-from ..operators import assertions, corpus, elements, entities, evaluate, graph, ledger, links, markdown, ocr, report, routing, scoring
+from ..operators import assertions, corpus, elements, entities, evaluate, graph, ledger, links, markdown, ocr, passages, report, routing, scoring
 from .evidence import load
 from .registry import query
 
@@ -475,3 +475,35 @@ def foreign_findings(spark: SparkSession, sf: str) -> DataFrame:
 def circular_scrub(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.col("s_name"), F.lit(" did it [the allegation itself]."))
     return scoring.without_circular(load(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), text.alias("body")), "body")
+
+
+@query("""SELECT s_suppkey AS chunk_id, unnest([0, 10 + length(s_name)]) AS "start", unnest([9 + length(s_name), 19 + 2 * length(s_name)]) AS "end" FROM supplier WHERE s_suppkey % 2 = 1
+UNION ALL SELECT s_suppkey, 0, 9 + length(s_name) FROM supplier WHERE s_suppkey % 2 = 0""")
+def passage_places(spark: SparkSession, sf: str) -> DataFrame:
+    """A page says a thing twice: the first of two chunks takes the first copy; one that comes behind the last has both."""
+    k = F.col("s_suppkey")
+    said = F.concat(F.col("s_name"), F.lit("  was\nout"))
+    s = load(spark, sf, "supplier").select(k, said.alias("said"), F.concat(said, F.lit(" "), said).alias("text"))
+    flat = F.regexp_replace(F.upper("said"), r"\s+", " ")
+    chunks = s.select(k.alias("chunk_id"), k.alias("doc_id"), F.lit(1).alias("page_num"), F.lit(1).alias("ord"), flat.alias("text")).where("chunk_id % 2 = 0")
+    late = s.where(k % 2 == 1)
+    chunks = chunks.unionByName(late.select((-k).alias("chunk_id"), k.alias("doc_id"), F.lit(1).alias("page_num"), F.lit(0).alias("ord"), F.lit("OUT").alias("text"))).unionByName(late.select((-k).alias("chunk_id"), k.alias("doc_id"), F.lit(1).alias("page_num"), F.lit(1).alias("ord"), F.lit("out").alias("text"))).unionByName(late.select(k.alias("chunk_id"), k.alias("doc_id"), F.lit(1).alias("page_num"), F.lit(2).alias("ord"), flat.alias("text")))
+    pages = s.select(k.alias("doc_id"), F.lit(1).alias("page_num"), "text")
+    return passages.placed(chunks, pages).where("chunk_id >= 0 and doc_id = chunk_id").select("chunk_id", "start", "end")
+
+
+@query("""SELECT c_custkey AS entity_id, CASE c_custkey % 5 WHEN 0 THEN c_custkey + 2 WHEN 1 THEN c_custkey + 1 WHEN 3 THEN c_custkey - 1 END AS merged_into FROM customer WHERE c_custkey < (SELECT max(c_custkey) // 5 * 5 FROM customer)""")
+def merge_compact(spark: SparkSession, sf: str) -> DataFrame:
+    """Three customers in a ring, whose third has the fullest label, one that points into it and one alone."""
+    c = load(spark, sf, "customer")
+    most = c.agg(F.max("c_custkey")).first()[0] // 5 * 5
+    k = F.col("c_custkey")
+    e = c.where(k < most).select(k.alias("entity_id"), pick(k, "Ann", "Ann", "Ann Roe", "A", "B").alias("label"), F.lit(1).alias("mentions"), pick(k, k + 1, k + 1, k - 2, k - 3, nothing("bigint")).alias("merged_into"))
+    return entities.compact(e).select("entity_id", "merged_into")
+
+
+@query("""SELECT c_custkey AS chunk_id, c_custkey AS doc_id, n_name AS filename FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_nationkey").alias("doc_id"))
+    d = load(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("filename"))
+    return passages.with_documents(c, d, "filename").withColumn("doc_id", F.col("chunk_id"))
