@@ -129,15 +129,16 @@ def powers(n: int) -> list[np.ndarray]:
 FIELDS = "doc_id {key}, h long, lo long, len int, off int, anchor long, snip long"
 
 
-def occurrences(docs: DataFrame, units: Units, text: str, key: str) -> DataFrame:
+def occurrences(docs: DataFrame, units: Units, text: str, key: str, size: int) -> DataFrame:
     """doc_id, h, lo, len, off, anchor and snip of every snippet whose anchor occurs at least twice.
 
     Mappers send what they find in blobs by bucket of the anchor's hash. Where an anchor occurs more than once among the
     texts of a blob, that is known there: those snippets go to any bucket, and one note of the anchor to its own; so a
-    bucket gets at most one entry of an anchor from each blob, however often it occurs."""
+    bucket gets at most one entry of an anchor from each blob, however often it occurs. Buckets and tasks are made in proportion to
+    size, the bytes of all texts."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    n_buckets = max(common.shuffle_partitions(spark), -(-common.text_bytes(docs, text) // BUCKET_BYTES))
+    n_buckets = max(common.shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     search_bytes = SEARCH_BYTES
     fields = np.dtype([("row", "<i4"), ("lo", "<i8"), ("len", "<i4"), ("off", "<i4"), ("anchor", "<u8"), ("snip", "<u8"), ("known", "u1")])
 
@@ -210,7 +211,7 @@ def occurrences(docs: DataFrame, units: Units, text: str, key: str) -> DataFrame
         return pa.table([ids.take(pa.array(out["row"])), pa.array(hs[out["row"]]), pa.array(out["lo"]), pa.array(out["len"]), pa.array(out["off"]), pa.array(out["anchor"].view("<i8")), pa.array(out["snip"].view("<i8"))], names=["doc_id", "h", "lo", "len", "off", "anchor", "snip"])
 
     blobs = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), text).mapInArrow(find, f"bucket long, ids array<{kind}>, hs binary, found binary")
-    return blobs.groupBy("bucket").applyInArrow(lambda t: meet(t.select(["ids", "hs", "found"])), FIELDS.format(key=kind))
+    return blobs.repartition(common.tasks(spark, size), "bucket").groupBy("bucket").applyInArrow(lambda t: meet(t.select(["ids", "hs", "found"])), FIELDS.format(key=kind))
 
 
 def pieces(window: int, lo: np.ndarray, length: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -246,7 +247,8 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
     index takes snippets (content, copies) and returns the covered spans of each as rows of start
     and end. It gets all snippets that can share a window at once, and others with them."""
     kind = docs.schema[key].dataType.simpleString()
-    found = common.materialize(occurrences(docs, units, text, key), "repeats")
+    size = common.text_bytes(docs, text)
+    found = common.materialize(occurrences(docs, units, text, key, size), "repeats")
     distinct = found.groupBy("anchor", "snip").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "h", "lo", "len", "off")).alias("at"))
     forms = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") > WHOLE)
     distinct = distinct.join(forms, "anchor", "left").select("at.doc_id", "at.h", F.struct("anchor", "snip", "copies", "at.lo", "at.len", "at.off", F.col("forms").isNotNull().alias("wide")).alias("item"))
@@ -328,7 +330,7 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
         common.release()
 
     kind_of = "array<binary>" if passages else "array<long>"
-    marks = parts.select("group", "piece", "copies", "content").repartition("group").sortWithinPartitions("group", "piece").mapInArrow(shard, f"group long, piece long, marks {kind_of}")
+    marks = parts.select("group", "piece", "copies", "content").repartition(common.tasks(docs.sparkSession, size), "group").sortWithinPartitions("group", "piece").mapInArrow(shard, f"group long, piece long, marks {kind_of}")
     of_form = parts.select("group", "piece", "anchor", "snip", "at").join(marks, ["group", "piece"])
     shifted = lambda by: F.col("marks") if passages else F.transform("marks", lambda x: x + F.col(by))
     of_form = of_form.groupBy("anchor", "snip").agg(F.flatten(F.collect_list(shifted("at"))).alias("marks"))

@@ -41,6 +41,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes for a task of a shuffle by buckets.
+TASK_BYTES = 64 << 20
+
+
+def tasks(spark: SparkSession, size: int) -> int:
+    """Partitions of a shuffle of about size bytes: the session's number, or as many as keep a task at TASK_BYTES."""
+    return max(shuffle_partitions(spark), -(-size // TASK_BYTES))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of UTF-8 in all rows."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -31,6 +31,8 @@ U = np.uint64
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Bytes of text for a bucket of signatures.
 BUCKET_BYTES = 8 << 20
+#: Bytes of a signature that are sent.
+SENT = 6
 #: Least and most bits of a parity sketch, as powers of two.
 LEAST_BITS, MOST_BITS = 8, 16
 #: Sets of a group that gives its pairs; those and the shingles of a block of a family (on average, either limit).
@@ -177,8 +179,11 @@ def nodes(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(key, F.xxhash64(text).alias("_h"), text).mapInArrow(run, f"key {kind}, h long, n_shingles long, node long, sketch binary").withColumnRenamed("key", key)
 
 
-def groups(docs: DataFrame, text: str, bands: list[int], n_buckets: int) -> DataFrame:
-    """group and node: the sets that share a signature, groups of equal members once a bucket. bands: sets by band."""
+def groups(docs: DataFrame, text: str, bands: list[int], size: int) -> DataFrame:
+    """group and node: the sets that share a signature, groups of equal members once a bucket. bands: sets by band; size: bytes of
+    all texts, in proportion to which buckets and tasks are made."""
+    spark = docs.sparkSession
+    n_buckets, n_tasks = max(common.shuffle_partitions(spark), -(-size // BUCKET_BYTES)), common.tasks(spark, size)
     edges = edges_of_bands(1 << 40)
     plans = []
     for k in range(len(edges) - 1):
@@ -202,16 +207,20 @@ def groups(docs: DataFrame, text: str, bands: list[int], n_buckets: int) -> Data
             order = np.lexsort((row, bucket))
             row, sig, bucket = row[order], sig[order], bucket[order].astype(np.int64)
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(row) else np.zeros(1, np.int64)
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                own, counts = np.unique(row[s:e], return_counts=True)
-                for o, v in zip(out, (int(bucket[s]), node[own].tobytes(), counts.astype("<i4").tobytes(), sig[s:e].tobytes()), strict=True):
+                # mostly one signature of a set in a bucket; six bytes of each tell them apart, and what meets is verified
+                short = np.ascontiguousarray(sig[s:e]).view(np.uint8).reshape(-1, 8)[:, :SENT]
+                for o, v in zip(out, (int(bucket[s]), node[row[s:e]].tobytes(), short.tobytes()), strict=True):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[common.binary(o) for o in out[1:]]], ["bucket", "nodes", "counts", "sigs"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[common.binary(o) for o in out[1:]]], ["bucket", "nodes", "sigs"])
 
     def meet(table: pa.Table) -> pa.Table:
         join = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), t)
-        node, sig = np.repeat(join("nodes", "<i8"), join("counts", "<i4")), join("sigs", "<u8")
+        node, short = join("nodes", "<i8"), join("sigs", "u1").reshape(-1, SENT)
+        sig = np.zeros((len(node), 8), np.uint8)
+        sig[:, :SENT] = short
+        sig = sig.view(U).ravel()
         order = np.argsort(sig, kind="stable")
         sig, node = sig[order], node[order]
         same = sig[1:] == sig[:-1]
@@ -231,8 +240,8 @@ def groups(docs: DataFrame, text: str, bands: list[int], n_buckets: int) -> Data
         at = np.repeat(cuts[:-1][one], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return pa.table([pa.array(np.repeat(name[one], n).view(np.int64)), pa.array(node[at])], names=["group", "node"])
 
-    blobs = docs.select(text).mapInArrow(send, "bucket long, nodes binary, counts binary, sigs binary")
-    return blobs.groupBy("bucket").applyInArrow(lambda t: meet(t.select(["nodes", "counts", "sigs"])), "group long, node long")
+    blobs = docs.select(text).mapInArrow(send, "bucket long, nodes binary, sigs binary")
+    return blobs.repartition(n_tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: meet(t.select(["nodes", "sigs"])), "group long, node long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -418,8 +427,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     # one count for each band, some hundred at most
     for band, n in sizes.groupBy(F.expr("+".join(f"cast(n >= {e} as int)" for e in edges)).alias("band")).count().collect():
         bands[band - 1] = n
-    n_buckets = max(common.shuffle_partitions(spark), -(-common.text_bytes(docs, text) // BUCKET_BYTES))
-    found = common.materialize(groups(docs, text, bands, n_buckets).distinct(), "groups")
+    found = common.materialize(groups(docs, text, bands, common.text_bytes(docs, text)).distinct(), "groups")
     own = known.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
     own = common.materialize(own.join(found.select("node").distinct(), "node", "left_semi"), "sketches")
     size = found.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
