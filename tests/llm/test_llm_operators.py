@@ -1,11 +1,13 @@
 """Every operator against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import os
 import random
 import re
 import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -459,6 +461,55 @@ def test_marks_and_quotes(page, text):
     assert extract.main_text(page) == text
 
 
+class Article(HTMLParser):
+    """The blocks of a page's article by the standard library's parser, for pages that close what they open but for br and img."""
+
+    BLOCK = frozenset("article p div ul ol li h1 h2 h3 h4 blockquote pre table tr td th section figure".split())
+    SKIP = frozenset("script style form nav aside footer header button select".split())
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks, self.now = [], [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.now).split()):
+            self.blocks.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "img", "hr", "meta", "link", "input"):
+            self.now.append("\n" if tag == "br" else "")
+            return
+        if tag in self.BLOCK:
+            self.flush()
+        self.open.append((tag, "ad" in (dict(attrs).get("class") or "").split()))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            if tag in self.BLOCK:
+                self.flush()
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        if "article" in tags and not self.SKIP & set(tags) and not any(ad for _, ad in self.open):
+            self.now.append(data)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/pages.parquet"), reason="no driver tables")
+def test_articles_equal_a_plain_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()
+    got = {r.page_id: r.text for r in extract.op6_main_text(spark, "/root/testdata/sf0.001").collect()}
+    for r in rows:
+        plain = Article()
+        plain.feed(r.html or "")
+        plain.close()
+        plain.flush()
+        assert got[r.page_id] == "\n".join(plain.blocks), r.page_id
+    assert len(got) == len(rows) > 0
+
+
 @pytest.mark.parametrize("page", ["<div>" * 60000 + "x", "<div>" * 30000 + "</section>" * 30000, "<ul>" + "<div>" * 20000 + "<li>a" * 20000, "<p>a<b>" * 40000, "<script>" * 40000, "<div><b>" * 30000 + "</i>" * 30000])
 def test_nesting_costs_in_proportion(page):
     began = time.process_time()
@@ -632,3 +683,41 @@ def test_chunks_split_batches():
 
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 100, "c"])], ["text"])
     assert [c.num_rows for c in common.chunks(iter([batch]), "text", 20)] == [2, 1, 1]
+
+
+def test_words_are_learnt_anew_beyond_the_bound(monkeypatch):
+    texts = [t or "" for t in TEXTS]
+    want = packing.WordIds(tokenizer_path()).ids(texts)
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 0)
+    words = packing.WordIds(tokenizer_path())
+    assert words.ids(texts) == want == words.ids(texts) and len(words.words) <= 1
+
+
+def test_small_groups_of_pieces(docs):
+    parts = packing.pieces(docs, tokenizer_path(), "text", "doc_id", 128)
+    rows = packing.pack(parts, "doc_id", 128, group_rows=8).collect()
+    assert counted((r.doc_id, r.piece, r.length) for r in rows) == counted((r.doc_id, r.piece, r.length) for r in parts.collect())
+    full = Counter()
+    for r in rows:
+        full[r.sequence_id] += r.length
+    assert max(full.values()) <= 128
+
+
+def test_one_bucket_of_a_running_sum(docs, monkeypatch):
+    want = sum(r.taken for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "MOST_BUCKETS", 1)
+    rows = mixing.mix(docs).collect()
+    assert sum(r.taken for r in rows) == want and all(0 <= r.taken <= 3 * r.size for r in rows)
+
+
+@pytest.mark.parametrize("most", [jaccard.MOST_BITS, 9])
+def test_sketches_never_exceed_the_difference(most, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_BITS", most)
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**63, 4000, dtype=np.int64).astype(np.uint64)
+    parts = [np.unique(rng.choice(pool, n)) for n in (3, 300, 310, 2000, 2500)]
+    offs = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    drawn = jaccard.sketches(np.concatenate(parts), offs)
+    p, q = np.triu_indices(len(parts), 1)
+    differ = [len(np.setxor1d(parts[i], parts[j])) for i, j in zip(p, q, strict=True)]
+    assert (jaccard.gaps(drawn, drawn, p, q) <= np.array(differ)).all()
