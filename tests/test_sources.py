@@ -29,7 +29,7 @@ BODY = P.format("Witness statement") + '<w:p><w:r><w:t>Seen</w:t><w:footnoteRefe
 def test_docx():
     pages = docx.read_docx(word(BODY, footnotes='<w:footnote w:id="2"><w:p><w:r><w:t>a note</w:t></w:r></w:p></w:footnote>'))
     assert pages == ["Witness statement\nSeen [footnote: a note]<<struck: gone>><<hidden: secret>>", "a | b"]
-    assert docx.missing(["the quick brown fox jumps over", "held words are all here today"], ["Held words are ALL here, today."]) == ["the quick brown fox jumps over"]
+    assert docx.missing(["the quick brown fox jumps over", "held words are all here today"], ["Held words are ALL here, today."]) == ["the quick brown", "fox jumps over"]
 
 
 def test_uploads_and_ingest(spark, tmp_path):
@@ -90,3 +90,16 @@ def test_streams(spark, tmp_path):
     files_in = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "raw"))
     sessions.ingest(files_in, str(tmp_path / "ck"), lambda df: seen.append(df.count())).awaitTermination(60)
     assert sum(seen) == 2
+
+
+def test_audit_finds_what_the_walk_lost():
+    from tracewell.sources import docx
+
+    held = ["The quick brown fox jumps over the lazy dog again and again."]
+    assert docx.missing(["The quick  BROWN fox jumps over the lazy dog"], held) == []
+    lost = docx.missing(["the quick brown fox jumps while nobody was looking at all"], held)
+    assert " ".join(lost).endswith("nobody was looking at all") and "quick" not in " ".join(lost)
+    assert docx.missing(["too short"], held) == [] and docx.missing(["supercalifragilisticexpialidocious"], held) == ["supercalifragilisticexpialidocious"]
+    lost = word(BODY.replace("</w:body>", "<w:other><w:t>A text box that nobody looks at, with enough of it.</w:t></w:other></w:body>")) if "</w:body>" in BODY else None
+    if lost is not None:
+        assert any("text box" in p for p in docx.read_docx(lost))

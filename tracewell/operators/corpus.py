@@ -45,11 +45,14 @@ def blocking_faults(state: DataFrame) -> DataFrame:
     return state.select("doc_id", fault.alias("fault")).where("fault is not null")
 
 
-def silent_documents(state: DataFrame, contributing: DataFrame) -> DataFrame:
-    """doc_id and reason of finished documents that a report says nothing from."""
+def silent_documents(state: DataFrame, contributing: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """doc_id and reason of finished documents that a report says nothing from, and of documents that came after its snapshot."""
+    from .ledger import arrived_since
+
     used = contributing.select("doc_id").distinct().withColumn("used", F.lit(True))
     reason = F.when(F.col("status") == "failed", "failed").when(F.col("status") == "incomplete", "incomplete").when(F.col("assertions") == 0, "no assertions").when(F.col("used").isNull(), "not cited")
-    return state.where(F.col("status").isin("done", "failed", "incomplete")).join(used, "doc_id", "left").select("doc_id", reason.alias("reason")).where("reason is not null")
+    out = state.where(F.col("status").isin("done", "failed", "incomplete")).join(used, "doc_id", "left").select("doc_id", reason.alias("reason")).where("reason is not null")
+    return out if documents is None else out.unionByName(arrived_since(documents, state))
 
 
 def set_status(docs: DataFrame, updates: DataFrame, now: str) -> DataFrame:

@@ -92,6 +92,24 @@ def draw(links: DataFrame, vertices: DataFrame) -> DataFrame:
     return both.select(F.when(swap, F.col("b_id")).otherwise(F.col("a_id")).alias("src"), F.when(swap, F.col("a_id")).otherwise(F.col("b_id")).alias("dst"), "relation", "confidence")
 
 
+def lost(links: DataFrame, vertices: DataFrame) -> DataFrame:
+    """One row, drawn and lost: how many links have both ends in the graph, and how many don't."""
+    known = vertices.select(F.col("entity_id").alias("a_id"), F.lit(1).alias("_a"))
+    both = links.join(known, "a_id", "left").join(known.toDF("b_id", "_b"), "b_id", "left")
+    whole = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return both.agg(F.count_if(whole).alias("drawn"), F.count_if(~whole).alias("lost"))
+
+
+def load(triples: DataFrame, vertices: DataFrame, edge: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """vertices and edges with those of triples that were never loaded, and triples with loaded_at set; what is there stays."""
+    fresh = triples.where(F.col("loaded_at").isNull())
+    new = edges(fresh).join(edge.select("triple_id"), "triple_id", "left_anti")
+    ends = mentions(fresh).select(entity_id(F.col("entity_type"), F.col("name")).alias("entity_id"), "entity_type", "name")
+    first = ends.groupBy("entity_id").agg(F.min(F.struct("entity_type", "name")).alias("v")).select("entity_id", "v.*").join(vertices.select("entity_id"), "entity_id", "left_anti")
+    marked = triples.withColumn("loaded_at", F.coalesce("loaded_at", F.lit(now)))
+    return vertices.unionByName(first.select(vertices.columns)), edge.unionByName(new.select(edge.columns)), marked
+
+
 def inferred_only(edge: DataFrame, links: DataFrame) -> DataFrame:
     """Vertices that only inferred links touch."""
     stated = edge.select(F.col("src").alias("entity_id")).union(edge.select("dst"))

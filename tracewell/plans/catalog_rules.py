@@ -377,6 +377,25 @@ def window_halves(spark: SparkSession, sf: str) -> DataFrame:
     return h.groupBy("window").agg(F.sum(pairs).alias("pairs"))
 
 
+@query("""SELECT count(*) FILTER (l_suppkey % 2 = 0 AND l_orderkey % 3 > 0) AS drawn, count(*) FILTER (NOT (l_suppkey % 2 = 0 AND l_orderkey % 3 > 0)) AS lost FROM lineitem""")
+def links_lost(spark: SparkSession, sf: str) -> DataFrame:
+    li = load(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a_id"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("b_id"))
+    s = load(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_id"))
+    return graph.lost(li, s.union(load(spark, sf, "orders").where("o_orderkey % 3 > 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))))
+
+
+@query("""SELECT 'PERSON:' || lower(c_name) AS src, 'LOCATION:' || lower(n_name) AS dst, c_custkey % 2 = 0 AS early FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def graph_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Triples in two loads; the second has the first's too."""
+    c = load(spark, sf, "customer").join(load(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    t = c.select(F.col("c_custkey").cast("string").alias("triple_id"), F.lit("PERSON").alias("subject_type"), F.col("c_name").alias("subject_name"), F.lit("based in").alias("predicate"), F.lit("LOCATION").alias("object_type"), F.col("n_name").alias("object_name"), nothing().alias("event_date"), F.lit("d").alias("doc_id"), F.lit(1).alias("page_num"), nothing().alias("loaded_at"))
+    none = graph.edges(t.limit(0))
+    v, e, _ = graph.load(t.where(F.col("triple_id").cast("long") % 2 == 0), spark.createDataFrame([], "entity_id string, entity_type string, name string"), none, "1")
+    late = t.withColumn("loaded_at", F.when((F.col("triple_id").cast("long") % 4 == 0), "1"))
+    v, e, _ = graph.load(late, v, e, "2")
+    return e.join(v.select(F.col("entity_id").alias("src")), "src").join(v.select(F.col("entity_id").alias("dst")), "dst").select("src", "dst", (F.col("triple_id").cast("long") % 2 == 0).alias("early"))
+
+
 @query("""SELECT p_type AS kind, count(*) AS n FROM part GROUP BY 1""")
 def graph_tally(spark: SparkSession, sf: str) -> DataFrame:
     return graph.tally(load(spark, sf, "part").select(F.col("p_type").alias("entity_type")))

@@ -50,7 +50,8 @@ def _text(node, notes: dict | None = None) -> str:
 
 
 def read_docx(content: bytes) -> list[str]:
-    """Pages of a Word file: by its page breaks, else by an estimate of characters; what no page holds comes last."""
+    """Pages of a Word file: by its page breaks, else by an estimate of characters; headers and footers and what no page holds
+    come last."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         notes = {}
@@ -64,7 +65,9 @@ def read_docx(content: bytes) -> list[str]:
         extra = [_text(ElementTree.fromstring(z.read(n))).strip() for n in sorted(names) if re.fullmatch(r"word/(header|footer)\d*\.xml", n)]
     held = _bare("".join(pages))
     residue = [x for x in dict.fromkeys(extra) if len(_bare(x)) >= FLOOR and _bare(x) not in held]
-    return [p.strip() for p in pages] + residue
+    pages = [p.strip() for p in pages] + residue
+    lost = missing(units_of(content), pages)  # whatever the walk didn't reach
+    return pages + (["\n".join(lost)] if lost else [])
 
 
 def _bare(text: str) -> str:
@@ -82,26 +85,30 @@ def _estimate(text: str) -> list[str]:
 
 
 def missing(units: list[str], pages: list[str]) -> list[str]:
-    """Parts of units that no page holds, spaces and case aside: halves are tried where the whole is missing."""
+    """Fragments of units (of FLOOR letters or digits at least) that no page holds, spaces, punctuation and case aside. A unit that is
+    missing as a whole is halved by words until a half is there, is a single word or has no more than FLOOR letters."""
     hay, out = _bare("".join(pages)), []
-
-    def look(words: list[str]) -> None:
+    stack = [u.split() for u in reversed(units) if len(_bare(u)) >= FLOOR]
+    while stack:
+        words = stack.pop()
         bare = _bare("".join(words))
-        if len(bare) < FLOOR or bare in hay:
-            return
-        half = len(words) // 2
-        parts = [words[:half], words[half:]]
-        if half == 0 or all(len(_bare("".join(p))) < FLOOR for p in parts):
-            out.append(" ".join(words))
-            return
-        before = len(out)
-        for p in parts:
-            look(p)
-        if len(out) == before:
+        if not bare or bare in hay:
+            continue
+        if len(bare) <= FLOOR or len(words) < 2:
             out.append(" ".join(words))
+        else:
+            half = len(words) // 2
+            stack += [words[half:], words[:half]]
+    return out
 
-    for u in units:
-        look(u.split())
+
+def units_of(content: bytes) -> list[str]:
+    """Every run of text in the parts of a Word file that hold content, deleted text included; fields' instructions aside."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for name in sorted(z.namelist()):
+            if re.fullmatch(r"word/[^/]+\.xml", name) and not re.search(r"(styles|settings|fontTable|numbering|webSettings|theme\d*)\.xml$", name):
+                out += [t.text for t in ElementTree.fromstring(z.read(name)).iter() if t.tag in (W + "t", W + "delText") and t.text and t.text.strip()]
     return out
 
 
