@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
-from ..functions.kernels import sentences_udf
+from ..functions.kernels import SHORT, sentences_udf
 from ..operators import assertions, consensus, corpus, entities, evaluate, graph, links, passages, report, routing
 from ..streaming import sessions
 from .evidence import TRIPLES_SQL, load, triples
@@ -271,7 +271,9 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return passages.chunk(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("text")).alias("longest"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '([\\p{L}\\p{N}_]*)([.!?]+)\\s+', 1) AS w, regexp_extract_all(coalesce(text, ''), '([\\p{L}\\p{N}_]*)([.!?]+)\\s+', 2) AS p FROM documents),
+b AS (SELECT *, list_transform(list_zip(w, p), lambda x: NOT (x[2][1] = '.' AND (lower(x[1]) IN (%s) OR regexp_full_match(x[1], '\\p{Lu}')))) AS breaks FROM t)
+SELECT doc_id, CAST(len(list_filter(breaks, lambda x: x)) + CASE WHEN regexp_full_match(text, '\\s*') OR regexp_matches(text, '[.!?]\\s+$') AND breaks[-1] THEN 0 ELSE 1 END AS INTEGER) AS sentences FROM b""" % ", ".join(f"'{w}'" for w in sorted(SHORT)))
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", F.size(sentences_udf("text")).alias("sentences"))
 
