@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import ocr
@@ -103,3 +104,25 @@ def test_audit_finds_what_the_walk_lost():
     lost = word(BODY.replace("</w:body>", "<w:other><w:t>A text box that nobody looks at, with enough of it.</w:t></w:other></w:body>")) if "</w:body>" in BODY else None
     if lost is not None:
         assert any("text box" in p for p in docx.read_docx(lost))
+
+
+def test_calls_are_tried_again():
+    class Shaky:
+        def __init__(self, failures):
+            self.failures = failures
+
+        def generate(self, prompts):
+            if self.failures:
+                raise self.failures.pop()
+            return prompts
+
+        def embed(self, texts):
+            return [(1, [1.0]), (0, [0.0])]
+
+    retry = lambda *f, **k: models.Retry(Shaky(list(f)), wait=0, **k)
+    assert retry(ConnectionError(), ConnectionError()).generate(["a"]) == ["a"] and retry().embed(["a", "b"]) == [[0.0], [1.0]]
+    for failure in (models.ContextOverflow(), TimeoutError("read"), models.Cancelled()):
+        with pytest.raises(type(failure)):
+            retry(failure, passing=(ConnectionResetError,)).generate(["a"])
+    with pytest.raises(ConnectionError):
+        retry(*[ConnectionError()] * 3).generate(["a"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEGATION = ("not", "no", "never", "denied", "denies", "didn't", "wasn't", "without")
@@ -52,21 +52,28 @@ def contamination(needles: DataFrame, texts: DataFrame, needle_id: str, needle:
     return out.distinct()
 
 
-def rule_holds(rows: DataFrame, kind: str, pattern: str, where: str | None = None) -> DataFrame:
-    """One row, passed, for a rule of the fixture language over assertions."""
-    i = f"(?i){pattern}"
-    name = F.col("subject_name").rlike(i) | F.col("object_name").rlike(i)
-    scope = F.col("predicate").rlike(f"(?i){where}") if where else F.lit(True)
-    roster = F.count_distinct(F.when(F.col("subject_type") == "PERSON", F.col("subject_name")))
-    rules = {
-        "forbid_entity": F.count_if(name) == 0, "require_entity": F.count_if(name) > 0,
-        "forbid_predicate": F.count_if(F.col("predicate").rlike(i)) == 0, "require_predicate": F.count_if(F.col("predicate").rlike(i)) > 0,
-        "forbid_date": F.count_if(scope & F.coalesce("event_date", F.lit("")).startswith(pattern)) == 0,
-        "forbid_exact_stated_date": F.count_if(scope & (F.length("event_date") >= 10) & (F.col("event_date_basis") == "stated")) == 0 if "event_date_basis" in rows.columns else F.lit(True),
-        "require_quote_substr": F.count_if(F.contains(F.lower("quote"), F.lit(pattern.lower()))) > 0,
-        "entity_roster_max": roster <= int(pattern) if pattern.isdigit() else F.lit(None), "entity_roster_min": roster >= int(pattern) if pattern.isdigit() else F.lit(None),
-    }
-    return rows.agg(((F.count(F.lit(1)) > 0) & rules[kind]).alias("passed")).select(F.lit(kind).alias("rule"), F.lit(pattern).alias("pattern"), "passed")
+def rules_hold(rows: DataFrame, rules: list[tuple[str, str, str | None]]) -> DataFrame:
+    """rule, pattern and passed of each rule (kind, pattern, predicates that it is about or None) over assertions, in one pass. None
+    holds without a row. A roster is the distinct names of people in both slots."""
+    people = F.flatten(F.collect_set(F.array_compact(F.array(F.when(F.col("subject_type") == "PERSON", F.col("subject_name")), F.when(F.col("object_type") == "PERSON", F.col("object_name"))))))
+    basis = F.col("event_date_basis") if "event_date_basis" in rows.columns else F.lit(None).cast("string")
+
+    def passed(kind: str, pattern: str, where: str | None) -> Column:
+        like = lambda c: F.coalesce(F.col(c).rlike(f"(?i){pattern}"), F.lit(False))
+        scope = F.coalesce(F.col("predicate").rlike(f"(?i){where}"), F.lit(False)) if where else F.lit(True)
+        roster = F.size(F.array_distinct(people))
+        return {
+            "forbid_entity": lambda: F.count_if(like("subject_name") | like("object_name")) == 0, "require_entity": lambda: F.count_if(like("subject_name") | like("object_name")) > 0,
+            "forbid_predicate": lambda: F.count_if(like("predicate")) == 0, "require_predicate": lambda: F.count_if(like("predicate")) > 0,
+            "forbid_date": lambda: F.count_if(scope & F.coalesce("event_date", F.lit("")).startswith(pattern)) == 0,
+            "forbid_exact_stated_date": lambda: F.count_if(scope & (F.length("event_date") >= 10) & (basis == "stated")) == 0,
+            "require_quote_substr": lambda: F.count_if(F.contains(F.lower("quote"), F.lit(pattern.lower()))) > 0,
+            "entity_roster_max": lambda: roster <= int(pattern), "entity_roster_min": lambda: roster >= int(pattern),
+        }[kind]()
+
+    some = F.count(F.lit(1)) > 0
+    each = [F.struct(F.lit(kind).alias("rule"), F.lit(pattern).alias("pattern"), (some & passed(kind, pattern, where)).alias("passed")) for kind, pattern, where in rules]
+    return rows.agg(F.array(*each).alias("r")).select(F.inline("r"))
 
 
 def fact_recall(gold: DataFrame, facts: DataFrame, first: int = 6) -> DataFrame:

@@ -318,12 +318,17 @@ def eval_precision_recall(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.precision_recall(found, labels.where("quality = 1"), "doc_id")
 
 
-@query(WITH + """SELECT 'require_predicate' AS rule, 'placed|supplied' AS pattern, count(*) FILTER (predicate IN ('placed', 'supplied')) > 0 AS passed FROM triples
-UNION ALL SELECT 'forbid_entity', 'order 7$', count(*) FILTER (regexp_matches(subject_name, 'order 7$') OR regexp_matches(object_name, 'order 7$')) = 0 FROM triples
-UNION ALL SELECT 'entity_roster_max', '100', count(DISTINCT CASE WHEN subject_type = 'PERSON' THEN subject_name END) <= 100 FROM triples""")
+@query(WITH + """, t AS (SELECT *, CASE WHEN predicate = 'placed' THEN 'stated' END AS basis, (SELECT count(DISTINCT n) FROM (SELECT subject_name AS n FROM triples WHERE subject_type = 'PERSON' UNION SELECT object_name FROM triples WHERE object_type = 'PERSON')) AS roster FROM triples)
+SELECT unnest(['require_predicate', 'forbid_predicate', 'forbid_entity', 'require_entity', 'forbid_date', 'forbid_date', 'forbid_exact_stated_date', 'forbid_exact_stated_date', 'require_quote_substr', 'entity_roster_max', 'entity_roster_min']) AS rule,
+unnest(['placed|supplied', '^stole', 'order 7$', 'ORDER 7$', '1992', '19', 'x', 'y', 'Based In', '100', '100']) AS pattern,
+unnest([count(*) FILTER (predicate IN ('placed', 'supplied')) > 0, count(*) FILTER (predicate LIKE 'stole%') = 0, count(*) FILTER (regexp_matches(subject_name, 'order 7$') OR regexp_matches(object_name, 'order 7$')) = 0,
+count(*) FILTER (regexp_matches(subject_name, 'order 7$') OR regexp_matches(object_name, 'order 7$')) > 0, count(*) FILTER (predicate = 'based in' AND event_date LIKE '1992%') = 0, count(*) FILTER (event_date LIKE '19%') = 0,
+count(*) FILTER (predicate = 'supplied' AND length(event_date) >= 10 AND basis = 'stated') = 0, count(*) FILTER (length(event_date) >= 10 AND basis = 'stated') = 0, count(*) FILTER (contains(lower(quote), 'based in')) > 0, max(roster) <= 100, max(roster) >= 100]) AS passed FROM t""")
 def mechanics_rules(spark: SparkSession, sf: str) -> DataFrame:
-    t = triples(spark, sf)
-    return evaluate.rule_holds(t, "require_predicate", "placed|supplied").unionByName(evaluate.rule_holds(t, "forbid_entity", "order 7$")).unionByName(evaluate.rule_holds(t, "entity_roster_max", "100"))
+    """All nine kinds of rules in one pass."""
+    t = triples(spark, sf).withColumn("event_date_basis", F.when(F.col("predicate") == "placed", "stated"))
+    rules_of = [("require_predicate", "placed|supplied", None), ("forbid_predicate", "^stole", None), ("forbid_entity", "order 7$", None), ("require_entity", "ORDER 7$", None), ("forbid_date", "1992", "^based"), ("forbid_date", "19", None), ("forbid_exact_stated_date", "x", "supplied"), ("forbid_exact_stated_date", "y", None), ("require_quote_substr", "Based In", None), ("entity_roster_max", "100", None), ("entity_roster_min", "100", None)]
+    return evaluate.rules_hold(t, rules_of)
 
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")

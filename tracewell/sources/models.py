@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -27,6 +28,40 @@ class ContextOverflow(RuntimeError):
     """A prompt that the model can't hold: the run must end, the row must not be skipped."""
 
 
+class Cancelled(BaseException):
+    """The run was called off: no handler of failures may take this for one."""
+
+
+class Retry:
+    """A model whose calls are tried again after failures that may pass (by default lost connections), `times` times in all, waiting
+    longer each time. What is asked too long, called off or timed out while it was read is not tried again. Vectors that come with
+    their places, as pairs, are put in order."""
+
+    def __init__(self, model, times: int = 3, wait: float = 0.5, passing: tuple[type[Exception], ...] = (ConnectionError,)) -> None:
+        self.model, self.times, self.wait, self.passing = model, times, wait, passing
+
+    def call(self, f: Callable[[list[str]], list], values: list[str]) -> list:
+        for k in range(1, self.times + 1):
+            try:
+                return f(values)
+            except ContextOverflow:
+                raise
+            except self.passing:
+                if k == self.times:
+                    raise
+                time.sleep(self.wait * 2 ** (k - 1))
+        return []
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return self.call(self.model.generate, prompts)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        found = self.call(self.model.embed, texts)
+        if found and isinstance(found[0], tuple):
+            found = [v for _, v in sorted(found, key=lambda x: x[0])]
+        return found
+
+
 class EchoModel:
     """Answers with the last line of the prompt."""
 
