@@ -94,3 +94,5 @@ HEARD = ("heard|watched|saw", "say|saying|tell|telling|shout|shouting|yell|yelli
 NOT_A_NAME = tuple(
     "i he she they we you it that this these those the a an who what when where which and but then so if as after afterward afterwards before later once while because eventually finally meanwhile anyway also next airman airmen everyone someone somebody nobody people personnel witnesses members leadership command".split()
 )
+#: Labels of a form that stand before when a proceeding took place.
+DATE_LABELS = ("date / time / location", "date/time/location", "date and time", "date of interview", "date of statement", "date taken", "date")

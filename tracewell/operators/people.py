@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..functions import rules
 from ..functions.kernels import RANKS, SUFFIXES, normalize_udf
 from .entities import components
 
@@ -16,6 +18,25 @@ HEAD = 2500
 COMMON = tuple("the and for with from that this who what when where did was were not case report about".split())
 
 
+def header_value(text, labels: tuple[str, ...]):
+    """What a form's header writes against the first of the labels that has a value, behind it on its line or on the next; null for
+    none. A column."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[*_~`]+", "")
+    found = [F.nullif(F.trim(F.regexp_replace(F.regexp_extract(bare, rf"(?mi)^[ \t>|#+•-]*\Q{label}\E[ \t]*(?:[:.|][ \t|]*|$\s*)([^\n|]*[^\s|][^\n]*)", 1), r"[\s|]+$", "")), F.lit("")) for label in labels]
+    return F.coalesce(*found)
+
+
+def proceeding_time(text):
+    """When an interview or statement took place by its header: a day, or a day and a military time behind it; null for none."""
+    value = header_value(text, rules.DATE_LABELS)
+    day = rf"(?i)\b(\d{{1,2}})\s+({rules.MONTH})\w*\.?,?\s+(\d{{4}})\b"
+    part = lambda k: F.regexp_extract(value, day, k)
+    iso = F.concat_ws("-", part(3), C.month_number(part(2)), F.lpad(part(1), 2, "0"))
+    rest = F.regexp_replace(value, rf"(?i)^.*?\b\d{{1,2}}\s+(?:{rules.MONTH})\w*\.?,?\s+\d{{4}}\b", "")
+    hh, mm = (F.regexp_extract(rest, r"\b([01]\d|2[0-3])([0-5]\d)\b", k) for k in (1, 2))
+    return F.when(part(1) != "", F.when(hh != "", F.concat(iso, F.lit("T"), hh, F.lit(":"), mm)).otherwise(iso))
+
+
 def interviewee(pages: DataFrame) -> DataFrame:
     """doc_id and name as the form on the first page gives it."""
     name = F.regexp_extract(F.substring("text", 1, HEAD), LABEL, 1)

@@ -73,6 +73,22 @@ def foreign_findings(findings: DataFrame, facts: DataFrame, share: float = 0.6)
     return hits.where((F.col("n") >= 5) & (F.col("hits") >= share * F.col("n"))).select("finding_id", "ref", "hits", "n")
 
 
+def other_allegation(findings: DataFrame, allegations: DataFrame, margin: float = 1.5, least: int = 2) -> DataFrame:
+    """finding_id and belongs of findings (finding_id, ref, text) that another allegation (ref, allegation) tells better than their own:
+    it has at least two of the finding's long words (five are needed, brackets aside, repeats counted), and as many times more of
+    them than its own as the margin says. Words meet by equality; of equal ones the last allegation counts."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace("text", r"\[[^\]]*\]", " ")), r"[.,;:()\"']+(?=\s|$)|(?<=\s|^)[.,;:()\"']+", "")
+    long = lambda c: F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 4)
+    own = findings.select("finding_id", "ref", F.posexplode(long(bare)).alias("_at", "w"))
+    sizes = own.groupBy("finding_id", "ref").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    told = F.regexp_replace(F.lower("allegation"), r"[.,;:()\"']+(?=\s|$)|(?<=\s|^)[.,;:()\"']+", "")
+    terms = allegations.select(F.col("ref").alias("_other"), F.explode(F.array_distinct(long(told))).alias("w"))
+    hits = own.join(terms, "w").groupBy("finding_id", "ref", "_other").agg(F.count(F.lit(1)).alias("hits")).join(sizes, ["finding_id", "ref"])
+    best = hits.groupBy("finding_id", "ref").agg(F.max(F.struct("hits", "_other")).alias("b"), F.max(F.when(F.col("_other") == F.col("ref"), F.col("hits")).otherwise(0)).alias("mine"))
+    fine = (F.col("b._other") != F.col("ref")) & (F.col("b.hits") >= least) & (F.col("b.hits") >= margin * F.col("mine"))
+    return best.where(fine).select("finding_id", F.col("b._other").alias("belongs"))
+
+
 def entities_block(mentions: DataFrame, limit: int = 40) -> DataFrame:
     """entity_type, name, files and mentions of the entities that are mentioned most, ties by name."""
     return mentions.groupBy("entity_type", "name").agg(F.count_distinct("doc_id").alias("files"), F.count(F.lit(1)).alias("mentions")).orderBy(F.desc("mentions"), "name").limit(limit)

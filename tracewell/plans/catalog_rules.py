@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.kernels import extraction_chunks_udf, narrow_quote_udf, normalize_udf, quote_offset_udf
 from ..functions.names import fault_udf, without_title_udf
-from ..operators import assertions, corpus, elements, entities, evaluate, graph, ledger, links, markdown, ocr, passages, report, routing, scoring
+from ..operators import assertions, corpus, elements, entities, evaluate, graph, ledger, links, markdown, ocr, passages, people, report, routing, scoring
+from ..streaming import sessions
 from .evidence import load
 from .registry import query
 
@@ -526,3 +527,157 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_nationkey").alias("doc_id"))
     d = load(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("filename"))
     return passages.with_documents(c, d, "filename").withColumn("doc_id", F.col("chunk_id"))
+
+
+@query("""SELECT s_suppkey AS finding_id, 2 AS belongs FROM supplier WHERE s_suppkey % 3 = 0""")
+def strayed_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings under the first allegation: one that tells the second's, one that tells both and one of few words."""
+    k = F.col("s_suppkey")
+    text = pick(k, "The sergeant, again, counted seventy barrels behind warehouse [memo p.1].", "Lieutenant signed receipts; sergeant counted barrels behind.", "Barrels, seventy.")
+    allegations = spark.createDataFrame([(1, "The lieutenant signed receipts without reading"), (2, "The sergeant counted barrels behind the warehouse")], "ref int, allegation string")
+    return report.other_allegation(load(spark, sf, "supplier").select(k.alias("finding_id"), F.lit(1).alias("ref"), text.alias("text")), allegations)
+
+
+@query(O + """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN iso || 'T09:25' WHEN 1 THEN iso WHEN 2 THEN iso END AS held FROM o""")
+def proceeding_times(spark: SparkSession, sf: str) -> DataFrame:
+    o, k = dates(spark, sf)
+    day = F.date_format("d", "d MMMM yyyy")
+    text = pick(k, F.concat(F.lit("Form 7\n| **Date / Time / Location:** | "), day, F.lit(", 0925, Bldg 1540 |\n")), F.concat(F.lit("Date of interview\n\n"), day, F.lit("\nName: x")), F.concat(F.lit("Room 1540\nDATE: "), day), F.lit("On 6 June 2024 it was.\nDate: soon"))
+    return o.select("o_orderkey", people.proceeding_time(text).alias("held"))
+
+
+@query("""SELECT s_suppkey AS doc_id, s_name AS name FROM supplier WHERE s_suppkey % 3 < 2""")
+def interviewees(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = pick(k, F.concat(F.lit("Sworn\nName: "), F.col("s_name"), F.lit("\nI saw it.")), F.concat(F.lit("Interviewee - "), F.col("s_name")), F.lit("No form at all"))
+    return people.interviewee(load(spark, sf, "supplier").select(k.alias("doc_id"), F.lit(1).alias("page_num"), text.alias("text")))
+
+
+@query("""SELECT s_suppkey AS doc_id, 'PERSON:' || s_suppkey AS entity_id FROM supplier WHERE s_suppkey % 2 = 0""")
+def document_speakers(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the forms name someone of the roster; the other half names two alike."""
+    k = F.col("s_suppkey")
+    s = load(spark, sf, "supplier")
+    who = F.concat(F.lit("Ann x"), k.cast("string"), F.lit(" Roe"), k.cast("string"))
+    pages = s.select(k.alias("doc_id"), F.lit(1).alias("page_num"), F.concat(F.lit("Name: Ann Roe"), k.cast("string")).alias("text"))
+    roster = s.select(F.concat(F.lit("PERSON:"), k.cast("string")).alias("entity_id"), who.alias("label"))
+    twins = s.where(k % 2 == 1).select(F.concat(F.lit("TWIN:"), k.cast("string")).alias("entity_id"), F.concat(F.lit("Ann y Roe"), k.cast("string")).alias("label"))
+    return people.speakers(pages, roster.unionByName(twins))
+
+
+@query("""WITH g AS (SELECT s_suppkey // 3 AS g, count(*) AS n FROM supplier GROUP BY 1) SELECT 'd' || s_suppkey AS doc_id, CAST(n AS BIGINT) AS size FROM supplier JOIN g ON g = s_suppkey // 3""")
+def document_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in threes, chained by people whom two of them share."""
+    k = F.col("s_suppkey")
+    who = F.explode(F.array(F.concat(F.lit("own"), k.cast("string")), F.when(k % 3 < 2, F.concat(F.lit("p"), k.cast("string"))).otherwise(F.concat(F.lit("own"), k.cast("string"))), F.when(k % 3 > 0, F.concat(F.lit("p"), (k - 1).cast("string"))).otherwise(F.concat(F.lit("own"), k.cast("string")))))
+    m = load(spark, sf, "supplier").select(F.concat(F.lit("d"), k.cast("string")).alias("doc_id"), who.alias("entity_id"))
+    return people.document_groups(m).select("doc_id", "size")
+
+
+@query("""SELECT p_partkey AS k, p_partkey % 2 = 0 AS known FROM part""")
+def grounded_citations(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    cites = load(spark, sf, "part").select(k.alias("k"), pick(k, "Memo", "nobody").alias("name"), F.lit(2).alias("page"))
+    return report.grounded(cites, spark.createDataFrame([("memo", 3)], "name string, page_count int")).select("k", "known")
+
+
+@query("""SELECT min(event_id) AS first FROM events WHERE event_id % 2 = 0 GROUP BY event_type""")
+def secondhand_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts that others told, one of each quote."""
+    quote = F.concat(pick(F.col("event_id"), "He told me of the ", "I saw the "), F.col("event_type"))
+    e = load(spark, sf, "events").select("event_id", quote.alias("quote"), "event_type")
+    kept = report.secondhand(e)
+    return kept.join(e.where("event_id % 2 = 0").groupBy("event_type").agg(F.min("event_id").alias("first")), "event_type").select("first")
+
+
+@query("""SELECT l_orderkey AS g, l_linenumber AS n FROM (SELECT *, count(*) FILTER (l_linenumber % 3 > 0 AND l_returnflag <> 'R') OVER (PARTITION BY l_orderkey) AS kept FROM lineitem) WHERE kept = 0 OR l_linenumber % 3 > 0 AND l_returnflag <> 'R'""")
+def conflict_filter(spark: SparkSession, sf: str) -> DataFrame:
+    li = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("n"), F.lit("p0").alias("page_a"), F.concat(F.lit("p"), (F.col("l_linenumber") % 3).cast("string")).alias("page_b"), F.when(F.col("l_returnflag") == "R", " ").otherwise("can't both be").alias("incompatible"))
+    return report.filter_conflicts(li, "g").select("g", "n")
+
+
+@query("""SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 3 > 0""")
+def unjudged_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = load(spark, sf, "supplier")
+    pairs = s.select(k.alias("a"), (k + 1).alias("b"))
+    return links.unjudged(pairs, s.where(k % 3 == 0).select((k + 1).alias("a_id"), k.alias("b_id")))
+
+
+@query("""SELECT least(s_suppkey, 7) AS a_id, greatest(s_suppkey, 7) AS b_id, CASE WHEN s_suppkey % 3 = 0 THEN 'caused' ELSE '' END AS relation, CASE WHEN s_suppkey % 3 = 0 THEN 7 END AS subject_id, CASE WHEN s_suppkey % 3 = 0 THEN CAST(0.5 AS DOUBLE) END AS confidence FROM supplier WHERE s_suppkey <> 7""")
+def link_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts with enough confidence and a basis; those without either are blank."""
+    k = F.col("s_suppkey")
+    v = load(spark, sf, "supplier").where("s_suppkey <> 7").select(k.alias("a"), F.lit(7).cast("long").alias("b"), F.lit("caused").alias("relation"), F.lit("B").alias("side"), pick(k, 0.5, 0.49, 0.9).alias("confidence"), pick(k, "p.1", "p.1", " ").alias("basis"))
+    return links.record(v).drop("basis")
+
+
+@query("""SELECT DISTINCT least(l_suppkey, l_partkey) AS a_id, greatest(l_suppkey, l_partkey) AS b_id, 'caused' AS relation FROM lineitem WHERE l_suppkey % 10 = 3 OR l_partkey % 10 = 3 ORDER BY 1, 2 LIMIT 45""")
+def links_for_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 45 links with an end on the pages."""
+    li = load(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    rows = li.select(F.least("l_suppkey", "l_partkey").alias("a_id"), F.greatest("l_suppkey", "l_partkey").alias("b_id"), F.lit("caused").alias("relation"), F.lit(0.9).alias("confidence")).distinct()
+    ids = rows.select(F.inline(F.array(F.struct(F.col("a_id").alias("entity_id")), F.struct(F.col("b_id").alias("entity_id"))))).distinct()
+    pages_of = ids.select("entity_id", F.lit("d").alias("doc_id"), (F.col("entity_id") % 10).alias("page_num"))
+    return links.for_pages(rows, pages_of, spark.createDataFrame([("d", 3)], "doc_id string, page_num long"), 45).select("a_id", "b_id", "relation")
+
+
+@query("""SELECT ref, CAST(1 AS INT) AS base, ref BETWEEN 1 AND 5 AS valid FROM (SELECT DISTINCT CAST(l_linenumber AS INT) AS ref FROM lineitem)""")
+def marker_numbering(spark: SparkSession, sf: str) -> DataFrame:
+    counts = load(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("ref")).agg(F.count(F.lit(1)).alias("seen"))
+    return routing.numbering(counts, 5).select("ref", "base", "valid")
+
+
+@query("""SELECT event_id % 7 AS grp, string_agg(event_id || ': ' || event_type, chr(10) ORDER BY event_id) AS block FROM events GROUP BY 1""")
+def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    e = load(spark, sf, "events").select((F.col("event_id") % 7).alias("grp"), "event_id", "event_type")
+    return report.context_block(e, "grp", F.concat_ws(": ", F.col("event_id").cast("string"), "event_type"), ["event_id"])
+
+
+@query("""SELECT p_partkey AS chunk_id FROM part WHERE p_partkey % 4 > 0""")
+def index_outstanding(spark: SparkSession, sf: str) -> DataFrame:
+    p = load(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"))
+    k = F.col("chunk_id")
+    held = p.where(k % 4 < 3).select("chunk_id", pick(k, "m", "other", "m", "m").alias("model"), F.when(k % 4 < 2, F.array(F.lit(1.0))).alias("embedding"))
+    return passages.outstanding(p, held, "m")
+
+
+@query("""SELECT (SELECT count(*) FROM part) AS chunks, count(*) FILTER (p_partkey % 4 < 2) AS indexed, count(*) FILTER (p_partkey % 4 = 1) AS stale FROM part""")
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    p = load(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"))
+    k = F.col("chunk_id")
+    held = p.where(k % 4 < 3).select("chunk_id", pick(k, "m", "other", "m", "m").alias("model"), F.when(k % 4 < 2, F.array(F.lit(1.0))).alias("embedding"))
+    return passages.index_stats(p, held, "m")
+
+
+@query("""WITH m AS (SELECT i, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i) SELECT i, round(x / sqrt((SELECT sum(x * x) FROM m)), 6) AS x FROM m""")
+def mean_vector(spark: SparkSession, sf: str) -> DataFrame:
+    v = passages.question_vector(load(spark, sf, "embeddings"), "embedding")
+    return v.select(F.posexplode("embedding").alias("i", "x")).select((F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("""SELECT user_id, count(*) AS n, max(event_id) AS last FROM events WHERE event_type IN ('click', 'error') GROUP BY 1""")
+def backlog_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What is still to be done, by user."""
+    e = load(spark, sf, "events").withColumn("status", F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "error", "processing").otherwise("done"))
+    return sessions.backlog(e).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS run_id, CAST(event_id AS BIGINT) AS seq, event_type AS data FROM events WHERE event_id >= 500""")
+def log_follow(spark: SparkSession, sf: str) -> DataFrame:
+    log = load(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.lit("token").alias("kind"), F.col("event_type").alias("data"))
+    return sessions.follow(log, 500).select("run_id", "seq", "data")
+
+
+@query("""SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9._ -]+', '_', 'g'), '^[. ]+', '') || '.pdf' AS filename FROM part""")
+def safe_filenames(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "part").select("p_partkey", C.safe_filename(F.concat(F.lit("../x/"), F.col("p_name"), F.lit(".pdf"))).alias("filename"))
+
+
+@query("""SELECT c_custkey AS entity_id, count(o_orderkey) + 1 AS mentions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def rolled_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with the mentions of their orders, which are merged into them."""
+    c = load(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("entity_id"), nothing().alias("merged_into"))
+    o = load(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("entity_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("merged_into"))
+    e = c.unionByName(o).withColumn("mentions", F.lit(1))
+    return entities.rolled_up(e, entities.resolve(e)).select(F.substring("root", 2, 20).cast("long").alias("entity_id"), "mentions")
