@@ -107,6 +107,9 @@ def test_a_name_of_many_words_is_found(spark):
     t = spark.createDataFrame([("1", "d", 1, "ORG", name, "keeps", "CLAIM", "dogs", None), ("2", "d", 1, "ORG", "Other", "keeps", "CLAIM", "cats", None)], "triple_id string, doc_id string, page_num int, subject_type string, subject_name string, predicate string, object_type string, object_name string, event_date string")
     got = flows.relationships_for(f"What does {name.title()}, of late, keep?", t).collect()
     assert {r.object_name for r in got} == {"dogs"}
+    chunks = spark.createDataFrame([("c", "Other keeps the strays."), ("d", "nothing")], "chunk_id string, text string")
+    assert {r.object_name for r in flows.relationships_for("Who keeps strays?", t, chunks=chunks).collect()} == {"cats"}
+    assert flows.relationships_for("Who keeps strays?", t).count() == 0
 
 
 def test_roles_and_kinds(spark):

@@ -64,18 +64,36 @@ def search(chunks: DataFrame, question: str, limit: int, vectors: DataFrame | No
     return passages.keyword_search(chunks, question, limit)
 
 
-def relationships_for(question: str, triples: DataFrame, limit: int = 45, most: int = 10) -> DataFrame:
-    """Edges at the entities that the question names as whole words, without repeats.
+#: Entities of a question below which the best passages' entities are added, and how many passages that are.
+FEW, TOP_UP = 6, 4
+
+
+def runs_of(text: str, longest: int) -> set[str]:
+    """All runs of a text's words, up to so many words."""
+    words = re.sub(r"[^\w\s]", " ", text.lower()).split()
+    return {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + longest) + 1)}
+
+
+def relationships_for(question: str, triples: DataFrame, limit: int = 45, most: int = 10, chunks: DataFrame | None = None) -> DataFrame:
+    """Edges at the entities that the question names as whole words, without repeats; where it names few, also at those that the
+    passages (chunks) name which answer it best.
 
     The question's runs of words, as long as the longest name, are keys: names meet them by equality, not by search in every
     name."""
     spark, flat = triples.sparkSession, lambda c: C.squash(F.regexp_replace(F.lower(c), r"[^\w\s]", " "))
     named = graph.mentions(triples).select(flat(F.col("name")).alias("flat")).where(F.length("flat") >= 3)
-    words = re.sub(r"[^\w\s]", " ", question.lower()).split()
     longest = named.agg(F.max(F.size(F.split("flat", " ")))).first()[0] or 0
-    runs = {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + longest) + 1)}
-    keys = spark.createDataFrame([(r,) for r in sorted(runs)], "flat string")
-    top = named.join(keys, "flat", "left_semi").groupBy("flat").count().orderBy(F.desc("count"), "flat").limit(most).select("flat")
+
+    def best(runs: set[str], n: int) -> list[str]:
+        keys = spark.createDataFrame([(r,) for r in sorted(runs)], "flat string")
+        return [r.flat for r in named.join(keys, "flat", "left_semi").groupBy("flat").count().orderBy(F.desc("count"), "flat").limit(n).collect()]
+
+    found = best(runs_of(question, longest), most)
+    if len(found) < FEW and chunks is not None:
+        texts = passages.keyword_search(chunks, question, TOP_UP).join(chunks, "chunk_id").select("text").collect()
+        more = set().union(*[runs_of(r.text, longest) for r in texts]) - set(found)
+        found += best(more, most - len(found)) if more else []
+    top = spark.createDataFrame([(f,) for f in found], "flat string")
     both = triples.select("*", flat(F.col("subject_name")).alias("_s"), flat(F.col("object_name")).alias("_o"))
     hit = both.join(F.broadcast(top), (F.col("_s") == F.col("flat"))).unionByName(both.join(F.broadcast(top), F.col("_o") == F.col("flat")))
     one = hit.dropDuplicates(["flat", "predicate", "_s", "_o", "doc_id", "page_num"])
@@ -85,7 +103,7 @@ def relationships_for(question: str, triples: DataFrame, limit: int = 45, most:
 def ask(question: str, store: Store, model: TextModel, k: int = 8) -> dict:
     """answer, and the sources that the prompt held (bounded by k and the cap on relationships)."""
     found = search(store.chunks, question, k).join(store.chunks, "chunk_id").orderBy(F.desc("score"), "chunk_id").collect()
-    facts = relationships_for(question, store.triples).collect()
+    facts = relationships_for(question, store.triples, chunks=store.chunks).collect()
     lines = [f"{r.subject_name} {r.predicate} {r.object_name} ({r.event_date or 'undated'}) [{r.doc_id} p.{r.page_num}]" for r in facts]
     prompt = "\n".join([*lines, *[f"[{r.doc_id} p.{r.page_num}] {r.text}" for r in found], question])
     return {"answer": model.generate([prompt])[0], "sources": [(r.doc_id, r.page_num) for r in found], "relationships": lines}
