@@ -82,6 +82,29 @@ def test_media_tables_are_exact(n):
         assert stored[key["offset"] : key["offset"] + key["size"]] in payload
 
 
+def test_media_digest_by_hand(spark):
+    """What is stored, found by the names of its boxes alone, and the features that follow from it."""
+    text = "héllo " * 100
+    raw = text.encode()
+    payload = raw + b" " * (-len(raw) % 192)
+    stored = media.encode_column(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    blob = bytes(stored.first().media)
+    at = blob.index(payload)
+    assert blob.count(payload) == 1 and blob[at - 4 : at] == b"mdat"
+    table = lambda kind: blob.index(kind) + 4
+    be = lambda place: int.from_bytes(blob[place : place + 4], "big")
+    n, size = be(table(b"stsz") + 8), be(table(b"stsz") + 4)
+    keys = [be(table(b"stss") + 8 + 4 * k) for k in range(be(table(b"stss") + 4))]
+    assert n * size == len(payload) and be(table(b"stco") + 8) == at
+    places = [f"{at + (k - 1) * size}+{size}" for k in keys]
+    seconds = be(table(b"mdhd") + 16) / be(table(b"mdhd") + 12)
+    got = media.digest(stored).first()
+    assert (got.n_bytes, got.payload_bytes, got.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+    assert (got.tail_crc32, got.media_bytes, got.media_sha256) == (zlib.crc32(payload[-16:]), len(blob), hashlib.sha256(blob).hexdigest())
+    ranges = hashlib.sha256(",".join(places).encode()).hexdigest()[:16]
+    assert got.feature == f"codec=raw;duration={seconds:.3f};samples={n};keyframes={len(keys)};ranges={ranges};first={places[0]};last={places[-1]}"
+
+
 def box(kind, *parts):
     body = b"".join(parts)
     return (len(body) + 8).to_bytes(4, "big") + kind + body
