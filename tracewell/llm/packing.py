@@ -22,7 +22,7 @@ from . import common
 CAPACITY, END_ID, GROUP_ROWS = 4096, 1, 16384
 TOKENIZER = "word_bpe_49k.json"
 #: Words, and runs, that a tokenising worker remembers; others are computed anew, with the same result.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
