@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .align import op12_token_alignment
 from .chat import OP7_SQL, op7_perspectives
 from .extract import op6_main_text
 from .jaccard import OP2_SQL, op2_jaccard_join
 from .media import op1_media_columns
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import OP3_SQL, op3_source_mix
 from .packing import op8_best_two_fit
 from .phrases import OP10_SQL, op10_phrase_dedup
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_toxicity": op9_toxicity,
     "op10_phrase_dedup": op10_phrase_dedup,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES = {"op2_jaccard_join": OP2_SQL, "op3_source_mix": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_perspectives": OP7_SQL, "op10_phrase_dedup": OP10_SQL}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op3_source_mix": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_perspectives": OP7_SQL, "op10_phrase_dedup": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
