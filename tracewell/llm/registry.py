@@ -11,6 +11,7 @@ from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import OP3_SQL, op3_source_mix
 from .packing import op8_best_two_fit
 from .phrases import OP10_SQL, op10_phrase_dedup
+from .pivots import OP11_SQL, op11_pivot_near_dedup
 from .rindex import OP5_SQL, op5_suffix_dedup
 from .search import OP4_SQL, op4_exact_top_k
 from .toxicity import op9_toxicity
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_toxicity": op9_toxicity,
     "op10_phrase_dedup": op10_phrase_dedup,
+    "op11_pivot_near_dedup": op11_pivot_near_dedup,
     "op12_token_alignment": op12_token_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES = {"op2_jaccard_join": OP2_SQL, "op3_source_mix": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_perspectives": OP7_SQL, "op10_phrase_dedup": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op3_source_mix": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_perspectives": OP7_SQL, "op10_phrase_dedup": OP10_SQL, "op11_pivot_near_dedup": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
