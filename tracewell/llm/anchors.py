@@ -253,9 +253,11 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
     forms = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") > WHOLE)
     distinct = distinct.join(forms, "anchor", "left").select("at.doc_id", "at.h", F.struct("anchor", "snip", "copies", "at.lo", "at.len", "at.off", F.col("forms").isNotNull().alias("wide")).alias("item"))
     wanted = distinct.groupBy("doc_id", "h").agg(F.collect_list("item").alias("wanted"))
-    source = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_th"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    # rows equal in key and text have the same snippets; any of them will do
-    held = wanted.join(source, F.col("_key").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("h"))).select("_text", "wanted")
+    # rows equal in key and text have the same snippets: one of them is cut, whatever their number. Keys of any type, nulls
+    # included, are told by a hash
+    told = lambda k: F.xxhash64(F.isnull(k), k)
+    source = docs.select(told(key).alias("_key"), F.xxhash64(text).alias("_th"), F.coalesce(F.col(text), F.lit("")).alias("_text")).dropDuplicates(["_key", "_th"])
+    held = source.join(wanted.select(told("doc_id").alias("_key"), F.col("h").alias("_th"), "wanted"), ["_key", "_th"]).select("_text", "wanted")
     window = units.window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +340,8 @@ def repeated(docs: DataFrame, units: Units, index: Callable[[list[tuple[bytes, i
     of_form = common.materialize(of_form, "marks")
     common.drop(parts)
     placed = found.select("doc_id", "h", "lo", "anchor", "snip").join(of_form, ["anchor", "snip"]).select("doc_id", "h", shifted("lo").alias("marks"))
-    held = F.flatten(F.collect_list("marks"))
+    # equal rows give equal marks, which count once
+    held = F.flatten(F.collect_set("marks"))
     spans = common.materialize(placed.groupBy("doc_id", "h").agg((F.array_distinct(held) if passages else held).alias("passages" if passages else "spans")), "spans")
     common.drop(found, of_form)
     return spans

@@ -4,8 +4,8 @@ A page's text falls into blocks, each with the path of block elements from the r
 punctuation are summed by path; a path's two ratios (text by block, punctuation by block) are smoothed with those of the
 paths beside it, fused, and held against the page's best path. What stands in the same container as the best paths is
 content too, so short paragraphs and headings of an article stay, as do headings and leads in the parents of that container.
-Elements that say what they are (menus, footers, sidebars, forms, scripts, styles, markup comments, hidden ones) are never
-candidates. What names in class, id and role mark is no candidate beside other text, but a page (nearly) all of whose text
+Elements that say what they are (menus, footers, sidebars, scripts, styles, markup comments, hidden ones) are never candidates,
+nor are forms, unless they hold what the page is about (pages of some servers are one form). What names in class, id and role mark is no candidate beside other text, but a page (nearly) all of whose text
 stands in such elements keeps it."""
 
 from __future__ import annotations
@@ -32,15 +32,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup; all but the last two are never text of a page.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title xmp".split())
 #: Elements that are never content.
-NEVER = frozenset("head nav footer aside form button select option menu dialog fieldset search label datalist".split())
+NEVER = frozenset("head nav footer aside button select option menu dialog search datalist".split())
+#: Elements that are forms, or layout where they hold the page's text (see forms).
+FORMS = frozenset({"form", "fieldset"})
 #: Words of class, id and role that mark what is not content.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial alert alerts banner banners breadcrumb breadcrumbs bio byline comment comments commenting complementary consent contentinfo cookie cookies copyright disqus disclaimer footer gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
-#: Words beside those in a class or id of several; one with any other word (has-sidebar, overflow-hidden) is about layout or unknown.
+#: Words that say nothing of what an element holds; a token's last other word is what it names.
 AROUND = frozenset(
-    "area articles author back bar block bottom box bottombar btn button buttons container fixed for form global google group icon icons inner item items link links list main mobile outer overlay page post posts primary row secondary section site slot sticky stories the to top unit wrap wrapper zone".split()
+    "area articles author back bar block bottom box bottombar btn button buttons container count fixed for form global google group icon icons info inner item items law left link links list main message mobile outer overlay page policy post posts primary reader readers right row secondary section settings site slot sticky stories the to top unit user users visitor warning wrap wrapper zone".split()
 )
+#: Words that make a token one of layout or state (has-sidebar, overflow-hidden), whatever else it has.
+LAYOUT = frozenset("body closed col cols column columns content disabled enabled grid has is layout no not off on open opened overflow template theme with without".split())
+#: What a mark counts in a token, more where it is what the token names; what another word takes off; the least sum that counts.
+MARK, NAMED, OTHER, LEAST = 1.0, 2.0, 0.75, 0.5
 #: Marks that head a page only alone or with these words, and within article or main never.
 HEADS, OF_SITE = frozenset({"banner", "header"}), frozenset("bar bottom container fixed global inner mobile outer primary site sticky top wrap wrapper".split())
 #: Marks that count on article and main too; the rest there is layout.
@@ -63,13 +69,20 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 #: Share of the best fused score that a path needs, links' most share of a path's text, weight of the paths beside it, and the
 #: least share of the unmarked text in all text without which what class, id or role mark is a candidate too.
 KEEP, LINKS, BESIDE, MARKED = 0.25, 0.6, 0.5, 0.02
+#: Characters of a block that is a passage of text.
+PASSAGE = 80
 
 
 def names_other(token: str, counted: frozenset[str] = MARKS) -> bool:
-    """Whether a token of class, id or role as a whole names what is not content: known words, perhaps with words around."""
-    parts = set(WORD.findall(CAMEL.sub(" ", NUMBER.sub(" ", token)).lower()))
+    """Whether a token of class, id or role names what is not content, by a score of its words: marks count, most of all the last
+    word that says something; other words speak against it."""
+    words = WORD.findall(CAMEL.sub(" ", NUMBER.sub(" ", token)).lower())
+    parts = set(words)
     marks = parts & MARKS
-    return bool(marks & counted) and parts <= MARKS | AROUND and not (marks <= HEADS and not parts - marks <= OF_SITE)
+    if not marks & counted or parts & LAYOUT or marks <= HEADS and not parts - marks <= OF_SITE:
+        return False
+    last = next((w for w in reversed(words) if w not in AROUND), words[-1])
+    return MARK * len(marks) + NAMED * (last in marks) - OTHER * len(parts - MARKS - AROUND) >= LEAST
 
 
 def marked(attributes: str, counted: frozenset[str] = MARKS) -> int:
@@ -92,15 +105,21 @@ class Paths:
     within article or main. A path's parent has a smaller number; 0 is the root."""
 
     def __init__(self) -> None:
-        self.known: dict[tuple[int, str, bool], int] = {}
+        self.known: dict[tuple[int, str, bool, int], int] = {}
         self.parent, self.name, self.marked, self.inside = [0], [""], [False], [False]
+        self.form, self.forms = [0], [False]  # the outermost form around a path, 0 if none; whether a form holds article or main
 
     def below(self, parent: int, name: str, mark: bool) -> int:
-        mark = mark or self.marked[parent]
-        key = (parent, name, mark)
+        mark, form = mark or self.marked[parent], self.form[parent]
+        if name in FORMS and not form:  # each is a path of its own
+            form = len(self.forms)
+            self.forms.append(False)
+        if name in ("article", "main"):
+            self.forms[form] = True
+        key = (parent, name, mark, form)
         if key not in self.known:
             self.known[key] = len(self.name)
-            for column, value in ((self.parent, parent), (self.name, name), (self.marked, mark), (self.inside, self.inside[parent] or name in ("article", "main"))):
+            for column, value in ((self.parent, parent), (self.name, name), (self.marked, mark), (self.inside, self.inside[parent] or name in ("article", "main")), (self.form, form)):
                 column.append(value)
         return self.known[key]
 
@@ -242,8 +261,21 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], Paths]:
     return found, paths
 
 
+def without_forms(found: list[tuple[str, int, int]], paths: Paths) -> list[tuple[str, int, int]]:
+    """The blocks that aren't in forms. A form that holds an article or main, or half of the page's text or more and a passage in
+    it, is layout, not a form."""
+    size, passage = [0] * len(paths.forms), [False] * len(paths.forms)
+    for text, path, links in found:
+        form = paths.form[path]
+        size[form] += len(text) - min(links, len(text))
+        passage[form] |= len(text) - links >= PASSAGE and bool(PUNCTUATION.search(text))
+    layout = [k == 0 or paths.forms[k] or passage[k] and 2 * size[k] >= sum(size) for k in range(len(size))]
+    return [b for b in found if layout[paths.form[b[1]]]]
+
+
 def select(found: list[tuple[str, int, int]], paths: Paths) -> list[str]:
     """The texts of content blocks."""
+    found = without_forms(found, paths)
     stats: dict[int, list[float]] = {}
     for text, path, links in found:
         s = stats.setdefault(path, [0, 0, 0, 0])

@@ -461,13 +461,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each component, that of least key and hash; rows without a set all stay."""
+    """docs with one row of each component, that of least key and hash (nulls last); rows without a set all stay. Keys may be of
+    any type that has an order."""
     docs, back = common.apart(docs, text, key)
     columns = [f"`{c}`" for c in docs.columns]
     found = near_duplicates(docs, text, key).where("component is not null")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("_tw_none"), F.col(key).alias("_tw_key"), F.col("h").alias("_tw_h"))).alias("m")).select("m.*")
-    at = [F.col(key).isNull().alias("_tw_none"), F.coalesce(F.col(key), F.lit(0)).alias("_tw_key"), F.xxhash64(text).alias("_tw_h")]
-    best = best.select("_tw_none", F.coalesce("_tw_key", F.lit(0)).alias("_tw_key"), "_tw_h")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("h").alias("h"))).alias("m"))
+    # keys of any type are told by a hash, beside whether they are null
+    best = best.select(F.col("m.none").alias("_tw_none"), F.xxhash64("m.key").alias("_tw_key"), F.col("m.h").alias("_tw_h"))
+    at = [F.col(key).isNull().alias("_tw_none"), F.xxhash64(key).alias("_tw_key"), F.xxhash64(text).alias("_tw_h")]
     worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # one shuffle serves both: rows that are equal in key and text, and the join
     kept = docs.where(worded).select(*columns, *at).dropDuplicates(["_tw_none", "_tw_key", "_tw_h"]).join(best, ["_tw_none", "_tw_key", "_tw_h"], "left_semi")

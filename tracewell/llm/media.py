@@ -25,6 +25,8 @@ KEY_EVERY, PER_CHUNK = 8, 64
 RATE = 50
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+#: Levels of boxes in boxes; files that are in use have some ten.
+DEEPEST = 64
 #: Identity matrix of track and movie headers.
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -80,10 +82,14 @@ def encode(payload: bytes) -> bytes:
     return head + moov(first) + box(b"mdat", payload)
 
 
-def walk(data: memoryview, start: int, end: int, path: str = "") -> Iterator[tuple[str, int, int]]:
-    """Path, body start and body end of every box from start to end, parents first. Raises ValueError on a box that
-    leaves its parent."""
-    while start + 8 <= end:
+def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """Path, body start and body end of every box from start to end, parents first. Raises ValueError on a box that leaves its
+    parent and on boxes nested deeper than DEEPEST."""
+    inside = [("", start, end)]  # the open boxes: path, what is next in them, their end
+    while inside:
+        path, start, end = inside.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -96,9 +102,11 @@ def walk(data: memoryview, start: int, end: int, path: str = "") -> Iterator[tup
             raise ValueError(f"box {kind!r} leaves its parent")
         name = f"{path}/{kind.decode('latin-1')}"
         yield name, body, start + size
+        inside.append((path, start + size, end))
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, name)
-        start += size
+            if len(inside) > DEEPEST:
+                raise ValueError("boxes nested too deep")
+            inside.append((name, body, start + size))
 
 
 def tracks(media: bytes) -> list[dict]:
@@ -107,45 +115,47 @@ def tracks(media: bytes) -> list[dict]:
     data, out, now = memoryview(media), [], {}
     of: dict[int, dict] = {}
     defaults: dict[int, tuple[int, int, int]] = {}
-    u32 = lambda at: struct.unpack_from(">I", data, at)[0]
     moof, run = 0, {}
     for path, at, end in walk(data, 0, len(data)):
-        kind = path.rpartition("/")[2]
+        kind, body = path.rpartition("/")[2], data[at:end]  # what is read beyond a box's end is an error
+        u32 = lambda at: struct.unpack_from(">I", body, at)[0]  # noqa: B023, E731
         if path == "/moov/trak":
             out.append(now := {"codec": "", "timescale": 0, "duration": 0, "stts": [], "stss": None, "stsc": [], "sizes": [], "chunks": [], "fragments": []})
         elif path == "/moov/mvex/trex":
-            defaults[u32(at + 4)] = (u32(at + 12), u32(at + 16), u32(at + 20))
+            defaults[u32(4)] = (u32(12), u32(16), u32(20))
         elif path == "/moof":
             moof = at - (8 if bytes(data[at - 4 : at]) == b"moof" else 16)
         elif path == "/moof/traf/tfhd":
-            run = fragment_head(data, at, moof, defaults)
+            run = fragment_head(body, moof, defaults)
         elif path == "/moof/traf/trun":
             if run.get("track") in of:
-                fragment_run(data, at, run, of[run["track"]])
+                fragment_run(body, run, of[run["track"]], len(data))
         elif not path.startswith("/moov/trak/"):
             continue
         elif kind == "tkhd":
-            of[u32(at + (20 if data[at] == 1 else 12))] = now
+            of[u32(20 if body[0] == 1 else 12)] = now
         elif kind == "mdhd":
-            wide = data[at] == 1
-            now["timescale"], now["duration"] = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
+            wide = body[0] == 1
+            now["timescale"], now["duration"] = struct.unpack_from(">IQ" if wide else ">II", body, 20 if wide else 12)
         elif kind == "hdlr":
-            now["handler"] = bytes(data[at + 8 : at + 12]).decode("latin-1")
-        elif kind == "stsd" and u32(at + 4):
-            now["codec"] = bytes(data[at + 12 : at + 16]).decode("latin-1")
+            now["handler"] = bytes(body[8:12]).decode("latin-1")
+        elif kind == "stsd" and u32(4):
+            now["codec"] = bytes(body[12:16]).decode("latin-1")
         elif kind == "stts":
-            now["stts"] = list(struct.iter_unpack(">II", data[at + 8 : at + 8 + 8 * u32(at + 4)]))
+            now["stts"] = list(struct.iter_unpack(">II", body[8 : 8 + 8 * u32(4)]))
         elif kind == "stss":
-            now["stss"] = set(struct.unpack_from(f">{u32(at + 4)}I", data, at + 8))
+            now["stss"] = set(struct.unpack_from(f">{u32(4)}I", body, 8))
         elif kind == "stsc":
-            now["stsc"] = [x[:2] for x in struct.iter_unpack(">III", data[at + 8 : at + 8 + 12 * u32(at + 4)])]
+            now["stsc"] = [x[:2] for x in struct.iter_unpack(">III", body[8 : 8 + 12 * u32(4)])]
         elif kind == "stsz":
-            size, n = struct.unpack_from(">II", data, at + 4)
-            now["sizes"] = [size] * n if size else list(struct.unpack_from(f">{n}I", data, at + 12))
+            size, n = struct.unpack_from(">II", body, 4)
+            if size * n > len(data):
+                raise ValueError("samples are longer than the file")
+            now["sizes"] = [size] * n if size else list(struct.unpack_from(f">{n}I", body, 12))
         elif kind == "stz2":
-            now["sizes"] = compact_sizes(data, at)
+            now["sizes"] = compact_sizes(body)
         elif kind in ("stco", "co64"):
-            now["chunks"] = list(struct.unpack_from(f">{u32(at + 4)}{'I' if kind == 'stco' else 'Q'}", data, at + 8))
+            now["chunks"] = list(struct.unpack_from(f">{u32(4)}{'I' if kind == 'stco' else 'Q'}", body, 8))
     for t in out:
         places, i, per, entry = [], 0, 0, 0
         for c, offset in enumerate(t["chunks"], 1):
@@ -162,49 +172,53 @@ def tracks(media: bytes) -> list[dict]:
     return out
 
 
-def compact_sizes(data: memoryview, at: int) -> list[int]:
+def compact_sizes(body: memoryview) -> list[int]:
     """Sample sizes of 4, 8 or 16 bits."""
-    bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
-    raw = data[at + 12 :]
+    bits, n = body[7], struct.unpack_from(">I", body, 8)[0]
+    raw = body[12:]
     if bits == 4:
+        if n > 2 * len(raw):
+            raise ValueError("cut sample sizes")
         return [raw[k // 2] >> 4 if k % 2 == 0 else raw[k // 2] & 15 for k in range(n)]
     return list(struct.unpack_from(f">{n}{'B' if bits == 8 else 'H'}", raw, 0))
 
 
-def fragment_head(data: memoryview, at: int, moof: int, defaults: dict[int, tuple[int, int, int]]) -> dict:
+def fragment_head(body: memoryview, moof: int, defaults: dict[int, tuple[int, int, int]]) -> dict:
     """Track, base offset and default duration, size and flags of the samples of a track fragment."""
-    flags, track = struct.unpack_from(">II", data, at)
-    flags, place = flags & 0xFFFFFF, at + 8
+    flags, track = struct.unpack_from(">II", body, 0)
+    flags, place = flags & 0xFFFFFF, 8
     out = {"track": track, "base": moof, "at": None}
     if flags & 0x1:
-        out["base"] = struct.unpack_from(">Q", data, place)[0]
+        out["base"] = struct.unpack_from(">Q", body, place)[0]
         place += 8
     place += 4 * bool(flags & 0x2)
     for bit, name, default in zip((0x8, 0x10, 0x20), ("duration", "size", "flags"), defaults.get(track, (0, 0, 0)), strict=True):
         out[name] = default
         if flags & bit:
-            out[name] = struct.unpack_from(">I", data, place)[0]
+            out[name] = struct.unpack_from(">I", body, place)[0]
             place += 4
     return out
 
 
-def fragment_run(data: memoryview, at: int, head: dict, track: dict) -> None:
+def fragment_run(body: memoryview, head: dict, track: dict, file_bytes: int) -> None:
     """Add offset, size, duration and whether it is a key frame of each sample of a run to its track. A run without an offset of
     its own follows the one before."""
-    flags, n = struct.unpack_from(">II", data, at)
-    flags, place = flags & 0xFFFFFF, at + 8
+    flags, n = struct.unpack_from(">II", body, 0)
+    flags, place = flags & 0xFFFFFF, 8
+    if n * max(1, 0 if flags & 0x200 else head["size"]) > file_bytes:
+        raise ValueError("samples are longer than the file")
     offset, first = head["at"] if head["at"] is not None else head["base"], None
     if flags & 0x1:
-        offset = head["base"] + struct.unpack_from(">i", data, place)[0]
+        offset = head["base"] + struct.unpack_from(">i", body, place)[0]
         place += 4
     if flags & 0x4:
-        first = struct.unpack_from(">I", data, place)[0]
+        first = struct.unpack_from(">I", body, place)[0]
         place += 4
     for k in range(n):
         sample = {name: head[name] for name in ("duration", "size", "flags")}
         for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")):
             if flags & bit:
-                sample[name] = struct.unpack_from(">I", data, place)[0]
+                sample[name] = struct.unpack_from(">I", body, place)[0]
                 place += 4
         told = first if k == 0 and first is not None else sample["flags"]
         track["fragments"].append((offset, sample["size"], sample["duration"], not told & 0x10000))
@@ -222,10 +236,11 @@ FEATURES = "struct<codec:string,handler:string,timescale:long,duration:long,dura
 
 
 def features_of(media: bytes | None) -> dict | None:
-    """The first track's features; None where media is null or not an ISO media file with a track."""
+    """The first track's features; None where media is null, not an ISO media file with a track, or damaged: boxes that leave
+    their parents, tables that end before what they announce or hold more samples than the file has bytes."""
     try:
         found = tracks(media) if media is not None else []
-    except (ValueError, struct.error):
+    except (ValueError, IndexError, struct.error):
         return None
     if not found:
         return None
