@@ -96,3 +96,21 @@ NOT_A_NAME = tuple(
 )
 #: Labels of a form that stand before when a proceeding took place.
 DATE_LABELS = ("date / time / location", "date/time/location", "date and time", "date of interview", "date of statement", "date taken", "date")
+
+# --- fixed values: what of a key is distinctive ---------------------------------------------------------------------------
+#: Dates, money, grouped or fractional numbers and cited authorities.
+_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
+KEY_FIGURES = (
+    r"\b\d{4}-\d{2}-\d{2}\b",
+    rf"(?i)\b\d{{1,2}}\s+(?:{_MONTHS})\w*\b",
+    rf"(?i)\b(?:{_MONTHS})\w*\s+\d{{4}}\b",
+    r"\$[\d,]+(?:\.\d{2})?",
+    r"\b\d{1,3}(?:,\d{3})+(?:\.\d{2})?\b",
+    r"\b\d+\.\d{2}\b",
+    r"\b(?:AFI|OI|DAFI|AFMAN|DoDI|DoD)\s*[\d][\d.\-]*",
+    r"\bArticle\s+\d+\b",
+)
+#: Words of names and titles that are evidence of nothing.
+COMMON = tuple(
+    "the and for with that this from have been were was are not but all any one two three four five six seven eight nine ten first second third other some such only into over under after before since until date time page statement report interview witness subject officer person people evidence fact facts allegation allegations investigation investigator record records msgt ssgt tsgt smsgt cmsgt sra amn a1c capt maj col gen sgt lieutenant colonel major captain sergeant airman master senior chief technical staff mister missus doctor".split()
+)

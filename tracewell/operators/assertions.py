@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions import rules
 from ..functions.names import SLOTS, admit_udf
 from ..functions.kernels import narrow_quote_udf, partial_ratio_udf, salvage_udf
+from .containment import contained
 
 REQUIRED = ("subject_type", "subject_name", "predicate", "object_type", "object_name", "quote")
 FIELDS = ("subject_type", "subject_name", "predicate", "object_type", "object_name", "event_date", "quote")
@@ -116,14 +117,20 @@ def expand_series(rows: DataFrame, page_text: str | None = None) -> DataFrame:
 
 
 def dedupe(rows: DataFrame, order: str = "triple_id") -> DataFrame:
-    """rows without those whose quote another row of the same assertion contains: the longest stays, then the first.
+    """rows without those whose quote another row of the same assertion contains: the longest stays, of equal ones the first by
+    order. Rows without a quote all stay.
+
+    Equal quotes are one; which of the others are contained is found by their rarest marks (see containment), and as containment is
+    transitive, one anti-join gives what a greedy pass does."""
+    from .iterate import materialize
 
-    An equality join on the assertion; containment is transitive, so one anti-join gives what a greedy pass does."""
     key = [C.flat(F.col(c)).alias(f"_{c}") for c in ("subject_type", "subject_name", "predicate", "object_type", "object_name")]
-    keyed = rows.select("*", F.xxhash64(*key, F.coalesce("event_date", F.lit(""))).alias("_key"), C.flat(F.col("quote")).alias("_flat"))
-    longer = keyed.select(F.col("_key").alias("_k2"), F.col("_flat").alias("_f2"), F.col(order).alias("_o2"))
-    worse = (F.col("_key") == F.col("_k2")) & F.contains(F.col("_f2"), F.col("_flat")) & ((F.length("_f2") > F.length("_flat")) | ((F.length("_f2") == F.length("_flat")) & (F.col("_o2") < F.col(order))))
-    return keyed.join(longer, worse, "left_anti").drop("_key", "_flat")
+    keyed = materialize(rows.select("*", F.xxhash64(*key, F.coalesce("event_date", F.lit(""))).alias("_key"), C.flat(F.col("quote")).alias("_flat")), "quotes")
+    inner = contained(keyed, "_key", "_flat")
+    first = keyed.where("_flat is not null").groupBy("_key", "_flat").agg(F.min(order).alias("_first"))
+    kept = first.join(inner, ["_key", "_flat"], "left_anti")
+    held = keyed.join(kept, ["_key", "_flat"]).where(F.col(order).eqNullSafe(F.col("_first")) | F.col(order).isNull())
+    return held.select(rows.columns).unionByName(keyed.where("_flat is null").select(rows.columns))
 
 
 def with_ids(rows: DataFrame) -> DataFrame:

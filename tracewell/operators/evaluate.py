@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .needles import find
+
 NEGATION = ("not", "no", "never", "denied", "denies", "didn't", "wasn't", "without")
 
 
@@ -14,42 +16,9 @@ def precision_recall(predicted: DataFrame, gold: DataFrame, key: str) -> DataFra
     return both.agg(F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("tp"), F.count_if(F.col("p").isNotNull() & F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull() & F.col("g").isNotNull()).alias("fn"))
 
 
-#: Needles' heads that are broadcast at most; needles of a block that are tried against a text at a time.
-MOST_HEADS, BLOCK = 100_000, 256
-
-
-def contamination(needles: DataFrame, texts: DataFrame, needle_id: str, needle: str, text_id: str, text: str, words: int = 5) -> DataFrame:
-    """Ids of needles and the texts that hold them, as substrings.
-
-    A text may cut off a needle's first and last word, but it has those between as words of its own. So needles meet texts by
-    their first inner words, `words` of them at most, an equality join, and are then looked for; only needles of one or two words
-    are tried against every text, in blocks."""
-    split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    n = needles.select(F.col(needle_id), F.col(needle).alias("_needle"), split(F.col(needle)).alias("_w")).where("_needle is not null")
-    n = n.withColumn("_k", F.least(F.size("_w") - 2, F.lit(words)))
-    t = texts.select(F.col(text_id), F.col(text).alias("_text"))
-    out = t.join(n.limit(0), F.lit(False)).select(needle_id, text_id)
-    inner = n.where("_k > 0").withColumn("_head", F.array_join(F.slice("_w", 2, F.col("_k")), " "))
-    counts = {r["_k"]: r["count"] for r in n.where("_k > 0").groupBy("_k").count().collect()}  # a row for each length of heads
-    if counts:
-        ws = t.withColumn("_ws", split(F.col("_text")))
-        run = lambda k: F.transform(F.sequence(F.lit(1), F.size("_ws") - (k - 1)), lambda i: F.array_join(F.slice("_ws", i, k), " "))
-        runs = F.array_distinct(F.concat(*[F.when(F.size("_ws") >= k, run(k)).otherwise(F.array().cast("array<string>")) for k in sorted(counts)]))
-        heads = inner.select(needle_id, "_needle", "_head")
-        if sum(counts.values()) <= MOST_HEADS:  # the heads go to the texts, which don't move
-            met = ws.select(text_id, "_text", F.explode(runs).alias("_head")).join(F.broadcast(heads), "_head")
-        else:
-            pairs = ws.select(text_id, F.explode(runs).alias("_head")).join(heads, "_head").select(needle_id, "_needle", text_id).distinct()
-            met = pairs.join(t, text_id)
-        out = out.union(met.where(F.contains(F.col("_text"), F.col("_needle"))).select(needle_id, text_id))
-    short = n.where("_k <= 0")
-    if few := short.count():
-        blocks = -(-few // BLOCK)
-        lists = short.groupBy(F.pmod(F.xxhash64(needle_id), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct(F.col(needle_id).alias("id"), "_needle")).alias("_list"))
-        tried = t.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(lists, "_block")
-        hits = F.filter("_list", lambda x: F.contains(F.col("_text"), x["_needle"]))
-        out = out.union(tried.select(F.explode(hits).alias("_hit"), text_id).select(F.col("_hit.id").alias(needle_id), text_id))
-    return out.distinct()
+def contamination(needles: DataFrame, texts: DataFrame, needle_id: str, needle: str, text_id: str, text: str) -> DataFrame:
+    """Ids of needles and the texts that hold them, as substrings, which a text may cut anywhere."""
+    return find(needles, texts, needle_id, needle, text_id, text).select(needle_id, text_id).distinct()
 
 
 def rules_hold(rows: DataFrame, rules: list[tuple[str, str, str | None]]) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.kernels import chunk_text_udf, places_udf
+from .iterate import materialize
 
 
 def chunk(pages: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "text") -> DataFrame:
@@ -66,36 +72,104 @@ def with_documents(chunks: DataFrame, documents: DataFrame, *columns: str) -> Da
     return chunks.join(documents.select("doc_id", *columns), "doc_id")
 
 
-#: Vectors of a block that is compared at a time.
-NEAR_BLOCK = 512
+#: Vectors of a block; pivots at most, and the sample that they are chosen from.
+NEAR_BLOCK, PIVOTS, SAMPLE = 256, 128, 4096
+#: What rounding may take from a bound.
+SLACK = 1e-6
 
 
-def near_pairs(vectors: DataFrame, block: str, threshold: float, key: str, column: str) -> DataFrame:
-    """Pairs of one block whose product reaches the threshold. A block of any size is dealt in parts; two of them meet in a task, as
-    matrices, and only pairs that reach the threshold come out."""
-    import numpy as np
-    import pandas as pd
+def near_blocks(vectors: DataFrame, block: str, key: str, column: str) -> DataFrame:
+    """block, part, dims, ids, data (doubles, row by row), n, centre, radius and most of parts of NEAR_BLOCK vectors at most. Vectors
+    stand by the pivot nearest in angle and by the angle to it, so that a part is narrow: radius bounds the angles to its centre, most
+    the lengths. Vectors without components or with null or non-finite ones are in none."""
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    x = F.col(column)
+    fine = F.col(key).isNotNull() & F.col(block).isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    rows = vectors.where(fine).select(F.col(block).alias("block"), F.col(key).alias("id"), x.cast("array<double>").alias("x"))
+    sample = [np.array(r.x) for r in rows.orderBy(F.xxhash64("x"), "id").limit(SAMPLE).select("x").collect()]
+    pivots = {d: unit(np.stack([v for v in sample if len(v) == d][:PIVOTS])) for d in {len(v) for v in sample}}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nearest, angle = [], []
+            for v in batch.column("x").to_pylist():
+                v = np.array(v)
+                cosines = pivots.get(len(v), np.eye(1, len(v))) @ unit(v[None])[0]
+                nearest.append(int(cosines.argmax()))
+                angle.append(float(cosines.max()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest, pa.int32()), pa.array(angle)], [*batch.schema.names, "pivot", "angle"])
+
+    placed = materialize(rows.mapInArrow(place, f"block {kinds[block]}, id {kinds[key]}, x array<double>, pivot int, angle double"), "near-placed")
+    # two levels of sorting: a block of any size is in as many ranges as it needs
+    by = [F.col("block"), F.size("x"), F.col("pivot"), F.desc("angle"), F.xxhash64("id")]
+    ranged = placed.repartitionByRange(*by).sortWithinPartitions(*by)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            data = np.stack([v for _, _, v in held])
+            u, size = unit(data), np.sqrt((data * data).sum(1))
+            centre = unit(u.sum(0)[None])[0]
+            radius = float(np.arccos(np.clip(u @ centre, -1, 1)).max()) + SLACK if size.min() > 0 else np.pi
+            one = lambda values, kind: pa.array([values], kind)
+            ids = pa.array([i for _, i, _ in held], id_type)
+            return pa.RecordBatch.from_arrays([pa.array([held[0][0][0]], block_type), one(data.shape[1], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), one(data.astype("<f8").tobytes(), pa.binary()), one(len(held), pa.int32()), one(centre.tolist(), pa.list_(pa.float64())), one(radius, pa.float64()), one(float(size.max()), pa.float64())], ["block", "dims", "ids", "data", "n", "centre", "radius", "most"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            id_type, block_type = batch.column("id").type, batch.column("block").type
+            for b, i, v, p in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "x", "pivot")), strict=True):
+                if held and (held[-1][0] != (b, len(v), p) or len(held) == NEAR_BLOCK):
+                    yield out()
+                    held = []
+                held.append(((b, len(v), p), i, np.array(v)))
+        if held:
+            yield out()
+
+    parts = ranged.select("block", "id", "x", "pivot").mapInArrow(gather, f"block {kinds[block]}, dims int, ids array<{kinds[key]}>, data binary, n int, centre array<double>, radius double, most double")
+    return materialize(parts.withColumn("part", F.monotonically_increasing_id()), "near-parts")
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(size > 0, size, 1)
+
+
+def reachable(parts: DataFrame, threshold: float) -> DataFrame:
+    """p and q: the parts of a block whose vectors may have a product of threshold or more, each pair once. Angles obey the triangle
+    inequality, so two vectors are no nearer than their centres less both radii; outlines alone are compared, NEAR_BLOCK times
+    NEAR_BLOCK fewer than pairs of vectors."""
+    lines = parts.select("block", "dims", "part", "centre", "radius", "most")
+    a, b = (lines.select("block", "dims", *[F.col(c).alias(f"{s}_{c}") for c in ("part", "centre", "radius", "most")]) for s in "pq")
+    apart = F.acos(F.least(F.greatest(C.dot(F.col("p_centre"), F.col("q_centre")), F.lit(-1.0)), F.lit(1.0))) - F.col("p_radius") - F.col("q_radius") - SLACK
+    # the least angle gives the largest product if that is positive, else the least lengths may; 0 bounds those
+    bound = F.when(F.col("p_part") == F.col("q_part"), F.col("p_most") * F.col("q_most")).otherwise(F.col("p_most") * F.col("q_most") * F.greatest(F.cos(F.greatest(apart, F.lit(0.0))), F.lit(0.0)))
+    return a.join(b, ["block", "dims"]).where(F.col("p_part") <= F.col("q_part")).where(bound + SLACK * (1 + F.abs(bound)) >= threshold - 0.00005).select(F.col("p_part").alias("p"), F.col("q_part").alias("q"))
 
+
+def near_pairs(vectors: DataFrame, block: str, threshold: float, key: str, column: str) -> DataFrame:
+    """Pairs of one block whose product, to four places, reaches the threshold. Parts of near vectors are held against each other by
+    exact bounds, and only those that may hold such a pair meet, as matrices. A threshold of 0 or less makes all meet."""
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    sizes = vectors.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / NEAR_BLOCK).cast("int").alias("_n"))
-    dealt = vectors.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(column).cast("array<double>").alias("x")).join(sizes.withColumnRenamed(block, "block"), "block").withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    lists = dealt.groupBy("block", "_n", "_i").agg(F.collect_list("id").alias("ids"), F.collect_list("x").alias("xs"))
-    both = lists.withColumn("_j", F.explode(F.sequence(F.col("_i"), F.col("_n") - 1))).join(lists.select("block", F.col("_i").alias("_j"), F.col("ids").alias("ids2"), F.col("xs").alias("ys")), ["block", "_j"])
-
-    def meet(frames):
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                widths = {len(v) for v in [*row.xs, *row.ys]}
-                for d in widths:
-                    p, q = [k for k, v in enumerate(row.xs) if len(v) == d], [k for k, v in enumerate(row.ys) if len(v) == d]
-                    if not p or not q or not d:
-                        continue
-                    score = np.round(np.stack([row.xs[k] for k in p]) @ np.stack([row.ys[k] for k in q]).T, 4)
-                    for i, j in zip(*np.nonzero(score >= threshold), strict=True):
-                        a, b = row.ids[p[i]], row.ids2[q[j]]
-                        if a < b if row.own else a != b:
-                            out.append((row.block, min(a, b), max(a, b), float(score[i, j])))
-            yield pd.DataFrame(out, columns=["block", "a", "b", "score"])
-
-    return both.select("block", (F.col("_i") == F.col("_j")).alias("own"), "ids", "xs", "ids2", "ys").mapInPandas(meet, f"block {kinds[block]}, a {kinds[key]}, b {kinds[key]}, score double")
+    parts = near_blocks(vectors, block, key, column)
+    pairs = reachable(parts, threshold)
+    left = parts.select(F.col("part").alias("p"), "block", "dims", "ids", "data")
+    right = parts.select(F.col("part").alias("q"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                d = batch.column("dims")[k].as_py()
+                x, y = (np.frombuffer(batch.column(c)[k].as_py(), "<f8").reshape(-1, d) for c in ("data", "data2"))
+                score = np.round(x @ y.T, 4)
+                i, j = np.nonzero(score >= threshold)
+                if batch.column("own")[k].as_py():
+                    i, j = i[i < j], j[i < j]
+                a, b = batch.column("ids")[k].values.take(pa.array(i)), batch.column("ids2")[k].values.take(pa.array(j))
+                less = pa.compute.less(a, b)
+                ends = [pa.compute.if_else(less, a, b), pa.compute.if_else(less, b, a)]
+                fine = pa.compute.not_equal(a, b)
+                found = pa.RecordBatch.from_arrays([pa.array([batch.column("block")[k].as_py()] * len(i), batch.column("block").type), *ends, pa.array(score[i, j])], ["block", "a", "b", "score"])
+                yield found.filter(fine)
+
+    met = pairs.join(left, "p").join(right, "q").select("block", "dims", (F.col("p") == F.col("q")).alias("own"), "ids", "data", "ids2", "data2")
+    return met.mapInArrow(meet, f"block {kinds[block]}, a {kinds[key]}, b {kinds[key]}, score double")
