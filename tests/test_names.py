@@ -12,6 +12,22 @@ def test_pronouns_are_seen(text, want):
     assert N.has_pronoun(text) is want
 
 
+@pytest.mark.parametrize(
+    "text, page, want",
+    [
+        ("My Nguyen", "Later My Nguyen left the room.", False), ("Nguyen Thi My", "", False), ("MY OFFICE", "", True), ("My Office", "we met in My Office today", False), ("My office", "", True), ("and so was I.", "", True), ("Ann I. Roe", "", False),
+        ("MY OFFICE", "I LEFT MY OFFICE", True), ("Me", "", True), ("o'my", "", False), ("US", "", False), ("it was OUR car", "", True),
+    ],
+)
+def test_capitals_that_may_be_names(text, page, want):
+    assert N.has_pronoun(text, page) is want
+
+
+def test_undecided_words_stay():
+    assert N.resolve("MY OFFICE", "Ann Roe") == "MY OFFICE" and N.resolve("My office", "Ann Roe") == "Ann Roe's office"
+    assert N.resolve("and so was I.", "Ann Roe") == "and so was Ann Roe." and N.resolve("Ann I. Roe saw me", "Bob Poe") == "Ann I. Roe saw Bob Poe"
+
+
 def test_pronouns_are_resolved():
     assert N.resolve("I've seen my car and told me so", "Ann Roe") == "Ann Roe has seen Roe's car and told Roe so"
     assert N.resolve("I am late, I don't know", "SSgt Ann Roe") == "SSgt Ann Roe is late, Roe does not know"
@@ -23,6 +39,8 @@ def test_pronouns_are_resolved():
 
 def test_quoted_speakers():
     assert N.quoted_speaker("I heard Ann Roe say you will regret it") == "Ann Roe"
+    assert N.quoted_speaker("Afterward SSgt Al Duran said it, and Roe told me") == "SSgt Al Duran" and N.quoted_speaker("If I said so") == ""
+    assert N.quoted_speaker('"Morgan said you will regret it"') == "Morgan" and N.quoted_speaker("Everyone said so") == ""
     assert N.quoted_speaker("Then Morgan said it") == "Morgan" and N.quoted_speaker("He said it") == "" and N.quoted_speaker("") == ""
 
 

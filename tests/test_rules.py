@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import columns as C
 from tracewell.functions import kernels as K
 from tracewell.operators import assertions, corpus, entities, evaluate, links, routing
+from tracewell.operators import needles as needles_of
 from tracewell.plans import flows
 
 
@@ -91,9 +92,9 @@ def test_routing_has_no_cap(spark):
     assert none.where("guarded").count() == 1199 and none.count() == 1200
 
 
-@pytest.mark.parametrize("most", [evaluate.MOST_HEADS, 0])
-def test_contamination_of_cut_words(spark, most, monkeypatch):
-    monkeypatch.setattr(evaluate, "MOST_HEADS", most)
+@pytest.mark.parametrize("chars", [1 << 20, 8])
+def test_contamination_of_cut_words(spark, chars, monkeypatch):
+    monkeypatch.setattr(needles_of, "SHARD_CHARS", chars)
     needles = ["one two three four five six", "two three", "a", "b c d", "one two", "zz yy xx", "...", "x two three y"]
     texts = ["at one two three four five sixty", "someone two three", "", None, "ab cd", "b  c d", "b c de ... zz yy xxy", "x two three y x two three y"]
     n = spark.createDataFrame(list(enumerate(needles)), "i int, n string")

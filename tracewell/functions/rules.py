@@ -71,26 +71,27 @@ ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii":
 # --- fixed values: what a name is ---------------------------------------------------------------------------------------
 #: Words that stand for someone without naming them.
 PRONOUNS = ("i", "me", "you", "he", "she", "they", "we", "the interviewee", "interviewee", "unknown", "the subject", "the witness", "io", "the member", "the investigator")
-COLLECTIVE = (
-    r"(?i)^(the\s+)?(airmen|airman|personnel|members|member|troops|crew|shop|team|staff|squadron|flight|section|unit|others|everyone|someone|somebody|"
-    r"people|witnesses|subordinates|coworkers|colleagues|leadership|supervisors|management)$"
+#: Groups, alone or behind "the".
+COLLECTIVES = tuple(
+    "airmen airman personnel members member troops crew shop team staff squadron flight section unit others everyone someone somebody people witnesses subordinates coworkers colleagues leadership supervisors management".split()
 )
-ROLE_WORDS = (
-    r"(?i)\b(administrator|technician|craftsman|journeyman|apprentice|chief|supervisor|monitor|manager|officer|commander|custodian|operator|"
-    r"specialist|analyst|inspector|superintendent|director|noncommissioned|nco|ncoic|oic|section|flight|squadron|shop|clerk|assistant)\b"
+#: Words of jobs, and words that stand beside them in a job's name.
+ROLE_WORDS = tuple(
+    "administrator technician craftsman journeyman apprentice chief supervisor monitor manager officer commander custodian operator specialist analyst inspector superintendent director noncommissioned nco ncoic oic section flight squadron shop clerk assistant".split()
 )
-HONORIFIC = r"(?i)^(a1c|amn|sra|ssgt|tsgt|msgt|smsgt|cmsgt|2lt|1lt|capt|maj|lt|ltcol|col|gen|mr|mrs|ms|miss|dr|sir|madam|civ)\b"
-RANK = r"(?i)\b(?:msgt|ssgt|tsgt|smsgt|cmsgt|sra|amn|a1c|capt|maj|lt|col|gen|sgt|mr|mrs|ms|dr|det|ofc|sfc|cpl|pvt)\b\.?"
-INITIAL = r"\b[A-Z]\."
+ROLE_FILLERS = tuple("the a an of and civilian test equipment network".split())
+#: What begins a person's name, and what stands anywhere in one.
+HONORIFICS = tuple("a1c amn sra ssgt tsgt msgt smsgt cmsgt 2lt 1lt capt maj lt ltcol col gen mr mrs ms miss dr sir madam civ".split())
+NAME_RANKS = tuple("msgt ssgt tsgt smsgt cmsgt sra amn a1c capt maj lt col gen sgt mr mrs ms dr det ofc sfc cpl pvt".split())
 #: Furniture of forms: a blank that waits for ink.
 BLANK = r"_{3,}|\.{4,}|\[\s*\]|\(\s{3,}\)"
 #: Nouns behind which "I" is a numeral.
-DESIGNATOR = (
-    r"(?i)\b(?:section|subsection|paragraph|part|phase|annex|appendix|attachment|enclosure|exhibit|tab|chapter|article|volume|figure|table|item|line|"
-    r"class|type|group|category|level|tier|building|room|wing|zone|gate|stage|step|schedule|title)\s*$"
+DESIGNATORS = tuple(
+    "section subsection paragraph part phase annex appendix attachment enclosure exhibit tab chapter article volume figure table item line class type group category level tier building room wing zone gate stage step schedule title".split()
 )
-SPEECH = "said|says|told|shouted|yelled|replied|answered|remarked"
-HEARD = ("heard|watched|saw", "say|saying|tell|telling|shout|shouting|yell|yelling")
+#: Words of speech behind a name; words before and behind the name of somebody who is heard.
+SPEECH = tuple("said says told shouted yelled replied answered remarked".split())
+HEARING, HEARD = tuple("heard watched saw".split()), tuple("say saying tell telling shout shouting yell yelling".split())
 NOT_A_NAME = tuple(
     "i he she they we you it that this these those the a an who what when where which and but then so if as after afterward afterwards before later once while because eventually finally meanwhile anyway also next airman airmen everyone someone somebody nobody people personnel witnesses members leadership command".split()
 )

@@ -76,7 +76,8 @@ def block_rows(sections: DataFrame, key: str, text: str) -> DataFrame:
     bare = F.regexp_replace(text, r"[*_`~]+", "")
     table = F.regexp_extract(F.concat(F.lit("\n"), bare), r"(?is)^(.*?)(?:\n[ \t>|#-]*(?:Disposition[ \t]*[:–—-]|(?:Findings|Conflicts|Gaps|Corroboration)\b[^\n.]{0,40}(?=\n|\z))|\z)", 1)
     head = r"\n[ \t>|#-]*E(?=\d{1,2}[ \t]*[|:.)-])"
-    blocks = F.slice(F.split(table, head), 2, 99)
+    parts = F.split(table, head)
+    blocks = F.slice(parts, F.lit(2), F.size(parts))
     rows = sections.select(key, F.posexplode(blocks).alias("at", "_b")).select(key, "at", F.regexp_extract("_b", r"^(\d{1,2})", 1).cast("int").alias("element"), F.trim(F.regexp_replace("_b", r"^\d{1,2}[ \t]*[|:.)-]+", "")).alias("body"))
     lines = F.regexp_extract_all("body", F.lit(r"(?im)^[ \t>|#-]*MET[ \t]*[:|–—-]+[ \t]*(yes|no)\b"), F.lit(1))
     loose = F.regexp_extract_all("body", F.lit(r"(?i)\bMET[ \t]*:[ \t]*(yes|no)\b"), F.lit(1))

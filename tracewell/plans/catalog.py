@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..functions import rules
 from ..functions.kernels import SHORT, sentences_udf
 from ..operators import assertions, consensus, corpus, entities, evaluate, graph, links, passages, report, routing
-from ..streaming import sessions
+from ..streaming import sessions, state
 from .evidence import TRIPLES_SQL, load, triples
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -222,12 +222,23 @@ def span_stabbing(spark: SparkSession, sf: str) -> DataFrame:
     return routing.stab(c.select("conv_id", "turn"), spans, ["conv_id"], "turn")
 
 
-@query("""WITH n AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events)
-SELECT user_id, event_type, min(n) AS "first", max(n) AS "last", string_agg(CAST(event_id AS VARCHAR), '' ORDER BY n) AS joined FROM n GROUP BY user_id, event_type, i""")
+ISLANDS_SQL = """WITH n AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events)
+SELECT user_id, event_type, min(n) AS "first", max(n) AS "last", string_agg(CAST(event_id AS VARCHAR), '' ORDER BY n) AS joined FROM n GROUP BY user_id, event_type, i"""
+
+
+@query(ISLANDS_SQL)
 def token_coalesce(spark: SparkSession, sf: str) -> DataFrame:
     return consensus.collapse_tokens(load(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type", "event_id")
 
 
+@query(ISLANDS_SQL)
+def token_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream with state, in micro-batches."""
+    found = state.replayed(spark, load(spark, sf, "events"), "user_id", "ts", ["event_id"], "event_type", "event_id", late="10 minutes", quiet="100 days")
+    return found.withColumnRenamed("kind", "event_type")
+
+
+
 @query("""WITH n AS (SELECT p_partkey, substr(trim(regexp_replace(upper(p_type || ' ' || p_brand), '[^A-Z0-9]+', '_', 'g'), '_'), 1, 60) AS r FROM part) SELECT p_partkey, CASE WHEN r = '' THEN 'RELATED_TO' WHEN r SIMILAR TO '[0-9].*' THEN 'R_' || r ELSE r END AS rel FROM n""")
 def rel_type(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", C.rel_type(F.concat_ws(" ", "p_type", "p_brand")).alias("rel"))

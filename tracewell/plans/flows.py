@@ -116,14 +116,22 @@ def resolve_entities(triples: DataFrame) -> DataFrame:
     return entities.merge(found, alike.unionByName(entities.stated_aliases(triples)).distinct())
 
 
-def link_pass(seen: DataFrame, judged: DataFrame, model: TextModel, prompt, mode: str = "connected", near: DataFrame | None = None, kinds: tuple[str, str] | None = None) -> DataFrame:
+def link_pass(seen: DataFrame, judged: DataFrame, model: TextModel, prompt, mode: str = "connected", near: DataFrame | None = None, kinds: tuple[str, str] | None = None, relations: list[str] | None = None) -> DataFrame:
     """entity_links of pairs that were never asked about; prompt(a, b) is a column. mode: connected (a document, a day or near),
-    exhaustive (all pairs of the two kinds; seen has entity_type) or grouped (the same, but asked window by window, see
-    grouped_pass)."""
+    exhaustive (all pairs of the two kinds; seen has entity_type) or grouped (window by window: prompt takes the ids of both blocks,
+    relations are those that count, and pairs of windows that never ended stay unjudged, see grouped_pass)."""
+    if mode == "grouped":
+        if not relations:
+            raise ValueError("the grouped mode needs the relations that count")
+        found, _ = grouped_pass(seen.select("entity_id").distinct(), model, prompt, relations)
+        done = judged.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
+        return found.join(done, ["a_id", "b_id"], "left_anti")
     if mode == "exhaustive":
         found = links.pairs_for(seen.select("entity_id", "entity_type").distinct(), *kinds)
-    else:
+    elif mode == "connected":
         found = links.connected(seen, near)
+    else:
+        raise ValueError(f"no such mode: {mode}")
     pairs = links.unjudged(found, judged)
     asked = pairs.select("a", "b", F.lit(1).alias("asked"), prompt(F.col("a"), F.col("b")).alias("prompt"))
     said = apply_model(asked, "prompt", model.generate, "reply", "string").drop("prompt", "reply_error")
