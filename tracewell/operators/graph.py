@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.versions import Versions
+from .iterate import materialize
 
 
 def mentions(triples: DataFrame) -> DataFrame:
@@ -110,6 +112,35 @@ def load(triples: DataFrame, vertices: DataFrame, edge: DataFrame, now: str) ->
     return vertices.unionByName(first.select(vertices.columns)), edge.unionByName(new.select(edge.columns)), marked
 
 
+#: Buckets of a stored graph's tables.
+BUCKETS = 64
+
+
+def known(parts: list[DataFrame], new: DataFrame, key: str) -> DataFrame | None:
+    """Keys of new that a stored table (its parts) has. What is stored is read by its key alone and, being in buckets of it, isn't
+    shuffled; a few new keys are broadcast by Spark, many are dealt to the buckets."""
+    keys = new.select(key).distinct()
+    found = [p.select(key).join(keys, key, "left_semi") for p in parts]
+    out = None
+    for f in found:
+        out = f if out is None else out.union(f)
+    return out
+
+
+def sink(store: Versions, triples: DataFrame, buckets: int = BUCKETS) -> int:
+    """Add the vertices and edges of triples that the stored graph (tables vertices and edges) lacks, both in one version: only they
+    are written, whatever is there. The number of the version. Triples that were loaded before change nothing."""
+    held = store.manifest()
+    new = materialize(edges(triples), "graph-edges")
+    ends = mentions(triples).select(entity_id(F.col("entity_type"), F.col("name")).alias("entity_id"), "entity_type", "name")
+    ends = materialize(ends.groupBy("entity_id").agg(F.min(F.struct("entity_type", "name")).alias("v")).select("entity_id", "v.*"), "graph-vertices")
+    fresh = {}
+    for name, rows, key in (("edges", new, "triple_id"), ("vertices", ends, "entity_id")):
+        there = known(store.parts(name, held), rows, key)
+        fresh[name] = rows if there is None else rows.join(there, key, "left_anti")
+    return store.commit(append=fresh, buckets={"edges": ("triple_id", buckets), "vertices": ("entity_id", buckets)})
+
+
 def inferred_only(edge: DataFrame, links: DataFrame) -> DataFrame:
     """Vertices that only inferred links touch."""
     stated = edge.select(F.col("src").alias("entity_id")).union(edge.select("dst"))

@@ -384,4 +384,4 @@ def settings_latest(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.latest(kv).select("key", "value", F.col("updated_at").cast("string").alias("updated_at"))
 
 
-from . import catalog_joins, catalog_rules  # noqa: E402, F401  register the rest
+from . import catalog_joins, catalog_rules, catalog_store  # noqa: E402, F401  register the rest
