@@ -22,7 +22,7 @@ from . import common, words
 DIMS, MOST_LABELLED, MOST_BYTES = 1 << 22, 16384, 64 << 20
 #: Bytes of text whose features are made at a time.
 CHUNK = 512 << 10
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 3.0, 0.0, 4
+ALPHA, BETA, L1, L2, EPOCHS = 4.0, 1.0, 4.0, 0.0, 4
 #: What an error on a toxic row counts, beside one on another.
 TOXIC_WEIGHT = 2.0
 #: Lengths in bytes of the beginnings of words.
