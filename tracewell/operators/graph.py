@@ -39,6 +39,26 @@ def snapshot(edge: DataFrame, limit: int) -> DataFrame:
     return degrees(edge).orderBy(F.desc("degree"), "entity_id").limit(limit)
 
 
+def hashed_edges(triples: DataFrame) -> DataFrame:
+    """The two ends of each triple id's edge as 64-bit hashes, src and dst: all that degrees need, in numbers alone. Of rows with one
+    id, which end counts is not said, as in edges()."""
+    ends = [entity_id(F.col(f"{side}_type"), F.col(f"{side}_name")) for side in ("subject", "object")]
+    rows = triples.where("triple_id is not null").select(F.xxhash64("triple_id").alias("_h"), F.xxhash64(F.lit(1), "triple_id").alias("_g"), F.xxhash64(ends[0]).alias("src"), F.xxhash64(ends[1]).alias("dst"))
+    return rows.groupBy("_h", "_g").agg(F.min("src").alias("src"), F.min("dst").alias("dst")).select("src", "dst")
+
+
+def top_vertices(triples: DataFrame, limit: int) -> DataFrame:
+    """entity_id and degree as snapshot() gives them for the edges of triples. Degrees are counted on hashes; names are looked up
+    for those vertices alone whose degree reaches the last that counts."""
+    ends = hashed_edges(triples).select(F.explode(F.array("src", "dst")).alias("_v"))
+    counts = materialize(ends.groupBy("_v").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    least = counts.orderBy(F.desc("degree")).limit(limit).agg(F.min("degree")).first()[0] or 0
+    best = counts.where(F.col("degree") >= least)
+    names = triples.select(F.explode(F.array(*[entity_id(F.col(f"{side}_type"), F.col(f"{side}_name")) for side in ("subject", "object")])).alias("entity_id"))
+    named = names.withColumn("_v", F.xxhash64("entity_id")).join(best, "_v").groupBy("entity_id", "degree").agg(F.lit(1)).select("entity_id", "degree")
+    return named.orderBy(F.desc("degree"), "entity_id").limit(limit)
+
+
 def snapshot_edges(edge: DataFrame, top: DataFrame) -> DataFrame:
     """Edges with both ends in top, which is bounded by its limit."""
     keep = F.broadcast(top.select("entity_id"))

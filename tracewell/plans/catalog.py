@@ -23,7 +23,7 @@ WITH = f"WITH {TRIPLES_SQL} "
 
 @query(WITH + """SELECT entity_id, count(*) AS degree FROM (SELECT src AS entity_id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1 ORDER BY degree DESC, entity_id LIMIT 1500""")
 def graph_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.snapshot(graph.edges(triples(spark, sf)), 1500)
+    return graph.top_vertices(triples(spark, sf), 1500)
 
 
 @query(WITH + """, top AS (SELECT entity_id, count(*) AS degree FROM (SELECT src AS entity_id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1 ORDER BY degree DESC, entity_id LIMIT 1000)
