@@ -108,3 +108,26 @@ def test_media_built_to_hurt():
     assert media.features_of(stbl(media.box(b"stz2", struct.pack(">III", 0, 4, 1 << 31)))) is None
     assert media.features_of(stbl(media.box(b"stsz", struct.pack(">III", 0, 1, (1 << 32) - 1)))) is None
     assert media.features_of(stbl(media.box(b"stsz", struct.pack(">III", 0, 0, (1 << 32) - 1)))) is None
+
+
+def rows_of_a_family(spark, n, seed, linked):
+    """n sets of 200 numbers that share 80 (linked: all but a few) and their sketches, each its own component but for a main one."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    shared = rng.integers(0, 2**63, 200).astype(np.uint64)
+    rows = []
+    for i in range(n):
+        own = 3 if linked else 120
+        tokens = np.concatenate([shared[: 200 - own], rng.integers(0, 2**63, own).astype(np.uint64)])
+        sketch = jaccard.sketches(np.sort(tokens), np.array([0, len(tokens)]))[0]
+        rows.append((7, 0, i, 0 if i % 3 == 0 else i, 200, bytearray(sketch), i % 5, i % 4))
+    return spark.createDataFrame(rows, "family long, main long, node long, component long, n_shingles long, sketch binary, block int, rest int")
+
+
+def test_texts_go_only_where_sketches_may_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "WIDE", 300)
+    n = 2000
+    assert jaccard.met_in(rows_of_a_family(spark, n, 1, linked=False)).count() <= n // 100
+    sent = jaccard.met_in(rows_of_a_family(spark, 200, 2, linked=True)).groupBy("role").agg(F.count_distinct("node").alias("n")).collect()
+    assert {r.role: r.n for r in sent} == {0: 199, 1: 133}  # all but the last, which no other of the rest is below

@@ -37,6 +37,8 @@ SENT = 6
 LEAST_BITS, MOST_BITS = 8, 16
 #: Sets of a group that gives its pairs; those and the shingles of a block of a family (on average, either limit).
 SMALL, BLOCK_SETS, BLOCK_SHINGLES = 32, 1024, 1 << 19
+#: Sketches of a block.
+WIDE = 8192
 #: What a false candidate costs, in signatures.
 FALSE_COST = 30.0
 
@@ -368,21 +370,75 @@ def forest(family: list[tuple], others: list[tuple], main: int) -> list[tuple[in
     return out
 
 
-def family_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+def partners(family: list[tuple], others: list[tuple], main: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows (node, component, n_shingles, sketch) of a block of a family and of one of those outside its main
+    component that may link, by component, size and sketch."""
+    (x_node, x_component, x_n), (y_node, y_component, y_n) = (np.array([r[:3] for r in side], np.int64).T for side in (family, others))
+    x, y = [r[3] for r in family], [r[3] for r in others]
+    found, step = [], max(1, (1 << 20) // len(others))
+    for s in range(0, len(family), step):
+        part = slice(s, s + step)
+        fine = x_component[part, None] != y_component[None, :]
+        fine &= (x_component[part, None] == main) | (x_node[part, None] < y_node[None, :])  # two of the others meet once
+        p, q = np.nonzero(fine & (np.abs(x_n[part, None] - y_n[None, :]) <= differ(x_n[part, None], y_n[None, :])))
+        p += s
+        near = gaps(x, y, p, q) <= differ(x_n[p], y_n[q])
+        found.append(np.stack([p[near], q[near]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def met_in(rows: DataFrame) -> DataFrame:
+    """family, i, j, role, main, node and component: the blocks of texts to which each row (family, main, node, component,
+    n_shingles, sketch, block, rest) must go, as a row of its family (role 0, block i) or as one outside the main component (role 1,
+    rest j). Sketches alone meet here, in blocks of WIDE; a text goes where some other may link with it, and nowhere else."""
+    sizes = rows.groupBy("family", "main").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("wide"), F.ceil(F.count_if(F.col("component") != F.col("main")) / WIDE).cast("int").alias("apart"))
+    rows = rows.join(sizes, ["family", "main"])
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda n: F.pmod(F.xxhash64(F.lit(3), "node"), F.col(n)).cast("int")
+    own = rows.where("apart > 0").withColumns({"role": F.lit(0), "at": place("wide"), "to": F.explode(every("apart"))})
+    rest = rows.where("component <> main").withColumns({"role": F.lit(1), "to": place("apart"), "at": F.explode(every("wide"))})
+    names = ["family", "at", "to", "role", "main", "node", "component", "n_shingles", "sketch", "block", "rest"]
+    dealt = own.select(names).union(rest.select(names)).repartition("family", "at", "to").sortWithinPartitions("family", "at", "to")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, main, sides = None, 0, ([], [])
+
+        def sent() -> pa.RecordBatch:
+            out: set[tuple] = set()
+            if all(sides):
+                p, q = partners(*sides, main)
+                block, rest = np.array([r[4] for r in sides[0]]), np.array([r[5] for r in sides[1]])
+                for role, side, here, i, j in ((0, sides[0], p, block[p], rest[q]), (1, sides[1], q, block[p], rest[q])):
+                    for at, a, b in np.unique(np.stack([here, i, j]), axis=1).T.tolist():
+                        out.add((key[0], a, b, role, main, side[at][0], side[at][1]))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 3)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["family", "i", "j", "role", "main", "node", "component"])
+
+        for batch in batches:
+            for x in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if x[:3] != key:
+                    yield sent()
+                    key, main, sides = x[:3], x[4], ([], [])
+                sides[x[3]].append(x[5:])
+        yield sent()
+
+    return dealt.mapInArrow(run, "family long, i int, j int, role int, main long, node long, component long").distinct()
+
+
+def family_links(members: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
     """a and b: links that make one of all components that links within a family (family, node, component, n_shingles) join.
     Those of a family's largest component are compared with the rest only. Both sides are dealt in blocks of bounded size, so a
-    block of the one and a block of the other meet in a task whatever a family's size."""
+    block of the one and a block of the other meet in a task whatever a family's size: sketches (own) first, then the texts that
+    may link."""
     parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
     of = parts.groupBy("family").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "component", "s")).alias("top"))
     blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK_SETS), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
     of = of.select("family", F.col("top.component").alias("main"), blocks(F.col("c"), F.col("s")).alias("blocks"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("rests"))
-    rows = members.join(of, "family").join(texts, "node")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
-    own = rows.withColumns({"role": F.lit(0), "i": place("blocks"), "j": F.explode(every("rests"))})
-    rest = rows.where("component <> main").withColumns({"role": F.lit(1), "j": place("rests"), "i": F.explode(every("blocks"))})
+    rows = members.join(of, "family").join(own.select("node", "sketch"), "node").withColumns({"block": place("blocks"), "rest": place("rests")})
     names = ["family", "i", "j", "role", "main", "node", "component", "packed"]
-    dealt = own.select(names).union(rest.select(names)).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    dealt = met_in(rows).join(texts, "node").select(names).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
@@ -446,7 +502,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     common.drop(members, labels)
     pairs = small_pairs(mixed.where(F.col("size") <= SMALL)).join(tried, ["a", "b"], "left_anti")
     few = common.materialize(verify(common.materialize(likely(pairs, own), "pairs"), texts), "links")
-    many = common.materialize(family_links(families(mixed.where(F.col("size") > SMALL)), texts), "links")
+    many = common.materialize(family_links(families(mixed.where(F.col("size") > SMALL)), own, texts), "links")
     common.drop(mixed, tried, own, texts)
     links = stars.union(few).union(many)
     labels = components(links)
