@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import dictionary, intervals, needles
+from ..operators import dictionary, grading, intervals, needles
 from .evidence import load
 from .registry import query
 
@@ -97,3 +97,39 @@ def names_in_documents(spark: SparkSession, sf: str) -> DataFrame:
     ks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.regexp_extract("text", rf"^\S+(?:\s+\S+){{0,{k - 1}}}", 0).alias("name")) for k in (1, 2, 3)]))
     names = load(spark, sf, "benchmark").select("item_id", ks.alias("x")).select((F.col("item_id") * 10 + F.col("x.k")).alias("name_id"), "x.name")
     return dictionary.occurrences(names, load(spark, sf, "documents"), "name_id", "name", "doc_id", "text", longest=True)
+
+
+_NORM = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH g AS (SELECT 'F' || lpad(CAST(item_id % 90 AS VARCHAR), 2, '0') AS fact_id, list_filter(string_split({_NORM.format("text")}, ' '), lambda w: length(w) > 4)[1:6] AS ws FROM benchmark),
+f AS (SELECT lpad(CAST(doc_id % 50 AS VARCHAR), 2, '0') || '_' || doc_id AS doc_id, {_NORM.format("text")} AS blob FROM documents),
+hits AS (SELECT DISTINCT fact_id, doc_id FROM g JOIN f ON len(list_filter(ws, lambda w: contains(blob, w))) >= greatest(2, len(ws) // 3) WHERE len(ws) > 0),
+traps AS (SELECT item_id AS trap_id, lpad(CAST(item_id % 10 AS VARCHAR), 2, '0') AS "primary", 'F' || lpad(CAST(item_id % 90 AS VARCHAR), 2, '0') AS fact_id FROM benchmark),
+each AS (SELECT trap_id, hits.fact_id, doc_id, starts_with(doc_id, "primary" || '_') AS ok FROM traps JOIN hits USING (fact_id))
+SELECT t.trap_id, count(DISTINCT e.fact_id) AS matched, count(DISTINCT e.doc_id) AS cited, coalesce(bool_or(ok), false) AS cited_primary FROM (SELECT DISTINCT trap_id FROM traps) t LEFT JOIN each e USING (trap_id) GROUP BY 1""")
+def sourcing_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items as gold facts, each with a trap that names its document of record; documents as what was found."""
+    b, k = load(spark, sf, "benchmark"), F.col("item_id")
+    fact = F.concat(F.lit("F"), F.lpad((k % 90).cast("string"), 2, "0"))
+    inventory = b.select(k.alias("trap_id"), F.concat(F.lit("The primary source is doc "), (k % 10).cast("string"), F.lit(" for "), fact).alias("text"))
+    d = load(spark, sf, "documents").select(F.concat(F.lpad((F.col("doc_id") % 50).cast("string"), 2, "0"), F.lit("_"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("text").alias("quote"), F.lit("").alias("object_name"))
+    found = grading.sourcing(inventory, b.select(fact.alias("fact_id"), "text"), d)
+    return found.select("trap_id", F.size("matched").cast("long").alias("matched"), F.size("cited").cast("long").alias("cited"), "cited_primary")
+
+
+@query("""WITH e AS (SELECT o_orderkey AS k, unnest([1, 2]) AS number, unnest([CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END, 'a']) AS want, unnest(['a', CASE WHEN o_orderkey % 3 = 0 THEN 'b' ELSE 'a' END]) AS found, unnest([o_orderkey % 5, 3]) AS weighed FROM orders),
+g AS (SELECT k, number, CASE WHEN want <> found THEN 'mislabelled' WHEN weighed = 0 THEN 'not weighed' ELSE 'credited' END AS grade FROM e)
+SELECT k, count(*) FILTER (grade = 'credited') AS credited, 2 AS wanted, count(*) FILTER (grade = 'credited') = 2 AND k % 7 > 0 AS passed FROM g GROUP BY 1""")
+def report_grades(spark: SparkSession, sf: str) -> DataFrame:
+    """Drafted reports of two allegations for every order: labels beside the key, elements weighed, and a summary that may say
+    otherwise."""
+    k, label = F.col("o_orderkey"), lambda c: F.when(c, "Substantiated").otherwise("Not substantiated")
+    o = load(spark, sf, "orders").select(k.alias("k"), label(F.lit(True)).alias("one"), label(k % 3 != 0).alias("two"))
+    second = F.when(F.col("k") % 7 == 0, label(F.col("two") != "Substantiated")).otherwise(F.col("two"))
+    text = F.concat(F.lit("# Summary\n| No | Allegation | Disposition | Basis |\n|---|:--|---|---|\n| 1 | it | **"), "one", F.lit("** | "), (F.col("k") % 5).cast("string"), F.lit(" of 5 elements weighed |\n| 2 | that | "), second, F.lit(" | 3 of 3 elements |\n\n| 9 | x | y |"))
+    reports = o.select("k", text.alias("text"))
+    findings = o.select("k", F.explode(F.array(F.struct(F.lit(1).alias("number"), F.col("one").alias("disposition")), F.struct(F.lit(2).alias("number"), F.col("two").alias("disposition")))).alias("f")).select("k", "f.*", F.lit("").alias("note"))
+    expected = o.select("k", F.explode(F.array(F.struct(F.lit(1).alias("number"), label(F.col("k") % 2 == 0).alias("expected")), F.struct(F.lit(2).alias("number"), F.lit("SUBSTANTIATED").alias("expected")))).alias("e")).select("k", "e.*")
+    grades = grading.graded(expected, findings, grading.summary_rows(reports, "k", "text"), "k")
+    return grading.passed(grades, findings, "k").withColumn("wanted", F.col("wanted").cast("int"))
