@@ -31,7 +31,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bits of an id of B in a pair's code; ids of both are below 2 ** 16.
 B_BITS = 16
 #: Words that a worker remembers; others are computed anew for each shard, with the same result.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
 #: Words that are encoded together; bytes of text of a batch, and of a shard; pairs that one task sums.
 TOGETHER, PART_BYTES, SHARD_BYTES, SUM_PAIRS = 4096, 1 << 20, 8 << 20, 1 << 21
 #: Bytes that white space other than the space and the line feed begins with, in UTF-8, and the rest of it.
