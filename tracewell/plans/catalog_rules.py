@@ -301,7 +301,7 @@ def opposing_accounts(spark: SparkSession, sf: str) -> DataFrame:
 def conflict_recall(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     sides = load(spark, sf, "part").select(k.alias("conflict_id"), F.explode(F.array(F.lit("Smith moved the barrels"), pick(k, "Jones refused delivery", "Nobody witnessed anything"))).alias("position"))
-    sections = load(spark, sf, "region").where("r_regionkey < 2").select(pick(F.col("r_regionkey"), "Smith says he was moving barrels.", "Jones refused all deliveries.").alias("text"))
+    sections = load(spark, sf, "region").select(pick(F.col("r_regionkey"), "Smith says he was moving barrels.", "Jones refused all deliveries.").alias("text"))
     return scoring.conflict_recall(sides, sections)
 
 
@@ -514,13 +514,15 @@ def passage_places(spark: SparkSession, sf: str) -> DataFrame:
     return passages.placed(chunks, pages).where("chunk_id >= 0 and doc_id = chunk_id").select("chunk_id", "start", "end")
 
 
-@query("""SELECT c_custkey AS entity_id, CASE c_custkey % 5 WHEN 0 THEN c_custkey + 2 WHEN 1 THEN c_custkey + 1 WHEN 3 THEN c_custkey - 1 END AS merged_into FROM customer WHERE c_custkey < (SELECT max(c_custkey) // 5 * 5 FROM customer)""")
+@query("""WITH m AS (SELECT c_custkey AS k, (SELECT max(c_custkey) FROM customer) AS most FROM customer)
+SELECT k AS entity_id, CASE k % 5 WHEN 0 THEN CASE WHEN k + 2 <= most THEN k + 2 WHEN k + 1 <= most THEN k + 1 END WHEN 1 THEN CASE WHEN k + 1 <= most THEN k + 1 END WHEN 3 THEN k - 1 END AS merged_into FROM m""")
 def merge_compact(spark: SparkSession, sf: str) -> DataFrame:
-    """Three customers in a ring, whose third has the fullest label, one that points into it and one alone."""
+    """Three customers in a ring, whose third has the fullest label, one that points into it and one alone; the last may be fewer."""
     c = load(spark, sf, "customer")
-    most = c.agg(F.max("c_custkey")).first()[0] // 5 * 5
+    most = c.agg(F.max("c_custkey")).first()[0]
     k = F.col("c_custkey")
-    e = c.where(k < most).select(k.alias("entity_id"), pick(k, "Ann", "Ann", "Ann Roe", "A", "B").alias("label"), F.lit(1).alias("mentions"), pick(k, k + 1, k + 1, k - 2, k - 3, nothing("bigint")).alias("merged_into"))
+    into = pick(k, k + 1, k + 1, k - 2, k - 3, nothing("bigint"))
+    e = c.select(k.alias("entity_id"), pick(k, "Ann", "Ann", "Ann Roe", "A", "B").alias("label"), F.lit(1).alias("mentions"), F.when(into <= most, into).alias("merged_into"))
     return entities.compact(e).select("entity_id", "merged_into")
 
 
