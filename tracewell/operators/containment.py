@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a gram, and grams of a window at each level; a text's level is the last whose window it fills.
 GRAM, WINDOWS = 8, (8, 56, 448)
+#: Bits that tell which substrings may be a short text.
+SHORT_BITS = 1 << 22
 #: Bytes that a text needs for each level.
 LEAST = tuple(GRAM + w - 1 for w in WINDOWS)
 
@@ -44,28 +46,29 @@ def marks(raw: bytes, window: int) -> np.ndarray:
     return np.unique(least).view(np.int64)
 
 
-def pieces(raw: bytes, lengths: list[int]) -> np.ndarray:
-    """Hashes of the substrings of some lengths below LEAST[0], each once."""
-    data, out = np.frombuffer(raw, np.uint8).astype(np.uint64), []
-    for n in lengths:
-        h = np.full(max(0, len(data) - n + 1), n, np.uint64)
-        for i in range(n):
-            h = _mix(h ^ data[i : i + len(h)] * np.uint64(0x9E3779B97F4A7C15))
-        out.append(h)
+def pieces(raw: bytes, lengths: list[int], wanted: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the substrings of some lengths below LEAST[0], each once; wanted: bits, a power of two of them, of the hashes that
+    count."""
+    data, out = np.frombuffer(raw, np.uint8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), []
+    h = np.zeros(len(data), np.uint64)
+    for n in range(1, min(max(lengths, default=0), len(data)) + 1):
+        h = _mix((h[: len(data) - n + 1] ^ data[n - 1 :]) + np.uint64(n))
+        if n in lengths:
+            out.append(h if wanted is None else h[wanted[(h % np.uint64(len(wanted))).astype(np.int64)]])
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _marked(texts: DataFrame) -> DataFrame:
+def _marked(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     """row, group, level and mark of texts (row, group, bytes, level, levels, lengths): those of each level that its group's texts
     have (levels) and that it fills; short ones (level -1) under the hash of the whole text, others under those of their substrings
-    of the lengths that the group's short texts have."""
+    of the lengths that the group's short texts have, if they may be among those wanted (see pieces)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, levels, found = [], [], []
             for i, x in enumerate(batch.select(["bytes", "levels", "lengths"]).to_pylist()):
                 for level in x["levels"]:
-                    m = marks(x["bytes"], WINDOWS[level]) if level >= 0 else pieces(x["bytes"], [n for n in x["lengths"] if n <= len(x["bytes"])])
+                    m = marks(x["bytes"], WINDOWS[level]) if level >= 0 else pieces(x["bytes"], x["lengths"], wanted)
                     rows.append(np.full(len(m), i))
                     levels.append(np.full(len(m), level, np.int32))
                     found.append(m)
@@ -88,14 +91,18 @@ def contained(rows: DataFrame, group: str, text: str) -> DataFrame:
     of_group = texts.groupBy("group").agg(F.collect_set("own").alias("levels"), F.collect_set(F.when(F.col("own") < 0, F.col("size"))).alias("lengths"), F.count(F.lit(1)).alias("n"))
     alone = of_group.where("n > 1")
     sent = texts.join(alone, "group").withColumn("bytes", F.encode("text", "UTF-8")).withColumn("lengths", F.filter("lengths", lambda n: n > 0))
-    marked = materialize(_marked(sent), "contained-marks")
+    short = texts.where("own < 0 and size > 0").join(alone.select("group"), "group", "left_semi")
+    whole = _marked(short.select("row", "group", "size", "own", F.encode("text", "UTF-8").alias("bytes"), F.array(F.lit(-1)).alias("levels"), F.array("size").alias("lengths"))).where(F.col("size") > 0)
+    whole = materialize(whole, "contained-short")
+    # bits of their hashes: a fixed number, so no more than that many are collected
+    wanted = np.zeros(SHORT_BITS, bool)
+    wanted[whole.select(F.pmod("mark", F.lit(SHORT_BITS)).alias("b")).distinct().toArrow().column("b").to_numpy()] = True
+    marked = materialize(_marked(sent, wanted), "contained-marks")
     seen = marked.groupBy("group", "level", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # a text asks under its rarest mark; short ones under the one of their own length, which is the whole text's
     asking = marked.where("level = own and level >= 0").join(seen, ["group", "level", "mark"], "left")
     rarest = asking.groupBy("row", "group", "level", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "mark")).alias("m")).where("m.n > 1").select("row", "group", "level", "size", "m.mark")
-    short = texts.where("own < 0 and size > 0").join(alone.select("group"), "group", "left_semi")
-    whole = _marked(short.select("row", "group", "size", "own", F.encode("text", "UTF-8").alias("bytes"), F.array(F.lit(-1)).alias("levels"), F.array("size").alias("lengths"))).select("row", "group", "level", "size", "mark")
-    asked = rarest.unionByName(whole).select(F.col("row").alias("asker"), "group", "level", "mark", F.col("size").alias("asker_size"))
+    asked = rarest.unionByName(whole.select("row", "group", "level", "size", "mark")).select(F.col("row").alias("asker"), "group", "level", "mark", F.col("size").alias("asker_size"))
     holders = marked.select("row", "group", "level", "mark", "size")
     pairs = asked.join(holders, ["group", "level", "mark"]).where("size > asker_size").select("asker", "row")
     inner, outer = texts.select(F.col("row").alias("asker"), F.col("text").alias("inner")), texts.select("row", F.col("text").alias("outer"))

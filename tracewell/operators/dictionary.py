@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +81,11 @@ def occurrences(names: DataFrame, texts: DataFrame, name_id: str, name: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [t.split(" ") if t else [] for t in batch.column("_flat").to_pylist()]
-            first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-            words = [w for r in rows for w in r]
-            hashes, found = word_hashes(words), []
+            split = pa.compute.split_pattern(pa.compute.fill_null(batch.column("_flat").cast(pa.large_string()), ""), " ")
+            words = split.flatten().dictionary_encode()  # each different word is hashed once
+            first = split.offsets.to_numpy() - split.offsets[0].as_py()
+            told, number = words.dictionary.to_pylist(), words.indices.to_numpy()
+            hashes, found = word_hashes(told)[number], []
             for k in lengths:
                 h = run_hashes(hashes, k) % np.uint64(bits)
                 at = np.flatnonzero(marked[(h >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (h & np.uint64(7)).astype(np.uint8)) & 1)
@@ -92,7 +94,7 @@ def occurrences(names: DataFrame, texts: DataFrame, name_id: str, name: str, tex
                 found += zip(row[fine].tolist(), at[fine].tolist(), [k] * int(fine.sum()), strict=True)
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             place = np.array(columns[1], np.int64) - first[np.array(columns[0], np.int64)]
-            flats = [" ".join(words[a : a + k]) for _, a, k in found]
+            flats = [" ".join([told[n] for n in number[a : a + k].tolist()]) for _, a, k in found]
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(columns[0], pa.int64())), pa.array(place, pa.int64()), pa.array(columns[2], pa.int32()), pa.array(flats, pa.string())], ["_id", "at", "words", "flat"])
 
     met = texts.select(F.col(text_id).alias("_id"), flat(F.col(text)).alias("_flat")).mapInArrow(run, f"_id {kind}, at long, words int, flat string")

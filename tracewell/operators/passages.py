@@ -72,7 +72,7 @@ def with_documents(chunks: DataFrame, documents: DataFrame, *columns: str) -> Da
     return chunks.join(documents.select("doc_id", *columns), "doc_id")
 
 
-#: Vectors of a block; pivots at most, and the sample that they are chosen from.
+#: Vectors of a part; pivots at most, of which there are no more than full parts, and the sample that they are chosen from.
 NEAR_BLOCK, PIVOTS, SAMPLE = 256, 128, 4096
 #: What rounding may take from a bound.
 SLACK = 1e-6
@@ -87,7 +87,8 @@ def near_blocks(vectors: DataFrame, block: str, key: str, column: str) -> DataFr
     fine = F.col(key).isNotNull() & F.col(block).isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.where(fine).select(F.col(block).alias("block"), F.col(key).alias("id"), x.cast("array<double>").alias("x"))
     sample = [np.array(r.x) for r in rows.orderBy(F.xxhash64("x"), "id").limit(SAMPLE).select("x").collect()]
-    pivots = {d: unit(np.stack([v for v in sample if len(v) == d][:PIVOTS])) for d in {len(v) for v in sample}}
+    most = max(1, min(PIVOTS, rows.count() // NEAR_BLOCK))
+    pivots = {d: spread(unit(np.stack([v for v in sample if len(v) == d])), most) for d in {len(v) for v in sample}}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,6 +130,15 @@ def near_blocks(vectors: DataFrame, block: str, key: str, column: str) -> DataFr
     return materialize(parts.withColumn("part", F.monotonically_increasing_id()), "near-parts")
 
 
+def spread(x: np.ndarray, n: int) -> np.ndarray:
+    """n rows of x at most, each the farthest in angle from those before it."""
+    taken, near = [0], x @ x[0]
+    while len(taken) < min(n, len(x)):
+        taken.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[taken[-1]])
+    return x[taken]
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     size = np.sqrt((x * x).sum(1, keepdims=True))
     return x / np.where(size > 0, size, 1)
