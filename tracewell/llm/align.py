@@ -37,7 +37,7 @@ TOGETHER, PART_BYTES, SHARD_BYTES, SUM_PAIRS = 4096, 1 << 20, 8 << 20, 1 << 21
 #: Bytes that white space other than the space and the line feed begins with, in UTF-8, and the rest of it.
 ODD_BYTES, ODD_PARTS = bytes([*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0xE1, 0xE2, 0xE3, 0xEF]), (b"  ", b" \n", b"\n ", b"\xc2\x85", b"\xc2\xa0")
 #: That white space, in the widest sense, and the spaces at which a text is cut.
-_OTHER = r"\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿"
+_OTHER = r"\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 CUT = re.compile(rf"(?<=[^ \n{_OTHER}]) (?=[^ \n{_OTHER}])")
 
 
