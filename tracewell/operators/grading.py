@@ -28,12 +28,12 @@ def traps(inventory: DataFrame, trap_id: str, text: str) -> DataFrame:
 def told_by(gold: DataFrame, facts: DataFrame, fact_id: str, text: str, blob: Column, doc: str = "doc_id") -> DataFrame:
     """fact_id and doc of documents one of whose facts (blob) tells a gold fact: enough of its words stand in it, as parts of words.
     Words are looked for by one pass over the facts, however many there are."""
-    words = gold.select(fact_id, words_of(F.col(text), LONGER, TELLING).alias("_w")).withColumn("_n", F.size("_w")).where("_n > 0")
+    words = gold.select(fact_id, words_of(F.col(text), LONGER, TELLING).alias("_w")).distinct().withColumn("_n", F.size("_w")).where("_n > 0")
     rows = facts.select(F.col(doc), norm(blob).alias("_blob")).withColumn("_row", F.monotonically_increasing_id())
     hits = find(words.select(F.explode("_w").alias("word")).distinct(), rows.select(F.struct(doc, "_row").alias("_at"), "_blob"), "word", "word", "_at", "_blob")
-    # repeated words of a gold fact count as often as it has them
-    own = words.select(fact_id, "_n", F.explode("_w").alias("word"))
-    got = own.join(hits, "word").groupBy(fact_id, "_n", "_at").agg(F.count(F.lit(1)).alias("_k"))
+    # repeated words of a gold fact count as often as it has them; texts of one fact id are held against a document each by itself
+    own = words.select(fact_id, "_n", "_w", F.explode("_w").alias("word"))
+    got = own.join(hits, "word").groupBy(fact_id, "_n", "_w", "_at").agg(F.count(F.lit(1)).alias("_k"))
     return got.where(F.col("_k") >= F.greatest(F.lit(2), F.floor(F.col("_n") / 3))).select(fact_id, F.col(f"_at.{doc}").alias(doc)).distinct()
 
 
