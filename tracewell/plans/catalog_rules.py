@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions.kernels import extraction_chunks_udf, narrow_quote_udf, normalize_udf, quote_offset_udf
 from ..functions.names import fault_udf, without_title_udf
 from ..operators import assertions, corpus, elements, entities, evaluate, graph, ledger, links, markdown, ocr, passages, people, report, routing, scoring
+from ..operators.iterate import by_rows
 from ..streaming import sessions
 from .evidence import load
 from .registry import query
@@ -481,7 +482,8 @@ def quote_places(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT o_orderkey, 2 AS chunks, 6000 AS longest FROM orders""")
 def prompt_chunks(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.repeat(F.lit("word "), 1200), F.col("o_orderkey").cast("string"))
-    c = load(spark, sf, "orders").select("o_orderkey", extraction_chunks_udf(text).alias("c"))
+    # keys of a few bytes become texts of 6,000: tasks go by rows, not by the bytes of the file
+    c = by_rows(load(spark, sf, "orders").select("o_orderkey"), 10_000).select("o_orderkey", extraction_chunks_udf(text).alias("c"))
     return c.select("o_orderkey", F.size("c").alias("chunks"), (F.array_max(F.transform("c", F.length)) + 1).alias("longest"))
 
 
