@@ -61,6 +61,16 @@ def find(needles: DataFrame, texts: DataFrame, needle_id: str, needle: str, text
     return out.select(F.col("id").alias(needle_id), F.col("_id").alias(text_id), "at")
 
 
+def held(parts: DataFrame, texts: DataFrame, part: str, text: str) -> DataFrame:
+    """part and text of every different part that is the whole or a stretch of a different text. Parts as long as the longest text
+    can only be equal to one and meet it by equality; shorter ones are looked for in all texts."""
+    parts, texts = (df.select(c).where(F.col(c).isNotNull()).distinct() for df, c in ((parts, part), (texts, text)))
+    longest = texts.agg(F.max(F.length(text))).first()[0] or 0
+    size = F.length(part)
+    equal = parts.where(size == longest).join(texts, F.col(part) == F.col(text)).select(part, text)
+    return equal.unionByName(find(parts.where(size < longest), texts, part, part, text, text).select(part, text))
+
+
 def finder(needles: pa.Table, whole: bool):
     """What finds the needles (id, needle) in batches of texts (_id, _text)."""
     ids, told = needles.column("id").combine_chunks(), needles.column("needle").to_pylist()

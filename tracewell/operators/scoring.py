@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluate import opposes
+from .needles import held
 
 #: What makes a quote datable, and words about credibility and hearsay.
 DATABLE = (
@@ -46,14 +47,14 @@ def people_found(facts: DataFrame, persons: DataFrame, peripheral: DataFrame) ->
     holds or is held by, and whose last word no peripheral mention (text) has."""
     slot = lambda s: F.struct(F.col(f"{s}_type").alias("kind"), F.col(f"{s}_name").alias("name"))
     names = facts.select(F.inline(F.array(slot("subject"), slot("object")))).where("kind = 'PERSON'").select("name").distinct().withColumn("_n", norm(F.col("name")))
-    forms = persons.select("person", norm(F.col("form")).alias("_f")).where("_f <> ''")
-    # a key is a handful of people; its forms are one array that every name is held against
-    held = forms.agg(F.array_sort(F.collect_set(F.struct("person", "_f"))).alias("_forms"), F.count(F.lit(1)).alias("_k"))
-    aside = peripheral.agg(F.array_join(F.collect_list(norm(F.col("text"))), " ").alias("_aside"))
-    rows = names.join(F.broadcast(held), F.lit(True)).join(F.broadcast(aside), F.lit(True))  # one row each
-    hit = F.filter("_forms", lambda f: F.contains(F.col("_n"), f["_f"]) | F.contains(f["_f"], F.col("_n")))
-    last = F.element_at(F.split("_n", " "), -1)
-    return rows.select("name", F.when(F.size(hit) > 0, F.element_at(hit, 1)["person"]).alias("person"), (F.contains(F.col("_aside"), last) & (last != "")).alias("_known")).where("person is not null or not _known").drop("_known")
+    names = names.withColumn("_last", F.element_at(F.split("_n", " "), -1))
+    forms = persons.select("person", norm(F.col("form")).alias("_f")).where("_f <> ''").distinct()
+    met = held(forms, names, "_f", "_n").unionByName(held(names, forms, "_n", "_f"))
+    one = met.join(forms, "_f").groupBy("_n").agg(F.min(F.struct("person", "_f")).alias("_m")).select("_n", F.col("_m.person").alias("person"))
+    # a last word has no space, so a mention that has it has it within a word
+    words = peripheral.select(F.explode(F.split(norm(F.col("text")), " ")).alias("_w")).where("_w <> ''")
+    aside = held(names.where("_last <> ''"), words, "_last", "_w").select("_last").distinct().withColumn("_known", F.lit(True))
+    return names.join(one, "_n", "left").join(aside, "_last", "left").where("person is not null or _known is null").select("name", "person")
 
 
 def entity_score(found: DataFrame, names: int, persons: int) -> DataFrame:
