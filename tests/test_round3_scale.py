@@ -48,3 +48,14 @@ def test_people_are_found_by_forms_within_names_and_names_within_forms(spark):
     assert {(r.name, r.person) for r in got.collect()} == {("Ann Roe", 1), ("roe", 1), ("Bo Lee junior", 3), ("Cy", None), ("Eve Wolf", None), ("!!", 1), (None, 1)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_forms" not in plan and "_aside" not in plan  # no row holds the whole key
+
+
+def test_denials_meet_facts_by_pairs_of_words(spark):
+    denials = [(k, f"Nobody moved barrel{k} cellar{k}") for k in range(40)] + [(100, "Nobody"), (101, None), (102, "moved moved nobody")]
+    facts = [("moved", f"barrel{k}", f"It was seen in cellar{k + k % 2}.") for k in range(40)] + [("moved", "x", "he denied it: cellar1"), ("moved", "nobody", "it")]
+    got = scoring.negated(spark.createDataFrame(facts, "predicate string, object_name string, quote string"), spark.createDataFrame(denials, "denial_id int, text string"))
+    # an odd one's barrel was moved, but two of the three rarest words are barrel and moved
+    assert {r.denial_id: r.asserted for r in got.collect()} == {**dict.fromkeys(range(40), True), 100: False, 101: False, 102: True}
+    made = []
+    scoring.negated(spark.createDataFrame(facts, "predicate string, object_name string, quote string").where("object_name like 'barrel%'"), spark.createDataFrame(denials, "denial_id int, text string")).foreach(made.append)
+    assert not made

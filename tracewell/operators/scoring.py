@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluate import opposes
+from .iterate import materialize
 from .needles import held
 
 #: What makes a quote datable, and words about credibility and hearsay.
@@ -205,7 +206,19 @@ def negated(facts: DataFrame, denials: DataFrame) -> DataFrame:
     top = ranked.groupBy("denial_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("r"), "w"))), 1, 3), lambda x: x["w"]).alias("_w"))
     blob = norm(F.concat_ws(" ", "predicate", "object_name", "quote"))
     plain = facts.select(F.monotonically_increasing_id().alias("_f"), blob.alias("_b")).where(~F.col("_b").rlike(rf"\b(?:{'|'.join(w for w in NEGATION if w.isalpha())})\b"))
-    met = top.select("denial_id", F.explode("_w").alias("w")).join(plain.select("_f", F.explode(F.array_distinct(F.split("_b", " "))).alias("w")), "w")
-    hit = met.groupBy("denial_id", "_f").count().where("count >= 2").select("denial_id").distinct().withColumn("asserted", F.lit(True))
+    # two of three words are a pair: facts meet different pairs under that word which fewer facts have
+    two = lambda i, j: F.when(F.size("_w") > j, F.struct(F.least(F.get("_w", i), F.get("_w", j)).alias("u"), F.greatest(F.get("_w", i), F.get("_w", j)).alias("v")))
+    pairs = top.select("denial_id", F.inline(F.array(two(0, 1), two(0, 2), two(1, 2)))).where("u is not null").distinct()
+    asked = pairs.select("u", "v").distinct()
+    sought = asked.select(F.explode(F.array("u", "v")).alias("w")).distinct()
+    had = plain.select("_f", F.explode(F.array_distinct(F.split("_b", " "))).alias("w")).join(sought, "w")
+    had = materialize(had.groupBy("_f").agg(F.collect_list("w").alias("_v")), "denied")
+    each = had.select("_v", F.explode("_v").alias("w"))
+    n = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    asked = asked.join(n.toDF("u", "_nu"), "u").join(n.toDF("v", "_nv"), "v")
+    rarer = F.col("_nu") <= F.col("_nv")
+    asked = asked.select("u", "v", F.when(rarer, F.col("u")).otherwise(F.col("v")).alias("w"), F.when(rarer, F.col("v")).otherwise(F.col("u")).alias("_o"))
+    said = asked.join(each, "w").where(F.array_contains("_v", F.col("_o"))).select("u", "v").distinct()
+    hit = pairs.join(said, ["u", "v"], "left_semi").select("denial_id").distinct().withColumn("asserted", F.lit(True))
     return denials.select("denial_id").distinct().join(hit, "denial_id", "left").na.fill(False, ["asserted"])
 
