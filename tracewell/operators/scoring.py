@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import needles
 from .evaluate import opposes
 from .iterate import materialize
-from .needles import held
 
 #: What makes a quote datable, and words about credibility and hearsay.
 DATABLE = (
@@ -50,11 +50,11 @@ def people_found(facts: DataFrame, persons: DataFrame, peripheral: DataFrame) ->
     names = facts.select(F.inline(F.array(slot("subject"), slot("object")))).where("kind = 'PERSON'").select("name").distinct().withColumn("_n", norm(F.col("name")))
     names = names.withColumn("_last", F.element_at(F.split("_n", " "), -1))
     forms = persons.select("person", norm(F.col("form")).alias("_f")).where("_f <> ''").distinct()
-    met = held(forms, names, "_f", "_n").unionByName(held(names, forms, "_n", "_f"))
+    met = needles.held(forms, names, "_f", "_n").unionByName(needles.held(names, forms, "_n", "_f"))
     one = met.join(forms, "_f").groupBy("_n").agg(F.min(F.struct("person", "_f")).alias("_m")).select("_n", F.col("_m.person").alias("person"))
     # a last word has no space, so a mention that has it has it within a word
     words = peripheral.select(F.explode(F.split(norm(F.col("text")), " ")).alias("_w")).where("_w <> ''")
-    aside = held(names.where("_last <> ''"), words, "_last", "_w").select("_last").distinct().withColumn("_known", F.lit(True))
+    aside = needles.held(names.where("_last <> ''"), words, "_last", "_w").select("_last").distinct().withColumn("_known", F.lit(True))
     return names.join(one, "_n", "left").join(aside, "_last", "left").where("person is not null or _known is null").select("name", "person")
 
 
@@ -160,10 +160,12 @@ def opposing(conflicts: DataFrame) -> DataFrame:
 
 def quote_routing(findings: DataFrame, facts: DataFrame) -> DataFrame:
     """finding_id, ref and misrouted of findings (finding_id, ref, text) that quote a fact (quote, allegation_ref) of 20 characters or
-    more: whether none of the facts that they quote is tagged with their own reference. Quotes meet by their first 20 characters."""
+    more: whether none of the facts that they quote is tagged with their own reference. A quote and a fact are one where either holds
+    the other and both begin with the same 20 characters; many may, so they meet as needles do, whole."""
     quoted = findings.select("finding_id", "ref", F.explode(F.regexp_extract_all("text", F.lit("[\"“]([^\"”]{20,})[\"”]"), F.lit(1))).alias("q")).withColumn("q", norm(F.col("q")))
     held = facts.where("coalesce(trim(allegation_ref), '') <> ''").select(norm(F.col("quote")).alias("f"), "allegation_ref").where(F.length("f") >= 20)
-    met = quoted.withColumn("_h", F.substring("q", 1, 20)).join(held.withColumn("_h", F.substring("f", 1, 20)).distinct(), "_h").where(F.contains(F.col("f"), F.col("q")) | F.contains(F.col("q"), F.col("f")))
+    pairs = needles.held(quoted, held, "q", "f").unionByName(needles.held(held, quoted, "f", "q")).where(F.substring("q", 1, 20) == F.substring("f", 1, 20)).distinct()
+    met = quoted.join(pairs, "q").join(held.distinct(), "f")
     return met.groupBy("finding_id", "ref").agg((~F.bool_or(F.col("allegation_ref") == F.col("ref"))).alias("misrouted"))
 
 
