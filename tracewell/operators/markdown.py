@@ -46,8 +46,16 @@ def split_allegations(texts: DataFrame, key: str, text: str) -> DataFrame:
     return found.unionByName(rest.select(key, n.alias("n"), F.col("line").alias("allegation")))
 
 
+def table_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, at and raw of the lines that are rows of tables; rules between header and body are left out."""
+    return texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\n")).alias("at", "raw")).where(F.col("raw").rlike(r"^\s*\|.*\|\s*$") & ~F.col("raw").rlike(r"^[\s|:-]+$"))
+
+
+def cells(raw: Column) -> Column:
+    """The cells of a row of a table."""
+    return F.transform(F.split(F.regexp_replace(raw, r"^\s*\||\|\s*$", ""), r"\|"), plain)
+
+
 def table_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, at and cells of the rows of tables; rules between header and body are left out."""
-    rows = texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\n")).alias("at", "raw")).where(F.col("raw").rlike(r"^\s*\|.*\|\s*$") & ~F.col("raw").rlike(r"^[\s|:-]+$"))
-    inner = F.regexp_replace(F.col("raw"), r"^\s*\||\|\s*$", "")
-    return rows.select(key, "at", F.transform(F.split(inner, r"\|"), plain).alias("cells"))
+    """key, at and cells of the rows of tables."""
+    return table_lines(texts, key, text).select(key, "at", cells(F.col("raw")).alias("cells"))
