@@ -71,15 +71,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step, moved = materialize(hook, "hooks"), True
         while moved:  # to the roots, by doubling
             hook = step.select("node", "to")
-            next_one = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
+            next_one = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")).hint("merge"), "to", "left")
             old, step = step, materialize(next_one.select("node", F.coalesce("next", "to").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "hooks")
             drop(old)
             moved = not step.where("moved").isEmpty()
         hook = step.select("node", "to")
-        old, labels = labels, materialize(labels.join(hook.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        old, labels = labels, materialize(labels.join(hook.withColumnRenamed("node", "component").hint("merge"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         drop(old)
         at, bt = hook.select(F.col("node").alias("a"), F.col("to").alias("x")), hook.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        old, held = held, materialize(edges.join(at, "a").join(bt, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "links")
+        old, held = held, materialize(edges.join(at.hint("merge"), "a").join(bt.hint("merge"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "links")
         drop(old, step)
         edges = held
     drop(held)
@@ -96,7 +96,8 @@ def merge(entity: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def resolve(pointers: DataFrame, node: str = "entity_id", parent: str = "merged_into") -> DataFrame:
-    """node and root of every pointer, by pointer doubling; null ends a chain. What leads into a cycle ends at the node where it
+    """node and root of every pointer, by pointer doubling; null ends a chain. Joins shuffle: pointers are small as files and not in
+    memory, and each round's would go through the driver if Spark broadcast them. What leads into a cycle ends at the node where it
     enters it, and a node on a cycle is its own root."""
     from .iterate import materialize
 
@@ -105,17 +106,17 @@ def resolve(pointers: DataFrame, node: str = "entity_id", parent: str = "merged_
     now = pointers.select("node", F.coalesce("up", "node").alias("root"))
     while steps <= 2 * total:  # beyond the longest chain, only cycles still move
         up = now.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        step = now.join(up, F.col("root") == F.col("_n"), "left")
+        step = now.join(up.hint("merge"), F.col("root") == F.col("_n"), "left")
         step = materialize(step.select("node", F.coalesce("_r", "root").alias("root"), (F.coalesce("_r", "root") != F.col("root")).alias("moved")))
         now, steps = step.select("node", "root"), 2 * steps
         if step.where("moved").isEmpty():
             break
     # what still points on after so many steps is on a cycle, and all of a cycle is reached
-    cycle = materialize(now.select(F.col("root").alias("node")).distinct().join(pointers.where("up is not null"), "node", "left_semi"))
+    cycle = materialize(now.select(F.col("root").alias("node")).distinct().join(pointers.where("up is not null").hint("merge"), "node", "left_semi"))
     if cycle.isEmpty():
         return now
     held = cycle.withColumn("_cycle", F.lit(True))
-    return resolve(pointers.join(held, "node", "left").select("node", F.when(F.col("_cycle").isNull(), F.col("up")).alias("up")), "node", "up")
+    return resolve(pointers.join(held.hint("merge"), "node", "left").select("node", F.when(F.col("_cycle").isNull(), F.col("up")).alias("up")), "node", "up")
 
 
 def compact(entity: DataFrame) -> DataFrame:
@@ -124,13 +125,13 @@ def compact(entity: DataFrame) -> DataFrame:
     roots = resolve(entity.select("entity_id", "merged_into"))
     own = entity.select(F.col("entity_id").alias("node"), "merged_into", "label", "mentions")
     # a root that points on is on a cycle; the pointers of cycles alone are links of one component each
-    on = roots.where("node = root").join(own, "node").where("merged_into is not null and merged_into <> node")
+    on = roots.where("node = root").join(own.hint("merge"), "node").where("merged_into is not null and merged_into <> node")
     ring = components(on.select(F.col("node").alias("a"), F.col("merged_into").alias("b")))
     order = F.struct(-F.size(F.split("label", " ")), -F.length("label"), -F.col("mentions"), "node")
-    best = ring.join(own, "node").groupBy("component").agg(F.min_by("node", order).alias("best"))
-    end = ring.join(best, "component").select(F.col("node").alias("root"), "best")
-    into = roots.join(end, "root", "left").select(F.col("node").alias("entity_id"), F.coalesce("best", "root").alias("_root"))
-    return entity.join(into, "entity_id", "left").withColumn("merged_into", F.when(F.col("_root") != F.col("entity_id"), F.col("_root"))).drop("_root")
+    best = ring.join(own.hint("merge"), "node").groupBy("component").agg(F.min_by("node", order).alias("best"))
+    end = ring.join(best.hint("merge"), "component").select(F.col("node").alias("root"), "best")
+    into = roots.join(end.hint("merge"), "root", "left").select(F.col("node").alias("entity_id"), F.coalesce("best", "root").alias("_root"))
+    return entity.join(into.hint("merge"), "entity_id", "left").withColumn("merged_into", F.when(F.col("_root") != F.col("entity_id"), F.col("_root"))).drop("_root")
 
 
 def rolled_up(entity: DataFrame, roots: DataFrame) -> DataFrame:
