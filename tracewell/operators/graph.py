@@ -65,6 +65,15 @@ def snapshot_edges(edge: DataFrame, top: DataFrame) -> DataFrame:
     return edge.join(keep.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(keep.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
 
 
+def edges_within(triples: DataFrame, top: DataFrame) -> DataFrame:
+    """edges() of triples with both ends in top, which is bounded by its limit: rows are let through before they are shuffled."""
+    keep = F.broadcast(top.select("entity_id"))
+    ends = [entity_id(F.col(f"{side}_type"), F.col(f"{side}_name")) for side in ("subject", "object")]
+    rows = triples.where("triple_id is not null").withColumns({"src": ends[0], "dst": ends[1]})
+    met = rows.join(keep.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(keep.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
+    return edges(met.select(triples.columns))
+
+
 def entity_detail(edge: DataFrame, entity: str) -> DataFrame:
     """Edges at an entity with direction and other end, by date and predicate."""
     out = edge.where(F.col("src") == entity).select(F.lit("out").alias("direction"), F.col("dst").alias("other"), "predicate", "event_date", "doc_id", "page_num")
