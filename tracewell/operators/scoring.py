@@ -88,11 +88,17 @@ def timeline_recall(gold: DataFrame, facts: DataFrame) -> DataFrame:
 
 def duplicates(facts: DataFrame) -> DataFrame:
     """facts and repeated: how many there are, and how many of one page repeat a shorter quote of the same assertion."""
-    key = ["doc_id", "page_num", *(norm(F.col(c)).alias(f"_{c}") for c in ("subject_name", "predicate", "object_name")), F.coalesce("event_date", F.lit("")).alias("_date")]
-    groups = facts.select(*key, norm(F.col("quote")).alias("_q")).groupBy("doc_id", "page_num", "_subject_name", "_predicate", "_object_name", "_date")
-    quotes = groups.agg(F.array_sort(F.collect_list(F.struct(F.length("_q").alias("n"), F.col("_q").alias("q")))).alias("m"))
-    repeats = F.size(F.filter(F.sequence(F.lit(1), F.size("m")), lambda i: F.exists(F.slice("m", 1, i - 1), lambda r: F.when(r["q"] == "", F.get("m", i - 1)["q"] == "").otherwise(F.contains(F.get("m", i - 1)["q"], r["q"])))))
-    return quotes.agg(F.coalesce(F.sum(F.size("m")), F.lit(0)).alias("facts"), F.coalesce(F.sum(repeats), F.lit(0)).alias("repeated"))
+    key = ["doc_id", "page_num", *(norm(F.col(c)) for c in ("subject_name", "predicate", "object_name")), F.coalesce("event_date", F.lit(""))]
+    # keys of 16 bytes, whatever names are; a null is told from no text
+    tagged = [x for c in key for x in (c, (F.col(c) if isinstance(c, str) else c).isNull())]
+    rows = facts.select(F.xxhash64(*tagged).alias("_h"), F.xxhash64(F.lit(1), *tagged).alias("_g"), norm(F.col("quote")).alias("_q"))
+    # equal quotes are one with a count; by two of the keys they move once for both steps
+    each = rows.repartition("_h", "_g").groupBy("_h", "_g", "_q").agg(F.count(F.lit(1)).alias("_n"))
+    quotes = each.groupBy("_h", "_g").agg(F.sum("_n").alias("_all"), F.collect_list(F.struct("_q", "_n")).alias("_m"))
+    holds = lambda x: F.exists("_m", lambda r: (r["_q"] != "") & (r["_q"] != x["_q"]) & F.contains(x["_q"], r["_q"]))
+    # of a quote that holds no other, the first is no repetition
+    first = F.when(F.size("_m") == 1, 1).otherwise(F.size(F.filter("_m", lambda x: ~holds(x))))
+    return quotes.agg(F.coalesce(F.sum("_all"), F.lit(0)).alias("facts"), F.coalesce(F.sum(F.col("_all") - first), F.lit(0)).alias("repeated"))
 
 
 def date_coverage(facts: DataFrame) -> DataFrame:
