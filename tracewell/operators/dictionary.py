@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -85,17 +85,17 @@ def occurrences(names: DataFrame, texts: DataFrame, name_id: str, name: str, tex
             words = split.flatten().dictionary_encode()  # each different word is hashed once
             first = split.offsets.to_numpy() - split.offsets[0].as_py()
             told, number = words.dictionary.to_pylist(), words.indices.to_numpy()
-            hashes, found = word_hashes(told)[number], []
+            hashes = word_hashes(told)[number]
             for k in lengths:
                 h = run_hashes(hashes, k) % np.uint64(bits)
                 at = np.flatnonzero(marked[(h >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (h & np.uint64(7)).astype(np.uint8)) & 1)
                 row = np.searchsorted(first, at, side="right") - 1
                 fine = at + k <= first[row + 1]  # a run stays within its text
-                found += zip(row[fine].tolist(), at[fine].tolist(), [k] * int(fine.sum()), strict=True)
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            place = np.array(columns[1], np.int64) - first[np.array(columns[0], np.int64)]
-            flats = [" ".join([told[n] for n in number[a : a + k].tolist()]) for _, a, k in found]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(columns[0], pa.int64())), pa.array(place, pa.int64()), pa.array(columns[2], pa.int32()), pa.array(flats, pa.string())], ["_id", "at", "words", "flat"])
+                at, row = at[fine], row[fine]
+                runs = [words.dictionary.take(pa.array(number[at + i])) for i in range(k)]
+                flats = pa.compute.binary_join_element_wise(*runs, pa.scalar(" ", runs[0].type)) if k > 1 else runs[0]
+                columns = [batch.column("_id").take(pa.array(row)), pa.array(at - first[row], pa.int64()), pa.array(np.full(len(at), k, np.int32)), flats.cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "at", "words", "flat"])
 
     met = texts.select(F.col(text_id).alias("_id"), flat(F.col(text)).alias("_flat")).mapInArrow(run, f"_id {kind}, at long, words int, flat string")
     hits = met.join(known.select(name_id, "flat"), "flat").select(name_id, F.col("_id").alias(text_id), "at", "words")
@@ -103,10 +103,11 @@ def occurrences(names: DataFrame, texts: DataFrame, name_id: str, name: str, tex
 
 
 def unnested(hits: DataFrame, text_id: str) -> DataFrame:
-    """hits (text_id, at, words) without those that lie within a longer one of their text."""
-    from .intervals import overlaps
-
-    spans = hits.select(text_id, "at", "words", (F.col("at") + F.col("words")).alias("to")).distinct()
-    inside = overlaps(spans, spans, [text_id], ("at", "to"), ("at", "to")).where("l.words < r.words and l.at >= r.at and l.to <= r.to")
-    gone = inside.select(F.col(f"l.{text_id}").alias(text_id), F.col("l.at").alias("at"), F.col("l.words").alias("words")).distinct()
-    return hits.join(gone, [text_id, "at", "words"], "left_anti").select(hits.columns)
+    """hits (text_id, at, words) without those that lie within a longer one of their text, by one sort of the hits."""
+    here = Window.partitionBy(text_id).orderBy("at")
+    to = F.col("at") + F.col("words")
+    # what begins before and ends no sooner is longer, and so is what begins at the same place and ends later
+    before, same = (F.max(to).over(here.rangeBetween(*r)) for r in ((Window.unboundedPreceding, -1), (0, 0)))
+    rows = hits.withColumns({"_before": before, "_same": same})
+    alone = F.col(text_id).isNull() | ((F.coalesce("_before", F.lit(0)) < to) & (F.col("_same") == to))
+    return rows.where(alone).select(hits.columns)
