@@ -205,10 +205,11 @@ def element_plans(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT l_orderkey AS k, CAST(l_linenumber AS INT) AS element, l_returnflag <> 'R' AS met, CAST(l_quantity AS INT) + CAST(l_linestatus = 'F' AS INT) AS instances, 1 AS cites FROM lineitem""")
 def element_blocks(spark: SparkSession, sf: str) -> DataFrame:
     li = load(spark, sf, "lineitem")
-    met = F.when(F.col("l_returnflag") != "R", "Yes").otherwise("No")
-    body = F.concat(F.lit("E"), F.col("l_linenumber").cast("string"), F.lit(" | text\nOPPOSING: it was not met: no waiver. MET: No\n**INSTANCES ESTABLISHED:** "), F.when(F.col("l_linestatus") == "F", "more than ").otherwise("one or "), F.col("l_quantity").cast("int").cast("string"), F.lit(" [memo p.977]\n**MET:** "), met)
-    place = F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", body.alias("b"))
-    text = F.concat(F.lit("Intro\n"), F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["b"]), "\n"), F.lit("\n**Disposition:** none\nE9 | MET: No"))
+    # columns move, and a section's text is made of them where they meet
+    met = lambda x: F.when(x["l_returnflag"] != "R", "Yes").otherwise("No")
+    body = lambda x: F.concat(F.lit("E"), x["l_linenumber"].cast("string"), F.lit(" | text\nOPPOSING: it was not met: no waiver. MET: No\n**INSTANCES ESTABLISHED:** "), F.when(x["l_linestatus"] == "F", "more than ").otherwise("one or "), x["l_quantity"].cast("int").cast("string"), F.lit(" [memo p.977]\n**MET:** "), met(x))
+    place = F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    text = F.concat(F.lit("Intro\n"), F.array_join(F.transform(F.array_sort(F.collect_list(place)), body), "\n"), F.lit("\n**Disposition:** none\nE9 | MET: No"))
     return elements.block_rows(li.groupBy(F.col("l_orderkey").alias("k")).agg(text.alias("text")), "k", "text").select("k", "element", "met", "instances", F.size("cites").alias("cites"))
 
 
