@@ -74,6 +74,8 @@ def with_documents(chunks: DataFrame, documents: DataFrame, *columns: str) -> Da
 
 #: Vectors of a part; pivots at most, of which there are no more than full parts, and the sample that they are chosen from.
 NEAR_BLOCK, PIVOTS, SAMPLE = 256, 128, 4096
+#: Binary digits of the number of parts that travel together.
+GROUP_BITS = 4
 #: What rounding may take from a bound.
 SLACK = 1e-6
 
@@ -161,25 +163,38 @@ def near_pairs(vectors: DataFrame, block: str, threshold: float, key: str, colum
     exact bounds, and only those that may hold such a pair meet, as matrices. A threshold of 0 or less makes all meet."""
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     parts = near_blocks(vectors, block, key, column)
-    pairs = reachable(parts, threshold)
-    left = parts.select(F.col("part").alias("p"), "block", "dims", "ids", "data")
-    right = parts.select(F.col("part").alias("q"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
+    # parts travel by groups: a group meets another once, whatever number of their parts meet; where few do, only those travel
+    group = lambda c: F.shiftright(c, GROUP_BITS)
+    met = reachable(parts, threshold).groupBy(group("p").alias("gp"), group("q").alias("gq")).agg(F.collect_list(F.struct("p", "q")).alias("pairs"))
+    met = materialize(met, "near-met")
+    one = F.struct("part", "block", "dims", "ids", "data")
+    few = F.size("pairs") < 1 << GROUP_BITS
+    packs = parts.groupBy(group("part").alias("g")).agg(F.collect_list(one).alias("x"))
+    alone = parts.select(F.col("part").alias("g"), F.array(one).alias("x"))
+    many = met.where(~few).join(packs.toDF("gp", "left"), "gp").join(packs.toDF("gq", "right"), "gq").select("pairs", "left", "right")
+    single = met.where(few).select(F.explode("pairs").alias("o")).select(F.array("o").alias("pairs"), F.col("o.p").alias("gp"), F.col("o.q").alias("gq"))
+    single = single.join(alone.toDF("gp", "left"), "gp").join(alone.toDF("gq", "right"), "gq").select("pairs", "left", "right")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                d = batch.column("dims")[k].as_py()
-                x, y = (np.frombuffer(batch.column(c)[k].as_py(), "<f8").reshape(-1, d) for c in ("data", "data2"))
-                score = np.round(x @ y.T, 4)
-                i, j = np.nonzero(score >= threshold)
-                if batch.column("own")[k].as_py():
-                    i, j = i[i < j], j[i < j]
-                a, b = batch.column("ids")[k].values.take(pa.array(i)), batch.column("ids2")[k].values.take(pa.array(j))
-                less = pa.compute.less(a, b)
-                ends = [pa.compute.if_else(less, a, b), pa.compute.if_else(less, b, a)]
-                fine = pa.compute.not_equal(a, b)
-                found = pa.RecordBatch.from_arrays([pa.array([batch.column("block")[k].as_py()] * len(i), batch.column("block").type), *ends, pa.array(score[i, j])], ["block", "a", "b", "score"])
-                yield found.filter(fine)
-
-    met = pairs.join(left, "p").join(right, "q").select("block", "dims", (F.col("p") == F.col("q")).alias("own"), "ids", "data", "ids2", "data2")
-    return met.mapInArrow(meet, f"block {kinds[block]}, a {kinds[key]}, b {kinds[key]}, score double")
+                sides = [batch.column(c)[k].values for c in ("left", "right")]
+                place = [{p: i for i, p in enumerate(s.field("part").to_pylist())} for s in sides]
+                for pair in batch.column("pairs")[k].as_py():
+                    i, j = place[0][pair["p"]], place[1][pair["q"]]
+                    yield held(sides[0], i, sides[1], j, pair["p"] == pair["q"])
+
+    def held(left: pa.StructArray, m: int, right: pa.StructArray, n: int, own: bool) -> pa.RecordBatch:
+        d = left.field("dims")[m].as_py()
+        x, y = (np.frombuffer(s.field("data")[at].as_py(), "<f8").reshape(-1, d) for s, at in ((left, m), (right, n)))
+        score = np.round(x @ y.T, 4)
+        i, j = np.nonzero(score >= threshold)
+        if own:
+            i, j = i[i < j], j[i < j]
+        a, b = left.field("ids")[m].values.take(pa.array(i)), right.field("ids")[n].values.take(pa.array(j))
+        less = pa.compute.less(a, b)
+        ends = [pa.compute.if_else(less, a, b), pa.compute.if_else(less, b, a)]
+        block = left.field("block")
+        return pa.RecordBatch.from_arrays([pa.array([block[m].as_py()] * len(i), block.type), *ends, pa.array(score[i, j])], ["block", "a", "b", "score"]).filter(pa.compute.not_equal(a, b))
+
+    return many.unionByName(single).mapInArrow(meet, f"block {kinds[block]}, a {kinds[key]}, b {kinds[key]}, score double")
