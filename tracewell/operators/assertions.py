@@ -125,12 +125,15 @@ def dedupe(rows: DataFrame, order: str = "triple_id") -> DataFrame:
     from .iterate import materialize
 
     key = [C.flat(F.col(c)).alias(f"_{c}") for c in ("subject_type", "subject_name", "predicate", "object_type", "object_name")]
-    keyed = materialize(rows.select("*", F.xxhash64(*key, F.coalesce("event_date", F.lit(""))).alias("_key"), C.flat(F.col("quote")).alias("_flat")), "quotes")
-    inner = contained(keyed, "_key", "_flat")
-    first = keyed.where("_flat is not null").groupBy("_key", "_flat").agg(F.min(order).alias("_first"))
-    kept = first.join(inner, ["_key", "_flat"], "left_anti")
-    held = keyed.join(kept, ["_key", "_flat"]).where(F.col(order).eqNullSafe(F.col("_first")) | F.col(order).isNull())
-    return held.select(rows.columns).unionByName(keyed.where("_flat is null").select(rows.columns))
+    # texts are compared where containment is sought; elsewhere 16 bytes stand for them
+    flat = C.flat(F.col("quote"))
+    hashes = lambda c: [F.when(c.isNotNull(), F.xxhash64(F.lit(k), c)).alias(n) for k, n in enumerate(("_h", "_g"))]
+    keyed = materialize(rows.select("*", F.xxhash64(*key, F.coalesce("event_date", F.lit(""))).alias("_key"), *hashes(flat)), "quotes")
+    inner = contained(keyed.select("_key", flat.alias("_flat")), "_key", "_flat").select("_key", *hashes(F.col("_flat")))
+    first = keyed.where("_h is not null").groupBy("_key", "_h", "_g").agg(F.min(order).alias("_first"))
+    kept = first.join(inner, ["_key", "_h", "_g"], "left_anti")
+    held = keyed.join(kept, ["_key", "_h", "_g"]).where(F.col(order).eqNullSafe(F.col("_first")) | F.col(order).isNull())
+    return held.select(rows.columns).unionByName(keyed.where("_h is null").select(rows.columns))
 
 
 def with_ids(rows: DataFrame) -> DataFrame:
