@@ -141,8 +141,8 @@ def load(triples: DataFrame, vertices: DataFrame, edge: DataFrame, now: str) ->
     return vertices.unionByName(first.select(vertices.columns)), edge.unionByName(new.select(edge.columns)), marked
 
 
-#: Buckets of a stored graph's tables.
-BUCKETS = 64
+#: Least buckets of a stored graph's tables, and triples of the first increment for each: more triples, more buckets.
+BUCKETS, BUCKET_ROWS = 64, 1 << 20
 
 
 def known(parts: list[DataFrame], new: DataFrame, key: str) -> DataFrame | None:
@@ -158,16 +158,25 @@ def known(parts: list[DataFrame], new: DataFrame, key: str) -> DataFrame | None:
 
 def sink(store: Versions, triples: DataFrame, buckets: int = BUCKETS) -> int:
     """Add the vertices and edges of triples that the stored graph (tables vertices and edges) lacks, both in one version: only they
-    are written, whatever is there. The number of the version. Triples that were loaded before change nothing."""
+    are written, whatever is there, and they are shuffled once. triples should be cheap to read twice or three times. The number of the version. Triples that were loaded before change nothing."""
     held = store.manifest()
-    new = materialize(edges(triples), "graph-edges")
-    ends = mentions(triples).select(entity_id(F.col("entity_type"), F.col("name")).alias("entity_id"), "entity_type", "name")
-    ends = materialize(ends.groupBy("entity_id").agg(F.min(F.struct("entity_type", "name")).alias("v")).select("entity_id", "v.*"), "graph-vertices")
+    there = held.get("edges", {}).get("buckets")
+    n = there[1] if there else buckets * max(1, -(-triples.count() // (buckets * BUCKET_ROWS)))
+    # rows move once, to their buckets: there they part with copies, meet what is stored and are written
+    rows = triples.select("triple_id", entity_id(F.col("subject_type"), F.col("subject_name")).alias("src"), entity_id(F.col("object_type"), F.col("object_name")).alias("dst"), "predicate", "event_date", "doc_id", "page_num")
+    new = rows.repartition(n, "triple_id").dropDuplicates(["triple_id"])
+    # types and names are told apart by hashing first: a minimum of texts would sort all mentions
+    ends = mentions(triples).select(entity_id(F.col("entity_type"), F.col("name")).alias("entity_id"), "entity_type", "name").distinct()
+    there = held.get("vertices", {}).get("buckets")
+    n_ends = there[1] if there else n
+    ends = ends.repartition(n_ends, "entity_id").groupBy("entity_id").agg(F.min(F.struct("entity_type", "name")).alias("v")).select("entity_id", "v.*")
     fresh = {}
-    for name, rows, key in (("edges", new, "triple_id"), ("vertices", ends, "entity_id")):
-        there = known(store.parts(name, held), rows, key)
-        fresh[name] = rows if there is None else rows.join(there, key, "left_anti")
-    return store.commit(append=fresh, buckets={"edges": ("triple_id", buckets), "vertices": ("entity_id", buckets)})
+    for name, part, key in (("edges", new, "triple_id"), ("vertices", ends, "entity_id")):
+        for stored in store.parts(name, held):
+            part = part.join(stored.select(key).hint("merge"), key, "left_anti")
+        fresh[name] = part
+    fresh["edges"] = fresh["edges"].select("triple_id", "src", "dst", C.rel_type(F.col("predicate")).alias("rel"), "predicate", "event_date", "doc_id", "page_num")
+    return store.commit(append=fresh, buckets={"edges": ("triple_id", n), "vertices": ("entity_id", n_ends)}, dealt=set(fresh))
 
 
 def inferred_only(edge: DataFrame, links: DataFrame) -> DataFrame:
