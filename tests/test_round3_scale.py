@@ -225,3 +225,21 @@ def test_edges_move_once_to_as_many_buckets_as_they_need(spark, tmp_path, monkey
     assert store.manifest()["edges"]["buckets"] == ["triple_id", 8] and store.manifest()["vertices"]["buckets"] == ["entity_id", 8]
     assert [p.count() for p in store.parts("edges")] == [400, 50] and [p.count() for p in store.parts("vertices")] == [407, 50]
     assert store.read("edges").select("triple_id").distinct().count() == 450 and store.read("edges").where("dst = 'PERSON:q 449' and rel = 'MET'").count() == 1
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_tasks_put_stars_for_the_edges_they_read(spark, text, monkeypatch):
+    monkeypatch.setattr(entities, "STAR_ROWS", 50, raising=False)
+    rng = random.Random(4)
+    rows = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(70)] + [(k, k + 1) for k in range(1000, 1400)] + [(500, 500), (600, None), (None, 601), (None, None)]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    edges = edges.select(F.col("a").cast("string"), F.col("b").cast("string")) if text else edges
+    group = {}
+    for a, b in rows:
+        a, b = (b if a is None else a), (a if b is None else b)
+        one = group.setdefault(a, {a}) | group.setdefault(b, {b})
+        group.update(dict.fromkeys(one, one))
+    want = {(str(k), min(map(str, v))) if text and k is not None else (k, min(v)) for k, v in group.items()}
+    assert {tuple(r) for r in entities.components(edges).collect()} == want
+    wide = spark.range(40).select((F.col("id") % 5).alias("a"), (F.col("id") % 8 + 5).alias("b")).coalesce(1)
+    assert entities.starred(wide, "a", "b").count() == 12  # 13 nodes of 40 different edges

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.kernels import RANKS, SUFFIXES, name_score_udf, normalize_udf, rival_keys_udf
@@ -54,14 +59,65 @@ def unambiguous(pairs: DataFrame) -> DataFrame:
     return pairs.join(doubtful.withColumnRenamed("id", "a"), "a", "left_anti").join(doubtful.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "score")
 
 
+#: Edges that starred() takes at a time.
+STAR_ROWS = 1 << 20
+
+
+def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of the component of each of n nodes, for edges between a and b."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    return root
+
+
+def starred(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """a and b of edges with the same components: of each STAR_ROWS edges of a task, a row for each node, to one node of its component
+    among them. Ids other than whole numbers and texts stay as they are."""
+    edges = edges.select(F.coalesce(a, b).alias("a"), F.coalesce(b, a).alias("b"))
+    kind = edges.schema["a"].dataType
+    if kind != edges.schema["b"].dataType or not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and kind != T.StringType():
+        return edges
+
+    def stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(batches)
+        both = whole.drop_null()  # both ends are null, or none
+        ends = pa.chunked_array([*both.column("a").chunks, *both.column("b").chunks], both.schema.field("a").type).combine_chunks().dictionary_encode()
+        place, n = ends.indices.to_numpy(), len(ends.dictionary)
+        root = roots_of(place[: both.num_rows], place[both.num_rows :], n)
+        rows = np.flatnonzero((root != np.arange(n)) | (np.bincount(root, minlength=n) == 1))  # a node of no other stays by itself
+        lone = pa.nulls(int(both.num_rows < whole.num_rows), ends.dictionary.type)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([ends.dictionary.take(pa.array(x, pa.int64())), lone]) for x in (rows, root[rows])], ["a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= STAR_ROWS:
+                yield stars(held)
+                held, rows = [], 0
+        if rows:
+            yield stars(held)
+
+    return edges.mapInArrow(each, f"a {kind.simpleString()}, b {kind.simpleString()}")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (its least node) of all nodes of edges.
 
     Each round every node hooks to its least neighbour, pointers are doubled to their roots, and the edges are contracted: a round at
     least halves what is left, and a chain of any length is one. Minima are partial before they move, and joins keep one row a node
-    on one side, so a star of any size is no hot spot. Files of a round go with the next."""
+    on one side, so a star of any size is no hot spot. Files of a round go with the next. Before anything moves, each task puts
+    stars for the edges that it reads (starred)."""
     from .iterate import drop, materialize
 
+    edges = starred(edges, a, b)
     edges = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "links")
     labels = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "labels")
     held, edges = edges, edges.where("a <> b")
