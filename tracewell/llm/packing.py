@@ -10,6 +10,8 @@ import gc
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +116,7 @@ class WordIds:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.words.keys()
+        new = set().union(*split).difference(self.words)  # goes through the new ones; "- keys()" goes through all that is known
         if new:
             self.learn(new)
         known = self.words.__getitem__
@@ -135,15 +137,15 @@ class WordIds:
         if other:
             for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, "<u4").tobytes()
-        single, several = [], []  # words of one run, which most are, and words with their runs
-        for w, low in zip(words, joined.lower().split("\n") if words else [], strict=True):
-            if low.isalpha():
-                single.append((w, low))
-            elif low[-1] in MARKS and low[:-1].isalpha():
-                several.append((w, [low[:-1], low[-1]]))
-            else:
-                several.append((w, self.runs_of(low)))
-        fresh = list({low for _, low in single}.union(*[runs for _, runs in several]) - self.runs.keys())
+        lows = joined.lower().split("\n") if words else []
+        one = list(map(str.isalpha, lows))  # of one run, which most are
+        single, runs = list(compress(words, one)), list(compress(lows, one))
+        several = []  # words with their runs
+        if len(single) < len(words):
+            rest = list(map(not_, one))
+            for w, low in zip(compress(words, rest), compress(lows, rest), strict=True):
+                several.append((w, [low[:-1], low[-1]] if low[-1] in MARKS and low[:-1].isalpha() else self.runs_of(low)))
+        fresh = list(set(runs).union(*[r for _, r in several]).difference(self.runs))
         if fresh:
             ids = np.array(self.of_runs.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
@@ -152,7 +154,7 @@ class WordIds:
             raw, cuts = ids.tobytes(), cuts.tolist()
             self.runs.update(zip(fresh, [raw[s:e] for s, e in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         known = self.runs.__getitem__
-        self.words.update([(w, known(low)) for w, low in single])
+        self.words.update(zip(single, map(known, runs), strict=True))
         self.words.update([(w, b"".join(map(known, runs))) for w, runs in several])
         if len(self.runs) > KNOWN_WORDS:
             for r in fresh:
