@@ -10,7 +10,9 @@ from ..functions import rules
 #: Pages that a marker is carried over.
 MAX_CARRY = 1
 #: Targets that a row meets at a time.
-BLOCK = 256
+BLOCK = 4096
+#: Pairs of a cell, and cells of a task; up to FEW targets go to where the rows are.
+PAIRS, CELLS, FEW = 1 << 23, 4, 64
 
 
 def marker_number(line):
@@ -60,10 +62,21 @@ def available(refs, unrestricted, target):
 
 
 def with_each(rows: DataFrame, targets: DataFrame, target: str = "target") -> DataFrame:
-    """A row of rows for each target, by blocks of targets: the pairs are the result itself, and no task holds all targets."""
-    n = max(1, -(-targets.count() // BLOCK))
-    lists = targets.select(target).distinct().groupBy(F.pmod(F.xxhash64(target), F.lit(n)).cast("int").alias("_block")).agg(F.collect_list(target).alias("_targets"))
-    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(lists, "_block").withColumn(target, F.explode("_targets")).drop("_block", "_targets")
+    """A row of rows for each target: the pairs are the result itself, so they are made last, and what moves is a small share of them.
+
+    Lists of some BLOCK targets and parts of the rows meet in cells of some PAIRS pairs. Tasks are as many as the pairs need, since Spark, going by bytes,
+    would leave them to a few; none holds all targets or all rows, and nothing but FEW targets is broadcast."""
+    every = targets.select(target).distinct()
+    n = every.count()
+    if n <= FEW:
+        return rows.crossJoin(F.broadcast(every.agg(F.collect_list(target).alias("_targets")))).withColumn(target, F.explode("_targets")).drop("_targets")
+    blocks, parts = -(-n // BLOCK), max(1, -(-rows.count() // (PAIRS // min(n, BLOCK))))
+    tasks = -(-blocks * parts // CELLS)
+    upto = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    lists = every.groupBy(F.pmod(F.xxhash64(target), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(target).alias("_targets"))
+    lists = lists.withColumn("_part", upto(parts)).repartition(tasks, "_part", "_block")
+    dealt = rows.repartition(parts).withColumn("_part", F.spark_partition_id()).withColumn("_block", upto(blocks)).repartition(tasks, "_part", "_block")
+    return dealt.join(lists.hint("merge"), ["_part", "_block"]).withColumn(target, F.explode("_targets")).drop("_part", "_block", "_targets")
 
 
 def route(rows: DataFrame, targets: DataFrame, refs: str = "refs", unrestricted: str = "unrestricted") -> DataFrame:
