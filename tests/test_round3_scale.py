@@ -277,3 +277,20 @@ def test_routing_by_cells_loses_and_doubles_nothing(spark, few, monkeypatch):
     left = routing.route(rows.where("not unrestricted"), targets).where("guarded").select("k", "target").collect()
     assert sorted(map(tuple, left)) == [(i, t) for i in range(10, 20) for t in range(50) if not 10 <= t < 20]
     assert routing.route(rows.where("unrestricted"), targets.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("block", "few", "marks", "once"), [(2048, 16, 1 << 22, 128), (64, 2, 50, 3), (7, 4, 50, 2)])
+def test_pairs_of_groups_of_all_sizes_meet_in_squares(spark, block, few, marks, once, monkeypatch):
+    for name, value in (("PAIR_BLOCK", block), ("FEW", few), ("MARKS", marks), ("AT_ONCE", once), ("SIDE", 4), ("SIDES", 3)):
+        monkeypatch.setattr(links, name, value)
+    kept = []
+    monkeypatch.setattr(links, "materialize", lambda df, what="step", was=links.materialize: kept.append((what, was(df, what))) or kept[-1][1])
+    rng = random.Random(11)
+    sizes = [*[rng.randrange(1, 9) for _ in range(60)], *[rng.randrange(10, 60) for _ in range(12)], 150]
+    rows = [(f"é{m:03}", g, datetime.date(2020, 1, 1 + g % 3) if m < 40 else None) for g, size in enumerate(sizes) for m in rng.choices(range(300), k=size)] + [(None, 1, None), ("alone", None, None)]
+    got = [(r.a, r.b) for r in links.sharing([(spark.createDataFrame(rows, "m string, g int, d date"), c) for c in (["g"], ["d"])], "m").collect()]
+    want = {(a, b) for k in (1, 2) for key in {r[k] for r in rows} - {None} for a in {r[0] for r in rows if r[k] == key} - {None} for b in {r[0] for r in rows if r[k] == key} - {None} if a < b}
+    assert sorted(got) == sorted(want)
+    # what moves is what each group has of each block, not that of all pairs of blocks
+    lists = [df for what, df in kept if what == "lists"][0]
+    assert lists.selectExpr("coalesce(sum(octet_length(h)), 0) / 16").first()[0] <= len({(r[k], r[0]) for r in rows for k in (1, 2)})
