@@ -182,27 +182,27 @@ def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
 
-def contained(rows: DataFrame, group: str, text: str) -> DataFrame:
-    """Distinct (group, text) of rows that a longer text of the same group (a long) contains. Null texts are in none and hold none;
-    the empty text is in every other."""
-    from .iterate import materialize
+def contained(rows: DataFrame, group: str, text: str, ids: list[str]) -> DataFrame:
+    """Distinct group and ids of rows with a text that a longer text of the same group (a long) contains. ids: hashes of the text (longs),
+    which stand for it, so that texts move only where two are compared. Null texts are in none and hold none; the empty text is in
+    every other."""
+    from .iterate import drop, materialize
 
-    texts = rows.where(F.col(text).isNotNull()).select(F.col(group).alias("group"), F.col(text).alias("text")).distinct()
+    texts = rows.where(F.col(text).isNotNull()).select(F.col(group).alias("group"), F.col(text).alias("text"), *ids, F.col(ids[0]).alias("row"))
     size = F.octet_length("text")
     own = sum((F.when(size >= n, 1).otherwise(0) for n in OWN), F.lit(-1))
-    texts = texts.select("group", "text", size.cast("long").alias("size"), own.cast("int").alias("own"), F.monotonically_increasing_id().alias("row"))
-    texts = materialize(texts, "contained-texts")
-    of_group = texts.groupBy("group").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("own") + 1)).alias("levels"), F.count(F.lit(1)).alias("n"))
+    texts = materialize(texts.withColumns({"size": size.cast("long"), "own": own.cast("int")}), "contained-texts")
+    of_group = texts.groupBy("group").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("own") + 1)).alias("levels"), F.count_distinct("row").alias("n"))
     alone = materialize(of_group.where("n > 1").drop("n"), "contained-groups")  # texts stay where they are if these are few
     sent = texts.join(alone, "group")
     # what texts of the first levels ask for; of the last level there is little, which is all kept
-    asks = materialize(_marked(sent.where(F.col("own") < LAST)), "contained-asks")
+    asks = materialize(_marked(sent.where(F.col("own") < LAST)).distinct(), "contained-asks")
     held = asks.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("level") < 0, F.col("size"))).alias("lengths")).collect()
     maps = {r["level"]: _bitmap(asks.where(F.col("level") == r["level"]).select("group", "mark").mapInArrow(_tagged, "h long"), r["n"]) for r in held}
     maps |= {k: np.zeros(LEAST_BITS // 8, np.uint8) for k in range(-1, LAST) if k not in maps}
     maps["lengths"] = sorted(n for r in held for n in r["lengths"])
     maps["short"] = _bitmap(asks.where("level < 0").select(F.col("mark").alias("h")), sum(r["n"] for r in held if r["level"] < 0))
-    marked = materialize(_marked(sent, maps), "contained-marks")
+    marked = materialize(_marked(sent, maps).distinct(), "contained-marks")
     seen = marked.groupBy("group", "level", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # a text asks under what is rarest of its own; short ones under the one of their own length, which is the whole text's
     last = marked.where((F.col("level") == LAST) & (F.col("own") == F.col("level")))
@@ -210,8 +210,15 @@ def contained(rows: DataFrame, group: str, text: str) -> DataFrame:
     rarest = asking.groupBy("row", "group", "level", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "mark")).alias("m")).where("m.n > 1").select("row", "group", "level", "size", "m.mark")
     asked = rarest.unionByName(asks.where("level < 0").select("row", "group", "level", "size", "mark")).select(F.col("row").alias("asker"), "group", "level", "mark", F.col("size").alias("asker_size"))
     holders = marked.select("row", "group", "level", "mark", "size")
-    pairs = asked.join(holders, ["group", "level", "mark"]).where("size > asker_size").select("asker", "row")
-    inner, outer = texts.select(F.col("row").alias("asker"), F.col("text").alias("inner")), texts.select("row", F.col("text").alias("outer"))
-    hit = pairs.join(inner, "asker").join(outer, "row").where(F.contains("outer", "inner")).select(F.col("asker").alias("row")).distinct()
-    empty = texts.where("size = 0").join(alone.select("group"), "group", "left_semi").select("row")
-    return texts.join(hit.union(empty), "row", "left_semi").select(F.col("group").alias(group), F.col("text").alias(text))
+    pairs = materialize(asked.join(holders, ["group", "level", "mark"]).where("size > asker_size").select("group", "asker", "row", "level"), "contained-pairs")
+    drop(asks, marked)
+    # of long texts only those that found a holder move as askers
+    found = materialize(pairs.where(F.col("level") == LAST).select("group", F.col("asker").alias("row")).distinct(), "contained-askers")
+    inner = texts.where((F.col("own") < LAST) & (F.col("size") > 0)).unionByName(texts.where(F.col("own") == LAST).join(found, ["group", "row"], "left_semi").select(texts.columns))
+    inner = inner.select("group", F.col("row").alias("asker"), *ids, F.col("text").alias("inner")).repartition("group", "asker").dropDuplicates(["group", "asker", *ids])
+    outer = texts.select("group", "row", F.col(ids[-1]).alias("_id"), F.col("text").alias("outer")).repartition("group", "row").dropDuplicates(["group", "row", "_id"]).drop("_id")
+    hit = pairs.drop("level").join(inner, ["group", "asker"]).join(outer, ["group", "row"]).where(F.contains("outer", "inner")).select("group", *ids).distinct()
+    empty = texts.where("size = 0").join(alone.select("group"), "group", "left_semi").select("group", *ids).distinct()
+    hit = materialize(hit.unionByName(empty), "contained")
+    drop(texts, alone, pairs, found)
+    return hit.withColumnRenamed("group", group)
