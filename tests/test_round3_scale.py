@@ -335,8 +335,8 @@ def test_copies_that_differ_beside_their_marks_ask_for_what_no_other_has():
 def test_long_quotes_give_only_what_short_ones_ask_for(spark, monkeypatch):
     counts, was = {}, iterate.materialize
 
-    def counted(df, what="step"):
-        out = was(df, what)
+    def counted(df, what="step", *rest):
+        out = was(df, what, *rest)
         counts[what] = out.count()
         return out
 

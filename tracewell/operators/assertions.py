@@ -128,7 +128,7 @@ def dedupe(rows: DataFrame, order: str = "triple_id") -> DataFrame:
     # texts are compared where containment is sought; elsewhere 16 bytes stand for them
     flat = C.flat(F.col("quote"))
     hashes = lambda c: [F.when(c.isNotNull(), F.xxhash64(F.lit(k), c)).alias(n) for k, n in enumerate(("_h", "_g"))]
-    keyed = materialize(rows.select("*", F.xxhash64(*key, F.coalesce("event_date", F.lit(""))).alias("_key"), *hashes(flat)), "quotes")
+    keyed = materialize(rows.select("*", F.xxhash64(*key, F.coalesce("event_date", F.lit(""))).alias("_key"), *hashes(flat)), "quotes", "zstd")
     inner = contained(keyed.select("_key", "_h", "_g", flat.alias("_flat")), "_key", "_flat", ["_h", "_g"])
     first = keyed.where("_h is not null").groupBy("_key", "_h", "_g").agg(F.min(order).alias("_first"))
     kept = first.join(inner, ["_key", "_h", "_g"], "left_anti")

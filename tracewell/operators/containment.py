@@ -191,7 +191,7 @@ def contained(rows: DataFrame, group: str, text: str, ids: list[str]) -> DataFra
     texts = rows.where(F.col(text).isNotNull()).select(F.col(group).alias("group"), F.col(text).alias("text"), *ids, F.col(ids[0]).alias("row"))
     size = F.octet_length("text")
     own = sum((F.when(size >= n, 1).otherwise(0) for n in OWN), F.lit(-1))
-    texts = materialize(texts.withColumns({"size": size.cast("long"), "own": own.cast("int")}), "contained-texts")
+    texts = materialize(texts.withColumns({"size": size.cast("long"), "own": own.cast("int")}), "contained-texts", "zstd")
     of_group = texts.groupBy("group").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("own") + 1)).alias("levels"), F.count_distinct("row").alias("n"))
     alone = materialize(of_group.where("n > 1").drop("n"), "contained-groups")  # texts stay where they are if these are few
     sent = texts.join(alone, "group")
